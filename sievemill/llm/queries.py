@@ -18,6 +18,20 @@ def _vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under a Jaccard similarity of 0.8 of their 5-word shingles."""
+    from .jaccard_join import jaccard_components
+
+    return jaccard_components(_read(spark, sf_dir, "documents"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows of ten words in all documents."""
+    from .decontaminate import contamination
+
+    return contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, written delta-encoded in doc_id order and read back."""
     from .token_files import encoded_digest
@@ -59,6 +73,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_jaccard_join": op2_jaccard_join,
+    "op3_decontamination": op3_decontamination,
     "op4_token_files": op4_token_files,
     "op6_mixing": op6_mixing,
     "op7_media": op7_media,
