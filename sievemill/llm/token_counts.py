@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Whole-word arcs that a worker keeps; emptied when full, counts stay the same.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 #: Compiled states, and pairs of tokens, that a worker keeps.
-STATES, PAIRS = 300_000, 300_000
+STATES, PAIRS = 100_000, 150_000
 #: Characters of a chunk.
 CHUNK = 1 << 16
 _SPACE = "▁"
