@@ -18,6 +18,32 @@ def _vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as archives with revisits, read back."""
+    from .warc import round_trip
+
+    return round_trip(_read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def _base32(sha1: str) -> str:
+    """DuckDB SQL: base 32 of 40 hexadecimal digits, five digits making four signs."""
+    signs = []
+    for i in range(8):
+        number = f"CAST('0x' || substr({sha1}, {5 * i + 1}, 5) AS BIGINT)"
+        signs += [f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + (({number} >> {s}) & 31) AS BIGINT), 1)" for s in (15, 10, 5, 0)]
+    return " || ".join(signs)
+
+
+OP1_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, {_base32("h")} AS payload_digest,
+       CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first THEN first END AS refers_to
+FROM f
+"""
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents under a Jaccard similarity of 0.8 of their 5-word shingles."""
     from .jaccard_join import jaccard_components
@@ -39,6 +65,13 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded_digest(_read(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), 2)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of all documents under a model of the trusted ones, and whether each is kept."""
+    from .quality import classify
+
+    return classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to the sources' targets; labelled quality weighs 2 (good) or 0.5 (bad), none 1."""
     from .mixing import mix, word_count
@@ -72,14 +105,26 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_read(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices of all documents, filed as source/lang/doc_id."""
+    from .licenses import licenses
+
+    docs = _read(spark, sf_dir, "documents")
+    out = licenses(docs.select(F.concat_ws("/", "source", "lang", "doc_id").alias("path"), "text"))
+    return out.withColumn("doc_id", F.regexp_extract("path", "[0-9]+$", 0).cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_decontamination": op3_decontamination,
     "op4_token_files": op4_token_files,
+    "op5_quality": op5_quality,
     "op6_mixing": op6_mixing,
     "op7_media": op7_media,
     "op8_sharding": op8_sharding,
     "op9_token_counts": op9_token_counts,
+    "op10_licenses": op10_licenses,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_warc": OP1_SQL}
