@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .storage import fresh, n_parts
 
-#: Chunks whose ids a worker keeps; the memory is emptied when full, results stay the same.
-REMEMBERED = 600_000
+#: Chunks whose ids a worker keeps; of a full memory the short ones stay, and results are the same.
+REMEMBERED = 500_000
 
 
 class ChunkEncoder:
@@ -41,9 +41,27 @@ class ChunkEncoder:
         self.library = Tokenizer.from_file(path)
         self.whole = whole
         self.known: dict[str, bytes] = {"": b""}
+        self.ends = np.zeros(self.library.get_vocab_size(), bool)
+        suffix = getattr(self.library.model, "end_of_word_suffix", None)
+        for token, i in self.library.get_vocab().items():
+            self.ends[i] = bool(suffix) and token.endswith(suffix)
 
     def _call(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters: many words are one text, which tokens that end a word part again."""
+        out: list[bytes] = []
+        groups = [words[i : i + 200] for i in range(0, len(words), 200)]
+        for group, e in zip(groups, self.library.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
+            if len(cuts) != len(group) + 1 or cuts[-1] != 4 * len(ids):
+                out += self._call(group)
+            else:
+                raw = ids.tobytes()
+                out += [raw[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+        return out
 
     def learn(self, chunks: set[str]) -> None:
         known = self.known
@@ -51,7 +69,10 @@ class ChunkEncoder:
         new = [c for c in bare if c not in known]
         for mark in {c[-1] for c in chunks if c[-1] in ",."} - known.keys():
             new.append(mark)
-        known.update(zip(new, self._call(new), strict=True))
+        plain = [c for c in new if c.isalpha()]
+        known.update(zip(plain, self._letters(plain), strict=True))
+        other = [c for c in new if not c.isalpha()]
+        known.update(zip(other, self._call(other), strict=True))
         for c in chunks - known.keys():
             known[c] = known[c[:-1]] + known[c[-1]]
 
@@ -61,7 +82,9 @@ class ChunkEncoder:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         known = self.known
         if len(known) > REMEMBERED:
-            known = self.known = {"": b""}
+            known = self.known = {c: ids for c, ids in known.items() if len(c) < 8}
+            if len(known) > REMEMBERED // 2:
+                known = self.known = {"": b""}
         new = set().union(*split) - known.keys()
         if new:
             self.learn(new)
