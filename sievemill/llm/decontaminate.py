@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import Blocks, HashTable
+from .storage import small_batches
 from .words import ALNUM, Words, buffers, shingles, slices, split
 
 #: Bytes of benchmark text in a block, about.
@@ -172,7 +173,7 @@ def finder(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, k: int =
 
     Items whose id is null, or whose text has no words, have no windows.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text")).where("item is not null")
     weight = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-weight // BLOCK) or 1

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .packed import pack, unpack
-from .storage import discard, n_parts, written
+from .storage import discard, n_parts, small_batches, written
 from .words import SPACED, U, buffers, mix, shingles, slices, split
 
 #: Stands for a null doc_id.
@@ -218,8 +218,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 4, den: int =
     doc_id is such a document too and the last to name a component.  Other
     columns are not read; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    parts = n_parts(spark)
+    parts = n_parts(small_batches(docs).sparkSession)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text"))
     packed = "part int, kind int, body binary"
     index = rows.mapInArrow(_index(k, parts, alphabet), packed).repartitionById(parts, F.col("part"))

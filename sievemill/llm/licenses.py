@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import HashTable
-from .storage import written
+from .storage import small_batches, written
 from .words import ALNUM, Words, buffers, slices, split
 
 #: Common notices by SPDX identifier.
@@ -128,6 +128,7 @@ def _scan(weights: Weights, least: float):
 def scan(files: DataFrame, templates: dict[str, list[str]] | None = None, least: float = 0.7) -> DataFrame:
     """path, license, similarity, share of every row of `files` (path, text): the best template of any line or of the whole text, null below `least`; share of the words that is in notices."""
     weights = Weights(templates or TEMPLATES)
+    files = small_batches(files)
     counted = files.select("text").mapInArrow(_frequencies(weights), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
     df = {r.term: r.n for r in counted.collect()}  # one number for each term of the templates
     weights.fit(df, df.get(-1, 0), least)

@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .storage import small_batches
+
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 _CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
 _SIDE, _LOW = 32, 8
@@ -166,7 +168,7 @@ def media_column(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 media = pa.array([encode_png(text_pixels(t, width), level, adaptive=False) for t in texts], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in texts], pa.int64()), media], names=["id", "n_bytes", "media"])
 
-    rows = docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text")
+    rows = small_batches(docs).selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text")
     kind = rows.schema[0].dataType.simpleString()
     return rows.mapInArrow(stored, f"id {kind}, n_bytes bigint, media binary").withColumnRenamed("id", id_col)
 
@@ -190,6 +192,6 @@ def media_features(media: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=names)
 
     kind = media.schema[id_col].dataType.simpleString()
-    rows = media.selectExpr(f"`{id_col}` AS id", "n_bytes", "media")
+    rows = small_batches(media).selectExpr(f"`{id_col}` AS id", "n_bytes", "media")
     out = rows.mapInArrow(read, f"id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, phash binary")
     return out.withColumnRenamed("id", id_col)

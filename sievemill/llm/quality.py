@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .blocks import Blocks, HashTable
-from .storage import written
+from .storage import small_batches, written
 from .words import U, mix
 
 #: Mark the start and the end of a word; in texts they count as U+FFFD.
@@ -235,6 +235,7 @@ def _few(limits: DataFrame, most: int = 10_000) -> bool:
 
 def fitted(docs: DataFrame, labels: DataFrame, order: int = 4, q: float = 0.995) -> tuple[DataFrame, DataFrame, Blocks]:
     """Scores of all rows, the languages' thresholds, the model's lookup tables."""
+    docs = small_batches(docs)
     trusted = written(trusted_ids(labels), "trusted")
     texts = docs.select("doc_id", "text").join(trusted, "doc_id", "left_semi").select("text")
     tables = shards(train(texts, order), order)

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import fresh, n_parts
+from .storage import fresh, n_parts, small_batches
 
 
 def scattered(docs: DataFrame, buckets: int, seed: int, id_col: str) -> DataFrame:
@@ -44,7 +44,7 @@ def shuffle_to_shards(docs: DataFrame, shards: int = 40, *, seed: int = 20, buck
     taken = {"__bucket", "__crc", "__shard", "__slot"} & set(docs.columns)
     if taken:
         raise ValueError(f"column names in use: {sorted(taken)}")
-    weighed = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
+    weighed = small_batches(docs).agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
     buckets = max(n_parts(spark), -(-weighed // bucket_bytes))
     counts = dict(scattered(docs, buckets, seed, id_col).groupBy("__bucket").count().collect())  # one number a bucket
     each = np.array([counts.get(b, 0) for b in range(buckets)], np.int64)

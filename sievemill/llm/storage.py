@@ -51,3 +51,12 @@ def discard(*tables: DataFrame) -> None:
 def n_parts(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def small_batches(df: DataFrame, rows: int = 2000, size: int = 16 << 20) -> DataFrame:
+    """`df`; from now on its session hands Python Arrow batches of whole texts that are small beside a worker's memory."""
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if not 0 < int(df.sparkSession.conf.get(key, "0")) <= most:
+            df.sparkSession.conf.set(key, str(most))
+    return df

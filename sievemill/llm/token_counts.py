@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import small_batches
+
 #: Whole-word arcs that a worker keeps; emptied when full, counts stay the same.
 REMEMBERED = 250_000
 #: Compiled states, and pairs of tokens, that a worker keeps.
@@ -256,6 +258,6 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096, *, id_col: str
             n = pa.array(tokens, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), n], names=["doc_id", "n_bytes", "n_tokens"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col(text_col).alias("text"))
     out = rows.mapInArrow(counted, "doc_id bigint, n_bytes bigint, n_tokens bigint")
     return out.withColumn("over_limit", F.col("n_tokens") > limit).withColumnRenamed("doc_id", id_col)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .storage import fresh, n_parts
+from .storage import fresh, n_parts, small_batches, written
 
 #: Chunks whose ids a worker keeps; of a full memory the short ones stay, and results are the same.
 REMEMBERED = 500_000
@@ -112,7 +112,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
     if encoding not in ("dictionary", "delta"):
         raise ValueError(f"encoding: {encoding}")
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *[F.col(c).alias(f"meta_{c}") for c in meta], F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), *[F.col(c).alias(f"meta_{c}") for c in meta], F.col(text_col).alias("text"))
     rows = rows.repartitionByRange(files or n_parts(spark), "doc_id").sortWithinPartitions("doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,8 +159,6 @@ def token_digest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _with_starts(rows: DataFrame) -> DataFrame:
-    from .storage import written
-
     rows = written(rows, "token-digest")
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("all"))
     files = files.withColumn("base", F.coalesce(F.sum("all").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import fresh, written
+from .storage import fresh, small_batches, written
 
 _SPACE = uuid.UUID("5b1f2a9e-6a0c-4d52-9c0e-7a7f0c1f5e11")
 
@@ -103,7 +103,7 @@ def write_archives(pages: DataFrame, path: str, *, least: int = 0, date: str = "
     each is a response.  Other columns are not read.
     """
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
+    rows = small_batches(pages).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.unhex(F.sha1("payload"))).withColumn("size", F.length("payload").cast("long"))
     again = revisits(rows, least)
     rows = rows.join(again, ["page_id", "digest"], "left").select("page_id", "url", "digest", "size", F.when(F.col("original").isNull(), F.col("payload")).alias("payload"), "original", "original_url")

@@ -120,8 +120,9 @@ def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if len(short):
         extra = np.zeros(len(short), U)
         for i, d in enumerate(short):
-            for x in h[first[d] : first[d + 1]]:
-                extra[i] = extra[i] * _STEP + x
-            extra[i] += U(counts[d])
+            value, step = 0, int(_STEP)
+            for x in h[first[d] : first[d + 1]].tolist():
+                value = value * step + x
+            extra[i] = value + int(counts[d]) & 0xFFFFFFFFFFFFFFFF
         total, text, at = np.append(total, mix(extra ^ _BASE)), np.append(text, short), np.append(at, first[short])
     return total, text, at
