@@ -57,7 +57,7 @@ def small_batches(df: DataFrame, rows: int = 2000, size: int = 16 << 20) -> Data
     """`df`; from now on its session hands Python Arrow batches of whole texts that are small beside a worker's memory."""
     for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
         key = f"spark.sql.execution.arrow.{key}"
-        now = df.sparkSession.conf.get(key, "").removesuffix("b")
+        now = df.sparkSession.conf.get(key).removesuffix("b")
         if not (now.isdigit() and 0 < int(now) <= most):
             df.sparkSession.conf.set(key, str(most))
     return df
