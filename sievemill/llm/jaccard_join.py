@@ -12,8 +12,9 @@ num / den at least share T = ceil(num * |x| / den) shingles of x or more, so
    by binary probes of one document's list in the other's;
 3. exact copies are one set from the start.  Pairs are first proposed along
    random chains through each short list, whose number is linear; only lists
-   that then still hold several components are merged in full, and only across
-   components.  So no group of copies is expanded into its pairs and no link
+   that then still hold several components are merged, and only across
+   components: first a share of their pairs, which joins most of what belongs
+   together, at last all that are left.  So no group of copies is expanded into its pairs and no link
    that could join two components is missed.
 
 The index travels as packed numpy arrays, one value for each batch of documents
@@ -40,6 +41,8 @@ from .words import SPACED, U, buffers, mix, shingles, slices, split
 NO_ID = (1 << 63) - 1
 #: Short lists of a document that carry chains, and about how many documents a chain takes.
 CHAINS, CHAIN = 4, 64
+#: Shares of the pairs across components that are decided in turn; the last turn decides all that are left.
+WAVES = (16, 4, 1)
 _RANKS = 28
 
 
@@ -166,19 +169,43 @@ def _sets(num: int, den: int):
     return run
 
 
+def _again(parts: int):
+    """(doc_id, n, m) -> the rows of `_index` for the shingles in m."""
+    edges = np.array([-(-(j << 64) // parts) for j in range(parts)], U)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            lists = [np.frombuffer(m, np.int64) for m in batch.column(2).to_pylist()]
+            if not lists:
+                continue
+            h, doc = mix(np.concatenate(lists).astype(U)), np.repeat(np.arange(len(ids)), [len(x) for x in lists])
+            order = np.argsort(h, kind="stable")
+            h, doc = h[order], doc[order]
+            out = [(int(_deal(ids[:1], parts)[0]), 0, pack(ids, batch.column(1).to_numpy().astype(np.int32)))]
+            cuts = np.append(np.searchsorted(h, edges), len(h))
+            for j in np.flatnonzero(np.diff(cuts)).tolist():
+                out.append((j, 1, pack(ids, doc[cuts[j] : cuts[j + 1]].astype(np.uint16), np.diff(h[cuts[j] : cuts[j + 1]], prepend=U(0)))))
+            yield _rows(out)
+
+    return run
+
+
 def _short_lists(num: int, den: int):
+    """(doc_id, n, m) -> the rarest shingles of each document, all but T - 1: key, doc_id, n, size (of m), place, few (places in which a larger partner meets it)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, size, keys, place = [], [], [], []
+            columns: list[list[np.ndarray]] = [[] for _ in range(6)]
             for d, n, m in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                q = np.frombuffer(m, np.int64)
-                q = q[: len(q) + num * n // -den + 1]  # all but T - 1
-                keys.append(q)
-                doc.append(np.full(len(q), d))
-                size.append(np.full(len(q), n))
-                place.append(np.arange(len(q), dtype=np.int32))
-            if doc:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, doc, size, place)], names=["key", "doc_id", "n", "place"])
+                keys = np.frombuffer(m, np.int64)
+                size = len(keys)
+                q = size - -(-num * n // den) + 1
+                few = size - -(-2 * num * n // (num + den)) + 1
+                for c, x in zip(columns, (keys[:q], np.full(q, d), np.full(q, n), np.full(q, size), np.arange(q), np.full(q, few)), strict=True):
+                    c.append(x)
+            if columns[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["key", "doc_id", "n", "size", "place", "few"])
 
     return run
 
@@ -208,6 +235,54 @@ def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return rows.select("a", "b", "na", "nb", "ma", "mb").mapInArrow(_decide(num, den), "a bigint, b bigint")
 
 
+def _alike(num: int, den: int) -> F.Column:
+    """Whether the sizes a_n and b_n allow a link."""
+    return (F.col("a_n") * den >= F.col("b_n") * num) & (F.col("b_n") * den >= F.col("a_n") * num)
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    return rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+
+
+def _chained(short: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of neighbours in random chains of about CHAIN documents through the first CHAINS short lists of each document."""
+    salt = F.pmod(F.xxhash64("doc_id", "key"), F.expr(f"shiftright(key, 48) div {CHAIN} + 1"))
+    chain = W.partitionBy("key", "salt").orderBy(F.xxhash64("key", "doc_id"))
+    steps = short.where(F.col("place") < CHAINS).withColumn("salt", salt)
+    steps = steps.select(F.col("doc_id").alias("a"), F.col("n").alias("a_n"), F.lag("doc_id").over(chain).alias("b"), F.lag("n").over(chain).alias("b_n"))
+    return _pairs(steps.where(F.col("b").isNotNull() & _alike(num, den)))
+
+
+def _named(short: DataFrame, labels: DataFrame) -> DataFrame:
+    """The short lists with each document's component so far."""
+    named = short.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left")
+    return written(named.withColumn("label", F.coalesce("label", "doc_id")), "named-lists")
+
+
+def _crossing(named: DataFrame, wave: int, num: int, den: int) -> DataFrame:
+    """Of the pairs across components that short lists allow, one in `wave` by a hash of the pair; 1: all.
+
+    Of a linked pair the smaller set meets the larger in its first `few`
+    places, and where they first meet, what is left of both lists holds the
+    overlap they need.  In each list the documents of its largest component
+    meet the others only.
+    """
+    held = named.groupBy("key", "label").agg(F.count("*").alias("held"))
+    mixed = held.groupBy("key").agg(F.max_by("label", F.struct("held", "label")).alias("major"), F.count("*").alias("kinds"))
+    mixed = written(mixed.where("kinds > 1").select("key", "major"), "mixed-lists")
+    live = written(named.join(mixed, "key"), "live-lists")
+    side = lambda x: live.select("key", "major", *[F.col(c).alias(f"{x}_{c}") for c in ("doc_id", "n", "size", "place", "few", "label")])
+    one = side("a").where("a_label <> major")
+    order = F.struct("a_n", "a_doc_id") < F.struct("b_n", "b_doc_id")
+    few = F.when(order, F.col("a_place") < F.col("a_few")).otherwise(F.col("b_place") < F.col("b_few"))
+    left = F.least(F.col("a_size") - F.col("a_place"), F.col("b_size") - F.col("b_place"))
+    enough = left * (num + den) >= (F.col("a_n") + F.col("b_n")) * num
+    once = (F.col("b_label") == F.col("major")) | (F.col("a_doc_id") < F.col("b_doc_id"))
+    turn = F.pmod(F.xxhash64(F.least("a_doc_id", "b_doc_id"), F.greatest("a_doc_id", "b_doc_id")), F.lit(wave)) == 0
+    met = one.join(side("b").drop("major"), "key").where((F.col("a_label") != F.col("b_label")) & _alike(num, den) & few & enough & once & turn)
+    return _pairs(met.select(F.col("a_doc_id").alias("a"), F.col("b_doc_id").alias("b")))
+
+
 def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 4, den: int = 5, alphabet: np.ndarray = SPACED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for every distinct doc_id.
 
@@ -229,37 +304,24 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 4, den: int =
     leaders = twins.groupBy("twin", "n").agg(F.min("doc_id").alias("leader"), F.count("*").alias("held")).where("held > 1").select("twin", "leader")
     copies = written(twins.join(written(leaders, "leaders"), "twin").select("doc_id", "leader"), "copies")
     single = sets.where("m is not null").select("doc_id", "n", "m").join(copies.where("doc_id <> leader").select("doc_id"), "doc_id", "left_anti")
-    single = written(single, "single")
-
-    short = written(single.select("doc_id", "n", "m").mapInArrow(_short_lists(num, den), "key bigint, doc_id bigint, n bigint, place int"), "short-lists")
-    near = F.col("a_n") * den >= F.col("b_n") * num
-    near = near & (F.col("b_n") * den >= F.col("a_n") * num)
-    salt = F.pmod(F.xxhash64("doc_id", "key"), F.expr(f"shiftright(key, 48) div {CHAIN} + 1"))
-    chain = W.partitionBy("key", "salt").orderBy(F.xxhash64("key", "doc_id"))
-    steps = short.where(F.col("place") < CHAINS).withColumn("salt", salt)
-    steps = steps.select(F.col("doc_id").alias("a"), F.col("n").alias("a_n"), F.lag("doc_id").over(chain).alias("b"), F.lag("n").over(chain).alias("b_n"))
-    pairs = steps.where(F.col("b").isNotNull() & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = written(_linked(pairs, single, num, den), "chain-links")
+    # copies made their shingles common: count once more among the sets that are left
+    index = written(single, "single").mapInArrow(_again(parts), packed).repartitionById(parts, F.col("part"))
+    dealt = index.mapInArrow(_shared(parts), packed).repartitionById(parts, F.col("part"))
+    single = written(dealt.mapInArrow(_sets(num, den), "doc_id bigint, n bigint, m binary, twin string").where("m is not null").select("doc_id", "n", "m"), "shared-sets")
 
-    labels = components(links)
-    named = short.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left")
-    named = written(named.select("key", "doc_id", "n", F.coalesce("label", "doc_id").alias("label")), "named-lists")
-    mixed = named.groupBy("key", "label").agg(F.count("*").alias("held")).groupBy("key").agg(F.max_by("label", "held").alias("major"), F.count("*").alias("kinds"))
-    mixed = written(mixed.where("kinds > 1").select("key", "major"), "mixed-lists")
-    live = written(named.join(mixed, "key"), "live-lists")
-    one = live.where("label <> major").select("key", F.col("doc_id").alias("a"), F.col("n").alias("a_n"), F.col("label").alias("a_label"))
-    two = live.select("key", F.col("doc_id").alias("b"), F.col("n").alias("b_n"), F.col("label").alias("b_label"))
-    met = one.join(two, "key").where((F.col("a_label") != F.col("b_label")) & near)
-    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = links.unionByName(written(_linked(met, single, num, den), "cross-links"))
+    short = written(single.mapInArrow(_short_lists(num, den), "key bigint, doc_id bigint, n bigint, size bigint, place bigint, few bigint"), "short-lists")
+    links = written(_linked(_chained(short, num, den), single, num, den), "chain-links")
+    for wave in WAVES:
+        named = _named(short, components(links))
+        links = links.unionByName(written(_linked(_crossing(named, wave, num, den), single, num, den), "cross-links"))
 
     labels = written(components(links), "final-labels")
     kin = copies.join(labels.select(F.col("node").alias("leader"), "label"), "leader", "left").select("doc_id", F.coalesce("label", "leader").alias("label"))
     lone = labels.join(copies.select(F.col("doc_id").alias("node")), "node", "left_anti").select(F.col("node").alias("doc_id"), "label")
     kin = written(kin.unionByName(lone), "kin")
-    named = written(kin.groupBy("label").agg(F.min("doc_id").alias("component_id")), "components")
-    kin = kin.join(named, "label").select("doc_id", "component_id")
+    first = written(kin.groupBy("label").agg(F.min("doc_id").alias("component_id")), "components")
+    kin = kin.join(first, "label").select("doc_id", "component_id")
     out = sets.select("doc_id", F.col("n").alias("n_shingles")).join(kin, "doc_id", "left")
     known = lambda c: F.when(c != NO_ID, c)
-    discard(short, live, mixed)
+    discard(short, named)
     return out.select(known(F.col("doc_id")).alias("doc_id"), "n_shingles", known(F.coalesce("component_id", "doc_id")).alias("component_id"))
