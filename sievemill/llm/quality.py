@@ -237,7 +237,7 @@ def fitted(docs: DataFrame, labels: DataFrame, order: int = 4, q: float = 0.995)
     """Scores of all rows, the languages' thresholds, the model's lookup tables."""
     docs = small_batches(docs)
     trusted = written(trusted_ids(labels), "trusted")
-    texts = docs.select("doc_id", "text").join(trusted, "doc_id", "left_semi").select("text")
+    texts = docs.select("doc_id", "text").join(trusted.hint("merge"), "doc_id", "left_semi").select("text")
     tables = shards(train(texts, order), order)
     scored = written(scores(docs, tables, order), "scores")
     return scored, written(thresholds(scored, trusted, q), "thresholds"), tables
