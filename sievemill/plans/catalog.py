@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import q_models, q_text, q_values
+
+QUERIES = q_text.QUERIES | q_values.QUERIES | q_models.QUERIES
+ORACLES = q_text.ORACLES | q_values.ORACLES | q_models.ORACLES
