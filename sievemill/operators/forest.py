@@ -284,7 +284,7 @@ def train(rows: DataFrame, config: ForestConfig, keys: tuple[str, ...] = ()) ->
             out.insert(0, name, value)
         return out
 
-    grouped = rows.groupBy(*keys) if keys else rows.groupBy(F.lit(1))
+    grouped = rows.groupBy(*keys)
     schema = ", ".join([*(f"{k} {rows.schema[k].dataType.simpleString()}" for k in reversed(keys)), NODES])
     return grouped.applyInPandas(fit, schema)
 

@@ -108,7 +108,7 @@ def read_sparse(spark: SparkSession, path: str) -> DataFrame:
     head = lines.where("index = 0").first()
     width = int(head["value"].split()[1])
     cells = F.filter(F.split(F.trim("value"), r"\s+"), lambda t: t != "")
-    pairs = F.transform(cells, lambda t: F.struct(F.split(t, ":")[0].cast("int").alias("i"), F.when(t.contains(":"), F.split(t, ":")[1].cast("double")).otherwise(1.0).alias("v")))
+    pairs = F.transform(cells, lambda t: F.struct(F.split(t, ":")[0].try_cast("int").alias("i"), F.when(t.contains(":"), F.split(t, ":")[1].try_cast("double")).otherwise(1.0).alias("v")))
     rows = lines.where("index > 0").select((F.col("index") - 1).alias("index"), pairs.alias("p"))
     places = F.transform("p", lambda x: x["i"])
     wrong = rows.where((F.size(F.array_distinct(places)) != F.size(places)) | F.exists(places, lambda i: i.isNull() | (i >= width) | (i < 0))).first()
