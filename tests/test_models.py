@@ -33,7 +33,7 @@ def test_forest_learns_and_all_ways_to_apply_it_agree(spark):
     reached = forest.predict(rows, nodes, leaves=True).select(F.size("rules")).distinct().collect()
     assert [r[0] for r in reached] == [nodes.tree.max() + 1]
     more = forest.train_arrays(X, Y - nodes[nodes.tree < 0].weight.sum(), forest.ForestConfig(max_leaf_forest=40, opt_interval=10, min_pop=5, reg_L2=0.01), start=nodes)
-    assert (more.le < 0).sum() > (nodes.le < 0).sum()
+    assert (more["le"] < 0).sum() > (nodes["le"] < 0).sum()
     with pytest.raises(ValueError):
         forest.train_arrays(X, Y, config, weights=np.ones(3))
 
