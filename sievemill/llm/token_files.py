@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .storage import fresh, n_parts, small_batches, written
 
 #: Chunks whose ids a worker keeps; of a full memory the short ones stay, and results are the same.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 
 
 class ChunkEncoder:
@@ -36,11 +36,16 @@ class ChunkEncoder:
 
     def __init__(self, path: str, whole: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.whole = whole
         self.known: dict[str, bytes] = {"": b""}
+        self.folds = isinstance(self.library.normalizer, normalizers.Sequence) and any(isinstance(n, normalizers.Lowercase) for n in self.library.normalizer)
+        #: The same model for words of Latin letters in lower case, which need no normalizing and no splitting but at spaces.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ends = np.zeros(self.library.get_vocab_size(), bool)
         suffix = getattr(self.library.model, "end_of_word_suffix", None)
         for token, i in self.library.get_vocab().items():
@@ -50,10 +55,10 @@ class ChunkEncoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _letters(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters: many words are one text, which tokens that end a word part again."""
+        """Ids of words of Latin-1 letters: many words are one text, which tokens that end a word part again."""
         out: list[bytes] = []
         groups = [words[i : i + 200] for i in range(0, len(words), 200)]
-        for group, e in zip(groups, self.library.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+        for group, e in zip(groups, self.plain.encode_batch_fast([" ".join(g).lower() for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
             cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
             if len(cuts) != len(group) + 1 or cuts[-1] != 4 * len(ids):
@@ -69,21 +74,31 @@ class ChunkEncoder:
         new = [c for c in bare if c not in known]
         for mark in {c[-1] for c in chunks if c[-1] in ",."} - known.keys():
             new.append(mark)
-        plain = [c for c in new if c.isalpha()]
+        plain = [c for c in new if c.isalpha() and max(c) < "Ā"] if self.ends.any() else []
         known.update(zip(plain, self._letters(plain), strict=True))
-        other = [c for c in new if not c.isalpha()]
+        other = [c for c in new if c not in known]
         known.update(zip(other, self._call(other), strict=True))
         for c in chunks - known.keys():
             known[c] = known[c[:-1]] + known[c[-1]]
 
+    def _folded(self, text: str) -> str:
+        """Latin-1 text in lower case, as the tokenizer takes it anyway, unless it may hold a special token."""
+        if self.folds and "<|" not in text:
+            try:
+                text.encode("latin-1")
+                return text.lower()
+            except UnicodeEncodeError:
+                pass
+        return text
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.whole:
             return self._call(texts)
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        split = [self._folded(t).replace("\n", " ").split(" ") for t in texts]
         known = self.known
         if len(known) > REMEMBERED:
-            known = self.known = {c: ids for c, ids in known.items() if len(c) < 8}
-            if len(known) > REMEMBERED // 2:
+            known = self.known = {c: ids for c, ids in known.items() if len(c) < 10}
+            if len(known) > REMEMBERED * 0.7:
                 known = self.known = {"": b""}
         new = set().union(*split) - known.keys()
         if new:
