@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 
 from .storage import small_batches
 
-#: Whole-word arcs that a worker keeps; emptied when full, counts stay the same.
-REMEMBERED = 250_000
+#: Whole-word arcs that a worker keeps; when full the short ones stay, and counts are the same.
+REMEMBERED = 300_000
 #: Compiled states, and pairs of tokens, that a worker keeps.
-STATES, PAIRS = 100_000, 150_000
+STATES, PAIRS = 150_000, 250_000
 #: Characters of a chunk.
 CHUNK = 1 << 16
 _SPACE = "▁"
@@ -130,9 +130,9 @@ class Transducer:
                 if score.get(x + y, worst) >= b:
                     return False
 
-    def _arc(self, state: int, char: str) -> tuple[int, int]:
-        """Compile the arc of `char` out of `state`: (next state, change of the count)."""
-        tail, places = self.shapes[state]
+    def _next(self, shape: tuple, char: str) -> tuple[tuple, int]:
+        """The state after `char`, and the change of the count."""
+        tail, places = shape
         tail += char
         n = len(tail)
         token, count = char, None
@@ -143,12 +143,16 @@ class Transducer:
                 break
         if count is None:  # a character without a piece becomes its bytes
             count = places[n - 1][1] + len(char.encode())
+        starts = self.starts  # a place counts only while a piece that starts there can still end
         for k in range(n + 1):
-            if k == n or tail[k:] in self.starts:
+            if k == n or tail[k:] in starts:
                 break
-        starts = self.starts  # a place counts only while a piece that starts there can still end
         kept = tuple((places[j][0], places[j][1] - count) if tail[j:] in starts else None for j in range(k, n))
-        shape = (tail[k:], (*kept, (token, 0)))
+        return (tail[k:], (*kept, (token, 0))), count
+
+    def _arc(self, state: int, char: str) -> tuple[int, int]:
+        """Compile the arc of `char` out of `state`: (next state, change of the count)."""
+        shape, count = self._next(self.shapes[state], char)
         if (to := self.states.get(shape)) is None:
             to = self.states[shape] = len(self.shapes)
             self.shapes.append(shape)
@@ -157,12 +161,27 @@ class Transducer:
         return found
 
     def run(self, word: str) -> int:
-        """Tokens of one word (white space escaped), arc by arc."""
-        state = count = 0
+        """Tokens of one word (white space escaped): along compiled arcs as far as they go, then one more is compiled.
+
+        The rest of the word takes the same steps without keeping them, so
+        beginnings that many words share are compiled and rare ends aren't.
+        """
+        state = count = at = 0
         arcs = self.arcs
         for char in word:
             arc = arcs[state].get(char)
-            state, step = arc if arc is not None else self._arc(state, char)
+            if arc is None:
+                break
+            state, step = arc
+            count += step
+            at += 1
+        else:
+            return count
+        state, step = self._arc(state, word[at])
+        count += step
+        shape = self.shapes[state]
+        for char in word[at + 1 :]:
+            shape, step = self._next(shape, char)
             count += step
         return count
 
@@ -171,7 +190,9 @@ class Transducer:
         found = self.words.get(word)
         if found is None:
             if len(self.words) > REMEMBERED:
-                self.words.clear()
+                self.words = {w: n for w, n in self.words.items() if len(w) < 8}
+                if len(self.words) > REMEMBERED * 0.7:
+                    self.words = {}
             if len(self.shapes) > STATES:
                 del self.shapes[1:], self.arcs[1:]
                 self.states, self.arcs[0] = {self.shapes[0]: 0}, {}
