@@ -219,3 +219,15 @@ def bootstrap_sample(spark, sf):
     """Documents drawn with replacement, and how often."""
     rows = folds.bootstrap(read(spark, sf, "documents").select(F.col("doc_id").alias("id")), 2015)
     return rows.groupBy("id").agg(F.count("*").alias("copies"))
+
+
+@query()
+def feature_manifests(spark, sf):
+    """The four feature sets with each feature's transform."""
+    from .feature_sets import manifest
+
+    out = None
+    for name in ("low_1", "low_2", "low_3", "high"):
+        part = manifest(spark, name).withColumn("set", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -94,3 +94,12 @@ def test_all_counting_features(spark):
     assert row.count_of_query_unigram_in_title == 2 and row.pos_of_query_unigram_in_title_mean == 1.5 and row.pos_of_title_unigram_in_query_min == 2.0
     assert out.collect()[1].description_missing == 1 and counting.transform_of("count_of_x") == "sqrt" and counting.transform_of("ratio") == "identity"
     assert len(counting.distances()) == 18
+
+
+def test_feature_sets():
+    from sievemill.plans.feature_sets import counting_names, feature_set, square_roots
+
+    assert [len(feature_set(n)) for n in ("low_1", "low_2", "low_3", "high")] == [170, 177, 177, 184]
+    assert square_roots("high") == 69 and len(counting_names()) == 142 and len(set(counting_names(("unigram", "bigram", "trigram")))) == 262
+    with pytest.raises(ValueError):
+        feature_set("other")
