@@ -2,12 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import discard, written
 
 
+#: Links that one task takes whole (some 100 MB); more are contracted in rounds.
+LOCAL = 1_000_000
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All links -> (node, label): labels fall to the least neighbour's and jump to their own label until nothing changes."""
+    ends = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not ends:
+        return
+    a, b = (np.concatenate(x) for x in zip(*ends, strict=True))
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b, label = place[: len(a)], place[len(a) :], np.arange(len(nodes))
+    while True:
+        x, y = label[a], label[b]
+        if (x == y).all():
+            break
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label != (up := label[label])).any():
+            label = up
+    for i in range(0, len(nodes), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[i : i + 50_000]), pa.array(nodes[label[i : i + 50_000]])], names=["node", "label"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for all nodes of links (a, b); one label for each component, one of its nodes.
 
@@ -17,6 +44,8 @@ def components(links: DataFrame) -> DataFrame:
     null ends and an empty table give no rows.
     """
     edges = written(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    if edges.count() <= LOCAL:
+        return written(edges.coalesce(1).mapInArrow(_whole, "node bigint, label bigint"), "labels")
     labels = None
     for turn in range(1_000):
         rank = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), c.alias("x"))  # noqa: B023, E731

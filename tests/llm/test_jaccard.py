@@ -4,6 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+import sievemill.llm.components
 from sievemill.llm.components import components
 from sievemill.llm.jaccard_join import jaccard_components
 from sievemill.llm.stages import one_of_each_group
@@ -83,7 +84,9 @@ def test_odd_rows(spark):
     assert jaccard_components(docs.limit(0)).collect() == []
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [1_000_000, 0])
+def test_components(spark, monkeypatch, local):
+    monkeypatch.setattr(sievemill.llm.components, "LOCAL", local)
     r = random.Random(4)
     links = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(r.randrange(2000, 2100), r.randrange(2000, 2100)) for _ in range(60)] + [(7, 7), (None, 3)]
     got = {x.node: x.label for x in components(spark.createDataFrame(links, "a long, b long")).collect()}
