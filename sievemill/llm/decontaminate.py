@@ -48,15 +48,19 @@ class Windows:
             return out
         words = split(data, at, ALNUM)
         h, first = words.hashes(), words.first
-        by_size = {size: shingles(words, size) for size in range(1, k + 1)}
+        lengths = np.diff(first)
+        by_size = {}
+        for g in range(1, k + 1):  # shingles of items of g words or more come first, in order; those of shorter items are appended
+            n_own = np.where(lengths >= g, lengths - g + 1, 0)
+            by_size[g] = shingles(words, g)[0], np.cumsum(n_own) - n_own
         for i, (item, _) in enumerate(items):
             n = int(first[i + 1] - first[i])
             size = min(window, n)
             if not n:
                 continue
             g = min(k, size)
-            values, text, place = by_size[g]
-            lo = int(np.searchsorted(text, i)) if n >= g else 0
+            values, begin = by_size[g]
+            lo = int(begin[i])
             for s in range(first[i], first[i + 1] - size + 1):
                 spelled = tuple(words.low[words.start[j] : words.end[j]].tobytes() for j in range(s, s + size))
                 w = known.setdefault(spelled, len(out.words))

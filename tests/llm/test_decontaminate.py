@@ -2,10 +2,13 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sievemill.llm import decontaminate
-from sievemill.llm.decontaminate import clean_rows, contamination
+from sievemill.llm.decontaminate import Windows, clean_rows, contamination
+from sievemill.llm.words import ALNUM, buffers, shingles, split
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 UPPER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -70,3 +73,25 @@ def test_empty_tables(spark):
     assert contamination(d.limit(0), b).collect() == []
     assert contamination(d, b.limit(0)).where("contaminated").count() == 0
     assert clean_rows(d, b.limit(0)).count() == len(docs)
+
+
+def test_windows_have_their_own_shingles_beside_items_of_one_and_two_words():
+    for seed in range(30):
+        r = random.Random(seed)
+        items = [(str(i), " ".join(f"w{r.randrange(3000)}" for _ in range(r.choice([1, 2]) if r.random() < 0.2 else r.randint(3, 60)))) for i in range(60)]
+        made = Windows.of(items, 10, 3)
+        alone = split(*buffers(pa.array([b" ".join(w).decode() for w in made.words], pa.large_string())), ALNUM)
+        for g in (1, 2, 3):
+            values, text, place = shingles(alone, g)
+            for w in [w for w, x in enumerate(made.words) if min(3, len(x)) == g]:
+                own = values[text == w]
+                assert np.array_equal(made.parts[w], own)
+
+
+def test_equals_brute_force_with_many_short_items(spark):
+    for seed in range(3):
+        r = random.Random(seed)
+        items = [(i, " ".join(f"w{r.randrange(500)}" for _ in range(r.choice([1, 2]) if r.random() < 0.3 else r.randint(3, 40)))) for i in range(120)]
+        docs = [(i, " ".join(["x"] * r.randint(0, 5) + [r.choice(items)[1]] + ["y"] * r.randint(0, 5))) for i in range(100)]
+        d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+        assert sorted(map(tuple, contamination(d, b).collect()), key=key) == sorted(brute(docs, items), key=key)
