@@ -1,11 +1,14 @@
 """License scan: TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-Units are each line of a text (headers) and the whole text (licence files).  A
-unit can reach the wanted similarity with a template only if it has one of the
-template's heaviest terms: those whose absence leaves less than that share of
-its norm.  Only units with such a term are weighed, so most texts cost one look
-at their words.  Document frequencies of the templates' terms come from all
-texts; other words weigh as if one text had them.
+Units are the whole text (licence files), its blocks between lines without words,
+its lines (headers), its sentences, also cut at line ends, and runs of as many
+sentences as a template has.  A unit can reach the wanted similarity with a
+template only if it has one of the template's heaviest terms: those whose
+absence leaves less than that share of its norm.  Of these, units that are
+still below it if every other word weighs the least there is, 1, are dropped.
+All words of the remaining units are weighed by their document frequencies in
+all texts: a pass counts the templates' terms, a second lists the other words
+of the remaining units, a third counts those, in tables of a bounded size.
 
 A text of which notices make up half is a licence file of its directory.  Files
 without a notice of their own take that of the nearest directory above.
@@ -23,9 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import HashTable
+from .blocks import Blocks, HashTable
 from .storage import small_batches, written
-from .words import ALNUM, Words, buffers, slices, split
+from .words import ALNUM, SPACED, Words, buffers, slices, split
+
+#: Words of units in a table, about; counts that a task holds.
+TABLE, HELD = 1_000_000, 8_000_000
+#: Sentences end at one of these bytes before white space or a closing sign.
+_STOP = np.isin(np.arange(256), list(b".!?"))
+_AFTER = ~SPACED | np.isin(np.arange(256), list(b"\"')]"))
 
 #: Common notices by SPDX identifier.
 TEMPLATES = {
@@ -45,6 +54,14 @@ def _texts(values: list[str]) -> Words:
     return split(data, at, ALNUM)
 
 
+def _parts(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, block, sentence) of each word by rising numbers; a line without words ends a block, a block ends a sentence."""
+    line = np.searchsorted(np.flatnonzero(words.low == 10), words.start)
+    block = np.cumsum(np.diff(line, prepend=line[:1]) > 1)
+    stops = np.searchsorted(np.flatnonzero(_STOP[words.low[:-1]] & _AFTER[words.low[1:]]), words.start)
+    return line, block, stops + block
+
+
 class Weights:
     """Templates as unit vectors of hashed terms, and the weight of every term."""
 
@@ -54,10 +71,11 @@ class Weights:
         hashes = words.hashes().tolist()
         self.counts = [Counter(hashes[a:b]) for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
         self.terms = HashTable(np.array(hashes, np.uint64))
+        sentence = _parts(words)[2]
+        self.runs = sorted({len(np.unique(sentence[a:b])) for a, b in zip(words.first[:-1], words.first[1:], strict=True)} - {0, 1})
 
     def fit(self, df: dict[int, int], n: int, least: float) -> None:
         """df: texts with the term at a place of `terms`; n: all texts; least: the wanted similarity."""
-        self.other = math.log((1 + n) / 2) + 1
         self.weight = {int(h): math.log((1 + n) / (1 + df.get(i, 0))) + 1 for i, h in enumerate(self.terms.keys)}
         self.vectors, keys = [], set()
         for counts in self.counts:
@@ -73,30 +91,97 @@ class Weights:
                 rest -= v[h] ** 2
         self.keys = HashTable(np.array(sorted(keys), np.uint64))
 
-    def best(self, hashes: list[int]) -> tuple[float, int]:
-        """(similarity, template) of the most similar template, the first of equals."""
-        unit = {h: c * self.weight.get(h, self.other) for h, c in Counter(hashes).items()}
+    def best(self, hashes: list[int], others: dict[int, float] | None = None) -> tuple[float, int]:
+        """(similarity, template) of the most similar template, the first of equals; without the weights of other words, the most that it can be."""
+        unit = {h: c * (self.weight.get(h) or (others[h] if others is not None else 1.0)) for h, c in Counter(hashes).items()}
         norm = math.sqrt(sum(x * x for x in unit.values()))
         found = [round(sum(x * unit[h] for h, x in sorted(v.items()) if h in unit) / norm, 6) for v in self.vectors]
         return max(found), found.index(max(found))
 
 
-def _frequencies(weights: Weights):
+def _frequencies(tables: Blocks | list[HashTable]):
+    """(table, place, texts with the word) of all tables' words, and (-1, -1, texts); counts are added up before they are handed on."""
+
+    def handed(totals: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for b, total in totals.items():
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), b, np.int32)), pa.array(some), pa.array(total[some])], names=["b", "term", "n"])
+        totals.clear()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        rows = 0
+        for batch in batches:
+            rows += batch.num_rows
+            data, at = buffers(batch.column(0))
+            for b, table in enumerate(tables):
+                total = totals.setdefault(b, np.zeros(len(table.keys), np.int64))
+                for lo, hi in slices(at):
+                    words = split(data, at[lo : hi + 1], ALNUM)
+                    where, term = table.find(words.hashes())
+                    if len(where):
+                        seen = np.unique(words.owner()[where] * len(total) + term)
+                        total += np.bincount(seen % len(total), minlength=len(total))
+                if sum(map(len, totals.values())) > HELD:
+                    yield from handed(totals)
+        yield from handed(totals)
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([-1], pa.int64()), pa.array([rows], pa.int64())], names=["b", "term", "n"])
+
+    return run
+
+
+def _runs(key: np.ndarray, *ids: np.ndarray) -> tuple[list[int], list[int]]:
+    """(bounds of the runs of equal ids, runs that have a word of `key`)."""
+    new = np.zeros(len(ids[0]), bool)
+    new[0] = True
+    for x in ids:
+        new[1:] |= x[1:] != x[:-1]
+    starts = np.flatnonzero(new)
+    return [*starts.tolist(), len(new)], np.unique(np.searchsorted(starts, key, "right") - 1).tolist()
+
+
+def _units(weights: Weights, words: Words, h: np.ndarray, least: float) -> Iterator[tuple[int, int, int]]:
+    """(text, first word, word after the last) of every unit that can reach `least`."""
+    where = weights.keys.find(h)[0]
+    owner = words.owner()[where]
+    if not len(where):
+        return
+    parts = _parts(words)
+    for d in np.unique(owner).tolist():
+        a, b = int(words.first[d]), int(words.first[d + 1])
+        key = where[np.searchsorted(owner, d) : np.searchsorted(owner, d, "right")] - a
+        line, block, sentence = (x[a:b] for x in parts)
+        found = {(0, b - a)}
+        for ids in ((line,), (block,), (line, sentence)):
+            at, hit = _runs(key, *ids)
+            found.update((at[i], at[i + 1]) for i in hit)
+        at, hit = _runs(key, sentence)
+        for n in (1, *weights.runs):
+            for i in {j for x in hit for j in range(max(0, x - n + 1), min(x, len(at) - 1 - n) + 1)}:
+                if block[at[i]] == block[at[i + n] - 1]:
+                    found.add((at[i], at[i + n]))
+        own = h[a:b].tolist()
+        for s, e in sorted(found):
+            if weights.best(own[s:e])[0] >= least:
+                yield d, a + s, a + e
+
+
+def _others(weights: Weights, least: float):
+    """Words of units that can reach `least` that are in no template."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = buffers(batch.column(0))
-            total = np.zeros(len(weights.terms.keys), np.int64)
             for lo, hi in slices(at):
                 words = split(data, at[lo : hi + 1], ALNUM)
-                where, term = weights.terms.find(words.hashes())
-                seen = np.unique(words.owner()[where] * len(total) + term)
-                total += np.bincount(seen % len(total), minlength=len(total))
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(len(total)), -1)), pa.array(np.append(total, batch.num_rows))], names=["term", "n"])
+                h = words.hashes()
+                seen = set().union(*(h[s:e].tolist() for _, s, e in _units(weights, words, h, least))) - weights.weight.keys()
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(list(seen), np.uint64).view(np.int64))], names=["h"])
 
     return run
 
 
-def _scan(weights: Weights, least: float):
+def _scan(weights: Weights, tables: Blocks, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = buffers(batch.column(1))
@@ -104,35 +189,57 @@ def _scan(weights: Weights, least: float):
             for lo, hi in slices(at):
                 words = split(data, at[lo : hi + 1], ALNUM)
                 h = words.hashes()
-                where = weights.keys.find(h)[0]
-                line = np.searchsorted(np.flatnonzero(words.low == 10), words.start)
-                owner = words.owner()
-                for d in np.unique(owner[where]).tolist():
-                    a, b = int(words.first[d]), int(words.first[d + 1])
-                    own, lines = h[a:b].tolist(), line[a:b]
-                    units = [weights.best(own)] if b > a else []
-                    held = 0
-                    for x in np.unique(line[where[(where >= a) & (where < b)]]).tolist():
-                        s, e = np.searchsorted(lines, [x, x + 1]).tolist()
-                        units.append(weights.best(own[s:e]))
-                        held += (e - s) * (units[-1][0] >= least)
-                    top = max(units, key=lambda u: (u[0], -u[1]))
-                    if top[0] >= least:
-                        name[lo + d], similarity[lo + d] = weights.names[top[1]], top[0]
-                        share[lo + d] = 1.0 if units[0][0] >= least else held / (b - a)
+                units = list(_units(weights, words, h, least))
+                asked = np.unique(np.concatenate([h[s:e] for _, s, e in units])) if units else h[:0]
+                others: dict[int, float] = {}
+                if len(asked):
+                    for table, values in tables:
+                        hit, place = table.find(asked)
+                        others.update(zip(asked[hit].tolist(), values[place].tolist(), strict=True))
+                top: dict[int, tuple[float, int]] = {}
+                held = np.zeros(len(h), bool)
+                for d, s, e in units:
+                    value, template = weights.best(h[s:e].tolist(), others)
+                    if value >= least:
+                        held[s:e] = True
+                        top[d] = max(top.get(d, (value, -template)), (value, -template))
+                for d, (value, template) in top.items():
+                    name[lo + d], similarity[lo + d] = weights.names[-template], value
+                    share[lo + d] = float(held[words.first[d] : words.first[d + 1]].mean())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(name, pa.string()), pa.array(similarity, pa.float64()), pa.array(share, pa.float64())], names=["path", "license", "similarity", "share"])
 
     return run
 
 
 def scan(files: DataFrame, templates: dict[str, list[str]] | None = None, least: float = 0.7) -> DataFrame:
-    """path, license, similarity, share of every row of `files` (path, text): the best template of any line or of the whole text, null below `least`; share of the words that is in notices."""
+    """path, license, similarity, share of every row of `files` (path, text): the best template of any unit, null below `least`; share of the words that is in notices."""
     weights = Weights(templates or TEMPLATES)
     files = small_batches(files)
-    counted = files.select("text").mapInArrow(_frequencies(weights), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    kind = "b int, term bigint, n bigint"
+    counted = files.select("text").mapInArrow(_frequencies([weights.terms]), kind).groupBy("term").agg(F.sum("n").alias("n"))
     df = {r.term: r.n for r in counted.collect()}  # one number for each term of the templates
-    weights.fit(df, df.get(-1, 0), least)
-    return files.select("path", "text").mapInArrow(_scan(weights, least), "path string, license string, similarity double, share double")
+    n = df.get(-1, 0)
+    weights.fit(df, n, least)
+    wanted = written(files.select("text").mapInArrow(_others(weights, least), "h bigint").distinct(), "wanted")
+    number = -(-wanted.count() // TABLE) or 1
+
+    def table(b: int) -> HashTable:
+        rows = wanted.where(F.pmod("h", F.lit(number)) == b).toArrow()
+        return HashTable(rows.column("h").to_numpy().view(np.uint64))
+
+    spark = files.sparkSession
+    tables = Blocks(spark.sparkContext, (table(b) for b in range(number)))
+    counted = files.select("text").mapInArrow(_frequencies(tables), kind).groupBy("b", "term").agg(F.sum("n").alias("n"))
+    counted = written(counted, "frequencies")
+
+    def weighed(b: int) -> tuple[HashTable, np.ndarray]:
+        keys, rows = table(b), counted.where(F.col("b") == b).toArrow()
+        values = np.zeros(len(keys.keys))
+        values[rows.column("term").to_numpy()] = np.log((1 + n) / (1 + rows.column("n").to_numpy())) + 1
+        return keys, values
+
+    found = Blocks(spark.sparkContext, (weighed(b) for b in range(number)))
+    return files.select("path", "text").mapInArrow(_scan(weights, found, least), "path string, license string, similarity double, share double")
 
 
 def licenses(files: DataFrame, *, templates: dict[str, list[str]] | None = None, least: float = 0.7, whole: float = 0.5) -> DataFrame:

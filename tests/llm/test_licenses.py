@@ -4,6 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from sievemill.llm import licenses as module
 from sievemill.llm.licenses import TEMPLATES, licenses, scan
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -69,3 +70,37 @@ def test_nearest_directory_is_inherited(spark):
     assert rows["v/u"].license == "GPL-3.0" and rows["v/u"].inherited is None
     assert rows[None].license == "MPL-2.0" and rows[None].inherited is None
     assert licenses(files.limit(0)).collect() == []
+
+
+APACHE, MIT, MPL = TEMPLATES["Apache-2.0"][0], TEMPLATES["MIT"][0], TEMPLATES["MPL-2.0"][0]
+NOTICES = [
+    ("1", "Copyright (c) 2020 Jane Doe. Licensed under the Apache License, Version 2.0.", "Apache-2.0"),
+    ("2", "Copyright (c) 2020. Released under the MIT License.", "MIT"),
+    ("3", "A title\n\n" + TEMPLATES["MIT"][1].replace(" person", "\n// person").replace(" to deal", "\n// to deal") + "\n//\n" + "further words of a text " * 9, "MIT"),
+    ("4", "A first sentence of many other words than these. " + MPL + " Then a last sentence of many other words.", "MPL-2.0"),
+    ("5", "Nothing here but plain words. Licensed doctors work here!", None),
+    ("6", "copyright 2020 c released under the MIT License", "MIT"),
+]
+
+
+def test_notices_beside_other_words(spark):
+    rows = [(p, t) for p, t, _ in NOTICES] + [(f"f{i}", f"copyright c 2020 word{i}") for i in range(200)]
+    files = spark.createDataFrame(rows, "path string, text string")
+    got = {r.path: r for r in scan(files).collect()}
+    assert {p: got[p].license for p, _, _ in NOTICES} == {p: x for p, _, x in NOTICES}
+    assert got["1"].similarity == got["2"].similarity == 1.0
+    assert 0.3 < got["3"].share < 0.5
+
+
+def test_all_words_are_weighed_by_their_document_frequency(spark, monkeypatch):
+    rows = [(p, t) for p, t, _ in NOTICES] + [(f"f{i}", f"copyright c 2020 word{i}") for i in range(200)]
+    df, n = Counter(t for _, x in rows for t in set(cut(x))), len(rows)
+    vector = lambda text: {t: c * (math.log((1 + n) / (1 + df[t])) + 1) for t, c in Counter(cut(text)).items()}
+    u, v = vector(NOTICES[5][1]), vector(MIT)
+    norm = lambda x: math.sqrt(sum(y * y for y in x.values()))
+    want = sum(x * v.get(t, 0.0) for t, x in u.items()) / norm(u) / norm(v)
+    files = spark.createDataFrame(rows, "path string, text string")
+    for size in (1_000_000, 2):
+        monkeypatch.setattr(module, "TABLE", size)
+        got = {r.path: r.similarity for r in scan(files).collect()}
+        assert abs(got["6"] - want) < 2e-6
