@@ -165,7 +165,7 @@ def learner_ranking(spark, sf):
 def _folded(spark, sf) -> DataFrame:
     train, valid = _learner_rows(spark, sf)
     rows = train.unionByName(valid).select("id", "label", "weight", F.col("x").alias("features"))
-    return rows.join(split_samples(spark, sf).select("run", "fold", "split", "id"), "id").where("run = 1")
+    return rows.join(split_samples(spark, sf).select("run", "fold", "split", "id"), "id")
 
 
 def _custom(name: str, **params):

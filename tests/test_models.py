@@ -206,3 +206,10 @@ def test_forest_files(spark, tmp_path):
     formats.write_evaluation(report, t("e"), 1, 5)
     assert spark.read.csv(t("e"), header=True).first().accuracy == "0.5"
     assert isinstance(nodes.toPandas(), pd.DataFrame)
+
+
+def test_learners_predict_every_run_and_fold(spark):
+    from sievemill.plans.q_models import QUERIES
+
+    got = QUERIES["learner_svr"](spark, "/root/testdata/sf0.001").select("run", "fold").distinct().collect()
+    assert sorted(map(tuple, got)) == [(run, fold) for run in (1, 2, 3) for fold in (1, 2, 3)]
