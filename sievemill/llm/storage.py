@@ -1,7 +1,8 @@
 """Tables and files in the folder that the cluster shares.
 
-``spark.checkpoint.dir`` names the folder.  Only where it is unset (tests) a
-temporary folder is made and set.  Lineage is cut by writing a table there and
+``spark.checkpoint.dir`` names the folder.  Only where it is unset and all tasks
+run on this machine (tests) a temporary folder is made; elsewhere that is an
+error.  Lineage is cut by writing a table there and
 reading it back, so a lost executor costs a re-read, never a restart.
 """
 
@@ -20,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if spark.sparkContext.master.partition("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="sievemill-")

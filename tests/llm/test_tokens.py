@@ -1,10 +1,13 @@
 import random
+import unicodedata
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from sievemill.llm import token_files
 from sievemill.llm.token_counts import Transducer, count_tokens
 from sievemill.llm.token_files import ChunkEncoder, encoded_digest, read_token_files, write_token_files
 
@@ -26,12 +29,54 @@ def test_state_maps_compose_associatively():
     assert t.compose(t.compose(a, b), c) == t.compose(a, t.compose(b, c))
 
 
-def test_chunks_encode_as_the_whole_text():
+def library_ids(encoder, texts):
+    return [e.ids for e in encoder.library.encode_batch(texts, add_special_tokens=False)]
+
+
+def encoded(encoder, texts):
+    ids, sizes = encoder.encode(pa.array(texts, pa.string()))
+    cuts = np.append(0, np.cumsum(sizes)).tolist()
+    return [ids[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def test_chunks_encode_as_the_whole_text(monkeypatch):
     encoder = ChunkEncoder(P.path("word_bpe_49k.json"))
-    want = [np.array(e.ids, "<u4").tobytes() for e in encoder.library.encode_batch(TEXTS, add_special_tokens=False)]
-    assert encoder.encode(TEXTS) == want
+    assert encoded(encoder, TEXTS) == library_ids(encoder, TEXTS)
+    monkeypatch.setattr(token_files, "REMEMBERED", 10)
+    assert encoded(encoder, TEXTS) == library_ids(encoder, TEXTS) == encoded(encoder, TEXTS)
+    assert encoded(encoder, [None, ""]) == [[], []] and encoded(encoder, []) == []
     whole = ChunkEncoder(P.path("byte_bpe_50k.json"), whole=True)
-    assert whole.encode(ODD) == [np.array(whole.library.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in ODD]
+    assert encoded(whole, ODD) == [whole.library.encode(x, add_special_tokens=False).ids for x in ODD]
+
+
+def test_letters_marks_and_stops_encode_as_the_library_does():
+    r, signs = random.Random(4), [chr(c) for c in range(0x20, 0x2000)]
+    letters, marks = ([c for c in signs if unicodedata.category(c)[0] == k] for k in "LM")
+    plain = list("abcXYZ THE,.;:!?)('|<>-_ \n\t019#")
+    turn = lambda u: r.choice(plain if u < 0.55 else letters if u < 0.85 else marks if u < 0.92 else [" ", ".", ","])
+    texts = ["".join(turn(r.random()) for _ in range(r.randint(1, 25))) for _ in range(20_000)]
+    texts += ["SAYIN VALİ, geldi.", "BELEDİYESİ. Ankara", "ड़, x", "क़. ड़,", "<|ENDOFTEXT|> a<|endoftext|>, H\u0331, H\u0331 IT'S, \u212b, ÅÄ,."]
+    encoder = ChunkEncoder(P.path("word_bpe_49k.json"))
+    assert encoded(encoder, texts) == library_ids(encoder, texts)
+
+
+def test_a_text_of_ten_megabytes(spark):
+    words = ["the", "Straße,", "漢字", "x1.", "\n"]
+    text = " ".join(random.Random(1).choices(words, k=1_900_000))
+    encoder = ChunkEncoder(P.path("word_bpe_49k.json"))
+    want = [i for e in library_ids(encoder, [text]) for i in e]
+    docs = spark.createDataFrame([(1, text), (2, "a")], "doc_id long, text string")
+    got = {r.doc_id: r for r in encoded_digest(docs, P.path("word_bpe_49k.json"), 2).collect()}
+    assert got[1].n_tokens == len(want) + 1 and got[1].ids_crc32 == zlib.crc32(np.array([*want, 2], "<u4").tobytes())
+    assert got[2].start == len(want) + 1
+
+
+def test_files_follow_each_other_by_number(spark):
+    files = spark.range(100_001).select(F.format_string("part-%05d-x-c000.zstd.parquet", "id").alias("file"), F.col("id").alias("all"))
+    files = files.unionByName(spark.createDataFrame([("part-00007-x-c001.zstd.parquet", 5)], "file string, all long"))
+    got = {r.file: r.base for r in token_files.file_bases(files).where("file like 'part-0000%' or file like 'part-100000%'").collect()}
+    assert got["part-00007-x-c001.zstd.parquet"] == 28 and got["part-00008-x-c000.zstd.parquet"] == 33
+    assert got["part-100000-x-c000.zstd.parquet"] == sum(range(100_000)) + 5
 
 
 @pytest.mark.parametrize("encoding", ["delta", "dictionary"])
