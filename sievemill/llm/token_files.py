@@ -28,17 +28,17 @@ _BLANK = np.isin(_BYTES, [0x20, 0x0A])
 _LETTER = ((_BYTES | 0x20) >= 0x61) & ((_BYTES | 0x20) <= 0x7A)
 #: Second bytes of the letters from U+00C0 to U+00FF, whose first is C3.
 _SECOND = (_BYTES >= 0x80) & (_BYTES <= 0xBF) & (_BYTES != 0x97) & (_BYTES != 0xB7)
-_STOP = np.isin(_BYTES, list(b",.;:!?)\""))
+_SIGNS = [i for i in range(0x21, 0x7F) if not chr(i).isalnum() and i != 0x27]
 
 
 class ChunkEncoder:
     """Token ids of texts as little-endian 32-bit integers, by the library on distinct chunks.
 
-    A text is cut after each space or line feed, and between a Latin-1 letter and
-    one of ``,.;:!?)"``: the tokenizer drops white space, and its words end
-    there, so the ids of a text are those of its chunks in order.  Chunks of
-    ASCII signs without "<" are taken in lower case, as the tokenizer does
-    anyway ("<" may begin a special token).  Arrow finds the distinct chunks of
+    A text is cut before each space or line feed, and between a Latin-1 letter and
+    an ASCII sign other than ``'`` and those that follow a letter in a special
+    token: the tokenizer drops white space, and its words end there, so the ids
+    of a text are those of its chunks in order.  ASCII chunks that can't begin a
+    special token are taken in lower case, as the tokenizer does anyway.  Arrow finds the distinct chunks of
     a batch, the library encodes those that the worker hasn't met, and the ids
     are gathered by numpy.  `whole` turns the chunks off for tokenizers where
     white space makes tokens.
@@ -59,6 +59,10 @@ class ChunkEncoder:
         suffix = getattr(self.library.model, "end_of_word_suffix", None)
         for token, i in self.library.get_vocab().items():
             self.ends[i] = bool(suffix) and token.endswith(suffix)
+        special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        self.begins = np.isin(_BYTES, [t[0] for t in special]) | (_BYTES >= 0x80)
+        self.folds &= not any(t[:1].isalpha() for t in special)
+        self.stops = np.isin(_BYTES, sorted(set(_SIGNS) - {b for t in special for a, b in zip(t, t[1:]) if _LETTER[a]}))
         self._forget()
 
     def _forget(self) -> None:
@@ -87,7 +91,7 @@ class ChunkEncoder:
 
     def learn(self, chunks: list[str]) -> None:
         """Encode new chunks: words of Latin-1 letters many at a time, which tokens that end a word part again."""
-        bare = [c.rstrip(" \n").lower() for c in chunks]
+        bare = [c.lstrip(" ").lower() for c in chunks]
         easy = [self.folds and w.isalpha() and max(w) < "Ā" and "İ" not in c for c, w in zip(chunks, bare, strict=True)] if self.ends.any() else [False] * len(chunks)
         words = [(c, w) for c, w, e in zip(chunks, bare, easy, strict=True) if e]
         hard = [c for c, e in zip(chunks, easy, strict=True) if not e]
@@ -104,17 +108,17 @@ class ChunkEncoder:
     def _cut(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bytes, chunk offsets) of texts at offsets `at`; every text's first and last offset is among them."""
         bounds = np.zeros(len(data) + 1, bool)
-        bounds[1:] = _BLANK[data]
+        bounds[:-1] = _BLANK[data]
         letter = _LETTER[data]
         letter[1:] |= (data[:-1] == 0xC3) & _SECOND[data[1:]]
-        bounds[1:-1] |= letter[:-1] & _STOP[data[1:]]
+        bounds[1:-1] |= letter[:-1] & self.stops[data[1:]]
         bounds[at] = True
         cuts = np.flatnonzero(bounds)
         if self.folds and len(cuts) > 1:
-            odd = np.append(0, np.cumsum((data >= 0x80) | (data == 0x3C)))
+            odd = np.append(0, np.cumsum(self.begins[data]))
             keep = odd[cuts[1:]] > odd[cuts[:-1]]
             data = np.where(np.repeat(keep, np.diff(cuts)), data, LOWER[data])
-        return data, cuts
+        return np.where(data == 0x0A, np.uint8(0x20), data), cuts
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, how many each text has)."""
