@@ -36,15 +36,17 @@ TABLE, HELD = 1_000_000, 8_000_000
 _STOP = np.isin(np.arange(256), list(b".!?"))
 _AFTER = ~SPACED | np.isin(np.arange(256), list(b"\"')]"))
 
-#: Common notices by SPDX identifier.
+#: File names of licence files, whatever share of them is a notice.
+_NAMED = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)([._-][^/]*)?$"
+#: Common notices, and the short licences in full, by SPDX identifier.
 TEMPLATES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."],
     "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Use of this source code is governed by a BSD-style license."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License."],
-    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."],
-    "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."],
+    "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
 }
 
@@ -206,13 +208,14 @@ def _scan(weights: Weights, tables: Blocks, least: float):
                 for d, (value, template) in top.items():
                     name[lo + d], similarity[lo + d] = weights.names[-template], value
                     share[lo + d] = float(held[words.first[d] : words.first[d + 1]].mean())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(name, pa.string()), pa.array(similarity, pa.float64()), pa.array(share, pa.float64())], names=["path", "license", "similarity", "share"])
+            kept = [c for i, c in enumerate(batch.columns) if i != 1]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(name, pa.string()), pa.array(similarity, pa.float64()), pa.array(share, pa.float64())], names=["path", *batch.schema.names[2:], "license", "similarity", "share"])
 
     return run
 
 
-def scan(files: DataFrame, templates: dict[str, list[str]] | None = None, least: float = 0.7) -> DataFrame:
-    """path, license, similarity, share of every row of `files` (path, text): the best template of any unit, null below `least`; share of the words that is in notices."""
+def scan(files: DataFrame, templates: dict[str, list[str]] | None = None, least: float = 0.7, keep: tuple[str, ...] = ()) -> DataFrame:
+    """path, `keep`, license, similarity, share of every row of `files` (path, text): the best template of any unit, null below `least`; share of the words that is in notices."""
     weights = Weights(templates or TEMPLATES)
     files = small_batches(files)
     kind = "b int, term bigint, n bigint"
@@ -239,22 +242,28 @@ def scan(files: DataFrame, templates: dict[str, list[str]] | None = None, least:
         return keys, values
 
     found = Blocks(spark.sparkContext, (weighed(b) for b in range(number)))
-    return files.select("path", "text").mapInArrow(_scan(weights, found, least), "path string, license string, similarity double, share double")
+    kept = "".join(f"`{c}` {files.schema[c].dataType.simpleString()}, " for c in keep)
+    return files.select("path", "text", *keep).mapInArrow(_scan(weights, found, least), f"path string, {kept}license string, similarity double, share double")
 
 
-def licenses(files: DataFrame, *, templates: dict[str, list[str]] | None = None, least: float = 0.7, whole: float = 0.5) -> DataFrame:
-    """path, license, similarity, inherited, inherited_from, effective for every row of `files`.
+def licenses(files: DataFrame, *, templates: dict[str, list[str]] | None = None, least: float = 0.7, whole: float = 0.5, keep: tuple[str, ...] = ()) -> DataFrame:
+    """path, `keep`, license, similarity, inherited, inherited_from, effective for every row of `files`.
 
     inherited and inherited_from are the licence and path of the licence file
-    (notices make up `whole` of it or more; the most similar, then the first by
-    path) in the nearest directory above; effective is license, else inherited.
+    (named LICENSE, COPYING or NOTICE with a notice in it, or notices make up
+    `whole` of it or more; the most similar, then the first by path) in the nearest directory above; effective is license, else inherited.
     Null and empty texts have no notice; a null path has no directory and
-    inherits nothing; repeated rows are each returned; other columns are not read.
+    inherits nothing; repeated rows are each returned; columns other than path,
+    text and `keep` (of names that the result doesn't use) are not read.  A
+    directory of very many files is split by adaptive execution.
     """
-    rows = scan(files, templates, least)
-    folder = F.when(F.col("path").contains("/"), F.regexp_extract("path", "^(.*)/[^/]*$", 1)).when(F.col("path").isNotNull(), "")
+    taken = {"path", "license", "similarity", "share", "folder", "inherited", "inherited_from", "effective"} & set(keep)
+    if taken:
+        raise ValueError(f"column names in use: {sorted(taken)}")
+    rows = scan(files, templates, least, keep)
+    folder = F.when(F.col("path").contains("/"), F.regexp_extract("path", r"(?s)^(.*)/[^/]*$", 1)).when(F.col("path").isNotNull(), "")
     rows = written(rows.withColumn("folder", folder), "scanned")
-    own = rows.where((F.col("share") >= whole) & F.col("folder").isNotNull())
+    own = rows.where(F.col("license").isNotNull() & ((F.col("share") >= whole) | F.col("path").rlike(_NAMED)) & F.col("folder").isNotNull())
     best = own.groupBy("folder").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "path", "license")).alias("best"))
     best = written(best.select(F.col("folder").alias("above"), F.col("best.license").alias("inherited"), F.col("best.path").alias("inherited_from")), "licence-files")
     parts = F.split("folder", "/")
@@ -263,4 +272,4 @@ def licenses(files: DataFrame, *, templates: dict[str, list[str]] | None = None,
     near = folders.join(best, "above").groupBy("folder").agg(F.max_by(F.struct("inherited", "inherited_from"), F.length("above")).alias("near"))
     near = written(near.select("folder", "near.inherited", "near.inherited_from"), "inherited")
     out = rows.join(near, "folder", "left")
-    return out.select("path", "license", "similarity", "inherited", "inherited_from", F.coalesce("license", "inherited").alias("effective"))
+    return out.select("path", *keep, "license", "similarity", "inherited", "inherited_from", F.coalesce("license", "inherited").alias("effective"))

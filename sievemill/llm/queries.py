@@ -106,12 +106,13 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """License notices of all documents, filed as source/lang/doc_id."""
+    """License notices of all documents, filed as source/lang/doc_id; a null part is the sign U+0000."""
     from .licenses import licenses
 
     docs = _read(spark, sf_dir, "documents")
-    out = licenses(docs.select(F.concat_ws("/", "source", "lang", "doc_id").alias("path"), "text"))
-    return out.withColumn("doc_id", F.regexp_extract("path", "[0-9]+$", 0).cast("long"))
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0"))
+    path = F.concat_ws("/", part("source"), part("lang"), part("doc_id"))
+    return licenses(docs.select(path.alias("path"), "text", "doc_id"), keep=("doc_id",))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

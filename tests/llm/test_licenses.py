@@ -1,7 +1,9 @@
 import math
+import random
 import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from sievemill.llm import licenses as module
@@ -104,3 +106,33 @@ def test_all_words_are_weighed_by_their_document_frequency(spark, monkeypatch):
         monkeypatch.setattr(module, "TABLE", size)
         got = {r.path: r.similarity for r in scan(files).collect()}
         assert abs(got["6"] - want) < 2e-6
+
+
+def test_inheritance_equals_brute_force(spark):
+    r = random.Random(9)
+    paths = {"/".join(r.choice("ab") for _ in range(r.randint(1, 5))) + f"/f{i}" for i in range(120)}
+    rows = [(p, r.choice([APACHE, MIT, "plain words", "LICENSED\n" + "other words " * 30 + "\n\n" + MPL, None])) for p in sorted(paths)]
+    rows += [(p.rpartition("/")[0] + "/LICENSE.txt", "terms " * 300 + "\n\n" + APACHE) for p in sorted(paths)[::30]]
+    got = {x.path: x for x in licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
+    held = {}
+    for x in scan(spark.createDataFrame(rows, "path string, text string")).collect():
+        if x.license and (x.share >= 0.5 or x.path.endswith("LICENSE.txt")):
+            folder = x.path.rpartition("/")[0]
+            held[folder] = min(held.get(folder, (1,)), (-x.similarity, x.path, x.license))
+    assert any("LICENSE" in x[1] for x in held.values())
+    for p, x in got.items():
+        up = p.rpartition("/")[0]
+        while up and up not in held:
+            up = up.rpartition("/")[0]
+        assert (x.inherited_from, x.inherited) == (held[up][1:] if up in held else (None, None)), p
+
+
+def test_query_takes_null_negative_and_repeated_ids(spark, tmp_path):
+    from sievemill.llm.queries import op10_licenses
+
+    rows = [(None, "plain words here", "en", "s"), (-7, MIT, "en", None), (-7, MIT, "en", None), (3, "plain", None, None), (4, "plain too", "en", None), (5, None, None, "a/b")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(((r.doc_id, r.effective) for r in op10_licenses(spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted([(None, None), (-7, "MIT"), (-7, "MIT"), (3, None), (4, "MIT"), (5, None)], key=str)
+    with pytest.raises(ValueError):
+        licenses(spark.createDataFrame([("a", "b", 1)], "path string, text string, share int"), keep=("share",))
