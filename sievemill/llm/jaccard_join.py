@@ -6,16 +6,19 @@ num / den at least share T = ceil(num * |x| / den) shingles of x or more, so
 1. an inverted index over all shingles tells how many documents hold each one; a
    document of which fewer than T shingles occur elsewhere is linked with none
    and goes no further;
-2. the other sets keep their shared shingles, rarest first.  All but T - 1 of
-   them are the short lists of DivideSkip: a partner meets x in one of these at
-   least.  Short lists are merged, and each pair that meets is decided exactly
-   by binary probes of one document's list in the other's;
-3. exact copies are one set from the start.  Pairs are first proposed along
-   random chains through each short list, whose number is linear; only lists
-   that then still hold several components are merged, and only across
-   components: first a share of their pairs, which joins most of what belongs
-   together, at last all that are left.  So no group of copies is expanded into its pairs and no link
-   that could join two components is missed.
+2. the other sets keep their shared shingles, rarest first.  Any T - 1 of a
+   set's lists may be skipped, as a partner occurs in one of the others at
+   least; so a set is sent to the rarest of its lists only, which are cut into
+   blocks of documents, and within a block it is searched by DivideSkip: its
+   lists there are ordered by length, the short ones merged with a count of
+   each document's occurrences, and documents that can still reach T are sought
+   in the long ones by binary probes;
+3. blocks of four lists join most of what belongs together, in time linear in
+   the length of a list.  Lists that then still hold several components are
+   read whole: pairs across components that sizes and places allow are probed
+   shingle by shingle, first a share of them, at last all that are left.  Exact
+   copies are one set from the start.  So no group of copies is expanded into
+   its pairs and no link that could join two components is missed.
 
 The index travels as packed numpy arrays, one value for each batch of documents
 and range of shingle hashes.  Shingles are compared by 64-bit hashes.
@@ -24,25 +27,27 @@ and range of shingle hashes.  Shingles are compared by 64-bit hashes.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, merged
 from .packed import pack, unpack
 from .storage import discard, n_parts, small_batches, written
 from .words import SPACED, U, buffers, mix, shingles, slices, split
 
 #: Stands for a null doc_id.
 NO_ID = (1 << 63) - 1
-#: Short lists of a document that carry chains, and about how many documents a chain takes.
-CHAINS, CHAIN = 4, 64
+#: Short lists of a document whose blocks it is searched in; documents (and bytes of shingles) of a block; bytes that are searched together.
+LISTS, BLOCK, BLOCK_BYTES, BATCH_BYTES = 4, 64, 32 << 20, 4 << 20
 #: Shares of the pairs across components that are decided in turn; the last turn decides all that are left.
-WAVES = (16, 4, 1)
+WAVES = (8, 1)
+#: Documents of a slice of a list; pairs that a task tests at a time.
+SLICE, MEETINGS = 1000, 1 << 20
 _RANKS = 28
 
 
@@ -235,22 +240,110 @@ def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return rows.select("a", "b", "na", "nb", "ma", "mb").mapInArrow(_decide(num, den), "a bigint, b bigint")
 
 
-def _alike(num: int, den: int) -> F.Column:
-    """Whether the sizes a_n and b_n allow a link."""
-    return (F.col("a_n") * den >= F.col("b_n") * num) & (F.col("b_n") * den >= F.col("a_n") * num)
-
+class LocalIndex:
+    """Inverted lists of some documents' shingles, searched by T-occurrence; lists hold the documents of one block only."""
+
+    def __init__(self, sets: list[np.ndarray], n: np.ndarray, block: np.ndarray, num: int, den: int):
+        self.n, self.num, self.den = n, num, den
+        sizes = np.array([len(x) for x in sets])
+        self.at = np.append(0, np.cumsum(sizes))
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        h = mix(np.concatenate(sets).astype(U) + mix(block.astype(U) + U(1))[owner])
+        order = np.argsort(h, kind="stable")
+        new = np.ones(len(h), bool)
+        new[1:] = h[order[1:]] != h[order[:-1]]
+        number = np.cumsum(new) - 1
+        #: The list of each shingle of each document; documents of all lists, list by list, in order; lists' bounds.
+        self.lists = np.empty(len(h), np.int64)
+        self.lists[order] = number
+        self.docs = owner[order]
+        self.start = np.append(np.flatnonzero(new), len(h))
+        #: (list, document) as one number, ascending: what binary probes search.
+        self.code = number * len(sets) + self.docs
+
+    def partners(self, x: int, component: np.ndarray) -> np.ndarray:
+        """Later documents of other components that link with x, by DivideSkip.
+
+        A partner shares T shingles or more with x.  x's lists are ordered by
+        length; the short ones are merged, counting each document's
+        occurrences, and of the L longest, which aren't read, a document is
+        sought by binary probes if it occurs T - L times in the short ones.
+        """
+        own = self.lists[self.at[x] : self.at[x + 1]]
+        length = self.start[own + 1] - self.start[own]
+        own, length = own[length > 1], length[length > 1]
+        least = -(-self.num * int(self.n[x]) // self.den)
+        if len(own) < least:
+            return own[:0]
+        own = own[np.argsort(length, kind="stable")]
+        skip = int(least / (0.02 * math.log2(int(length.max())) + 1)) if least > 1 else 0
+        skip = min(skip, least - 1)
+        short, long = own[: len(own) - skip], own[len(own) - skip :]
+        size = self.start[short + 1] - self.start[short]
+        met = self.docs[np.repeat(self.start[short] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
+        y, both = np.unique(met[met > x], return_counts=True)
+        y, both = y[(may := (both >= least - skip) & (component[y] != component[x]))], both[may]
+        if len(y) and skip:
+            probes = long[:, None] * len(self.n) + y
+            place = np.minimum(np.searchsorted(self.code, probes), len(self.code) - 1)
+            both = both + (self.code[place] == probes).sum(axis=0)
+        return y[self.den * both >= self.num * (self.n[x] + self.n[y] - both)]
+
+
+def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, n, m) -> a row for each of the first LISTS short lists of a document: key, salt (of lists of more than BLOCK documents), turn, doc_id, n, m."""
+    for batch in batches:
+        out: list[tuple] = []
+        for d, n, m in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            keys = np.frombuffer(m, np.int64)[:LISTS].copy()
+            turn = mix(keys.astype(U) * U(0x9E3779B97F4A7C15) + U(d & 0xFFFFFFFFFFFFFFFF))
+            salt = (turn >> U(8)).astype(np.int64) % ((keys >> 48) // BLOCK + 1)
+            out += zip(keys.tolist(), salt.tolist(), turn.astype(np.int64).tolist(), [d] * len(keys), [n] * len(keys), [m] * len(keys), strict=True)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True)], names=["key", "salt", "turn", "doc_id", "n", "m"])
+
+
+def _searched(num: int, den: int):
+    """Rows of `_blocked` in the order of (key, salt, turn) -> links (a, b) that connect what belongs together within each block.
+
+    A block ends after BLOCK documents, or when they are large; its last
+    document is the first of the next, if that is of the same list.
+    """
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    return rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    def links(rows: list[tuple]) -> pa.RecordBatch:
+        blocks = np.array([r[0] for r in rows])
+        ids, n = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
+        index = LocalIndex([np.frombuffer(r[3], np.int64) for r in rows], n, blocks, num, den)
+        component, out = np.arange(len(rows)), []
+        for x in range(len(rows) - 1):
+            if blocks[x] == blocks[x + 1]:
+                for y in index.partners(x, component).tolist():
+                    if component[x] != component[y]:
+                        component[component == component[y]] = component[x]
+                        out.append((ids[x], ids[y]))
+        a, b = (np.array([p[i] for p in out], np.int64) for i in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []  # (block, doc_id, n, m)
+        last, block, held, size, total = None, 0, 0, 0, 0
+        for batch in batches:
+            for key, salt, d, n, m in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4, 5)), strict=True):
+                if (key, salt) != last or held >= BLOCK or size > BLOCK_BYTES:
+                    again = rows[-1] if rows and (key, salt) == last else None
+                    if total > BATCH_BYTES:
+                        yield links(rows)
+                        rows, total = [], 0
+                    last, block, held, size = (key, salt), block + 1, 0, 0
+                    if again:
+                        rows.append((block, *again[1:]))
+                        held, size, total = 1, len(again[3]), total + len(again[3])
+                rows.append((block, d, n, m))
+                held, size, total = held + 1, size + len(m), total + len(m) + 100
+        if rows:
+            yield links(rows)
 
-def _chained(short: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of neighbours in random chains of about CHAIN documents through the first CHAINS short lists of each document."""
-    salt = F.pmod(F.xxhash64("doc_id", "key"), F.expr(f"shiftright(key, 48) div {CHAIN} + 1"))
-    chain = W.partitionBy("key", "salt").orderBy(F.xxhash64("key", "doc_id"))
-    steps = short.where(F.col("place") < CHAINS).withColumn("salt", salt)
-    steps = steps.select(F.col("doc_id").alias("a"), F.col("n").alias("a_n"), F.lag("doc_id").over(chain).alias("b"), F.lag("n").over(chain).alias("b_n"))
-    return _pairs(steps.where(F.col("b").isNotNull() & _alike(num, den)))
+    return run
 
 
 def _named(short: DataFrame, labels: DataFrame) -> DataFrame:
@@ -262,25 +355,66 @@ def _named(short: DataFrame, labels: DataFrame) -> DataFrame:
 def _crossing(named: DataFrame, wave: int, num: int, den: int) -> DataFrame:
     """Of the pairs across components that short lists allow, one in `wave` by a hash of the pair; 1: all.
 
+    Only lists of several components are read.  A list of more than SLICE
+    documents is dealt into slices, and each two slices meet in a group of
+    their own, so no task holds a long list.
+    """
+    lists = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("held"))
+    lists = written(lists.where("lo <> hi").select("key", F.expr(f"(held - 1) div {SLICE} + 1").alias("slices")), "mixed-lists")
+    live = named.join(lists, "key").withColumn("own", F.pmod(F.xxhash64("doc_id", "key"), F.col("slices")))
+    live = live.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    live = live.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "n", "size", "place", "few", "label")
+    live = live.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return live.mapInArrow(_meet(wave, num, den), "a bigint, b bigint").distinct()
+
+
+def _meet(wave: int, num: int, den: int):
+    """Rows in groups (key, i, j) -> the pairs of slices i and j that can be links.
+
     Of a linked pair the smaller set meets the larger in its first `few`
     places, and where they first meet, what is left of both lists holds the
-    overlap they need.  In each list the documents of its largest component
-    meet the others only.
+    overlap they need.
     """
-    held = named.groupBy("key", "label").agg(F.count("*").alias("held"))
-    mixed = held.groupBy("key").agg(F.max_by("label", F.struct("held", "label")).alias("major"), F.count("*").alias("kinds"))
-    mixed = written(mixed.where("kinds > 1").select("key", "major"), "mixed-lists")
-    live = written(named.join(mixed, "key"), "live-lists")
-    side = lambda x: live.select("key", "major", *[F.col(c).alias(f"{x}_{c}") for c in ("doc_id", "n", "size", "place", "few", "label")])
-    one = side("a").where("a_label <> major")
-    order = F.struct("a_n", "a_doc_id") < F.struct("b_n", "b_doc_id")
-    few = F.when(order, F.col("a_place") < F.col("a_few")).otherwise(F.col("b_place") < F.col("b_few"))
-    left = F.least(F.col("a_size") - F.col("a_place"), F.col("b_size") - F.col("b_place"))
-    enough = left * (num + den) >= (F.col("a_n") + F.col("b_n")) * num
-    once = (F.col("b_label") == F.col("major")) | (F.col("a_doc_id") < F.col("b_doc_id"))
-    turn = F.pmod(F.xxhash64(F.least("a_doc_id", "b_doc_id"), F.greatest("a_doc_id", "b_doc_id")), F.lit(wave)) == 0
-    met = one.join(side("b").drop("major"), "key").where((F.col("a_label") != F.col("b_label")) & _alike(num, den) & few & enough & once & turn)
-    return _pairs(met.select(F.col("a_doc_id").alias("a"), F.col("b_doc_id").alias("b")))
+
+    def pairs(c: list[np.ndarray], ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+        _, i, j, own, ids, n, size, place, few, label = c
+        last = np.repeat(ends[1:], np.diff(ends))
+        row = np.arange(len(ids))
+        cuts = np.append(0, np.cumsum(last - row - 1))
+        lo = 0
+        while lo < len(row):
+            hi = max(lo + 1, int(np.searchsorted(cuts, cuts[lo] + MEETINGS, "right")) - 1)
+            count = last[lo:hi] - row[lo:hi] - 1
+            x = np.repeat(row[lo:hi], count)
+            y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(count) - count, count)
+            ok = (label[x] != label[y]) & ((i[x] == j[x]) | (own[x] != own[y]))
+            x, y = x[ok], y[ok]
+            ok = (n[x] * den >= n[y] * num) & (n[y] * den >= n[x] * num)
+            ok &= np.minimum(size[x] - place[x], size[y] - place[y]) * (num + den) >= (n[x] + n[y]) * num
+            first = (n[x] < n[y]) | ((n[x] == n[y]) & (ids[x] < ids[y]))
+            ok &= np.where(first, place[x] < few[x], place[y] < few[y])
+            a, b = np.minimum(ids[x], ids[y])[ok], np.maximum(ids[x], ids[y])[ok]
+            if wave > 1:
+                ok = mix(a.astype(U) * U(0x9E3779B97F4A7C15) + b.astype(U)) % U(wave) == 0
+                a, b = a[ok], b[ok]
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            lo = hi
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            c = [batch.column(k).to_numpy() for k in range(10)]
+            c = c if held is None else [np.append(a, b) for a, b in zip(held, c, strict=True)]
+            new = np.ones(len(c[0]), bool)
+            new[1:] = (c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1]) | (c[2][1:] != c[2][:-1])
+            starts = np.flatnonzero(new)
+            if len(starts):
+                yield from pairs([x[: starts[-1]] for x in c], starts)
+                held = [x[starts[-1] :] for x in c]
+        if held is not None and len(held[0]):
+            yield from pairs(held, np.array([0, len(held[0])]))
+
+    return run
 
 
 def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 4, den: int = 5, alphabet: np.ndarray = SPACED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -310,12 +444,14 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 4, den: int =
     single = written(dealt.mapInArrow(_sets(num, den), "doc_id bigint, n bigint, m binary, twin string").where("m is not null").select("doc_id", "n", "m"), "shared-sets")
 
     short = written(single.mapInArrow(_short_lists(num, den), "key bigint, doc_id bigint, n bigint, size bigint, place bigint, few bigint"), "short-lists")
-    links = written(_linked(_chained(short, num, den), single, num, den), "chain-links")
+    blocks = single.mapInArrow(_blocked, "key bigint, salt bigint, turn bigint, doc_id bigint, n bigint, m binary")
+    blocks = blocks.repartition(parts, "key", "salt").sortWithinPartitions("key", "salt", "turn")
+    labels = components(blocks.mapInArrow(_searched(num, den), "a bigint, b bigint"))
     for wave in WAVES:
-        named = _named(short, components(links))
-        links = links.unionByName(written(_linked(_crossing(named, wave, num, den), single, num, den), "cross-links"))
+        named = _named(short, labels)
+        labels = merged(labels, written(_linked(_crossing(named, wave, num, den), single, num, den), "cross-links"))
+        discard(named)
 
-    labels = components(links)
     kin = copies.join(labels.select(F.col("node").alias("leader"), "label"), "leader", "left").select("doc_id", F.coalesce("label", "leader").alias("label"))
     lone = labels.join(copies.select(F.col("doc_id").alias("node")), "node", "left_anti").select(F.col("node").alias("doc_id"), "label")
     kin = written(kin.unionByName(lone), "kin")
@@ -323,5 +459,5 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 4, den: int =
     kin = kin.join(first, "label").select("doc_id", "component_id")
     out = sets.select("doc_id", F.col("n").alias("n_shingles")).join(kin, "doc_id", "left")
     known = lambda c: F.when(c != NO_ID, c)
-    discard(short, named)
+    discard(short)
     return out.select(known(F.col("doc_id")).alias("doc_id"), "n_shingles", known(F.coalesce("component_id", "doc_id")).alias("component_id"))

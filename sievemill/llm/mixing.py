@@ -56,12 +56,13 @@ def sampling_key(doc_id: F.Column, weight: F.Column, seed: int) -> F.Column:
 
 
 def mix(rows: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 6, bins: int = 512) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row of (doc_id, source, size, quality).
+    """doc_id, size, source_size, target, taken, source for every row of (doc_id, source, size, quality).
 
     taken is a multiple of size: complete epochs, and once more if the sample
     takes the document.  Of documents with equal keys (repeated ids) the smaller
     comes first.  A null or non-positive quality counts as 1; a document of
-    size 0 is taken 0 times; an empty table gives no rows.
+    size 0 is taken 0 times; an empty table gives no rows; other columns, of
+    whatever names, are not read.
     """
     quality = F.when(F.col("quality") > 0, F.col("quality")).otherwise(1.0)
     rows = rows.select("doc_id", "source", F.col("size").cast("long").alias("size"), sampling_key(F.col("doc_id"), quality, seed).alias("key"))
@@ -84,4 +85,4 @@ def mix(rows: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float
     running = F.sum("size").over(W.partitionBy("spread").orderBy("key", "size", "doc_id").rowsBetween(W.unboundedPreceding, -1))
     rows = rows.withColumn("spread", spread).withColumn("before", F.col("base") + F.coalesce(running, F.lit(0)))
     within = (F.col("side") == 1) | ((F.col("side") == 0) & (F.col("before") + F.col("size") / 2 <= F.col("rest")))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("epochs") + within.cast("long"))).alias("taken"))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("epochs") + within.cast("long"))).alias("taken"), rows["source"])

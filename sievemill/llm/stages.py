@@ -21,9 +21,8 @@ def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
     groups = jaccard_components(named, **options)
     first = groups.where("doc_id = component_id").select("doc_id")
     out = named.join(first, "doc_id", "left_semi")
-    if named.count() != groups.count():  # repeated ids
-        turn = W.partitionBy("doc_id").orderBy("text")
-        out = out.withColumn("__turn", F.row_number().over(turn)).where("__turn = 1").drop("__turn")
+    turn = W.partitionBy("doc_id").orderBy("text")
+    out = out.withColumn("__turn", F.row_number().over(turn)).where("__turn = 1").drop("__turn")
     return out.select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
@@ -37,10 +36,10 @@ def mixed(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     weight = F.when(F.col("label") == 1, 2.0).when(F.col("label") == 0, 0.5).otherwise(1.0)
     sized = docs.select("doc_id", "source", word_count("text").alias("size"))
     taken = mix(sized.join(quality, "doc_id", "left").withColumn("quality", weight), **options).where("taken > 0")
-    taken = taken.groupBy("doc_id", "size").agg(F.sum(F.expr("taken div size")).alias("__copies"), F.count("*").alias("__held"))
-    taken = taken.select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), "__copies", "__held")
+    taken = taken.groupBy("doc_id", "source", "size").agg(F.sum(F.expr("taken div size")).alias("__copies"), F.count("*").alias("__held"))
+    taken = taken.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "__copies", "__held")
     rows = docs.withColumn("__own", word_count("text"))
-    rows = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__size")))
+    rows = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__own") == F.col("__size")))
     extra = F.pmod(F.xxhash64("text"), F.col("__held")) < F.col("__copies") % F.col("__held")
     copies = F.expr("__copies div __held") + extra.cast("long")
     return rows.withColumn("__turn", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select(docs.columns)

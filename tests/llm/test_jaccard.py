@@ -1,12 +1,14 @@
 import random
 import re
+from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-import sievemill.llm.components
-from sievemill.llm.components import components
-from sievemill.llm.jaccard_join import jaccard_components
+import sievemill.llm.jaccard_join as module
+from sievemill.llm.components import components, merged
+from sievemill.llm.jaccard_join import LocalIndex, jaccard_components
 from sievemill.llm.stages import one_of_each_group
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -69,6 +71,49 @@ def test_equals_brute_force(spark, seed):
     assert max(sum(c == i for _, c in want.values()) for i in want) > 5
 
 
+def test_blocks_and_slices_of_few_documents(spark, monkeypatch):
+    monkeypatch.setattr(module, "BLOCK", 2)
+    monkeypatch.setattr(module, "SLICE", 3)
+    monkeypatch.setattr(module, "MEETINGS", 10)
+    rows = corpus(5, 150)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+
+
+def test_search_finds_every_partner_of_a_block():
+    r = np.random.default_rng(1)
+    base = [r.choice(10**6, size, replace=False) for size in (1, 5, 40, 300)]
+    sets, block = [], []
+    for b in range(3):
+        for i in range(40):
+            x = base[i % 4].copy()
+            x[: int(r.integers(0, len(x) // 3 + 1))] += 10**7 * (i + 1)
+            sets.append(np.sort(x))
+            block.append(b)
+    n, block = np.array([len(x) for x in sets]), np.array(block)
+    index = LocalIndex(sets, n, block, 4, 5)
+    for x in range(len(sets)):
+        want = [y for y in range(x + 1, len(sets)) if block[x] == block[y] and 5 * len(both := set(sets[x]) & set(sets[y])) >= 4 * (n[x] + n[y] - len(both))]
+        assert index.partners(x, np.arange(len(sets))).tolist() == want
+
+
+def test_queries_against_all_rows(spark):
+    """Ids divisible by 100 of the middle table against all rows: all links are within components."""
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not Path(path).exists():
+        pytest.skip("needs the driver's tables")
+    docs = spark.read.parquet(path)
+    got = {r.doc_id: r.component_id for r in jaccard_components(docs).collect()}
+    sets = {r.doc_id: shingle_set(r.text) for r in docs.collect()}
+    links = 0
+    for a in (i for i in sets if i % 100 == 0 and sets[i]):
+        for b in sets:
+            if a != b and sets[b] and 100 * (both := len(sets[a] & sets[b])) >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                links += 1
+                assert got[a] == got[b]
+    assert links
+
+
 def test_threshold_is_met_exactly(spark):
     base = [f"t{i}" for i in range(22)]  # 18 shingles
     rows = [(1, " ".join(base)), (2, " ".join([*base, "x", "y"])), (3, " ".join([*base, "p", "q", "r", "s"])), (4, " ".join([*base, "p", "q", "r", "s", "t"]))]
@@ -84,12 +129,14 @@ def test_odd_rows(spark):
     assert jaccard_components(docs.limit(0)).collect() == []
 
 
-@pytest.mark.parametrize("local", [1_000_000, 0])
-def test_components(spark, monkeypatch, local):
-    monkeypatch.setattr(sievemill.llm.components, "LOCAL", local)
+@pytest.mark.parametrize("parts", [1, 7])
+def test_components(spark, parts):
     r = random.Random(4)
     links = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(r.randrange(2000, 2100), r.randrange(2000, 2100)) for _ in range(60)] + [(7, 7), (None, 3)]
-    got = {x.node: x.label for x in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {x.node: x.label for x in components(spark.createDataFrame(links, "a long, b long").repartition(parts)).collect()}
+    half = spark.createDataFrame(links, "a long, b long").repartition(parts)
+    again = merged(components(half.where("a % 2 = 0")), half.where("a % 2 = 1"))
+    assert {x.node for x in again.collect()} == got.keys() and len({x.label for x in again.collect()}) == len(set(got.values()))
     root = {}
 
     def find(i):
