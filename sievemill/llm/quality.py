@@ -1,37 +1,48 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text.
 
-The model gives each character of a word a probability after the characters
-before it in the word.  Training counts each character with its longest
-history; all lower orders, context totals, discounts and interpolated
-probabilities follow by group-bys and joins sharded by n-gram.  Scoring looks
-the n-grams of each new word up in the shards, which tasks hold one at a time,
-and remembers the word.  A document is rejected if its perplexity exceeds its
-language's quantile of trusted documents.
+The model gives each character of a text, its words joined by one space, a
+probability after the characters before it, across words.  Training counts each
+character with its longest history; all lower orders, context totals, discounts
+and interpolated probabilities follow by group-bys and joins sharded by n-gram.
+The model is written in shards by hash to the shared folder; a task that scores
+reads the shards that its n-grams ask for, longest n-grams first.
+
+A text's nats a character, drawn towards its language's mean as if that many
+more characters (PRIOR) had been average, is held against a quantile of
+held-out trusted documents of its language: documents beyond it are rejected.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .blocks import Blocks, HashTable
-from .storage import small_batches, written
+from .packed import pack, unpack
+from .storage import fresh, small_batches, written
 from .words import U, mix
 
-#: Mark the start and the end of a word; in texts they count as U+FFFD.
+#: Mark the start and the end of a text; in texts they, and U+0000, count as U+FFFD.
 START, END = "\x02", "\x03"
-_MARKS = str.maketrans({START: "�", END: "�"})
-#: Rows of the model in a shard, about; words a worker remembers; distinct words counted before they are spread into n-grams.
-SHARD, REMEMBERED, GATHERED = 1_000_000, 400_000, 200_000
+_MARKS = str.maketrans(dict.fromkeys((START, END, "\0"), "\ufffd"))
+#: Characters of an n-gram.
+ORDER = 6
+#: Rows of the model in a shard, about; shards that a worker holds; characters that are looked up at a time.
+SHARD, HELD, SLICE = 1_000_000, 6, 1 << 20
 #: Width of the bins, in nats a character, in which quantiles are counted.
 BIN = 0.001
+#: Average characters that a text's mean is drawn towards; the quantile of held-out documents that are kept; nats by which a limit lies beyond it; one of this many trusted documents is held out.
+PRIOR, QUANTILE, SLACK, FOLDS = 200, 0.995, 0.05, 5
+#: Languages in a lookup table of a task.
+LANGS = 100_000
 _STEP = U(0x9FB21C651E98DF25)
 
 
@@ -41,30 +52,71 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return marks.where("doc_id is not null and q = 1 and t = 0").select("doc_id")
 
 
-def _gathered(order: int):
-    def spread(words: Counter) -> pa.RecordBatch:
-        grams: Counter = Counter()
-        for word, n in words.items():
-            s = START + word + END
-            for i in range(1, len(s)):
-                grams[s[max(0, i + 1 - order) : i + 1]] += n
-        return pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], names=["g", "c"])
+def plain(text: str | None) -> str:
+    """The text's words, joined by one space, without marks."""
+    text = " ".join((text or "").split())
+    return text.translate(_MARKS) if START in text or END in text or "\0" in text else text
+
+
+class Stream:
+    """Texts as code points with a mark at both ends; `at` are the characters that the model gives a probability."""
+
+    def __init__(self, texts: list[str]):
+        self.points = np.frombuffer("".join([START + t + END for t in texts]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.sizes = np.array([len(t) + 2 for t in texts], np.int64)
+        first = np.cumsum(self.sizes) - self.sizes
+        inside = np.arange(len(self.points)) - np.repeat(first, self.sizes)
+        self.at = np.flatnonzero(inside)
+        self.depth = inside[self.at] + 1
+
+    def sums(self, order: int) -> list[np.ndarray]:
+        """For n = 0..order, a number for the n points up to each point."""
+        wide, out = self.points.astype(U) + U(1), [np.zeros(len(self.points), U)]
+        for n in range(order):
+            more = out[-1].copy()
+            more[n:] += wide[: len(wide) - n] * U(pow(int(_STEP), n, 1 << 64))
+            out.append(more)
+        return out
+
+
+def _key(sums: np.ndarray, n: int, kind: int) -> np.ndarray:
+    return mix(sums + U((n * 2 + kind + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
 
+
+def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
+    lo = held = 0
+    for i, t in enumerate(texts):
+        if held and held + len(t) > SLICE:
+            yield lo, i
+            lo, held = i, 0
+        held += len(t)
+    if lo < len(texts):
+        yield lo, len(texts)
+
+
+def _gathered(order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter = Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                words.update((text or "").translate(_MARKS).split() if text and (START in text or END in text) else (text or "").split())
-                if len(words) > GATHERED:
-                    yield spread(words)
-                    words.clear()
-        if words:
-            yield spread(words)
+            texts = [t for t in map(plain, batch.column(0).to_pylist()) if t]
+            for lo, hi in _slices(texts):
+                stream = Stream(texts[lo:hi])
+                depth = np.minimum(stream.depth, order)
+                sums = stream.sums(order)
+                key = np.empty(len(depth), U)
+                for n in range(1, order + 1):
+                    own = depth == n
+                    key[own] = _key(sums[n][stream.at[own]], n, 0)
+                _, first, count = np.unique(key, return_index=True, return_counts=True)
+                depth, end = depth[first], stream.at[first]
+                column = np.arange(order)
+                grams = np.where(column < depth[:, None], stream.points[np.minimum(end[:, None] - depth[:, None] + 1 + column, len(stream.points) - 1)], 0).astype(np.uint32)
+                grams = np.ascontiguousarray(grams).view(f"<U{order}").ravel().tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(count.astype(np.int64))], names=["g", "c"])
 
     return run
 
 
-def train(texts: DataFrame, order: int = 4) -> DataFrame:
+def train(texts: DataFrame, order: int = ORDER) -> DataFrame:
     """The model (kind, g, v) of a column of trusted texts: kind p has the probability of g's last character after the others, kind b the weight of lower orders after the context g.
 
     Texts that are null or empty add nothing; without any text the model is empty.
@@ -100,164 +152,240 @@ def train(texts: DataFrame, order: int = 4) -> DataFrame:
     return model
 
 
-def _keys(points: np.ndarray, ends: np.ndarray, n: int, kind: int) -> np.ndarray:
-    """Hash of the n characters up to and with each of `ends`."""
-    h = np.zeros(len(ends), U)
-    for j in range(n - 1, -1, -1):
-        h = h * _STEP + points[ends - j]
-    return mix(h + U((n * 2 + kind) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-
-
-class Scorer:
-    """Nats of words under the model."""
-
-    def __init__(self, shards: Blocks, order: int):
-        self.shards, self.order = shards, order
-        self.known: dict[str, float] = {}
-
-    def learn(self, words: list[str]) -> None:
-        text = "".join([START + w + END for w in words])
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(U)
-        sizes = np.array([len(w) + 2 for w in words])
-        first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        inside = np.arange(len(points)) - np.repeat(first, sizes)
-        at = np.flatnonzero(inside)
-        deep = np.minimum(inside[at] + 1, self.order)
-        p, b = np.full((self.order + 1, len(at)), np.nan), np.ones((self.order + 1, len(at)))
-        asked = [(n, rows := np.flatnonzero(deep >= n), _keys(points, at[rows], n, 0), _keys(points, at[rows] - 1, n - 1, 1)) for n in range(1, self.order + 1)]
-        p[0] = 1.0
-        for table, values, size in self.shards:
-            p[0] = 1 / size
-            for n, rows, own, ctx in asked:
-                for keys, out in ((own, p), (ctx, b)):
-                    hit, place = table.find(keys)
-                    out[n, rows[hit]] = values[place]
-        nats, open_ = np.zeros(len(at)), np.ones(len(at), bool)
-        for n in range(self.order, -1, -1):
-            ask = open_ & (deep >= n)
-            got = ask & ~np.isnan(p[n])
-            nats[got] -= np.log(p[n, got])
-            if n:
-                miss = ask & ~got
-                nats[miss] -= np.log(b[n, miss])
-            open_ &= ~got
-        starts = np.cumsum(sizes - 1) - (sizes - 1)
-        self.known.update(zip(words, np.add.reduceat(nats, starts).tolist(), strict=True))
-
-    def score(self, texts: list[str | None]) -> tuple[list[int], list[float | None]]:
-        """(characters with one more a word, nats a character) of each text; no nats without words."""
-        split = [(t.translate(_MARKS) if START in t or END in t else t).split() if t else [] for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list(set().union(*split) - self.known.keys()) if split else []
-        for i in range(0, len(new), 20_000):
-            self.learn(new[i : i + 20_000])
-        get = self.known.__getitem__
-        chars = [sum(map(len, words)) + len(words) for words in split]
-        return chars, [math.fsum(map(get, words)) / n if n else None for words, n in zip(split, chars, strict=True)]
-
-
-def shards(model: DataFrame, order: int = 4) -> Blocks:
-    """The model's rows as lookup tables, each of about SHARD rows at most."""
-    model = written(model, "model")
-    size, letters = model.count(), model.where("kind = 'p' and length(g) = 1").count() + 1
-    number = -(-size // SHARD) or 1
-    dealt = model.withColumn("s", F.pmod(F.xxhash64("g"), F.lit(number)))
-
-    def table(s: int) -> tuple[HashTable, np.ndarray, int]:
-        rows = dealt.where(F.col("s") == s).select("kind", "g", "v").toArrow()
-        keys, values = np.empty(rows.num_rows, U), rows.column("v").to_numpy()
-        grams, kinds = rows.column("g").to_pylist(), np.array([k == "b" for k in rows.column("kind").to_pylist()], int)
-        for n in range(order + 1):
-            for kind in (0, 1):
-                own = [i for i in np.flatnonzero(kinds == kind).tolist() if len(grams[i]) == n]
-                points = np.frombuffer("".join([grams[i] for i in own]).encode("utf-32-le"), np.uint32).astype(U)
-                keys[own] = _keys(points, np.arange(len(own)) * n + n - 1, n, kind)
-        order_ = np.argsort(keys)
-        return HashTable(keys), values[order_], letters
-
-    return Blocks(model.sparkSession.sparkContext, (table(s) for s in range(number)))
-
-
-def scores(docs: DataFrame, tables: Blocks, order: int = 4, *, keep: tuple[str, ...] = ("doc_id", "lang"), text_col: str = "text") -> DataFrame:
+class Model:
+    """Shards of the model in the shared folder: the logarithms of probabilities and weights by n-gram."""
+
+    _held: dict[tuple[str, int], tuple[HashTable, np.ndarray]] = {}
+
+    def __init__(self, path: str, number: int, order: int, letters: int):
+        self.path, self.number, self.order, self.letters = path, number, order, letters
+
+    def shard(self, s: int) -> tuple[HashTable, np.ndarray]:
+        held = Model._held
+        if (self.path, s) not in held:
+            while len(held) >= HELD:
+                del held[next(iter(held))]
+            store, top = fs.FileSystem.from_uri(self.path)
+            with store.open_input_file(f"{top}/shard-{s:06d}") as f:
+                keys, values = unpack(f.read())
+            held[self.path, s] = HashTable(keys), values
+        return held[self.path, s]
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Nats of each key; NaN where the model hasn't got it."""
+        out = np.full(len(keys), np.nan)
+        dealt = (keys % U(self.number)).astype(np.int64)
+        order = np.argsort(dealt, kind="stable") if self.number > 1 else np.arange(len(keys))
+        cuts = np.searchsorted(dealt[order], np.arange(self.number + 1))
+        for s in np.flatnonzero(np.diff(cuts)).tolist():
+            own = order[cuts[s] : cuts[s + 1]]
+            table, values = self.shard(s)
+            hit, place = table.find(keys[own])
+            out[own[hit]] = values[place]
+        return out
+
+    def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(characters with one more, nats a character) of each text; NaN without words."""
+        texts = [plain(t) for t in texts]
+        chars, nats = np.zeros(len(texts), np.int64), np.full(len(texts), np.nan)
+        some = [i for i, t in enumerate(texts) if t]
+        for lo, hi in _slices([texts[i] for i in some]):
+            own = np.array(some[lo:hi])
+            stream = Stream([texts[i] for i in own.tolist()])
+            sums, total, open_ = stream.sums(self.order), np.zeros(len(stream.at)), np.arange(len(stream.at))
+            for n in range(self.order, 0, -1):
+                ask = open_[stream.depth[open_] >= n]
+                found = self.find(_key(sums[n][stream.at[ask]], n, 0))
+                hit = ~np.isnan(found)
+                total[ask[hit]] += found[hit]
+                miss = ask[~hit]
+                total[miss] += np.nan_to_num(self.find(_key(sums[n - 1][stream.at[miss] - 1], n - 1, 1)))
+                left = np.ones(len(total), bool)
+                left[ask[hit]] = False
+                open_ = open_[left[open_]]
+            total[open_] += np.log(self.letters)
+            size = stream.sizes - 1
+            chars[own] = size
+            nats[own] = np.add.reduceat(total, np.cumsum(size) - size) / size
+        return chars, nats
+
+
+def save(model: DataFrame, order: int = ORDER) -> Model:
+    """Write the model's rows as shards of about SHARD rows by hash; each shard is one task's, a repeated task writes the same file."""
+    size = model.count()
+    letters = model.where("kind = 'p' and length(g) = 1").count() + 1
+    number, path = -(-size // SHARD) or 1, fresh(model.sparkSession, "shards")
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams, kinds = batch.column(1).to_pylist(), np.array([k == "b" for k in batch.column(0).to_pylist()], bool)
+            points = np.array(grams or [""], f"<U{order}").view(np.uint32).reshape(-1, order)
+            lengths, key = np.array([len(g) for g in grams], np.int64), np.empty(len(grams), U)
+            for n in range(order + 1):
+                for kind in (0, 1):
+                    own = np.flatnonzero((lengths == n) & (kinds == kind))
+                    total = np.zeros(len(own), U)
+                    for j in range(n):
+                        total = total * _STEP + (points[own, j].astype(U) + U(1))
+                    key[own] = _key(total, n, kind)
+            yield pa.RecordBatch.from_arrays([pa.array((key % U(number)).astype(np.int32)), pa.array(key.view(np.int64)), pa.array(-np.log(batch.column(2).to_numpy()))], names=["s", "key", "nats"])
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [[batch.column(i).to_numpy() for i in range(3)] for batch in batches if batch.num_rows]
+        if not rows:
+            return
+        s, key, nats = (np.concatenate(c) for c in zip(*rows, strict=True))
+        order_ = np.argsort(key.view(U))
+        store, top = fs.FileSystem.from_uri(path)
+        store.create_dir(top, recursive=True)
+        trial = f"{top}/{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex}.part"
+        with store.open_output_stream(trial) as f:
+            f.write(pack(key.view(U)[order_], nats[order_]))
+        target = f"{top}/shard-{int(s[0]):06d}"
+        if store.get_file_info(target).type != fs.FileType.NotFound:
+            store.delete_file(trial)
+        else:
+            store.move(trial, target)
+        yield pa.RecordBatch.from_arrays([pa.array(s[:1]), pa.array([len(key)], pa.int64())], names=["s", "n"])
+
+    dealt = model.select("kind", "g", "v").mapInArrow(keyed, "s int, key bigint, nats double").repartitionById(number, F.col("s"))
+    there = dealt.mapInArrow(kept, "s int, n bigint").count()
+    if there < number:  # shards without a row, as in an empty model
+        store, top = fs.FileSystem.from_uri(path)
+        store.create_dir(top, recursive=True)
+        for s in range(number):
+            if store.get_file_info(f"{top}/shard-{s:06d}").type == fs.FileType.NotFound:
+                with store.open_output_stream(f"{top}/shard-{s:06d}") as f:
+                    f.write(pack(np.empty(0, U), np.empty(0)))
+    return Model(path, number, order, letters)
+
+
+def scores(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id", "lang"), text_col: str = "text") -> DataFrame:
     """`keep`, n_chars, nats (a character; null without words) of every row."""
-    rows = docs.select(*keep, text_col)
     names = list(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(tables, order)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                chars, nats = scorer.score(part.column(len(names)).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(chars, pa.int64()), pa.array(nats, pa.float64())], names=[*names, "n_chars", "nats"])
+            chars, nats = model.score(batch.column(len(names)).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(chars), pa.array(nats, from_pandas=True)], names=[*names, "n_chars", "nats"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return rows.mapInArrow(run, f"{kinds}, n_chars bigint, nats double")
-
-
-def thresholds(scored: DataFrame, trusted: DataFrame, q: float = 0.995, least: int = 100) -> DataFrame:
-    """lang, threshold (nats): the q-quantile of trusted documents in bins of BIN; a language with fewer than `least` of them takes that of all."""
-    rows = scored.where("nats is not null").join(trusted, "doc_id", "left_semi").withColumn("bin", F.floor(F.col("nats") / BIN))
-    bins = written(rows.groupBy("lang", "bin").agg(F.count("*").alias("k")), "bins")
-
-    def quantile(rows: DataFrame, *by: str) -> DataFrame:
-        upto = F.sum("k").over(W.partitionBy(*by, F.lit(1)).orderBy("bin"))
-        every = F.sum("k").over(W.partitionBy(*by, F.lit(1)))
-        rows = rows.withColumn("upto", upto).withColumn("every", every).where(F.col("upto") >= F.col("every") * q)
-        return rows.groupBy(*by).agg(((F.min("bin") + 1) * BIN).alias("threshold"), F.first("every").alias("every"))
-
-    own = quantile(bins, "lang").where(F.col("every") >= least).select(F.col("lang").alias("own"), F.col("threshold").alias("t"))
-    whole = quantile(bins.groupBy("bin").agg(F.sum("k").alias("k"))).select(F.col("threshold").alias("all"))
-    langs = scored.select("lang").distinct()
-    out = langs.join(own, langs["lang"].eqNullSafe(own["own"]), "left").join(whole, F.lit(True), "left")
-    return out.select("lang", F.coalesce("t", "all").alias("threshold"))
+    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, f"{kinds}, n_chars bigint, nats double")
+
+
+def _held_out() -> F.Column:
+    return F.pmod(F.xxhash64("doc_id", F.lit("held out")), F.lit(FOLDS)) == 0
+
+
+def limits(scored: DataFrame, q: float = QUANTILE) -> DataFrame:
+    """lang, mean, threshold, threshold_from of scored rows (lang, n_chars, nats) of held-out trusted documents: one row a language, and one with threshold_from "all" for every other language."""
+    rows = scored.where("nats is not null")
+    means = rows.groupBy("lang").agg((F.sum(F.col("nats") * F.col("n_chars")) / F.sum("n_chars")).alias("mean"), F.lit("lang").alias("threshold_from"))
+    whole = rows.agg((F.sum(F.col("nats") * F.col("n_chars")) / F.sum("n_chars")).alias("mean")).where("mean is not null")
+    means = written(means.unionByName(whole.select(F.lit(None).cast("string").alias("lang"), "mean", F.lit("all").alias("threshold_from"))), "means")
+    both = rows.select("lang", "n_chars", "nats", F.explode(F.array(F.lit("lang"), F.lit("all"))).alias("threshold_from"))
+    both = both.withColumn("lang", F.when(F.col("threshold_from") == "lang", F.col("lang")))
+    name = lambda t: F.concat_ws(":", t["threshold_from"], F.when(t["lang"].isNull(), "n").otherwise(F.concat(F.lit("s"), t["lang"])))
+    both = both.join(means.select(name(means).alias("name"), "mean"), name(both) == F.col("name"))
+    bins = both.groupBy("name", F.floor(drawn("nats", "n_chars", "mean") / BIN).alias("bin")).agg(F.count("*").alias("k"))
+    order = W.partitionBy("name").orderBy("bin")
+    every = F.sum("k").over(W.partitionBy("name"))
+    bins = bins.withColumn("upto", F.sum("k").over(order)).withColumn("every", every)
+    limit = (F.min(F.when(F.col("upto") >= F.col("every") * q, F.col("bin"))) + 1) * BIN + SLACK
+    found = bins.groupBy("name").agg(limit.alias("threshold"))
+    return means.withColumn("name", name(means)).join(found, "name").select("lang", "mean", "threshold", "threshold_from")
+
+
+def drawn(nats: str, chars: str, mean: str) -> F.Column:
+    """A text's nats a character, drawn towards the mean by PRIOR characters."""
+    return (F.col(nats) * F.col(chars) + F.col(mean) * PRIOR) / (F.col(chars) + PRIOR)
+
+
+def _tables(found: DataFrame) -> tuple[Blocks, tuple | None]:
+    """(lookup tables by language, LANGS languages each, the limits of all others)."""
+    found = written(found, "limits")
+    number = -(-found.count() // LANGS) or 1
+    dealt = found.where("threshold_from = 'lang'").withColumn("b", F.pmod(F.xxhash64("lang"), F.lit(number)))
+    table = lambda b: {r.lang: (r.mean, r.threshold) for r in dealt.where(F.col("b") == b).collect()}
+    other = found.where("threshold_from = 'all'").first()
+    return Blocks(found.sparkSession.sparkContext, map(table, range(number))), other and (other.mean, other.threshold)
+
+
+def _judged(batch: pa.RecordBatch, tables: Blocks, other: tuple | None) -> tuple[list, list[bool], list[str]]:
+    """(limits, keep, where the limits are from) of rows with lang, n_chars and nats."""
+    langs = batch.column(batch.schema.get_field_index("lang")).to_pylist()
+    found: dict = {}
+    for table in tables:
+        found.update({x: table[x] for x in set(langs) if x in table})
+    chars, nats = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("__n_chars", "__nats"))
+    limit = [found.get(x, other) for x in langs]
+    keep = []
+    for x, n, t in zip(nats, chars, limit, strict=True):
+        keep.append(x is None or t is None or (x * n + t[0] * PRIOR) / (n + PRIOR) <= t[1])
+    return limit, keep, ["lang" if x in found else "all" if other else "none" for x in langs]
+
+
+def fitted(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> tuple[Model, DataFrame]:
+    """(the model of the trusted documents that aren't held out, ids of those that are)."""
+    trusted = written(trusted_ids(labels), "trusted")
+    texts = small_batches(docs).select("doc_id", "text").join(trusted.where(~_held_out()).hint("merge"), "doc_id", "left_semi").select("text")
+    return save(train(texts, order), order), trusted.where(_held_out())
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, order: int = 4, q: float = 0.995) -> DataFrame:
-    """doc_id, lang, n_chars, perplexity (a character), threshold, keep for every row of `docs`.
+def _scored(docs: DataFrame, labels: DataFrame, order: int, q: float, keep: list[str]) -> tuple[DataFrame, Blocks, tuple | None]:
+    """`keep`, __n_chars and __nats of all rows, scored once and written, and the limits from the held-out ones among them."""
+    model, held = fitted(docs, labels, order)
+    names = {"n_chars": "__n_chars", "nats": "__nats"}
+    taken = set(names.values()) & set(keep)
+    if taken:
+        raise ValueError(f"column names in use: {sorted(taken)}")
 
-    Trained on all of `docs` that are labelled good and not toxic.  A row is
-    kept unless its perplexity exceeds its language's threshold; rows without
-    words, and all rows where no document is trusted, are kept.  A null
-    language is a language; rows with equal or null ids are scored by
-    themselves; only doc_id, lang and text are read.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chars, nats = model.score(batch.column(batch.schema.get_field_index("text")).to_pylist())
+            own = [batch.column(batch.schema.get_field_index(c)) for c in keep]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(chars), pa.array(nats, from_pandas=True)], names=[*keep, *names.values()])
+
+    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
+    rows = docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, f"{kinds}__n_chars bigint, __nats double")
+    rows = written(rows, "scores")
+    known = rows.select("doc_id", "lang", F.col("__n_chars").alias("n_chars"), F.col("__nats").alias("nats")).join(held, "doc_id", "left_semi")
+    return rows, *_tables(limits(known, q))
+
+
+def classify(docs: DataFrame, labels: DataFrame, *, order: int = ORDER, q: float = QUANTILE) -> DataFrame:
+    """doc_id, lang, n_chars, perplexity (a character), threshold, threshold_from, keep for every row of `docs`.
+
+    Trained on the documents that are labelled good and not toxic, but for one
+    in FOLDS by a hash of its id; these give the limits.  A row is kept unless
+    its perplexity, drawn towards the language's, is beyond its language's
+    threshold.  threshold_from says whose it is: "lang", or "all" languages' where
+    none of its own is held out, or "none".  Rows without words, and all rows
+    where no document is trusted, are kept.  A null language is a language;
+    rows with equal or null ids are scored by themselves; a text of any length
+    is scored whole; only doc_id, lang and text are read.
     """
-    scored, limits, _ = fitted(docs, labels, order, q)
-    out = scored.join(F.broadcast(limits) if _few(limits) else limits, scored["lang"].eqNullSafe(limits["lang"]), "left").drop(limits["lang"])
-    keep = F.col("nats").isNull() | F.col("threshold").isNull() | (F.col("nats") <= F.col("threshold"))
-    return out.select("doc_id", "lang", "n_chars", F.exp("nats").alias("perplexity"), F.exp("threshold").alias("threshold"), keep.alias("keep"))
-
-
-def _few(limits: DataFrame, most: int = 10_000) -> bool:
-    return limits.limit(most + 1).count() <= most
+    rows, tables, other = _scored(docs, labels, order, q, ["doc_id", "lang"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            limit, keep, source = _judged(batch, tables, other)
+            ends = pa.array([t and t[1] for t in limit], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, ends, pa.array(source, pa.string()), pa.array(keep, pa.bool_())], names=["doc_id", "lang", "n_chars", "nats", "threshold", "threshold_from", "keep"])
 
-def fitted(docs: DataFrame, labels: DataFrame, order: int = 4, q: float = 0.995) -> tuple[DataFrame, DataFrame, Blocks]:
-    """Scores of all rows, the languages' thresholds, the model's lookup tables."""
-    docs = small_batches(docs)
-    trusted = written(trusted_ids(labels), "trusted")
-    texts = docs.select("doc_id", "text").join(trusted.hint("merge"), "doc_id", "left_semi").select("text")
-    tables = shards(train(texts, order), order)
-    scored = written(scores(docs, tables, order), "scores")
-    return scored, written(thresholds(scored, trusted, q), "thresholds"), tables
+    ids = docs.schema["doc_id"].dataType.simpleString()
+    out = rows.mapInArrow(run, f"doc_id {ids}, lang string, n_chars bigint, nats double, threshold double, threshold_from string, keep boolean")
+    return out.select("doc_id", "lang", "n_chars", F.exp("nats").alias("perplexity"), F.exp("threshold").alias("threshold"), "threshold_from", "keep")
 
 
-def accepted(docs: DataFrame, labels: DataFrame, *, order: int = 4, q: float = 0.995) -> DataFrame:
-    """The rows of `docs`, all columns, that `classify` keeps; each row is scored again, so nothing is joined to texts."""
-    _, limits, tables = fitted(docs, labels, order, q)
-    if not _few(limits):
-        raise ValueError("more languages than a lookup in memory should hold")
-    limit = {r.lang: r.threshold for r in limits.collect()}
+def accepted(docs: DataFrame, labels: DataFrame, *, order: int = ORDER, q: float = QUANTILE) -> DataFrame:
+    """The rows of `docs`, all columns, that `classify` keeps; scored once and written with their scores, so no text is shuffled for it."""
+    names = docs.columns
+    rows, tables, other = _scored(docs, labels, order, q, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(tables, order)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                nats = scorer.score(part.column(part.schema.get_field_index("text")).to_pylist())[1]
-                langs = part.column(part.schema.get_field_index("lang")).to_pylist()
-                keep = [x is None or limit.get(lang) is None or x <= limit[lang] for x, lang in zip(nats, langs, strict=True)]
-                yield part.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+            kept = batch.filter(pa.array(_judged(batch, tables, other)[1], pa.bool_()))
+            yield kept.select(names)
+
+    return rows.mapInArrow(run, docs.schema)
