@@ -10,14 +10,19 @@ its last token, plus that token, and a token may follow another exactly if the
 pair, encoded alone, stays that pair.  So the transducer keeps, for each place
 within reach of a piece, the last token there and the count relative to now.
 
-A text is cut into chunks at any character.  A chunk's state map is (head up to
-its first word start, count of the whole words after it, open tail); maps
+A text is cut into chunks at any character.  A chunk's state map says for any
+state before it which state follows and how many tokens come out.  It is made
+without knowing that state: the chunk's head, up to its first word start, is run
+from the word-start state; what follows the head depends on nothing before it.
+Applied to another state, the head is run from both until the two states are
+equal, mostly after some characters, and the rest is taken from the map.  Maps
 compose associatively, so chunks are mapped independently and joined by a tree
-(prefix scan), in one worker or across rows.
+(prefix scan); very long texts are cut into chunks that other tasks map.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -26,23 +31,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import small_batches
+from .storage import small_batches, written
 
 #: Whole-word arcs that a worker keeps; when full the short ones stay, and counts are the same.
 REMEMBERED = 300_000
 #: Compiled states, and pairs of tokens, that a worker keeps.
 STATES, PAIRS = 150_000, 250_000
-#: Characters of a chunk.
-CHUNK = 1 << 16
+#: Characters of a chunk; of a piece of a longer text, which is a row by itself.
+CHUNK, PIECE = 1 << 16, 1 << 20
 _SPACE = "▁"
+#: A state: the last characters that later ones can still change, and for each place in them the token before it and the count relative to now.
+Shape = tuple[str, tuple]
+_START: Shape = ("", ((None, 0),))
 
 
 class StateMap(NamedTuple):
-    """What a stretch of text does to any state: `head` runs on from it, `count` tokens follow, `tail` is the open last word; tail None: no word starts here."""
+    """What a stretch of text does to any state: `head` is run from it; `after` and `ahead` are the state and count of the head from the word-start state.
+
+    exit and count: the state after the rest and the tokens of the rest, which
+    begins with a word; exit None: there is no rest.
+    """
 
     head: str
+    after: Shape
+    ahead: int
+    exit: Shape | None
     count: int
-    tail: str | None
 
 
 class Transducer:
@@ -78,8 +92,8 @@ class Transducer:
         self.longest = max(map(len, names))
         self.library = library
         self.fits: dict[tuple[str, str], bool] = {}
-        self.states: dict[tuple, int] = {("", ((None, 0),)): 0}
-        self.shapes: list[tuple] = [("", ((None, 0),))]
+        self.states: dict[Shape, int] = {_START: 0}
+        self.shapes: list[Shape] = [_START]
         self.arcs: list[dict[str, tuple[int, int]]] = [{}]
         self.words: dict[str, int] = {}
 
@@ -212,49 +226,76 @@ class Transducer:
         except KeyError:
             return sum(map(self.word, parts))
 
+    def drive(self, shape: Shape, text: str) -> tuple[Shape, int]:
+        """(state, tokens) after `text` from a state."""
+        count, following = 0, self._next
+        for char in text:
+            shape, step = following(shape, char)
+            count += step
+        return shape, count
+
     def state_map(self, chunk: str) -> StateMap:
-        """The map of one chunk of escaped text."""
-        start = chunk.find(_SPACE)
-        if start < 0:
-            return StateMap(chunk, 0, None)
-        last = chunk.rfind(_SPACE)
-        while last > start and chunk[last - 1] == _SPACE:
-            last -= 1
-        return StateMap(chunk[:start], self.closed(chunk[start:last]), chunk[last:])
+        """The map of one chunk of escaped text; a word starts at an escape sign that follows another character."""
+        start = _FIRST.search(chunk)
+        if start is None:
+            return StateMap(chunk, *self.drive(_START, chunk), None, 0)
+        head, last = chunk[: start.start() + 1], _LAST.search(chunk).start(1)
+        whole = self.closed(chunk[len(head) : last])
+        exit_, open_ = self.drive(_START, chunk[last:])
+        return StateMap(head, *self.drive(_START, head), exit_, whole + open_)
+
+    def apply(self, m: StateMap, shape: Shape) -> tuple[Shape, int]:
+        """(state, tokens) after the map's text from a state."""
+        if shape == _START:
+            after, count = m.after, m.ahead
+        else:
+            other, own, count, ahead, after = shape, _START, 0, 0, None
+            for char in m.head:
+                if other == own:
+                    after, count = m.after, count + m.ahead - ahead
+                    break
+                other, step = self._next(other, char)
+                count += step
+                own, step = self._next(own, char)
+                ahead += step
+            after = after or other
+        return (after, count) if m.exit is None else (m.exit, count + m.count)
 
     def compose(self, a: StateMap, b: StateMap) -> StateMap:
         """The map of a's text followed by b's; associative."""
-        if a.tail is None:
-            return StateMap(a.head + b.head, b.count, b.tail)
-        middle = a.tail + b.head
-        if b.tail is None:
-            return StateMap(a.head, a.count, middle)
-        return StateMap(a.head, a.count + self.closed(middle) + b.count, b.tail)
-
-    def cut(self, text: str, size: int = CHUNK) -> list[str]:
-        """Chunks of `size` characters or, where that would split a run of spaces, more."""
-        out, at = [], 0
-        while len(text) - at > size:
-            stop = at + size
-            while stop < len(text) and text[stop - 1] == text[stop] == _SPACE:
-                stop += 1
-            out.append(text[at:stop])
-            at = stop
-        return [*out, text[at:]]
-
-    def scan(self, chunks: list[str]) -> int:
-        """Tokens of the text that the chunks make up: their maps, composed by a balanced tree."""
-        maps = [self.state_map(c) for c in chunks]
+        if a.exit is None and b.exit is None:
+            after, more = self.apply(b, a.after)
+            return StateMap(a.head + b.head, after, a.ahead + more, None, 0)
+        if a.exit is None:
+            after, more = self.apply(b._replace(exit=None), a.after)
+            return StateMap(a.head + b.head, after, a.ahead + more, b.exit, b.count)
+        exit_, more = self.apply(b, a.exit)
+        return StateMap(a.head, a.after, a.ahead, exit_, a.count + more)
+
+    def combined(self, maps: list[StateMap]) -> StateMap:
+        """All maps in order, composed by a balanced tree."""
         while len(maps) > 1:
             maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        head, count, tail = maps[0]
-        return (self.run(head) if head else 0) + count + (self.closed(tail) if tail else 0)
+        return maps[0]
+
+    def scan(self, chunks: list[str]) -> int:
+        """Tokens of the text that the chunks make up."""
+        return self.apply(self.combined([self.state_map(c) for c in chunks]), _START)[1]
+
+    def escaped(self, text: str) -> str:
+        """The text as the model takes it."""
+        return (self.prefix + text).replace(" ", _SPACE) if text else ""
 
     def count(self, text: str, size: int = CHUNK) -> int:
         """Tokens of the whole text, as the library gives them."""
-        return self.scan(self.cut((self.prefix + text).replace(" ", _SPACE), size)) if text else 0
+        text = self.escaped(text)
+        if len(text) <= size and text.startswith(_SPACE):
+            return self.closed(text)
+        return self.scan([text[i : i + size] for i in range(0, len(text), size)]) if text else 0
 
 
+#: The character before the first word start, and the last word start, of a chunk.
+_FIRST, _LAST = re.compile(f"[^{_SPACE}](?={_SPACE})"), re.compile(f"(?s:.*)[^{_SPACE}]({_SPACE})")
 _COMPILED: dict[str, Transducer] = {}
 
 
@@ -266,19 +307,52 @@ def compiled(path: str) -> Transducer:
 
 
 def count_tokens(docs: DataFrame, model: str, limit: int = 4096, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit) of every row, without a shuffle.
+    """id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit) of every row.
 
-    A null text counts as empty (0 tokens); repeated rows are each counted;
-    other columns of `docs` are not read.
+    Rows are counted where they are read.  A text of more than PIECE characters
+    is dealt to tasks in pieces, whose state maps are composed in order.  A null
+    text counts as empty (0 tokens); repeated rows are each counted; other
+    columns of `docs` are not read.
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         transducer = compiled(model)
         for batch in batches:
             tokens = [transducer.count(t) if t else 0 for t in batch.column("text").to_pylist()]
-            n = pa.array(tokens, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), n], names=["doc_id", "n_bytes", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(tokens, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        transducer = compiled(model)
+        for batch in batches:
+            out = []
+            for place, text in zip(batch.column("place").to_pylist(), batch.column("piece").to_pylist(), strict=True):
+                text = transducer.escaped(text) if place == 0 else text.replace(" ", _SPACE)
+                maps = [transducer.state_map(text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)]
+                out.append(pickle.dumps(transducer.combined(maps)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "doc_id", "n_bytes", "place")), pa.array(out, pa.binary())], names=["row", "doc_id", "n_bytes", "place", "map"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        transducer, last, ids, state, total = compiled(model), None, None, _START, 0
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([ids[0]], pa.int64()), pa.array([ids[1]], pa.int64()), pa.array([total], pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["row"] != last:
+                    if ids:
+                        yield row()
+                    last, ids, state, total = r["row"], (r["doc_id"], r["n_bytes"]), _START, 0
+                state, more = transducer.apply(pickle.loads(r["map"]), state)
+                total += more
+        if ids:
+            yield row()
+
+    kinds = "doc_id bigint, n_bytes bigint, n_tokens bigint"
     rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col(text_col).alias("text"))
-    out = rows.mapInArrow(counted, "doc_id bigint, n_bytes bigint, n_tokens bigint")
-    return out.withColumn("over_limit", F.col("n_tokens") > limit).withColumnRenamed("doc_id", id_col)
+    many = F.col("n_bytes") > PIECE  # a text of so many characters has more bytes
+    out = rows.where(~many).mapInArrow(counted, kinds)
+    pieces = rows.where(many).withColumn("row", F.monotonically_increasing_id())
+    pieces = pieces.withColumn("place", F.explode(F.sequence(F.lit(0), F.expr(f"(char_length(text) - 1) div {PIECE}"))))
+    pieces = pieces.select("row", "doc_id", "n_bytes", "place", F.expr(f"substring(text, cast(place * {PIECE} + 1 as int), {PIECE})").alias("piece"))
+    pieces = written(pieces, "pieces")  # a row's number is fixed here
+    maps = pieces.repartition("row", "place").mapInArrow(mapped, "row bigint, doc_id bigint, n_bytes bigint, place bigint, map binary")
+    long = maps.repartition("row").sortWithinPartitions("row", "place").mapInArrow(joined, kinds)
+    return out.unionByName(long).withColumn("over_limit", F.col("n_tokens") > limit).withColumnRenamed("doc_id", id_col)

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sievemill.llm import token_files
+from sievemill.llm import token_counts, token_files
 from sievemill.llm.token_counts import Transducer, count_tokens
 from sievemill.llm.token_files import ChunkEncoder, encoded_digest, read_token_files, write_token_files
 
@@ -24,11 +24,35 @@ def test_transducer_equals_library():
 
 def test_state_maps_compose_associatively():
     t = Transducer(P.path("piece_bpe_32k.model"))
-    maps = [t.state_map(c) for c in t.cut("▁the▁quick▁▁brown▁fox▁jumps" * 5, 7)]
+    text = t.escaped("the quick  brown fox jumps" * 5 + "漢字かな交じり文" * 30 + "aaaaaaaa" * 40)
+    maps = [t.state_map(text[i : i + 7]) for i in range(0, len(text), 7)]
+    whole = t.scan([text])
+    for cut in range(1, len(maps)):
+        one, two = t.combined(maps[:cut]), t.combined(maps[cut:])
+        assert t.apply(t.compose(one, two), token_counts._START)[1] == whole
     a, b, c = maps[:3]
     assert t.compose(t.compose(a, b), c) == t.compose(a, t.compose(b, c))
 
 
+def test_state_maps_hold_counts_of_texts_without_spaces():
+    t = Transducer(P.path("piece_bpe_32k.model"))
+    text = "".join(random.Random(3).choices("的一是不了人我在有他这中大来上国个到说们", k=20_000))
+    maps = [t.state_map(text[i : i + 4096]) for i in range(0, len(text), 4096)]
+    assert all(m.ahead + m.count > 2000 for m in maps)
+    assert t.count(text, 4096) == len(t.library.encode(text))
+
+
+def test_long_texts_are_dealt_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(token_counts, "PIECE", 1000)
+    monkeypatch.setattr(token_counts, "CHUNK", 300)
+    r = random.Random(5)
+    texts = ["".join(r.choices("ab  的一é😀\n", k=n)) for n in (400, 999, 1000, 1001, 5000, 9000)] + [" " * 3000, "的" * 4000, "x" * 2500]
+    docs = spark.createDataFrame([(1, t) for t in texts], "doc_id long, text string")
+    library = Transducer(P.path("piece_bpe_32k.model")).library
+    got = count_tokens(docs, P.path("piece_bpe_32k.model")).collect()
+    assert sorted((x.n_bytes, x.n_tokens) for x in got) == sorted((len(t.encode()), len(library.encode(t))) for t in texts)
+
+
 def library_ids(encoder, texts):
     return [e.ids for e in encoder.library.encode_batch(texts, add_special_tokens=False)]
 
