@@ -29,67 +29,71 @@ def _chunk(kind: bytes, body: bytes) -> bytes:
     return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
 
 
-def encode_png(pixels: np.ndarray, level: int = 4, adaptive: bool = True) -> bytes:
-    """A PNG of uint8 pixels [height, width, channels].
-
-    adaptive: each row takes the filter (none, sub, up) with the least sum of
-    magnitudes, which suits pictures; else no row is filtered, which suits text.
-    """
+def encode_png(pixels: np.ndarray, level: int = 4, kinds: tuple[int, ...] = (0, 1, 2, 3, 4)) -> bytes:
+    """A PNG of uint8 pixels [height, width, channels]; each row takes that of the filters `kinds` with the least sum of magnitudes, the first of equals."""
     height, width, channels = pixels.shape
     rows = pixels.reshape(height, width * channels)
     out = np.empty((height, rows.shape[1] + 1), np.uint8)
-    if adaptive:
-        _filter(rows, channels, out)
-    else:
-        out[:, 0], out[:, 1:] = 0, rows
+    tried = [_filtered(rows, channels, k) for k in kinds]
+    best = np.stack([np.minimum(x, 0 - x).sum(axis=1, dtype=np.int64) for x in tried]).argmin(axis=0)
+    for i, x in enumerate(tried):
+        out[best == i, 0], out[best == i, 1:] = kinds[i], x[best == i]
     kind = {c: k for k, c in _CHANNELS.items()}[channels]
     head = struct.pack(">IIBBBBB", width, height, 8, kind, 0, 0, 0)
     return _SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(out, level)) + _chunk(b"IEND", b"")
 
 
-def _filter(rows: np.ndarray, channels: int, out: np.ndarray) -> None:
-    """Fill `out` (a filter byte before each row) with the filtered rows."""
-    up = rows.copy()
-    up[1:] -= rows[:-1]
-    sub = rows.copy()
-    sub[:, channels:] -= rows[:, :-channels]
-    tried = (rows, sub, up)
-    cost = np.stack([np.minimum(x, 0 - x).sum(axis=1, dtype=np.int64) for x in tried])
-    best = cost.argmin(axis=0).astype(np.uint8)
-    out[:, 0] = best
-    for i, x in enumerate(tried):
-        out[best == i, 1:] = x[best == i]
+def _guess(left: np.ndarray, up: np.ndarray, corner: np.ndarray) -> np.ndarray:
+    """Of left, up and corner (int16) the one nearest to left + up - corner, in this order if equal."""
+    p = left + up - corner
+    a, b, c = abs(p - left), abs(p - up), abs(p - corner)
+    return np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
+
+
+def _filtered(rows: np.ndarray, step: int, kind: int) -> np.ndarray:
+    """All rows under one of the five filters; `step` bytes make a pixel."""
+    wide = np.zeros((len(rows) + 1, rows.shape[1] + step), np.int16)
+    wide[1:, step:] = rows
+    left, up, corner = wide[1:, :-step], wide[:-1, step:], wide[:-1, :-step]
+    guess = (np.zeros_like(left), left, up, (left + up) >> 1, _guess(left, up, corner) if kind == 4 else None)[kind]
+    return (rows - guess).astype(np.uint8)
 
 
 def _unfilter(kinds: np.ndarray, data: np.ndarray, step: int) -> np.ndarray:
-    """Undo the row filters of [height, row bytes]; `step` bytes make a pixel."""
-    out = data.copy()
-    above = np.zeros(data.shape[1], np.uint8)
-    for y, kind in enumerate(kinds.tolist()):
-        row = out[y]
-        if kind == 1:
-            row.reshape(-1, step)[:] = np.cumsum(row.reshape(-1, step), axis=0, dtype=np.uint8)
-        elif kind == 2:
-            row += above
-        elif kind in (3, 4):
-            left = [0] * step
-            corner = [0] * step
-            for x in range(0, len(row), step):
-                for c in range(step):
-                    b = int(above[x + c])
-                    if kind == 3:
-                        guess = (left[c] + b) >> 1
-                    else:
-                        p = left[c] + b - corner[c]
-                        da, db, dc = abs(p - left[c]), abs(p - b), abs(p - corner[c])
-                        guess = left[c] if da <= db and da <= dc else b if db <= dc else corner[c]
-                    left[c] = int(row[x + c]) + guess & 255
-                    corner[c] = b
-                    row[x + c] = left[c]
-        elif kind:
-            raise ValueError(f"row filter {kind}")
-        above = row
-    return out
+    """Undo the row filters of [height, row bytes].
+
+    Runs of rows that look left or up only are summed along rows or columns;
+    in runs with other filters, all pixels of an anti-diagonal are undone
+    at once, as each depends on those before it only.
+    """
+    if (kinds > 4).any():
+        raise ValueError(f"row filter {int(kinds.max())}")
+    out = np.zeros((len(data) + 1, data.shape[1] + step), np.uint8)  # a row above and a pixel before
+    out[1:, step:] = data
+    group = np.where(kinds > 2, 3, kinds)
+    cuts = np.flatnonzero(np.diff(group)) + 1
+    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(group)], strict=True):
+        part = out[lo + 1 : hi + 1, step:]
+        if group[lo] == 1:
+            part[:] = np.cumsum(part.reshape(hi - lo, -1, step), axis=1, dtype=np.uint8).reshape(part.shape)
+        elif group[lo] == 2:
+            part[:] = np.cumsum(out[lo : hi + 1, step:], axis=0, dtype=np.uint8)[1:]
+        elif group[lo] == 3:
+            _diagonals(out[lo : hi + 1], kinds[lo:hi], step)
+    return out[1:, step:]
+
+
+def _diagonals(rows: np.ndarray, kinds: np.ndarray, step: int) -> None:
+    """Undo filters 3 and 4 in place; the first row is done, and each row begins with a pixel of zeros."""
+    grid = rows.reshape(len(rows), -1, step)
+    height, width = len(kinds), grid.shape[1] - 1
+    mean = kinds == 3
+    for d in range(height + width - 1):
+        y = np.arange(max(0, d - width + 1), min(height, d + 1))
+        x = d - y + 1
+        left, up, corner = (grid[i, j].astype(np.int16) for i, j in ((y + 1, x - 1), (y, x), (y, x - 1)))
+        guess = np.where(mean[y][:, None], (left + up) >> 1, _guess(left, up, corner))
+        grid[y + 1, x] += guess.astype(np.uint8)
 
 
 def decode_png(data: bytes) -> np.ndarray:
@@ -105,6 +109,8 @@ def decode_png(data: bytes) -> np.ndarray:
         if len(body) < size or data[at + 8 + size : at + 12 + size] != struct.pack(">I", zlib.crc32(kind + body)):
             raise ValueError(f"chunk {kind!r}: wrong CRC-32")
         if kind == b"IHDR":
+            if size != 13:
+                raise ValueError("IHDR has a wrong length")
             head = struct.unpack(">IIBBBBB", body)
         elif kind == b"IDAT":
             stream.append(body)
@@ -153,11 +159,12 @@ def text_pixels(text: bytes, width: int = 64, pad: int = 32) -> np.ndarray:
     return np.frombuffer(text.ljust(whole, bytes([pad])), np.uint8).reshape(-1, width, 3)
 
 
-def media_column(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 64, level: int = 4) -> DataFrame:
-    """id, n_bytes, media (PNG, binary): each text's UTF-8 bytes as an image, losslessly.
+def media_column(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 64, level: int = 4, kinds: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
+    """id, n_bytes, media (PNG, binary): each text's UTF-8 bytes as an image, losslessly, its rows under the filters `kinds`.
 
     A null text counts as empty and becomes one row of spaces; null ids and
-    repeated rows are kept; other columns are not read.
+    repeated rows are kept; other columns are not read; a text of any length
+    is one image, in the memory of one task.
     """
 
     def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +172,7 @@ def media_column(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
                 texts = [(t or "").encode() for t in part.column(1).to_pylist()]
-                media = pa.array([encode_png(text_pixels(t, width), level, adaptive=False) for t in texts], pa.binary())
+                media = pa.array([encode_png(text_pixels(t, width), level, kinds) for t in texts], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in texts], pa.int64()), media], names=["id", "n_bytes", "media"])
 
     rows = small_batches(docs).selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text")
