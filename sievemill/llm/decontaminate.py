@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import Blocks, HashTable
-from .storage import small_batches
+from .storage import fresh, small_batches
 from .words import ALNUM, Words, buffers, shingles, slices, split
 
 #: Bytes of benchmark text in a block, about.
@@ -172,6 +172,13 @@ class Finder:
         return n_words, n_hit, items
 
 
+def _dealt(rows: DataFrame, name: str) -> DataFrame:
+    """Rows written in a folder for each `block`, so that a block is read by itself."""
+    path = fresh(rows.sparkSession, name)
+    rows.write.partitionBy("block").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def finder(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, k: int = 3, item_col: str = "item_id", item_text: str = "text", text_col: str = "text") -> Finder:
     """Read the benchmark block by block, count its shingles over all of `docs` and order them by rarity.
 
@@ -181,7 +188,7 @@ def finder(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, k: int =
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text")).where("item is not null")
     weight = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-weight // BLOCK) or 1
-    items = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)))
+    items = _dealt(items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks))), "benchmark")
     cut = lambda b: Windows.of([tuple(r) for r in items.where(F.col("block") == b).select("item", "text").collect()], window, k)
 
     def table(windows: Windows) -> tuple[list[int], HashTable]:
@@ -190,8 +197,7 @@ def finder(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, k: int =
 
     tables = Blocks(spark.sparkContext, (table(cut(b)) for b in range(blocks)))
     counted = docs.select(text_col).mapInArrow(_counter(tables, k), "block int, place bigint, n bigint")
-    counted = counted.groupBy("block", "place").agg(F.sum("n").alias("n"))
-    counted = counted if blocks == 1 else counted.persist()
+    counted = _dealt(counted.groupBy("block", "place").agg(F.sum("n").alias("n")), "rarities")
 
     def prefixes(b: int) -> Prefixes:
         windows = cut(b)

@@ -7,8 +7,8 @@ replacement, in order of exponential keys divided by the documents' quality
 weights, up to the document whose running size reaches the rest.
 
 The running size needs no sort of a whole source: keys fall into bins, bin
-totals are summed in order (a bounded number a source), and only the bin in
-which a source's budget ends is sorted.
+totals are summed in order, and only the bin in which a source's budget ends is
+sorted: of the bins, whose number grows with the rows, it holds some `bin_rows`.
 """
 
 from __future__ import annotations
@@ -55,7 +55,7 @@ def sampling_key(doc_id: F.Column, weight: F.Column, seed: int) -> F.Column:
     return -F.log(uniform) / weight
 
 
-def mix(rows: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 6, bins: int = 512) -> DataFrame:
+def mix(rows: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 6, bins: int = 512, bin_rows: int = 100_000) -> DataFrame:
     """doc_id, size, source_size, target, taken, source for every row of (doc_id, source, size, quality).
 
     taken is a multiple of size: complete epochs, and once more if the sample
@@ -66,7 +66,9 @@ def mix(rows: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float
     """
     quality = F.when(F.col("quality") > 0, F.col("quality")).otherwise(1.0)
     rows = rows.select("doc_id", "source", F.col("size").cast("long").alias("size"), sampling_key(F.col("doc_id"), quality, seed).alias("key"))
-    rows = written(rows.withColumn("bin", F.floor((1 - F.exp(-F.col("key"))) * bins).cast("int")), "mix-keys")
+    rows = written(rows, "mix-keys")
+    bins += rows.count() // bin_rows
+    rows = rows.withColumn("bin", F.floor((1 - F.exp(-F.col("key"))) * bins).cast("int"))
     targets = source_targets(rows, weights, share, cap)
     ratio = F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0) + 1e-9)
     targets = targets.withColumn("epochs", ratio.cast("long")).withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - ratio * F.col("source_size")))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .jaccard_join import jaccard_components
 from .mixing import mix, word_count
-from .sharding import shuffle_to_shards
+from .sharding import read_shards, shuffle_to_shards
 
 
 def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
@@ -47,6 +47,5 @@ def mixed(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 def sharded(docs: DataFrame, shards: int = 40, **options) -> DataFrame:
     """All rows with shard and slot, read from the written shards."""
-    path = shuffle_to_shards(docs, shards, **options)
-    rows = docs.sparkSession.read.parquet(path)
+    rows = read_shards(docs, shuffle_to_shards(docs, shards, **options))
     return rows.withColumnsRenamed({"__shard": "shard", "__slot": "slot"})

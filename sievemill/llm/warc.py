@@ -126,7 +126,10 @@ def write_archives(pages: DataFrame, path: str, *, least: int = 0, date: str = "
                             record = revisit_record(r["page_id"], r["url"], digest, r["size"], r["original"], r["original_url"], date)
                         out.write(_member(record, level))
                         count += 1
-        store.move(trial, f"{name}.warc.gz")
+        if store.get_file_info(f"{name}.warc.gz").type == fs.FileType.NotFound:
+            store.move(trial, f"{name}.warc.gz")
+        else:  # an earlier attempt wrote the same records
+            store.delete_file(trial)
         yield pa.RecordBatch.from_arrays([pa.array([f"{name}.warc.gz"]), pa.array([count], pa.int64())], names=["file", "records"])
 
     return written(rows.mapInArrow(write, "file string, records bigint"), "archives")

@@ -71,8 +71,10 @@ def _filtered(pixels, kind):
 @pytest.mark.parametrize("channels", [1, 2, 3, 4])
 def test_png_decodes_all_filters(channels):
     pixels = np.random.default_rng(channels).integers(0, 256, (9, 7, channels), dtype=np.uint8)
-    for adaptive in (True, False):
-        assert (media.decode_png(media.encode_png(pixels, adaptive=adaptive)) == pixels).all()
+    for kinds in ((0,), (1,), (2,), (3,), (4,), (0, 1, 2), (0, 1, 2, 3, 4)):
+        assert (media.decode_png(media.encode_png(pixels, kinds=kinds)) == pixels).all()
+    for kind in range(5):
+        assert b"".join(bytes([kind, *row]) for row in media._filtered(pixels.reshape(9, -1), channels, kind).tolist()) == _filtered(pixels, kind)
     made = media.encode_png(pixels)
     for kind in range(5):
         body = zlib.compress(_filtered(pixels, kind))
@@ -83,7 +85,7 @@ def test_png_decodes_all_filters(channels):
 def test_damaged_png_is_refused():
     good = media.encode_png(media.text_pixels(b"hello" * 100))
     assert media.decode_png(good).tobytes().rstrip() == b"hello" * 100
-    for bad in (b"", b"x" + good[1:], good[:40], good[:-12], good[:50] + b"!" + good[51:], good.replace(b"IHDR", b"IHDX")):
+    for bad in (b"", b"x" + good[1:], good[:40], good[:-12], good[:50] + b"!" + good[51:], good.replace(b"IHDR", b"IHDX"), good[:8] + media._chunk(b"IHDR", b"short") + good[33:]):
         with pytest.raises(ValueError):
             media.decode_png(bad)
 
@@ -97,6 +99,28 @@ def test_cosine_hash_follows_the_picture():
     assert bits(one, near) <= 12 < bits(one, other)
 
 
+def test_cosine_hash_equals_plain_sums():
+    pixels = np.random.default_rng(5).integers(0, 256, (64, 96, 3), dtype=np.uint8)
+    small = pixels.mean(axis=2).reshape(32, 2, 32, 3).mean(axis=(1, 3))
+    wave = lambda u, i: np.cos(np.pi * u * (2 * i + 1) / 64)
+    low = [sum(small[y, x] * wave(u, y) * wave(v, x) for y in range(32) for x in range(32)) for u in range(8) for v in range(8)]
+    middle = sorted(low[1:])[31]
+    assert np.unpackbits(np.frombuffer(media.cosine_hash(pixels), np.uint8)).tolist() == [int(round(z, 6) > round(middle, 6)) for z in low]
+
+
+def test_rows_of_the_query_are_filtered(spark):
+    data = media.media_column(spark.createDataFrame([(1, "some words of a text " * 900)], "doc_id long, text string")).first().media
+    raw = zlib.decompress(data[41 : 41 + int.from_bytes(data[33:37])])
+    assert len({raw[i] for i in range(0, len(raw), 193)} - {0}) >= 1
+
+
+def test_media_of_ten_megabytes(spark):
+    text = "lorem ipsum é " * 700_000
+    got = media.media_features(media.media_column(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    payload = text.encode()
+    assert got.payload_sha256 == hashlib.sha256(payload.ljust(-(-len(payload) // 192) * 192)).hexdigest()
+
+
 def test_media_rows(spark):
     rows = [(1, "a"), (2, None), (3, ""), (4, "é" * 1000), (4, "é" * 1000), (None, "x" * 192)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("media", F.lit("clash"))
@@ -129,6 +153,20 @@ def test_shards_are_even_whole_and_repeatable(spark):
         sharding.shuffle_to_shards(docs.withColumn("__slot", F.lit(1)))
 
 
+def test_one_id_and_one_row_may_be_most_of_the_table(spark):
+    rows = [(7, f"text {i}", None) for i in range(2000)] + [(8, "same", {"k": 1})] * 2000 + [(i, "x" * 5000, {"k": i}) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, more map<string,int>")
+    per = sharding.scattered(docs, 50, 4, 20).where("doc_id = 7").groupBy("__bucket").count().collect()
+    assert len(per) == 50 and max(r["count"] for r in per) < 80
+    path = sharding.shuffle_to_shards(docs, 10, bucket_bytes=4000)
+    got = sharding.read_shards(docs, path).collect()
+    assert Counter((r.doc_id, r.text, str(r.more)) for r in got) == Counter((i, t, str(m)) for i, t, m in rows)
+    assert Counter(r["__shard"] for r in got) == {s: 405 for s in range(10)}
+    assert all(sorted(r["__slot"] for r in got if r["__shard"] == s) == list(range(405)) for s in range(10))
+    again = sharding.read_shards(docs, sharding.shuffle_to_shards(docs.repartition(3), 10, bucket_bytes=4000)).collect()
+    assert Counter(map(str, again)) == Counter(map(str, got))
+
+
 def test_permutation_is_uniform():
     seen = Counter(tuple(sharding.fisher_yates(4, 1, b)) for b in range(4800))
     assert len(seen) == 24 and min(seen.values()) > 130
