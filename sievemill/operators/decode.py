@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranking import ranked
+
 
 def ordinal_rank(df: DataFrame, by: str = "prediction", keys: tuple[str, ...] = (), order: str = "id") -> DataFrame:
     """Add rank: the unique 0-based place by prediction, then id."""
-    return df.withColumn("rank", (F.row_number().over(W.partitionBy(*keys, F.lit(1)).orderBy(by, order)) - 1).cast("long"))
+    return ranked(df, [by, order], "rank", keys)
 
 
 def _edges(cdf: list[Column], n: Column, gapless: bool) -> tuple[list[Column], list[Column]]:
@@ -24,20 +25,22 @@ def cdf_decode(df: DataFrame, cdf: list[Column], keys: tuple[str, ...] = (), *,
     The published rule ends each class one rank early, so the rank at each
     boundary is a 4; `gapless` closes these gaps.
     """
-    ranked = ordinal_rank(df, keys=keys).withColumn("n", F.count("*").over(W.partitionBy(*keys, F.lit(1))))
+    sizes = df.groupBy(F.struct(*[F.col(k) for k in keys], F.lit(1).alias("__all")).alias("__of")).agg(F.count("*").alias("n"))
+    rows = ordinal_rank(df, keys=keys).join(sizes, F.struct(*[F.col(k) for k in keys], F.lit(1).alias("__all")).eqNullSafe(F.col("__of"))).drop("__of")
     starts, stops = _edges(cdf[:3], F.col("n"), gapless)
     score = F.lit(4)
     for k in (3, 2, 1):
         score = F.when((F.col("rank") >= starts[k - 1]) & (F.col("rank") < stops[k - 1]), k).otherwise(score)
-    return ranked.withColumn("score", score).drop("n")
+    return rows.withColumn("score", score).drop("n")
 
 
-def cutoffs(df: DataFrame, cdf: list[float], by: str = "prediction") -> DataFrame:
-    """k, cutoff: the predictions at the ranks int(n * cdf - 1), a negative rank counting from the end."""
-    n = df.count()
-    at = {k: int(n * c - 1) % n if n else 0 for k, c in enumerate(cdf[:3], 1)}
-    want = df.sparkSession.createDataFrame(list(at.items()), "k int, rank long")
-    return ordinal_rank(df, by).join(F.broadcast(want), "rank").select("k", F.col(by).alias("cutoff"))
+def cutoffs(df: DataFrame, cdf: list[float], by: str = "prediction", keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, k, cutoff: the predictions at the ranks int(n * cdf - 1), a negative rank counting from the end."""
+    name = F.struct(*[F.col(k) for k in keys], F.lit(1).alias("__all"))
+    want = df.groupBy(name.alias("__of")).agg(F.count("*").alias("__n"))
+    want = want.withColumn("__c", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(c)).alias("c")) for k, c in enumerate(cdf[:3], 1)])))
+    want = want.select("__of", F.col("__c.k").alias("k"), F.pmod((F.col("__n") * F.col("__c.c") - 1).cast("long"), F.col("__n")).alias("__at"))
+    return ordinal_rank(df, by, keys).join(want, name.eqNullSafe(F.col("__of")) & (F.col("rank") == F.col("__at"))).select(*keys, "k", F.col(by).alias("cutoff"))
 
 
 def cutoff_decode(prediction: Column, cuts: list[float]) -> Column:

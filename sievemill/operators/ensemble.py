@@ -62,7 +62,7 @@ def _kappa(a: np.ndarray, b: np.ndarray) -> float:
     return 1 - len(a) * ((a - b) ** 2).sum() / due if due else 0.0
 
 
-def select_models(predictions: DataFrame, cdfs: DataFrame, *, bags: int = 10, fraction: float = 0.5, replacement: bool = False, top: int = 5, tries: int = 10, low: float = -1.0, high: float = 1.0, seed: int = 2015, most: int = 50) -> DataFrame:
+def select_models(predictions: DataFrame, cdfs: DataFrame, *, bags: int = 10, fraction: float = 0.5, replacement: bool = False, top: int = 5, tries: int = 10, low: float = -1.0, high: float = 1.0, seed: int = 2015) -> DataFrame:
     """bag, step, model, weight, kappa: each bag starts from its `top` best models and adds the model and weight that raise the mean kappa most, until none does.
 
     Bags are independent and run in parallel; a bag holds the validation
@@ -96,7 +96,7 @@ def select_models(predictions: DataFrame, cdfs: DataFrame, *, bags: int = 10, fr
         for j in models[:top]:
             add(j, 1.0)
         best = score(now) if out else 0.0
-        while len(out) < most:
+        while True:  # the mean kappa rises with each step
             found = None
             for j in models:
                 for w in rng.uniform(low, high, tries) * max(total, 1.0):

@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranking import ranked
+
 
 def row_index(df: DataFrame, order: str, name: str = "index") -> DataFrame:
     """Add the 0-based place in the order of a unique column."""
-    return df.withColumn(name, (F.row_number().over(W.orderBy(order)) - 1).cast("long"))
+    return ranked(df, [order], name)
 
 
 def one_hot_labels(df: DataFrame, column: str, classes: int = 4) -> DataFrame:
@@ -19,7 +21,7 @@ def one_hot_labels(df: DataFrame, column: str, classes: int = 4) -> DataFrame:
 
 def dictionary(df: DataFrame, column: str, name: str = "qid") -> DataFrame:
     """column, name: distinct values with their 1-based place in order."""
-    return df.select(column).distinct().withColumn(name, F.row_number().over(W.orderBy(column)).cast("long"))
+    return ranked(df.select(column).distinct(), [column], name).withColumn(name, F.col(name) + 1)
 
 
 def encode(df: DataFrame, known: DataFrame, column: str) -> DataFrame:
@@ -31,8 +33,8 @@ def stratified_folds(df: DataFrame, stratum: str, *, runs: int = 3, folds: int =
     """run, fold, and df's rows: each stratum is dealt to the folds in the order of an arithmetic key that differs by run."""
     out = df.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs))))
     key = (F.col("id") * 7919 + F.lit(seed) + 1000 * F.col("run")) % 10007 if key is None else key
-    place = F.row_number().over(W.partitionBy("run", stratum).orderBy(key, "id")) - 1
-    return out.withColumn("fold", (place % folds + 1).cast("int"))
+    out = ranked(out, [key, "id"], "__turn", ("run", stratum))
+    return out.withColumn("fold", (F.col("__turn") % folds + 1).cast("int")).drop("__turn")
 
 
 def splits(folded: DataFrame) -> DataFrame:
@@ -71,13 +73,18 @@ def pdf(cdfs: DataFrame, column: str) -> DataFrame:
 def sample_weights(split: DataFrame, variance: str = "variance") -> DataFrame:
     """Add weight = (1 + (m - sqrt v) / m) / 2, m the largest sqrt v of the training rows of (run, fold); 1 where m is 0."""
     root = F.sqrt(variance)
-    m = F.max(F.when(F.col("split") == "train", root)).over(W.partitionBy("run", "fold"))
-    return split.withColumn("m", m).withColumn("weight", F.when(F.col("m") > 0, (1 + (F.col("m") - root) / F.col("m")) / 2).otherwise(1.0)).drop("m")
+    most = split.where("split = 'train'").groupBy("run", "fold").agg(F.max(root).alias("m"))
+    rows = split.join(most, ["run", "fold"], "left")
+    return rows.select(*split.columns, F.when(F.col("m") > 0, (1 + (F.col("m") - root) / F.col("m")) / 2).otherwise(1.0).alias("weight"))
 
 
 def contiguous_folds(df: DataFrame, order: str, folds: int) -> DataFrame:
     """Add fold 1..k: runs of rows in order, the first ones longer by one where rows are left over."""
-    return df.withColumn("fold", F.ntile(folds).over(W.orderBy(order)))
+    rows = ranked(df, [order], "__turn").crossJoin(df.agg(F.count("*").alias("__n")))  # one row
+    size, more = F.expr(f"__n div {folds}"), F.expr(f"__n % {folds}")
+    long = F.col("__turn") < more * (size + 1)
+    fold = F.when(long, F.floor(F.col("__turn") / (size + 1))).otherwise(more + F.floor((F.col("__turn") - more * (size + 1)) / F.when(size > 0, size)))
+    return rows.withColumn("fold", (fold + 1).cast("int")).drop("__turn", "__n")
 
 
 def subset(df: DataFrame, ratio: float, seed: int, modulus: int = 10007) -> DataFrame:
@@ -85,12 +92,23 @@ def subset(df: DataFrame, ratio: float, seed: int, modulus: int = 10007) -> Data
     return df.withColumn("chosen", (F.col("id") * 104729 + seed) % modulus < ratio * modulus)
 
 
+#: Of the arithmetic draw: its modulus, and the running shares of 0 to 7 copies under Poisson(1).
+MODULUS = 2_147_483_647
+SHARES = [0.36787944117144233, 0.73575888234288467, 0.91969860292860584, 0.98101184312384626, 0.99634015317265637, 0.99940581518241840, 0.99991675885071204, 0.99998975080332538]
+
+
+def bootstrap_copies(seed: int) -> Column:
+    """How often a bootstrap takes the row: Poisson(1) from an arithmetic draw on id and seed."""
+    x = (F.pmod(F.col("id"), F.lit(MODULUS)) * 48271 + seed) % MODULUS
+    u = ((x * x) % MODULUS * 16807 + seed) % MODULUS
+    return sum(((u / float(MODULUS)) >= s).cast("int") for s in SHARES)
+
+
 def bootstrap(df: DataFrame, seed: int) -> DataFrame:
-    """Rows drawn with replacement, as many as there are on average: copies by Poisson(1) from a hash of id and seed."""
-    u = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    copies, total, p = F.lit(0), 0.0, 0.36787944117144233
-    for k in range(8):
-        total += p
-        copies = copies + (u >= total).cast("int")
-        p /= k + 1
-    return df.withColumn("copy", F.explode(F.array_repeat(F.lit(1), copies)))
+    """Rows drawn with replacement, as many as there are on average."""
+    return df.withColumn("copy", F.explode(F.array_repeat(F.lit(1), bootstrap_copies(seed))))
+
+
+def out_of_bag(df: DataFrame, seed: int) -> DataFrame:
+    """The rows that the bootstrap of the same seed doesn't take."""
+    return df.where(bootstrap_copies(seed) == 0)

@@ -60,6 +60,8 @@ class ForestConfig:
                 setattr(out, name, value.lower() != "false")
             else:
                 setattr(out, name, (int if kinds[name] == "int" else str if kinds[name] == "str" else float)(value))
+        if out.algorithm != "RGF" or out.loss not in _LOSSES:
+            raise ValueError(f"not built: algorithm {out.algorithm} with loss {out.loss}")
         out.test_interval = aligned_interval(out.test_interval, out.opt_interval)
         return out
 
@@ -121,7 +123,7 @@ def best_splits(scan: DataFrame, keys: tuple[str, ...] = ("node",)) -> DataFrame
 
 def apply_split(rows: DataFrame, split: DataFrame) -> DataFrame:
     """Rows (node, features array) moved to the child nodes le / gt of splits (node, feature, border, le, gt); others stay."""
-    out = rows.join(F.broadcast(split) if split.count() <= 10_000 else split, "node", "left")
+    out = rows.join(split, "node", "left")
     moved = F.when(F.col("features")[F.col("feature")] <= F.col("border"), F.col("le")).otherwise(F.col("gt"))
     return out.withColumn("node", F.when(F.col("feature").isNull(), F.col("node")).otherwise(moved)).select(rows.columns)
 
@@ -134,7 +136,7 @@ _LOSSES = {
 
 
 class _Growth:
-    """State of one forest while it grows; sibling-regularized variants keep the same growth and shrink differently."""
+    """State of one forest while it grows."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, w: np.ndarray, config: ForestConfig, nodes: pd.DataFrame | None):
         self.x, self.w, self.c = x, w, config

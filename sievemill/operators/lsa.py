@@ -6,13 +6,14 @@ import numpy as np
 from pyspark.mllib.linalg import Vectors
 from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranking import ranked
+
 
 def indexed_terms(vocab: DataFrame) -> DataFrame:
     """term, index in term order."""
-    return vocab.select("term", (F.row_number().over(W.orderBy("term")) - 1).cast("int").alias("index"))
+    return ranked(vocab.select("term"), ["term"], "index").withColumn("index", F.col("index").cast("int"))
 
 
 def fit_svd(weights: DataFrame, terms: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:

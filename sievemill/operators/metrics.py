@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranking import running_sums
+
 
 def confusion_matrix(df: DataFrame, a: str, b: str, low: int = 1, high: int = 4) -> DataFrame:
     """a, b, n for all pairs of ratings, 0 where there are none."""
@@ -67,9 +68,7 @@ def binary_report(df: DataFrame, p: str, y: str) -> DataFrame:
 def break_even(df: DataFrame, p: str, y: str) -> DataFrame:
     """best_f1, best_accuracy over all thresholds: rows in falling order of prediction, ties together."""
     per = df.groupBy(p).agg(F.sum((F.col(y) > 0).cast("double")).alias("pos"), F.count("*").alias("all"))
-    down = W.orderBy(F.col(p).desc()).rowsBetween(W.unboundedPreceding, 0)
-    whole = W.partitionBy(F.lit(1))
-    rows = per.select(F.sum("pos").over(down).alias("tp"), F.sum("all").over(down).alias("k"), F.sum("pos").over(whole).alias("t"), F.sum("all").over(whole).alias("n"))
+    rows = running_sums(per, [-F.col(p)], {"tp": F.col("pos"), "k": F.col("all")}).crossJoin(per.agg(F.sum("pos").alias("t"), F.sum("all").alias("n")))  # one row
     f1 = 2 * F.col("tp") / (F.col("k") + F.col("t"))
     accuracy = (F.col("tp") + (F.col("n") - F.col("t")) - (F.col("k") - F.col("tp"))) / F.col("n")
     return rows.agg(F.max(f1).alias("best_f1"), F.max(accuracy).alias("best_accuracy"))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.ngrams import _runs
+from .ranking import ranked
 
 
 def term_rows(df: DataFrame, words: str, low: int = 1, high: int = 1, join: str = " ", keys: tuple[str, ...] = ("id",)) -> DataFrame:
@@ -57,7 +58,7 @@ def row_cosine(a: DataFrame, b: DataFrame, ids: DataFrame) -> DataFrame:
 def one_hot(df: DataFrame, column: str, fit: DataFrame) -> DataFrame:
     """id, index, value: a 1 at the place of the value among the sorted values of `fit`; none for others."""
     seen = fit.select(column).where(F.col(column).isNotNull()).distinct()
-    place = seen.withColumn("index", (F.row_number().over(W.orderBy(column)) - 1).cast("int"))
+    place = ranked(seen, [column], "index").withColumn("index", F.col("index").cast("int"))
     return df.join(place, column).select("id", "index", F.lit(1).alias("value"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import decode, ensemble, folds, forest, learners, metrics
-from .fixtures import distributions, labelled, model_predictions, numeric_rows, read, split_samples
+from .fixtures import MODELS_SQL, distributions, labelled, model_predictions, numeric_rows, read, split_samples
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -134,6 +134,8 @@ def _built_in(name: str, shift: float = 0.0, **params):
         train, valid = _learner_rows(spark, sf)
         if shift:
             train = train.withColumn("label", F.col("label") - shift)
+        if name == "logistic":
+            train = learners.balanced_weights(train)
         out = learners.fit_predict(name, train, valid, params)
         return out.select("id", F.col("label").cast("int").alias("target"), (F.col("prediction") + shift).alias("prediction"))
 
@@ -150,14 +152,9 @@ for _name in ("softmax", "logistic"):
 @query()
 def learner_ranking(spark, sf):
     """A logistic model of feature differences within languages scores the documents."""
-    from pyspark.ml.classification import LogisticRegression
-
     train, valid = _learner_rows(spark, sf)
     group = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang")
-    rare = train.where("label <> 3").union(train.where("label = 3 and id % 9 = 0"))  # pairs of the common class carry no order
-    pairs = learners.ranking_pairs(rare.join(group, "id").select("lang", "label", F.col("x").alias("features")), "lang")
-    model = LogisticRegression(regParam=0.01, fitIntercept=False).fit(pairs.withColumn("features", array_to_vector("features")))
-    w = [float(c) for c in model.coefficients]
+    w = learners.rank_fit(train.join(group, "id").select("id", "lang", "label", F.col("x").alias("features")), "lang")
     score = sum((F.col("x")[i] * c for i, c in enumerate(w)), F.lit(0.0))
     return valid.select("id", F.col("label").cast("int").alias("target"), score.alias("prediction"))
 
@@ -193,32 +190,37 @@ def parameter_search(spark, sf):
 
 @query()
 def ensemble_selection(spark, sf):
-    """Bagged greedy selection among eight models."""
+    """Bagged greedy selection among eight models, until no model raises the mean kappa."""
     split = split_samples(spark, sf)
-    return ensemble.select_models(model_predictions(split), distributions(split), bags=2, top=2, tries=3, most=6)
+    return ensemble.select_models(model_predictions(split), distributions(split), bags=10, top=5, tries=10)
 
 
-@query()
+@query(f"""WITH {MODELS_SQL}, chosen AS (SELECT * FROM (VALUES (0, 'm1', 1.0::DOUBLE), (0, 'm2', 0.5::DOUBLE), (1, 'm3', 1.0::DOUBLE)) v(bag, model, weight)),
+b AS (SELECT bag, id * 100 + run * 10 + fold AS id, sum(weight * prediction) / sum(weight) AS prediction FROM predictions JOIN chosen USING (model) GROUP BY ALL), m AS (SELECT id, avg(prediction) AS prediction FROM b GROUP BY id),
+r AS (SELECT *, row_number() OVER (ORDER BY prediction, id) - 1 AS rk, count(*) OVER () AS n FROM m)
+SELECT id, round(prediction, 6) AS prediction, CAST(CASE WHEN rk < floor(n * 0.1::DOUBLE - 1) THEN 1 WHEN rk >= floor(n * 0.1::DOUBLE) AND rk < floor(n * 0.2::DOUBLE - 1) THEN 2 WHEN rk >= floor(n * 0.2::DOUBLE) AND rk < floor(n * 0.9::DOUBLE - 1) THEN 3 ELSE 4 END AS INT) AS score FROM r""")
 def ensemble_application(spark, sf):
-    """Ratings of a chosen ensemble."""
-    test = model_predictions(split_samples(spark, sf)).where("run = 1 and fold = 1").select("model", "id", "prediction")
+    """Ratings of a chosen ensemble, of all runs and folds."""
+    test = model_predictions(split_samples(spark, sf)).select("model", (F.col("id") * 100 + F.col("run") * 10 + F.col("fold")).alias("id"), "prediction")
     chosen = spark.createDataFrame([(0, "m1", 1.0), (0, "m2", 0.5), (1, "m3", 1.0)], "bag int, model string, weight double")
-    return ensemble.apply_ensemble(test, chosen, [0.1, 0.2, 0.9])
+    return ensemble.apply_ensemble(test, chosen, [0.1, 0.2, 0.9]).withColumn("prediction", F.round("prediction", 6))
 
 
-@query()
+@query(f"""WITH {MODELS_SQL}, r AS (SELECT prediction, row_number() OVER (PARTITION BY model, run, fold ORDER BY prediction, id) - 1 AS rk, count(*) OVER (PARTITION BY model, run, fold) AS n FROM predictions), k AS (SELECT * FROM (VALUES (1, 0.1::DOUBLE), (2, 0.2::DOUBLE), (3, 0.9::DOUBLE)) v(k, c))
+SELECT k, round(avg(prediction) * 1.5, 6) AS cutoff FROM r, k WHERE rk = (CAST(trunc(n * c - 1) AS BIGINT) % n + n) % n GROUP BY k""")
 def cutoff_rescaling(spark, sf):
-    """Mean cutoffs of the folds, scaled to a test set."""
-    rows = model_predictions(split_samples(spark, sf)).where("model = 'm1' and run = 1")
-    parts = [decode.cutoffs(rows.where(F.col("fold") == f), [0.1, 0.2, 0.9]) for f in (1, 2, 3)]
-    return ensemble.rescaled_cutoffs(parts[0].unionByName(parts[1]).unionByName(parts[2]), 300, 200)
+    """Mean cutoffs of all models' runs and folds, scaled to a test set."""
+    parts = decode.cutoffs(model_predictions(split_samples(spark, sf)), [0.1, 0.2, 0.9], keys=("model", "run", "fold"))
+    return ensemble.rescaled_cutoffs(parts, 300, 200).withColumn("cutoff", F.round("cutoff", 6))
 
 
-@query()
+@query(f"""WITH x AS (SELECT doc_id AS id, (doc_id % {folds.MODULUS} * 48271 + 2015) % {folds.MODULUS} AS x FROM documents), u AS (SELECT id, CAST((x * x % {folds.MODULUS} * 16807 + 2015) % {folds.MODULUS} AS DOUBLE) / {float(folds.MODULUS)}::DOUBLE AS u FROM x)
+SELECT id, CAST({' + '.join(f'CAST(u >= {s!r}::DOUBLE AS INT)' for s in folds.SHARES)} AS BIGINT) AS copies FROM u""")
 def bootstrap_sample(spark, sf):
-    """Documents drawn with replacement, and how often."""
-    rows = folds.bootstrap(read(spark, sf, "documents").select(F.col("doc_id").alias("id")), 2015)
-    return rows.groupBy("id").agg(F.count("*").alias("copies"))
+    """How often a bootstrap takes each document; 0 for those out of bag."""
+    docs = read(spark, sf, "documents").select(F.col("doc_id").alias("id"))
+    taken = folds.bootstrap(docs, 2015).groupBy("id").agg(F.count("*").alias("copies"))
+    return taken.unionByName(folds.out_of_bag(docs, 2015).withColumn("copies", F.lit(0).cast("long")))
 
 
 @query()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import permutations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -84,11 +85,11 @@ def _sql_rules(expr: str, rules) -> str:
     return expr
 
 
-UNITS = "SELECT doc_id, CAST(doc_id % 97 AS VARCHAR) || ' 16 gb, 64 g card 128g and 500 gb or 2 tb; 32 games ' || substr(text, 1, 200) AS s FROM documents"
+UNITS = "SELECT doc_id, CAST(doc_id % 97 AS VARCHAR) || ' 16 gb, 64 g card 128g and 500 gb or 2 tb; 32 games ' || text AS s FROM documents"
 
 
 def _units(spark, sf):
-    head = F.concat((F.col("doc_id") % 97).cast("string"), F.lit(" 16 gb, 64 g card 128g and 500 gb or 2 tb; 32 games "), F.substring("text", 1, 200))
+    head = F.concat((F.col("doc_id") % 97).cast("string"), F.lit(" 16 gb, 64 g card 128g and 500 gb or 2 tb; 32 games "), F.col("text"))
     return read(spark, sf, "documents").select("doc_id", head.alias("s"))
 
 
@@ -165,53 +166,67 @@ def stemmed_words(spark, sf):
     return stem_column(words, "word").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-@query()
+ANTONYMS = {"good": "bad", "of": "off", "the": "no"}
+NOT = "(CASE w[i] " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in ANTONYMS.items()) + " END)"
+
+
+@query(f"""WITH t AS (SELECT doc_id, list_concat(['not', 'good', 'not', 'not', 'of'], flatten(list_transform({tok('text')}, lambda x: CASE WHEN x = 'the' OR x = 'is' THEN ['not', x] ELSE [x] END))) AS w FROM documents)
+SELECT doc_id, array_to_string(list_filter(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN w[i] = 'not' AND {NOT.replace('w[i]', 'w[i + 1]')} IS NOT NULL THEN NULL WHEN i > 1 AND w[i - 1] = 'not' THEN coalesce({NOT}, w[i]) ELSE w[i] END), lambda x: x IS NOT NULL), ' ') AS words FROM t""")
 def negation_replacement(spark, sf):
-    """not x as x's antonym."""
-    w = F.concat(F.array(F.lit("not"), F.lit("good")), F.slice(text.tokens(F.col("text")), 1, 8))
-    return read(spark, sf, "benchmark").select("item_id", F.array_join(text.replace_negations(w, {"good": "bad", "of": "off"}), " ").alias("words"))
+    """not x as x's antonym, in documents with some words denied."""
+    denied = F.flatten(F.transform(text.tokens(F.col("text")), lambda x: F.when(x.isin("the", "is"), F.array(F.lit("not"), x)).otherwise(F.array(x))))
+    w = F.concat(F.array(*[F.lit(x) for x in ("not", "good", "not", "not", "of")]), denied)
+    return read(spark, sf, "documents").select("doc_id", F.array_join(text.replace_negations(w, ANTONYMS), " ").alias("words"))
 
 
 FOUR = "(CASE WHEN len(w) > 3 THEN list_transform(range(1, len(w) - 2), lambda i: w[i] || '_' || w[i + 1] || '_' || w[i + 2] || '_' || w[i + 3]) ELSE " + tri("w") + " END)"
-HEAD = "(SELECT item_id, list_slice(" + tok("text") + ", 1, CAST(item_id % 9 AS BIGINT)) AS w FROM benchmark)"
+ITEMS = "(SELECT item_id, " + tok("text") + " AS w FROM benchmark)"
+PARTS = "(SELECT p_partkey, " + tok("p_name || ' ' || p_type") + " AS w FROM part)"
+
+
+def _items(spark, sf):
+    return read(spark, sf, "benchmark").select("item_id", text.tokens(F.col("text")).alias("w"))
 
 
-def _heads(spark, sf):
-    return read(spark, sf, "benchmark").select("item_id", F.slice(text.tokens(F.col("text")), F.lit(1), (F.col("item_id") % 9).cast("int")).alias("w"))
+def _parts(spark, sf):
+    return read(spark, sf, "part").select("p_partkey", text.tokens(F.concat_ws(" ", "p_name", "p_type")).alias("w"))
 
 
-@query(f"SELECT item_id, array_to_string(w, ' ') AS unigrams, array_to_string({bi('w')}, ' ') AS bigrams, array_to_string({tri('w')}, ' ') AS trigrams, array_to_string({FOUR}, ' ') AS fourgrams FROM {HEAD}")
+@query(f"SELECT item_id, array_to_string(w, ' ') AS unigrams, array_to_string({bi('w')}, ' ') AS bigrams, array_to_string({tri('w')}, ' ') AS trigrams, array_to_string({FOUR}, ' ') AS fourgrams FROM {ITEMS}")
 def ngram_lists(spark, sf):
-    """Unigrams to fourgrams with their fallbacks, of lists of 0 to 8 words."""
+    """Unigrams to fourgrams of all benchmark items."""
     w = F.col("w")
     joined = lambda x: F.array_join(x, " ")
-    return _heads(spark, sf).select("item_id", joined(ngrams.unigrams(w)).alias("unigrams"), joined(ngrams.bigrams(w)).alias("bigrams"), joined(ngrams.trigrams(w)).alias("trigrams"), joined(ngrams.fourgrams(w)).alias("fourgrams"))
+    return _items(spark, sf).select("item_id", joined(ngrams.unigrams(w)).alias("unigrams"), joined(ngrams.bigrams(w)).alias("bigrams"), joined(ngrams.trigrams(w)).alias("trigrams"), joined(ngrams.fourgrams(w)).alias("fourgrams"))
 
 
 BT = "(CASE WHEN len(w) > 1 THEN flatten(list_transform(range(1, len(w)), lambda i: list_transform(range(i + 1, len(w) + 1), lambda j: w[i] || '_' || w[j]))) ELSE w END)"
 TT = "(CASE WHEN len(w) > 2 THEN flatten(list_transform(range(1, len(w) - 1), lambda i: flatten(list_transform(range(i + 1, len(w)), lambda j: list_transform(range(j + 1, len(w) + 1), lambda k: w[i] || '_' || w[j] || '_' || w[k]))))) ELSE " + BT + " END)"
 
 
-@query(f"SELECT item_id, array_to_string({BT}, ' ') AS biterms, array_to_string({TT}, ' ') AS triterms FROM {HEAD}")
+@query(f"SELECT p_partkey, array_to_string({BT}, ' ') AS biterms, array_to_string({TT}, ' ') AS triterms FROM {PARTS}")
 def term_combinations(spark, sf):
-    """All pairs and triples of words."""
-    return _heads(spark, sf).select("item_id", F.array_join(ngrams.biterms(F.col("w")), " ").alias("biterms"), F.array_join(ngrams.triterms(F.col("w")), " ").alias("triterms"))
+    """All pairs and triples of the words of each part's name and type."""
+    return _parts(spark, sf).select("p_partkey", F.array_join(ngrams.biterms(F.col("w")), " ").alias("biterms"), F.array_join(ngrams.triterms(F.col("w")), " ").alias("triterms"))
 
 
-@query()
+SKIP_BI = "(CASE WHEN len(w) > 1 THEN flatten(list_transform(range(1, len(w)), lambda i: list_transform(list_filter([1, 2], lambda k: i + k <= len(w)), lambda k: w[i] || '_' || w[i + k]))) ELSE w END)"
+SKIP_TRI = "(CASE WHEN len(w) > 2 THEN flatten(list_transform(range(1, len(w) - 1), lambda i: list_transform(list_filter([[1, 1], [1, 2], [2, 1], [2, 2]], lambda k: i + k[1] + k[2] <= len(w)), lambda k: w[i] || '_' || w[i + k[1]] || '_' || w[i + k[1] + k[2]]))) ELSE " + SKIP_BI + " END)"
+
+
+@query(f"SELECT item_id, array_to_string({SKIP_BI}, ' ') AS bigrams, array_to_string({SKIP_TRI}, ' ') AS trigrams FROM {ITEMS}")
 def skip_grams(spark, sf):
     """Pairs and triples with up to one word left out between neighbours."""
-    return _heads(spark, sf).select("item_id", F.array_join(ngrams.bigrams(F.col("w"), skip=1), " ").alias("bigrams"), F.array_join(ngrams.trigrams(F.col("w"), skip=1), " ").alias("trigrams"))
+    return _items(spark, sf).select("item_id", F.array_join(ngrams.bigrams(F.col("w"), skip=1), " ").alias("bigrams"), F.array_join(ngrams.trigrams(F.col("w"), skip=1), " ").alias("trigrams"))
 
 
 CO = lambda a, b: f"array_to_string(flatten(list_transform({a}, lambda x: list_transform({b}, lambda y: x || 'X' || y))), ' ')"
 
 
-@query(f"WITH {PAIRS_SQL}, t AS (SELECT conv_id, turn, list_slice({tok('query')}, 1, 6) AS q, list_slice({tok('title')}, 1, 6) AS p FROM turn_pairs) SELECT conv_id, turn, {CO('q', 'p')} AS uni_uni, {CO('q', bi('p'))} AS uni_bi, {CO(bi('q'), 'p')} AS bi_uni, {CO(bi('q'), bi('p'))} AS bi_bi, {CO('[' + chr(39) + 'qid' + chr(39) + ' || conv_id]', 'p')} AS id_uni, {CO('[' + chr(39) + 'qid' + chr(39) + ' || conv_id]', bi('p'))} AS id_bi FROM t")
+@query(f"WITH {PAIRS_SQL}, t AS (SELECT conv_id, turn, {tok('query')} AS q, {tok('title')} AS p FROM turn_pairs) SELECT conv_id, turn, {CO('q', 'p')} AS uni_uni, {CO('q', bi('p'))} AS uni_bi, {CO(bi('q'), 'p')} AS bi_uni, {CO(bi('q'), bi('p'))} AS bi_bi, {CO('[' + chr(39) + 'qid' + chr(39) + ' || conv_id]', 'p')} AS id_uni, {CO('[' + chr(39) + 'qid' + chr(39) + ' || conv_id]', bi('p'))} AS id_bi FROM t")
 def cooccurrence(spark, sf):
     """Terms of the query, or its id, with terms of the reply."""
-    head = lambda c: F.slice(text.tokens(F.col(c)), 1, 6)
-    rows = turn_pairs(spark, sf).select("conv_id", "turn", head("query").alias("q"), head("title").alias("p"))
+    rows = turn_pairs(spark, sf).select("conv_id", "turn", text.tokens(F.col("query")).alias("q"), text.tokens(F.col("title")).alias("p"))
     q, p, i = F.col("q"), F.col("p"), F.array(F.concat(F.lit("qid"), "conv_id"))
     pairs = {"uni_uni": (q, p), "uni_bi": (q, ngrams.bigrams(p)), "bi_uni": (ngrams.bigrams(q), p), "bi_bi": (ngrams.bigrams(q), ngrams.bigrams(p)), "id_uni": (i, p), "id_bi": (i, ngrams.bigrams(p))}
     return rows.select("conv_id", "turn", *[F.array_join(ngrams.cooccurrences(a, b), " ").alias(n) for n, (a, b) in pairs.items()])
@@ -225,15 +240,15 @@ def _two(spark, sf) -> DataFrame:
 G_SQL = T_SQL + f", g AS (SELECT conv_id, turn, q AS query_unigram, p AS title_unigram, {bi('q')} AS query_bigram, {bi('p')} AS title_bigram, {tri('q')} AS query_trigram, {tri('p')} AS title_trigram FROM t)"
 
 
-def _basic_sql() -> str:
+def _basic_sql(fields=("query", "title")) -> str:
     out = []
-    for f in ("query", "title"):
+    for f in fields:
         for g in ("unigram", "bigram", "trigram"):
             a = f"{f}_{g}"
             out += [f"CAST(len({a}) AS BIGINT) AS count_of_{f}_{g}", f"CAST(len(list_distinct({a})) AS BIGINT) AS count_of_unique_{f}_{g}", f"round({div(f'len(list_distinct({a}))', f'len({a})')}, 6) AS ratio_of_unique_{f}_{g}"]
         d = f"len(list_filter({f}_unigram, lambda w: regexp_full_match(w, '[0-9]+')))"
         out += [f"CAST({d} AS BIGINT) AS count_of_digit_in_{f}", f"round({div(d, f'len({f}_unigram)')}, 6) AS ratio_of_digit_in_{f}"]
-    return ", ".join([*out, "CAST(len(title_unigram) = 0 AS INT) AS title_missing"])
+    return ", ".join([*out, f"CAST(len({fields[-1]}_unigram) = 0 AS INT) AS {fields[-1]}_missing"])
 
 
 def _rounded(columns: dict) -> list:
@@ -246,13 +261,14 @@ def basic_counts(spark, sf):
     return _two(spark, sf).select("conv_id", "turn", *_rounded(counting.basic_counts(("query", "title"))))
 
 
-def _intersect_sql() -> str:
-    out = []
+def _intersect_sql(fields=("query", "title")) -> str:
+    out, q = [], fields[0]
     for g in ("unigram", "bigram", "trigram"):
-        q, p = f"query_{g}", f"title_{g}"
-        qp, pq = held(q, p), held(p, q)
-        out += [f"CAST({qp} AS BIGINT) AS count_of_query_{g}_in_title", f"round({div(qp, f'len({q})')}, 6) AS ratio_of_query_{g}_in_title", f"CAST({pq} AS BIGINT) AS count_of_title_{g}_in_query", f"round({div(pq, f'len({p})')}, 6) AS ratio_of_title_{g}_in_query"]
-        out += [f"round({div(pq, f'len({q})')}, 6) AS title_{g}_in_query_div_query_{g}", f"round({div(pq, qp)}, 6) AS title_{g}_in_query_div_query_{g}_in_title"]
+        n = {(a, b): held(f"{a}_{g}", f"{b}_{g}") for a, b in permutations(fields, 2)}
+        for (a, b), x in n.items():
+            out += [f"CAST({x} AS BIGINT) AS count_of_{a}_{g}_in_{b}", f"round({div(x, f'len({a}_{g})')}, 6) AS ratio_of_{a}_{g}_in_{b}"]
+        for f in fields[1:]:
+            out += [f"round({div(n[f, q], f'len({q}_{g})')}, 6) AS {f}_{g}_in_{q}_div_{q}_{g}", f"round({div(n[f, q], n[q, f])}, 6) AS {f}_{g}_in_{q}_div_{q}_{g}_in_{f}"]
     return ", ".join(out)
 
 
@@ -262,10 +278,10 @@ def intersect_counts(spark, sf):
     return _two(spark, sf).select("conv_id", "turn", *_rounded(counting.intersect_counts(("query", "title"))))
 
 
-def _stats_sql() -> str:
+def _stats_sql(fields=("query", "title")) -> str:
     out = []
     for g in ("unigram", "bigram", "trigram"):
-        for a, b in (("query", "title"), ("title", "query")):
+        for a, b in permutations(fields, 2):
             p = f"CAST({pos(f'{a}_{g}', f'{b}_{g}')} AS DOUBLE[])"
             for s, f in (("min", "list_min"), ("mean", "list_avg"), ("median", "list_median"), ("max", "list_max"), ("std", "list_stddev_pop")):
                 x = f"{f}({p})"
@@ -286,13 +302,17 @@ def set_distances(spark, sf):
     return _two(spark, sf).select("conv_id", "turn", *_rounded(counting.distances(("query", "title"))))
 
 
-@query()
+FIELDS = ("query", "title", "description")
+ALL_GRAMS = ", ".join(f"{c} AS {f}_{g}" for f in FIELDS for g, c in (("unigram", f), ("bigram", bi(f)), ("trigram", tri(f))))
+
+
+@query(f"WITH {SAMPLES_SQL}, t AS (SELECT id, relevance, variance, {', '.join(f'{tok(f)} AS {f}' for f in FIELDS)} FROM samples), g AS (SELECT id, relevance, variance, {ALL_GRAMS} FROM t) SELECT id, relevance, round(variance, 6) AS variance, {_basic_sql(FIELDS)}, {_intersect_sql(FIELDS)}, {_stats_sql(FIELDS)} FROM g")
 def counting_features(spark, sf):
     """All 262 counting features of the samples."""
-    rows = tokenized(samples(spark, sf), "query", "title", "description")
-    out = counting.counting_features(rows)
-    arrays_ = [f.name for f in out.schema if f.dataType.typeName() == "array"]
-    return out.drop(*arrays_, "query", "title", "description")
+    rows = tokenized(samples(spark, sf), *FIELDS)
+    out = counting.counting_features(rows, FIELDS)
+    plain = [f for f in out.schema if f.dataType.typeName() != "array" and f.name not in FIELDS]
+    return out.select(*[F.round(f.name, 6).alias(f.name) if f.dataType.typeName() == "double" else f.name for f in plain])
 
 
 @query(f"WITH {G_SQL} SELECT conv_id, turn, round(sqrt(CAST(len(query_unigram) AS DOUBLE)), 6) AS count_of_query_unigram, round({div('len(list_distinct(query_unigram))', 'len(query_unigram)')}, 6) AS ratio_of_unique_query_unigram FROM g")
@@ -337,7 +357,16 @@ def tfidf(spark, sf):
     return vectorize.tfidf(tf, vectorize.vocabulary(tf, n), n).select("id", "term", F.round("weight", 6).alias("weight"))
 
 
-@query()
+RUNS = f"""w AS (SELECT doc_id AS id, {tok('text')} AS w FROM documents), terms AS (SELECT id, unnest(w) AS term FROM w
+UNION ALL SELECT id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w
+UNION ALL SELECT id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM w),
+tf AS (SELECT id, term, count(*) AS tf FROM terms GROUP BY 1, 2)"""
+VOCAB = "vocab AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 3 AND count(*) <= 0.75 * (SELECT n FROM n))"
+WEIGHTS = """raw AS (SELECT id, term, (1 + ln(tf)) * (ln((1.0 + (SELECT n FROM n)) / (1 + df)) + 1) AS raw FROM tf JOIN vocab USING (term)),
+weights AS (SELECT id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)) AS weight FROM raw)"""
+
+
+@query(f"WITH n AS (SELECT count(*) AS n FROM documents), {RUNS}, {VOCAB}, {WEIGHTS} SELECT id, term, round(weight, 6) AS weight FROM weights")
 def tfidf_trigrams(spark, sf):
     """Weights of runs of one to three words."""
     tf, n = _tf(spark, sf, 3)
@@ -364,7 +393,9 @@ def row_cosine(spark, sf):
     return vectorize.row_cosine(weights["q"], weights["p"], rows.select("id")).select("id", F.round("similarity", 6).alias("similarity"))
 
 
-@query()
+@query(f"""WITH {PAIRS_SQL}, n AS (SELECT count(*) AS n FROM turn_pairs), t AS (SELECT conv_id * 1000 + turn AS id, {tok('query')} AS q, {tok('title')} AS p FROM turn_pairs),
+terms AS (SELECT id, unnest(flatten(list_transform(q, lambda x: list_transform(p, lambda y: x || 'X' || y)))) AS term FROM t), tf AS (SELECT id, term, count(*) AS tf FROM terms GROUP BY 1, 2),
+{VOCAB}, {WEIGHTS} SELECT id, term, round(weight, 6) AS weight FROM weights""")
 def cooccurrence_tfidf(spark, sf):
     """Weights of joined query and reply words, with a vocabulary of their own."""
     rows = turn_pairs(spark, sf).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), text.tokens(F.col("query")).alias("q"), text.tokens(F.col("title")).alias("p"))

@@ -238,12 +238,16 @@ def mean_kappa(spark, sf):
     return per.agg(F.round(metrics.mean_kappa(F.col("kappa"), F.ascii("g").cast("double")), 5).alias("mean_kappa"))
 
 
-@query()
+GRADED = "rated AS (SELECT lang AS g, CAST(doc_id % 4 + 1 AS INT) AS a, CAST((doc_id * 3 + doc_id % 5) % 4 + 1 AS INT) AS b FROM documents)"
+GROUPS = _kappa_sql("(a - b) * (a - b)").replace(R2, GRADED).replace("round(1 - n * o / e, 6)", "1 - n * o / e")
+
+
+@query(f"WITH k AS ({GROUPS}), z AS (SELECT 0.5 * ln((1 + k) / (1 - k)) AS z, w FROM (SELECT least(greatest(kappa, -0.999), 0.999) AS k, CAST(1 + length(g) AS DOUBLE) AS w FROM k)), m AS (SELECT sum(z * w) / sum(w) AS z FROM z) SELECT round((exp(2 * z) - 1) / (exp(2 * z) + 1), 6) AS mean_kappa FROM m")
 def grouped_mean_kappa(spark, sf):
     """Submission joined to solution, kappa of each group, weighted mean."""
     rows = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("set"), (F.col("doc_id") % 4 + 1).cast("int").alias("target"), (1 + F.length("lang")).cast("double").alias("weight"))
     submission = rows.select("id", ((F.col("id") * 3 + F.col("id") % 5) % 4 + 1).cast("int").alias("score"))
-    return metrics.grouped_kappa(rows, submission, "set")
+    return metrics.grouped_kappa(rows, submission, "set").withColumn("mean_kappa", F.round("mean_kappa", 6))
 
 
 B = "b AS (SELECT l_quantity - 25 AS p, CASE WHEN l_linenumber % 3 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS y FROM lineitem)"
@@ -298,7 +302,12 @@ def evaluation_loss(spark, sf):
     return k.groupBy("model").agg(F.round(-F.avg("kappa"), 6).alias("loss"))
 
 
-@query()
+@query(f"""WITH {MODEL_KAPPA}, dec AS (SELECT 'cdf' AS decoder, model, run, fold, target, score FROM s UNION ALL SELECT 'round', model, run, fold, target, CAST(least(greatest(round_even(prediction, 0), 1), 4) AS INT) FROM predictions UNION ALL SELECT 'ceil', model, run, fold, target, CAST(least(greatest(ceil(prediction), 1), 4) AS INT) FROM predictions),
+od AS (SELECT decoder, model, run, fold, CAST(count(*) AS DOUBLE) AS n, CAST(sum((score - target) * (score - target)) AS DOUBLE) AS o FROM dec GROUP BY ALL),
+da AS (SELECT decoder, model, run, fold, score AS a, count(*) AS na FROM dec GROUP BY ALL), db AS (SELECT decoder, model, run, fold, target AS b, count(*) AS nb FROM dec GROUP BY ALL),
+ed AS (SELECT decoder, model, run, fold, sum((a - b) * (a - b) * CAST(na AS DOUBLE) * nb) AS e FROM da JOIN db USING (decoder, model, run, fold) GROUP BY ALL),
+kd AS (SELECT decoder, 1 - n * o / e AS kappa FROM od JOIN ed USING (decoder, model, run, fold))
+SELECT decoder, round(avg(kappa), 6) AS kappa_mean, round(stddev_pop(kappa), 6) AS kappa_std FROM kd GROUP BY decoder""")
 def decoder_comparison(spark, sf):
     """Mean and deviation of kappa for three decoders."""
     cdf = _scored(spark, sf).select("run", "fold", "model", "target", "score").withColumn("decoder", F.lit("cdf"))
@@ -307,7 +316,7 @@ def decoder_comparison(spark, sf):
     simple = [rows.select("run", "fold", "model", "target", clip(f(F.col("prediction"))).alias("score")).withColumn("decoder", F.lit(n)) for n, f in (("round", decode.round_decode), ("ceil", decode.ceil_decode))]
     every = cdf.unionByName(simple[0]).unionByName(simple[1])
     k = metrics.kappa(every, "score", "target", keys=("decoder", "model", "run", "fold"))
-    return k.groupBy("decoder").agg(F.avg("kappa").alias("kappa_mean"), F.stddev_pop("kappa").alias("kappa_std"))
+    return k.groupBy("decoder").agg(F.round(F.avg("kappa"), 6).alias("kappa_mean"), F.round(F.stddev_pop("kappa"), 6).alias("kappa_std"))
 
 
 @query(f"WITH {MODELS_SQL} SELECT run, fold, id, round(avg(prediction), 6) AS prediction FROM predictions GROUP BY ALL")

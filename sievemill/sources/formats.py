@@ -19,9 +19,9 @@ def read_samples(spark: SparkSession, path: str, schema: str = SAMPLES) -> DataF
 
 def read_dictionary(spark: SparkSession, path: str) -> dict[str, str]:
     """A word list `word,replacement` without header; lines that start with # are skipped, of equal words the last counts."""
-    lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id()).where(~F.col("value").startswith("#"))
+    lines = _numbered(spark, path).where(~F.col("value").startswith("#"))
     cells = F.split("value", ",", 2)
-    rows = lines.where(F.size(cells) == 2).select("at", cells[0].alias("word"), cells[1].alias("to"))
+    rows = lines.where(F.size(cells) == 2).select(F.col("index").alias("at"), cells[0].alias("word"), cells[1].alias("to"))
     return {r.word: r.to for r in rows.groupBy("word").agg(F.max_by("to", "at").alias("to")).collect()}  # a lookup table, small by definition
 
 
@@ -54,8 +54,7 @@ def write_vector(df: DataFrame, column: str, path: str, order: str, digits: int
 
 def read_vector(spark: SparkSession, path: str, kind: str = "double") -> DataFrame:
     """index, value of a file with one number a line."""
-    lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
-    return lines.select((F.row_number().over(W.orderBy("at")) - 1).alias("index"), F.col("value").cast(kind).alias("value"))
+    return _numbered(spark, path).select("index", F.col("value").cast(kind).alias("value"))
 
 
 def write_predictions(df: DataFrame, path: str) -> None:
@@ -88,8 +87,18 @@ def feature_manifest(spark: SparkSession, names: list[str]) -> DataFrame:
 
 
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
-    lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
-    return lines.withColumn("index", F.row_number().over(W.orderBy("at")) - 1).drop("at")
+    """index, value of all lines, files by the numbers in their names and their names, lines in order.
+
+    A block of a file is one task's, which numbers its lines in order; blocks
+    are counted, and begin after those before them.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    blocks = lines.groupBy("file", "block").agg(F.count("*").alias("n"))
+    number = F.coalesce(F.regexp_extract("file", r"part-(\d+)[^/]*$", 1).try_cast("long"), F.lit(0))
+    before = W.orderBy(number, "file", "block").rowsBetween(W.unboundedPreceding, -1)  # one row a block
+    blocks = blocks.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    place = F.row_number().over(W.partitionBy("file", "block").orderBy("at")) - 1
+    return lines.withColumn("place", place).join(blocks, ["file", "block"]).select((F.col("base") + F.col("place")).alias("index"), "value")
 
 
 def read_dense(spark: SparkSession, path: str) -> DataFrame:

@@ -118,7 +118,7 @@ def test_ensemble_selection_never_falls(spark):
     rows = [(f"m{k}", 1, f, i, i % 4 + 1, float(i % 4 + R.normal() * k)) for k in (1, 2, 3) for f in (1, 2) for i in range(60)]
     preds = spark.createDataFrame(rows, "model string, run int, fold int, id long, target int, prediction double")
     cdfs = spark.createDataFrame([(1, f, [0.25, 0.5, 0.75]) for f in (1, 2)], "run int, fold int, cdf array<double>")
-    got = ensemble.select_models(preds, cdfs, bags=2, top=1, tries=4, most=5, fraction=1.0).toPandas().sort_values(["bag", "step"])
+    got = ensemble.select_models(preds, cdfs, bags=2, top=1, tries=4, fraction=1.0).toPandas().sort_values(["bag", "step"])
     for _, g in got.groupby("bag"):
         assert (g.kappa.diff().dropna() > 0).all() and abs(g.weight.sum()) > 0 and g.model.iloc[0] == "m1"
 
