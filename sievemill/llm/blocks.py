@@ -31,11 +31,11 @@ class Blocks:
 
 
 class HashTable:
-    """Places of 64-bit keys in a sorted array, behind a bitmap of the keys' high bits."""
+    """Places of 64-bit keys in a sorted array, behind a bitmap of the keys' high bits, `spare` more than count them."""
 
-    def __init__(self, keys: np.ndarray):
+    def __init__(self, keys: np.ndarray, spare: int = 5):
         self.keys = np.unique(keys)
-        bits = min(26, max(16, int(len(self.keys)).bit_length() + 5))
+        bits = min(26, max(16, int(len(self.keys)).bit_length() + spare))
         self.shift = U(64 - bits)
         self.seen = np.zeros(1 << bits, bool)
         self.seen[(self.keys >> self.shift).astype(np.int64)] = True

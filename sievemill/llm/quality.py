@@ -35,8 +35,10 @@ START, END = "\x02", "\x03"
 _MARKS = str.maketrans(dict.fromkeys((START, END, "\0"), "\ufffd"))
 #: Characters of an n-gram.
 ORDER = 6
-#: Rows of the model in a shard, about; shards that a worker holds; characters that are looked up at a time.
-SHARD, HELD, SLICE = 1_000_000, 6, 1 << 20
+#: Rows of the model in a shard, about; shards that a worker holds; characters that are looked up at a time; n-grams that a task counts before it hands them on.
+SHARD, HELD, SLICE, GATHERED = 1_000_000, 6, 1 << 20, 2_000_000
+#: Bits of the number of n-grams whose nats a worker remembers.
+KNOWN = 22
 #: Width of the bins, in nats a character, in which quantiles are counted.
 BIN = 0.001
 #: Average characters that a text's mean is drawn towards; the quantile of held-out documents that are kept; nats by which a limit lies beyond it; one of this many trusted documents is held out.
@@ -68,17 +70,28 @@ class Stream:
         inside = np.arange(len(self.points)) - np.repeat(first, self.sizes)
         self.at = np.flatnonzero(inside)
         self.depth = inside[self.at] + 1
+        self.summed = [np.zeros(len(self.points), U)]
 
     def sums(self, order: int) -> list[np.ndarray]:
         """For n = 0..order, a number for the n points up to each point."""
-        wide, out = self.points.astype(U) + U(1), [np.zeros(len(self.points), U)]
-        for n in range(order):
+        wide, out = self.points.astype(U) + U(1), self.summed
+        for n in range(len(out) - 1, order):
             more = out[-1].copy()
             more[n:] += wide[: len(wide) - n] * U(pow(int(_STEP), n, 1 << 64))
             out.append(more)
         return out
 
 
+    def keys(self, depth: np.ndarray, order: int) -> np.ndarray:
+        """Of each character, the key of the n-gram of `depth` points that ends with it."""
+        sums = self.sums(order)
+        out = _key(sums[order][self.at], order, 0)
+        for n in range(1, order):
+            own = np.flatnonzero(depth == n)
+            out[own] = _key(sums[n][self.at[own]], n, 0)
+        return out
+
+
 def _key(sums: np.ndarray, n: int, kind: int) -> np.ndarray:
     return mix(sums + U((n * 2 + kind + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
 
@@ -94,24 +107,35 @@ def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield lo, len(texts)
 
 
+def _unique(key: np.ndarray, count: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal keys as one, with their counts' sum."""
+    order = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.append(True, key[order[1:]] != key[order[:-1]]))
+    return key[order[first]], np.add.reduceat(count[order], first), grams[order[first]]
+
+
 def _gathered(order: int):
+    def rows(key: np.ndarray, count: np.ndarray, grams: np.ndarray) -> pa.RecordBatch:
+        texts = np.ascontiguousarray(grams).view(f"<U{order}").ravel().tolist()
+        return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(count)], names=["g", "c"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in batches:
             texts = [t for t in map(plain, batch.column(0).to_pylist()) if t]
             for lo, hi in _slices(texts):
                 stream = Stream(texts[lo:hi])
                 depth = np.minimum(stream.depth, order)
-                sums = stream.sums(order)
-                key = np.empty(len(depth), U)
-                for n in range(1, order + 1):
-                    own = depth == n
-                    key[own] = _key(sums[n][stream.at[own]], n, 0)
-                _, first, count = np.unique(key, return_index=True, return_counts=True)
-                depth, end = depth[first], stream.at[first]
-                column = np.arange(order)
-                grams = np.where(column < depth[:, None], stream.points[np.minimum(end[:, None] - depth[:, None] + 1 + column, len(stream.points) - 1)], 0).astype(np.uint32)
-                grams = np.ascontiguousarray(grams).view(f"<U{order}").ravel().tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(count.astype(np.int64))], names=["g", "c"])
+                key, first, count = np.unique(stream.keys(depth, order), return_index=True, return_counts=True)
+                depth, end, column = depth[first][:, None], stream.at[first][:, None], np.arange(order)
+                grams = np.where(column < depth, stream.points[np.minimum(end - depth + 1 + column, len(stream.points) - 1)], 0).astype(np.uint32)
+                held.append((key, count.astype(np.int64), grams))
+                if sum(len(x[0]) for x in held) > GATHERED:
+                    held = [_unique(*(np.concatenate(c) for c in zip(*held, strict=True)))]
+                    if len(held[0][0]) > GATHERED // 2:
+                        yield rows(*held.pop())
+        if held:
+            yield rows(*_unique(*(np.concatenate(c) for c in zip(*held, strict=True))))
 
     return run
 
@@ -156,6 +180,8 @@ class Model:
     """Shards of the model in the shared folder: the logarithms of probabilities and weights by n-gram."""
 
     _held: dict[tuple[str, int], tuple[HashTable, np.ndarray]] = {}
+    #: Nats of n-grams that were looked up, at a place by their key: a later one takes an earlier one's place.
+    _known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
     def __init__(self, path: str, number: int, order: int, letters: int):
         self.path, self.number, self.order, self.letters = path, number, order, letters
@@ -168,7 +194,7 @@ class Model:
             store, top = fs.FileSystem.from_uri(self.path)
             with store.open_input_file(f"{top}/shard-{s:06d}") as f:
                 keys, values = unpack(f.read())
-            held[self.path, s] = HashTable(keys), values
+            held[self.path, s] = HashTable(keys, 3), values
         return held[self.path, s]
 
     def find(self, keys: np.ndarray) -> np.ndarray:
@@ -184,6 +210,41 @@ class Model:
             out[own[hit]] = values[place]
         return out
 
+    def nats(self, stream: Stream) -> np.ndarray:
+        """Nats of each character: they follow from its longest n-gram, which is looked up once."""
+        if self.path not in Model._known:
+            Model._known.clear()
+            Model._known[self.path] = np.zeros(1 << KNOWN, U), np.zeros(1 << KNOWN)
+        keys, values = Model._known[self.path]
+        key = stream.keys(np.minimum(stream.depth, self.order), self.order)
+        slot = (key >> U(64 - KNOWN)).astype(np.int64)
+        total = values[slot]
+        miss = np.flatnonzero(keys[slot] != key)
+        if len(miss):
+            new, first, place = np.unique(key[miss], return_index=True, return_inverse=True)
+            found = self.looked_up(stream, miss[first])
+            total[miss] = found[place]
+            slot = (new >> U(64 - KNOWN)).astype(np.int64)
+            keys[slot], values[slot] = new, found
+        return total
+
+    def looked_up(self, stream: Stream, some: np.ndarray) -> np.ndarray:
+        """Nats of some characters: the longest n-gram that the model has, behind the weights of longer contexts."""
+        sums, total, open_ = stream.sums(self.order), np.zeros(len(some)), np.arange(len(some))
+        at, depth = stream.at[some], stream.depth[some]
+        for n in range(self.order, 0, -1):
+            ask = open_[depth[open_] >= n]
+            found = self.find(_key(sums[n][at[ask]], n, 0))
+            hit = ~np.isnan(found)
+            total[ask[hit]] += found[hit]
+            miss = ask[~hit]
+            total[miss] += np.nan_to_num(self.find(_key(sums[n - 1][at[miss] - 1], n - 1, 1)))
+            left = np.ones(len(total), bool)
+            left[ask[hit]] = False
+            open_ = open_[left[open_]]
+        total[open_] += np.log(self.letters)
+        return total
+
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(characters with one more, nats a character) of each text; NaN without words."""
         texts = [plain(t) for t in texts]
@@ -192,18 +253,7 @@ class Model:
         for lo, hi in _slices([texts[i] for i in some]):
             own = np.array(some[lo:hi])
             stream = Stream([texts[i] for i in own.tolist()])
-            sums, total, open_ = stream.sums(self.order), np.zeros(len(stream.at)), np.arange(len(stream.at))
-            for n in range(self.order, 0, -1):
-                ask = open_[stream.depth[open_] >= n]
-                found = self.find(_key(sums[n][stream.at[ask]], n, 0))
-                hit = ~np.isnan(found)
-                total[ask[hit]] += found[hit]
-                miss = ask[~hit]
-                total[miss] += np.nan_to_num(self.find(_key(sums[n - 1][stream.at[miss] - 1], n - 1, 1)))
-                left = np.ones(len(total), bool)
-                left[ask[hit]] = False
-                open_ = open_[left[open_]]
-            total[open_] += np.log(self.letters)
+            total = self.nats(stream)
             size = stream.sizes - 1
             chars[own] = size
             nats[own] = np.add.reduceat(total, np.cumsum(size) - size) / size
