@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .blocks import Blocks, HashTable
 from .packed import pack, unpack
-from .storage import fresh, small_batches, written
+from .storage import fresh, n_parts, small_batches, written
 from .words import U, mix
 
 #: Mark the start and the end of a text; in texts they, and U+0000, count as U+FFFD.
@@ -36,9 +36,9 @@ _MARKS = str.maketrans(dict.fromkeys((START, END, "\0"), "\ufffd"))
 #: Characters of an n-gram.
 ORDER = 6
 #: Rows of the model in a shard, about; shards that a worker holds; characters that are looked up at a time; n-grams that a task counts before it hands them on.
-SHARD, HELD, SLICE, GATHERED = 1_000_000, 6, 1 << 20, 2_000_000
+SHARD, HELD, SLICE, GATHERED = 1_000_000, 6, 1 << 19, 2_000_000
 #: Bits of the number of n-grams whose nats a worker remembers.
-KNOWN = 22
+KNOWN = 21
 #: Width of the bins, in nats a character, in which quantiles are counted.
 BIN = 0.001
 #: Average characters that a text's mean is drawn towards; the quantile of held-out documents that are kept; nats by which a limit lies beyond it; one of this many trusted documents is held out.
@@ -379,6 +379,7 @@ def fitted(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> tuple[Mode
     """(the model of the trusted documents that aren't held out, ids of those that are)."""
     trusted = written(trusted_ids(labels), "trusted")
     texts = small_batches(docs).select("doc_id", "text").join(trusted.where(~_held_out()).hint("merge"), "doc_id", "left_semi").select("text")
+    texts = texts.coalesce(-(-n_parts(docs.sparkSession) // 2))  # larger tasks hand on fewer counts
     return save(train(texts, order), order), trusted.where(_held_out())
 
 
