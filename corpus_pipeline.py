@@ -1,7 +1,8 @@
 """From raw documents to shuffled training shards.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
-as Parquet and read again as the next stage's docs.  Stages handle nulls in any
+as Parquet and read again as the next stage's docs; what a stage wrote on the
+way is deleted then.  Stages handle nulls in any
 column, empty texts, repeated rows, further columns and empty tables as the
 operators that they call state.
 """
@@ -13,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sievemill.llm import decontaminate, quality, stages
-from sievemill.llm.storage import written
+from sievemill.llm.storage import made, sweep, written
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -59,7 +60,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to the documents."""
-    docs = _read(spark, sf_dir, "documents")
+    docs, begun = _read(spark, sf_dir, "documents"), made()
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
+        if name != STAGES[-1][0]:  # the last stage's shards stay
+            sweep(spark, begun, docs)
     return docs

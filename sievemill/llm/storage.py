@@ -14,6 +14,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+#: Paths that this driver has handed out.
+_MADE: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,7 +34,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has used."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def made() -> int:
+    """How many paths have been handed out; `sweep` takes it."""
+    return len(_MADE)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def sweep(spark: SparkSession, since: int, kept: DataFrame) -> None:
+    """Delete what was written since `made` said so, but for the table `kept`, which no longer depends on it."""
+    own = {f.rpartition("/")[0].rpartition("/")[2] for f in kept.inputFiles()}
+    gone = [p for p in _MADE[since:] if p.rpartition("/")[2] not in own]
+    for path in gone:
+        _delete(spark, path)
+    _MADE[since:] = [p for p in _MADE[since:] if p not in gone]
 
 
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
@@ -47,8 +69,7 @@ def discard(*tables: DataFrame) -> None:
     for table in tables:
         spark = table.sparkSession
         for path in {f.rpartition("/")[0] for f in table.inputFiles()}:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
 
 
 def n_parts(spark: SparkSession) -> int:
