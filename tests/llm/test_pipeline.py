@@ -44,3 +44,14 @@ def test_stages(spark, tmp_path):
     assert ids[5] == ids[4] and set(columns) < set(held[5].columns)
     shards = Counter(r.shard for r in held[5].select("shard").collect())
     assert set(shards) == set(range(40)) and max(shards.values()) - min(shards.values()) <= 1
+
+
+def test_run_leaves_its_result_and_deletes_the_way_there(spark):
+    from sievemill.llm import storage
+
+    before = storage.made()
+    out = corpus_pipeline.run(spark, DATA)
+    got = out.select("doc_id", "shard").collect()
+    assert got and len({r.shard for r in got}) == 40
+    left = [p.rpartition("/")[2].rpartition("-")[0] for p in storage._MADE[before:]]
+    assert left == ["mixing", "shards", "sharding"]
