@@ -27,11 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import Blocks, HashTable
+from .packed import pack, unpack
 from .storage import small_batches, written
 from .words import ALNUM, SPACED, Words, buffers, slices, split
 
 #: Words of units in a table, about; counts that a task holds.
 TABLE, HELD = 1_000_000, 8_000_000
+#: Places of a table whose counts are packed in one value.
+PART = 1 << 16
 #: Sentences end at one of these bytes before white space or a closing sign.
 _STOP = np.isin(np.arange(256), list(b".!?"))
 _AFTER = ~SPACED | np.isin(np.arange(256), list(b"\"')]"))
@@ -102,12 +105,17 @@ class Weights:
 
 
 def _frequencies(tables: Blocks | list[HashTable]):
-    """(table, place, texts with the word) of all tables' words, and (-1, -1, texts); counts are added up before they are handed on."""
+    """(table, range of places, packed places and texts with the word) of all tables' words, and table -1 with the number of texts; a task adds its counts up first."""
+
+    def row(b: int, part: int, places: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([part], pa.int32()), pa.array([pack(places.astype(np.int32), counts)], pa.binary())], names=["b", "part", "body"])
 
     def handed(totals: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
         for b, total in totals.items():
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), b, np.int32)), pa.array(some), pa.array(total[some])], names=["b", "term", "n"])
+            for lo in range(0, len(total), PART):
+                some = np.flatnonzero(total[lo : lo + PART])
+                if len(some):
+                    yield row(b, lo // PART, some, total[lo + some])
         totals.clear()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,11 +135,38 @@ def _frequencies(tables: Blocks | list[HashTable]):
                 if sum(map(len, totals.values())) > HELD:
                     yield from handed(totals)
         yield from handed(totals)
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([-1], pa.int64()), pa.array([rows], pa.int64())], names=["b", "term", "n"])
+        yield row(-1, 0, np.zeros(1), np.array([rows], np.int64))
 
     return run
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of `_frequencies` in order -> (b, term, n)."""
+    last, total = None, np.zeros(PART, np.int64)
+
+    def out() -> pa.RecordBatch:
+        some = np.flatnonzero(total)
+        made = pa.RecordBatch.from_arrays([pa.array(np.full(len(some), last[0], np.int32)), pa.array(some + last[1] * PART), pa.array(total[some])], names=["b", "term", "n"])
+        total[:] = 0
+        return made
+
+    for batch in batches:
+        for b, part, body in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if last is not None and last != (b, part):
+                yield out()
+            last = b, part
+            places, counts = unpack(body)
+            total[places] += counts
+    if last is not None:
+        yield out()
+
+
+def _counted(files: DataFrame, tables: Blocks | list[HashTable]) -> DataFrame:
+    """(b, term, n): texts of `files` with each word of the tables; (-1, 0, n) has the number of texts."""
+    packed = files.select("text").mapInArrow(_frequencies(tables), "b int, part int, body binary")
+    return packed.repartition("b", "part").sortWithinPartitions("b", "part").mapInArrow(_summed, "b int, term bigint, n bigint")
+
+
 def _runs(key: np.ndarray, *ids: np.ndarray) -> tuple[list[int], list[int]]:
     """(bounds of the runs of equal ids, runs that have a word of `key`)."""
     new = np.zeros(len(ids[0]), bool)
@@ -218,10 +253,9 @@ def scan(files: DataFrame, templates: dict[str, list[str]] | None = None, least:
     """path, `keep`, license, similarity, share of every row of `files` (path, text): the best template of any unit, null below `least`; share of the words that is in notices."""
     weights = Weights(templates or TEMPLATES)
     files = small_batches(files)
-    kind = "b int, term bigint, n bigint"
-    counted = files.select("text").mapInArrow(_frequencies([weights.terms]), kind).groupBy("term").agg(F.sum("n").alias("n"))
-    df = {r.term: r.n for r in counted.collect()}  # one number for each term of the templates
-    n = df.get(-1, 0)
+    found = _counted(files, [weights.terms]).collect()  # one number for each term of the templates
+    df = {r.term: r.n for r in found if r.b == 0}
+    n = sum(r.n for r in found if r.b < 0)
     weights.fit(df, n, least)
     wanted = written(files.select("text").mapInArrow(_others(weights, least), "h bigint").distinct(), "wanted")
     number = -(-wanted.count() // TABLE) or 1
@@ -232,8 +266,7 @@ def scan(files: DataFrame, templates: dict[str, list[str]] | None = None, least:
 
     spark = files.sparkSession
     tables = Blocks(spark.sparkContext, (table(b) for b in range(number)))
-    counted = files.select("text").mapInArrow(_frequencies(tables), kind).groupBy("b", "term").agg(F.sum("n").alias("n"))
-    counted = written(counted, "frequencies")
+    counted = written(_counted(files, tables), "frequencies")
 
     def weighed(b: int) -> tuple[HashTable, np.ndarray]:
         keys, rows = table(b), counted.where(F.col("b") == b).toArrow()
