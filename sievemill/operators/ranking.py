@@ -21,13 +21,16 @@ def running_sums(df: DataFrame, order: list[Column | str], values: dict[str, Col
     rows = df.withColumns(dict(zip(names, [F.col(c) if isinstance(c, str) else c for c in order], strict=True)))
     n = rows.count()
     ranges = min(RANGES, n // ROWS + 1)
-    place = F.lit(0)
+    place = None
     if ranges > 1:
         seen = sorted({tuple(r) for r in rows.select(names).na.drop().sample(min(1.0, LOOKS * ranges / n), 1).collect()})
         kinds = [rows.schema[c].dataType for c in names]
         borders = [seen[i * len(seen) // ranges] for i in range(1, ranges)] if seen else []
         made = [F.struct(*[F.lit(v).cast(k).alias(c) for v, k, c in zip(b, kinds, names, strict=True)]) for b in borders]
-        place = F.size(F.filter(F.array(*made), lambda b: b < F.struct(*names))) if made else place
+        place = F.size(F.filter(F.array(*made), lambda b: b < F.struct(*names))) if made else None
+    if place is None:  # one range, which begins at nothing
+        upto = W.partitionBy(*keys, F.lit(1)).orderBy(*names).rowsBetween(W.unboundedPreceding, 0)
+        return rows.withColumns({k: F.sum(v).over(upto) for k, v in values.items()}).drop(*names)
     rows = rows.withColumn("__range", place).withColumns({f"__v_{k}": v for k, v in values.items()})
     total = rows.groupBy(*keys, "__range").agg(*[F.sum(f"__v_{k}").alias(f"__t_{k}") for k in values])
     before = W.partitionBy(*keys, F.lit(1)).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
