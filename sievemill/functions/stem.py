@@ -71,6 +71,27 @@ def porter(word: str) -> str:
     return word
 
 
+def stem_lists(df: DataFrame, columns: list[str], held: int = 200_000) -> DataFrame:
+    """`df` with every word of some array columns stemmed, in Arrow batches; a task remembers the stems of `held` words."""
+
+    def run(batches):
+        known: dict[str, str] = {}
+
+        def stem(word):
+            if word is None:
+                return None
+            if word not in known:
+                if len(known) >= held:
+                    known.clear()
+                known[word] = porter(word)
+            return known[word]
+
+        for batch in batches:
+            yield batch.assign(**{c: [None if x is None else [stem(w) for w in x] for x in batch[c]] for c in columns})
+
+    return df.mapInPandas(run, df.schema)
+
+
 def stem_column(words: DataFrame, column: str) -> DataFrame:
     """`words` with `column` stemmed: each distinct word once, joined back."""
 

@@ -27,6 +27,11 @@ def vocabulary(tf: DataFrame, n_docs: int, min_df: int = 3, max_df: float = 0.75
     return tf.groupBy("term").agg(F.count("*").alias("df")).where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
 
 
+def stacked_rows(df: DataFrame, fields: list[str]) -> DataFrame:
+    """field, id, words: the fields' word lists below each other, so that one vocabulary is fitted on all of them."""
+    return df.select("id", F.explode(F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f))])).alias("field", "words")).select("field", "id", "words")
+
+
 def bag_of_words(tf: DataFrame, vocab: DataFrame) -> DataFrame:
     """Counts of the vocabulary's terms."""
     return tf.join(vocab.select("term"), "term", "left_semi").select("id", "term", F.col("tf").cast("double").alias("weight"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays, ngrams, text
 from ..functions.stem import stem_column
 from ..operators import counting, lsa, pooling, vectorize
+from ..operators.preprocess import preprocess
 from .fixtures import PAIRS_SQL, SAMPLES_SQL, read, samples, tokenized, turn_pairs
 
 QUERIES: dict[str, Callable] = {}
@@ -141,6 +142,25 @@ def stop_words(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.array_join(text.without(text.tokens(F.col("text")), STOP), " ").alias("words"))
 
 
+WITHOUT = lambda c: f"list_filter({tok(c)}, lambda w: w NOT IN ({', '.join(repr(s) for s in STOP)}))"
+
+
+@query(f"WITH {PAIRS_SQL}, t AS (SELECT conv_id, turn, {WITHOUT('query')} AS q, {WITHOUT('title')} AS p FROM turn_pairs) SELECT conv_id, turn, array_to_string(q, ' ') AS query, array_to_string(p, ' ') AS title, CAST({held('q', 'p')} AS BIGINT) AS n_shared, round({jac('q', 'p')}, 6) AS jaccard FROM t")
+def preprocessed_words(spark, sf):
+    """Words without stop words of each user turn and its reply, and what they share."""
+    rows = preprocess(turn_pairs(spark, sf), ["query", "title"], stop=STOP, stem=False)
+    q, p = F.col("query_tokens"), F.col("title_tokens")
+    return rows.select("conv_id", "turn", F.array_join(q, " ").alias("query"), F.array_join(p, " ").alias("title"), arrays.intersect_count(q, p).alias("n_shared"), F.round(arrays.jaccard(q, p), 6).alias("jaccard"))
+
+
+@query()
+def preprocessed_features(spark, sf):
+    """All counting features of the samples' words without stop words, stemmed."""
+    rows = preprocess(samples(spark, sf).select("id", "query", "title", "description"), ["query", "title", "description"], stop=STOP)
+    out = counting.counting_features(rows)
+    return out.select(*[f.name for f in out.schema if f.dataType.typeName() not in ("array", "string")])
+
+
 @query(f"SELECT doc_id, CAST(len(list_filter({tok('text')}, lambda w: regexp_full_match(w, '[0-9]+'))) AS BIGINT) AS digits FROM documents")
 def digit_counts(spark, sf):
     """Words of digits in all documents."""
@@ -404,6 +424,20 @@ def cooccurrence_tfidf(spark, sf):
     return vectorize.tfidf(tf, vectorize.vocabulary(tf, n), n).select("id", "term", F.round("weight", 6).alias("weight"))
 
 
+STACK = f"""{PAIRS_SQL}, docs AS (SELECT conv_id * 1000 + turn AS id, {tok('query')} AS q, {tok('title')} AS p FROM turn_pairs), n AS (SELECT 2 * count(*) AS n FROM docs),
+tf AS (SELECT id, term, count(*) AS tf FROM (SELECT 'q:' || id AS id, unnest(q) AS term FROM docs UNION ALL SELECT 'p:' || id, unnest(p) FROM docs) GROUP BY 1, 2)"""
+
+
+@query(f"WITH {STACK}, {VOCAB}, {WEIGHTS} SELECT id, term, round(weight, 6) AS weight FROM weights")
+def stacked_fields(spark, sf):
+    """Weights of queries and replies under one vocabulary that is fitted on both, below each other."""
+    rows = turn_pairs(spark, sf).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), text.tokens(F.col("query")).alias("q"), text.tokens(F.col("title")).alias("p"))
+    rows = vectorize.stacked_rows(rows, ["q", "p"]).select(F.concat_ws(":", "field", "id").alias("id"), "words")
+    n = rows.count()
+    tf = vectorize.counts(vectorize.term_rows(rows, "words"))
+    return vectorize.tfidf(tf, vectorize.vocabulary(tf, n), n).select("id", "term", F.round("weight", 6).alias("weight"))
+
+
 @query("WITH p AS (SELECT DISTINCT lang FROM documents WHERE source < 'src5'), k AS (SELECT lang, CAST(row_number() OVER (ORDER BY lang) - 1 AS INT) AS index FROM p) SELECT doc_id AS id, index, 1 AS value FROM documents JOIN k USING (lang)")
 def one_hot_ids(spark, sf):
     """A 1 at the place of each document's language among those of some sources."""
