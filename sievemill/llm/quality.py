@@ -186,6 +186,12 @@ class Model:
     def __init__(self, path: str, number: int, order: int, letters: int):
         self.path, self.number, self.order, self.letters = path, number, order, letters
 
+    @staticmethod
+    def forget() -> None:
+        """Give the worker's memory back at the end of a task: the worker may do other work next."""
+        Model._held.clear()
+        Model._known.clear()
+
     def shard(self, s: int) -> tuple[HashTable, np.ndarray]:
         held = Model._held
         if (self.path, s) not in held:
@@ -318,6 +324,7 @@ def scores(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id",
         for batch in batches:
             chars, nats = model.score(batch.column(len(names)).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(chars), pa.array(nats, from_pandas=True)], names=[*names, "n_chars", "nats"])
+        model.forget()
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
     return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, f"{kinds}, n_chars bigint, nats double")
@@ -396,6 +403,7 @@ def _scored(docs: DataFrame, labels: DataFrame, order: int, q: float, keep: list
             chars, nats = model.score(batch.column(batch.schema.get_field_index("text")).to_pylist())
             own = [batch.column(batch.schema.get_field_index(c)) for c in keep]
             yield pa.RecordBatch.from_arrays([*own, pa.array(chars), pa.array(nats, from_pandas=True)], names=[*keep, *names.values()])
+        model.forget()
 
     kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
     rows = docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, f"{kinds}__n_chars bigint, __nats double")

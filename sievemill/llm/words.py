@@ -28,11 +28,16 @@ _POWERS: list[np.ndarray] = []
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The base's and its inverse's first powers; a worker keeps a million of them, longer rows are made anew."""
     if not _POWERS or len(_POWERS[0]) < n:
         size = max(n, 1 << 20)
         up, down = np.full(size, _BASE, U), np.full(size, _INVERSE, U)
         up[0] = down[0] = 1
-        _POWERS[:] = [np.cumprod(up, dtype=U), np.cumprod(down, dtype=U)]
+        np.cumprod(up, dtype=U, out=up)
+        np.cumprod(down, dtype=U, out=down)
+        if size > 1 << 20:
+            return up, down
+        _POWERS[:] = [up, down]
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
