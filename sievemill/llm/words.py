@@ -25,17 +25,19 @@ _BASE = U(0x9E3779B97F4A7C15)
 _INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _STEP = U(0xD6E8FEB86659FD93)
 _POWERS: list[np.ndarray] = []
+#: Bytes that are hashed at a time; a longer word is hashed by itself.
+STRETCH = 1 << 19
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The base's and its inverse's first powers; a worker keeps a million of them, longer rows are made anew."""
+    """The base's and its inverse's first powers; a worker keeps those for a stretch, longer rows are made anew."""
     if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, STRETCH + 1)
         up, down = np.full(size, _BASE, U), np.full(size, _INVERSE, U)
         up[0] = down[0] = 1
         np.cumprod(up, dtype=U, out=up)
         np.cumprod(down, dtype=U, out=down)
-        if size > 1 << 20:
+        if size > STRETCH + 1:
             return up, down
         _POWERS[:] = [up, down]
     return _POWERS[0][:n], _POWERS[1][:n]
@@ -63,10 +65,21 @@ class Words:
         """64-bit hash of each word's bytes, the same in any batch."""
         if not len(self.start):
             return np.empty(0, U)
-        up, down = _powers(len(self.low) + 1)
-        total = np.zeros(len(self.low) + 1, U)
-        np.cumsum((self.low.astype(U) + U(1)) * up[:-1], dtype=U, out=total[1:])
-        return mix((total[self.end] - total[self.start]) * down[self.start])
+        out = np.empty(len(self.start), U)
+        i = 0
+        while i < len(out):  # whole words of about STRETCH bytes at a time: a long text needs no more memory than a short one
+            low = self.start[i]
+            j = max(i + 1, int(np.searchsorted(self.end, low + STRETCH, "right")))
+            start, end = self.start[i:j] - low, self.end[i:j] - low
+            up, down = _powers(int(end[-1]) + 1)
+            total = np.zeros(int(end[-1]) + 1, U)
+            total[1:] = self.low[low : self.end[j - 1]]
+            total[1:] += U(1)
+            total[1:] *= up[:-1]
+            np.cumsum(total, dtype=U, out=total)
+            out[i:j] = mix((total[end] - total[start]) * down[start])
+            i = j
+        return out
 
     def owner(self) -> np.ndarray:
         """The text of each word."""

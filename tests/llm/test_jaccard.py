@@ -161,3 +161,22 @@ def test_stage_keeps_one_of_each_group(spark):
     assert got.columns == docs.columns
     assert sorted(r.doc_id for r in got.collect() if r.doc_id is not None) == sorted(i for i, (_, c) in want.items() if c == i)
     assert got.where("doc_id is null").count() == 2
+
+
+def test_hashes_do_not_depend_on_the_stretch(monkeypatch):
+    import pyarrow as pa
+
+    from sievemill.llm import words
+
+    texts = ["", "a", "Long " * 500 + "x" * 900, None, "été und so weiter", "x" * 5000, "a b  a"]
+    data, at = words.buffers(pa.array(texts))
+    whole = words.split(data, at, words.SPACED)
+    want = whole.hashes()
+    for stretch in (1, 7, 64, 1000):
+        monkeypatch.setattr(words, "STRETCH", stretch)
+        monkeypatch.setattr(words, "_POWERS", [])
+        assert (whole.hashes() == want).all()
+    by = {}
+    for i, h in enumerate(want.tolist()):
+        by.setdefault(bytes(whole.low[whole.start[i] : whole.end[i]]), set()).add(h)
+    assert all(len(x) == 1 for x in by.values()) and len(set.union(*by.values())) == len(by)
