@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark import Broadcast, SparkContext
 
 from .words import U
@@ -49,3 +51,11 @@ class HashTable:
         at[at == len(self.keys)] = 0
         hit = self.keys[at] == h[maybe]
         return maybe[hit], at[hit]
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system, where the C library can: a worker's next task may be another stage's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .blocks import Blocks, HashTable
+from .blocks import Blocks, HashTable, give_back
 from .packed import pack, unpack
 from .storage import fresh, n_parts, small_batches, written
 from .words import U, mix
@@ -191,6 +191,7 @@ class Model:
         """Give the worker's memory back at the end of a task: the worker may do other work next."""
         Model._held.clear()
         Model._known.clear()
+        give_back()
 
     def shard(self, s: int) -> tuple[HashTable, np.ndarray]:
         held = Model._held
