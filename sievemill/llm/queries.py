@@ -115,6 +115,38 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses(docs.select(path.alias("path"), "text", "doc_id"), keep=("doc_id",))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 16 whitened components of all embeddings."""
+    from .whitening import whiten
+
+    return whiten(_read(spark, sf_dir, "embeddings"), 16)
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their components within three bits."""
+    from .simhash import near_copies
+
+    return near_copies(_read(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of all documents, some with planted ones, and digests of the runs and of what is left without them."""
+    from .periodic import periodic_runs, planted
+
+    found = periodic_runs(planted(_read(spark, sf_dir, "documents").select("doc_id", "text")))
+    line = lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "strongest.start",
+        "strongest.length",
+        "strongest.period",
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_jaccard_join": op2_jaccard_join,
@@ -126,6 +158,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_token_counts": op9_token_counts,
     "op10_licenses": op10_licenses,
+    "op11_whitening": op11_whitening,
+    "op12_simhash": op12_simhash,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {"op1_warc": OP1_SQL}

@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 U = np.uint64
 _BYTES = np.arange(256)
 LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
+SAME = _BYTES.astype(np.uint8)
 #: Words between white space: [^\x20\x09-\x0D]+
 SPACED = ~((_BYTES == 0x20) | ((_BYTES >= 0x09) & (_BYTES <= 0x0D)))
 #: Words of letters and digits, after lower-casing: [^\x00-\x2F\x3A-\x60\x7B-\x7F]+
@@ -85,6 +86,20 @@ class Words:
         """The text of each word."""
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
+    def spaced(self) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes, place of each word in them): the words in order with one space between every two."""
+        size = self.end - self.start
+        place = np.cumsum(size + 1) - size - 1
+        out = np.full(int(size.sum()) + max(0, len(size) - 1), 0x20, np.uint8)
+        i = 0
+        while i < len(size):
+            j = max(i + 1, int(np.searchsorted(place, place[i] + STRETCH, "right")) - 1) if i + 1 < len(size) else len(size)
+            n = size[i:j]
+            at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            out[np.repeat(place[i:j], n) + at] = self.low[np.repeat(self.start[i:j], n) + at]
+            i = j
+        return out, place
+
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets of a string column; null counts as empty."""
@@ -108,9 +123,9 @@ def slices(at: np.ndarray, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
         row = stop
 
 
-def split(data: np.ndarray, at: np.ndarray, alphabet: np.ndarray) -> Words:
-    """Lower-case A-Z and split; `at` are the texts' offsets into `data`."""
-    low = LOWER[data[at[0] : at[-1]]]
+def split(data: np.ndarray, at: np.ndarray, alphabet: np.ndarray, fold: np.ndarray = LOWER) -> Words:
+    """Lower-case A-Z, or fold bytes otherwise, and split; `at` are the texts' offsets into `data`."""
+    low = fold[data[at[0] : at[-1]]]
     at = at - at[0]
     inside = alphabet[low]
     before, after = np.zeros(len(low), bool), np.zeros(len(low), bool)
