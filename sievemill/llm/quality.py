@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .blocks import Blocks, HashTable, give_back
 from .packed import pack, unpack
-from .storage import fresh, n_parts, small_batches, written
+from .storage import free, fresh, n_parts, small_batches, written
 from .words import U, mix
 
 #: Mark the start and the end of a text; in texts they, and U+0000, count as U+FFFD.
@@ -36,9 +36,11 @@ _MARKS = str.maketrans(dict.fromkeys((START, END, "\0"), "\ufffd"))
 #: Characters of an n-gram.
 ORDER = 6
 #: Rows of the model in a shard, about; shards that a worker holds; characters that are looked up at a time; n-grams that a task counts before it hands them on.
-SHARD, HELD, SLICE, GATHERED = 1_000_000, 6, 1 << 19, 2_000_000
+SHARD, HELD, SLICE, GATHERED = 1_000_000, 4, 1 << 18, 1_000_000
 #: Bits of the number of n-grams whose nats a worker remembers.
 KNOWN = 21
+#: Bits of the map of trusted ids that goes to all tasks: 8 MB, whatever there are.
+MARKS = 1 << 26
 #: Width of the bins, in nats a character, in which quantiles are counted.
 BIN = 0.001
 #: Average characters that a text's mean is drawn towards; the quantile of held-out documents that are kept; nats by which a limit lies beyond it; one of this many trusted documents is held out.
@@ -370,12 +372,12 @@ def _tables(found: DataFrame) -> tuple[Blocks, tuple | None]:
 
 
 def _judged(batch: pa.RecordBatch, tables: Blocks, other: tuple | None) -> tuple[list, list[bool], list[str]]:
-    """(limits, keep, where the limits are from) of rows with lang, n_chars and nats."""
+    """(limits, keep, where the limits are from) of rows with lang, the last two columns being characters and nats."""
     langs = batch.column(batch.schema.get_field_index("lang")).to_pylist()
     found: dict = {}
     for table in tables:
         found.update({x: table[x] for x in set(langs) if x in table})
-    chars, nats = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("__n_chars", "__nats"))
+    chars, nats = (c.to_pylist() for c in batch.columns[-2:])
     limit = [found.get(x, other) for x in langs]
     keep = []
     for x, n, t in zip(nats, chars, limit, strict=True):
@@ -383,33 +385,46 @@ def _judged(batch: pa.RecordBatch, tables: Blocks, other: tuple | None) -> tuple
     return limit, keep, ["lang" if x in found else "all" if other else "none" for x in langs]
 
 
+def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of (doc_id, text) whose doc_id is among `ids`.
+
+    A map of MARKS bits by the ids' hashes drops nearly all others, unless the
+    ids are about as many as bits; only what is left is shuffled to be joined.
+    """
+    mark = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS)) + 1
+    bits = ids.select(mark.alias("mark")).groupBy(F.bitmap_bucket_number("mark").alias("bucket"))
+    bits = written(bits.agg(F.bitmap_construct_agg(F.bitmap_bit_position("mark")).alias("bits")), "trusted-bits")
+    rows = docs.select("doc_id", "text", F.bitmap_bucket_number(mark).alias("bucket"), F.bitmap_bit_position(mark).alias("at"))
+    rows = rows.join(F.broadcast(bits), "bucket")
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(at div 8 + 1 as int), 1)")), 16, 10).cast("int")
+    rows = rows.where(byte.bitwiseAND(F.expr("shiftleft(1, cast(at % 8 as int))")) != 0)
+    return rows.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left_semi")
+
+
 def fitted(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> tuple[Model, DataFrame]:
     """(the model of the trusted documents that aren't held out, ids of those that are)."""
     trusted = written(trusted_ids(labels), "trusted")
-    texts = small_batches(docs).select("doc_id", "text").join(trusted.where(~_held_out()).hint("merge"), "doc_id", "left_semi").select("text")
+    texts = _chosen(small_batches(docs), trusted.where(~_held_out())).select("text")
     texts = texts.coalesce(-(-n_parts(docs.sparkSession) // 2))  # larger tasks hand on fewer counts
     return save(train(texts, order), order), trusted.where(_held_out())
 
 
 def _scored(docs: DataFrame, labels: DataFrame, order: int, q: float, keep: list[str]) -> tuple[DataFrame, Blocks, tuple | None]:
-    """`keep`, __n_chars and __nats of all rows, scored once and written, and the limits from the held-out ones among them."""
+    """`keep`, then characters and nats of all rows, scored once and written, and the limits from the held-out ones among them."""
     model, held = fitted(docs, labels, order)
-    names = {"n_chars": "__n_chars", "nats": "__nats"}
-    taken = set(names.values()) & set(keep)
-    if taken:
-        raise ValueError(f"column names in use: {sorted(taken)}")
+    n_chars, nats_ = free(keep, "__n_chars", "__nats")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             chars, nats = model.score(batch.column(batch.schema.get_field_index("text")).to_pylist())
             own = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(chars), pa.array(nats, from_pandas=True)], names=[*keep, *names.values()])
+            yield pa.RecordBatch.from_arrays([*own, pa.array(chars), pa.array(nats, from_pandas=True)], names=[*keep, n_chars, nats_])
         model.forget()
 
     kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    rows = docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, f"{kinds}__n_chars bigint, __nats double")
+    rows = docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, f"{kinds}`{n_chars}` bigint, `{nats_}` double")
     rows = written(rows, "scores")
-    known = rows.select("doc_id", "lang", F.col("__n_chars").alias("n_chars"), F.col("__nats").alias("nats")).join(held, "doc_id", "left_semi")
+    known = rows.select("doc_id", "lang", F.col(n_chars).alias("n_chars"), F.col(nats_).alias("nats")).join(held, "doc_id", "left_semi")
     return rows, *_tables(limits(known, q))
 
 
@@ -439,7 +454,10 @@ def classify(docs: DataFrame, labels: DataFrame, *, order: int = ORDER, q: float
 
 
 def accepted(docs: DataFrame, labels: DataFrame, *, order: int = ORDER, q: float = QUANTILE) -> DataFrame:
-    """The rows of `docs`, all columns, that `classify` keeps; scored once and written with their scores, so no text is shuffled for it."""
+    """The rows of `docs`, all columns of whatever names, that `classify` keeps; scored once and written with their scores, so no text is shuffled for it.
+
+    Nulls, empty texts, repeated rows and empty tables count as `classify` says.
+    """
     names = docs.columns
     rows, tables, other = _scored(docs, labels, order, q, names)
 

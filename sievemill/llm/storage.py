@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,7 +51,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 def sweep(spark: SparkSession, since: int, kept: DataFrame) -> None:
     """Delete what was written since `made` said so, but for the table `kept`, which no longer depends on it."""
-    own = {f.rpartition("/")[0].rpartition("/")[2] for f in kept.inputFiles()}
+    own = {part for f in kept.inputFiles() for part in f.split("/")[:-1]}
     gone = [p for p in _MADE[since:] if p.rpartition("/")[2] not in own]
     for path in gone:
         _delete(spark, path)
@@ -72,6 +73,17 @@ def discard(*tables: DataFrame) -> None:
             _delete(spark, path)
 
 
+def free(taken: Iterable[str], *names: str) -> list[str]:
+    """`names`, each with as many underscores behind as it takes to be none of `taken`, nor the same but for case."""
+    used, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def n_parts(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
