@@ -61,8 +61,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to the documents."""
     docs, begun = _read(spark, sf_dir, "documents"), made()
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
-        if name != STAGES[-1][0]:  # the last stage's shards stay
-            sweep(spark, begun, docs)
+        sweep(spark, begun, docs)
+    docs = STAGES[-1][1](spark, docs, sf_dir)  # reads what it has written: the shards
+    sweep(spark, begun, docs)
     return docs

@@ -232,7 +232,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
 
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
-    """The rows of `docs`, all columns, that hold no window of the benchmark."""
+    """The rows of `docs`, all columns of whatever names, that hold no window of the benchmark.
+
+    Null and empty texts hold none; repeated rows and null ids are rows like any
+    other; an empty table stays empty, an empty benchmark drops nothing.
+    """
     found = finder(docs, benchmark, text_col=text_col, **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

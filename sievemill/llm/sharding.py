@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from .storage import fresh, n_parts, small_batches
 
-_OWN = {"__bucket", "__part", "__row", "__shard", "__slot"}
+OWN = {"__bucket", "__part", "__row", "__shard", "__slot"}
 
 
 def _row_hash(docs: DataFrame, seed: int) -> F.Column:
@@ -65,10 +65,10 @@ def shuffle_to_shards(docs: DataFrame, shards: int = 40, *, seed: int = 20, buck
     scattered by their other columns; rows that are equal in all columns share
     a bucket, which is permuted in pieces of four times `bucket_bytes` if they
     are very many.  A row must fit a worker's memory.  Columns of `docs` named
-    as in _OWN are an error; an empty table writes none.
+    as in OWN are an error; an empty table writes none.
     """
     spark, path = docs.sparkSession, path or fresh(docs.sparkSession, "shards")
-    taken = _OWN & set(docs.columns)
+    taken = OWN & set(docs.columns)
     if taken:
         raise ValueError(f"column names in use: {sorted(taken)}")
     weighed = small_batches(docs).agg(F.sum(_row_bytes(docs))).first()[0] or 0

@@ -54,4 +54,25 @@ def test_run_leaves_its_result_and_deletes_the_way_there(spark):
     got = out.select("doc_id", "shard").collect()
     assert got and len({r.shard for r in got}) == 40
     left = [p.rpartition("/")[2].rpartition("-")[0] for p in storage._MADE[before:]]
-    assert left == ["mixing", "shards", "sharding"]
+    assert left == ["shards"]
+
+
+CLASHES = ["__turn", "__id", "__source", "__size", "__copies", "__held", "__own", "__n_chars", "__nats", "nats", "shard", "__Slot", "__bucket", "label", "size", "taken", "bin", "key"]
+
+
+def test_stages_keep_columns_of_their_own_names(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(60)
+    odd = docs.unionByName(docs.limit(2)).unionByName(docs.limit(2).withColumn("doc_id", F.lit(None).cast("long"))).unionByName(docs.limit(1).withColumn("text", F.lit(None).cast("string")))
+    plain = odd.withColumns({c: F.lit(i) for i, c in enumerate(CLASHES)})
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        got = stage(spark, plain, DATA)
+        rows = got.collect()
+        assert rows and stage(spark, plain.limit(0), DATA).collect() == []
+        if i < 4:
+            assert got.columns == plain.columns
+            assert all(r[c] == j for r in rows for j, c in enumerate(CLASHES))
+        else:
+            assert len(rows) == plain.count() and len(set(got.columns)) == len(got.columns) == len(plain.columns) + 2
+            assert {r["shard_"] for r in rows} == {CLASHES.index("shard")} and all(r["shard"] in range(40) and r["__nats"] == CLASHES.index("__nats") for r in rows)
