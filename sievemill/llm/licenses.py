@@ -2,13 +2,17 @@
 
 Units are the whole text (licence files), its blocks between lines without words,
 its lines (headers), its sentences, also cut at line ends, and runs of as many
-sentences as a template has.  A unit can reach the wanted similarity with a
-template only if it has one of the template's heaviest terms: those whose
-absence leaves less than that share of its norm.  Of these, units that are
-still below it if every other word weighs the least there is, 1, are dropped.
+sentences as a template has.  The product of a unit with a template is a sum
+over its words, so it follows for all units at once from running sums.  A unit
+can reach the wanted similarity with a template only if it has one of the
+template's heaviest terms, those whose absence leaves less than that share of
+its norm, and if the product suffices for a unit in which no word occurs twice
+and every word that is in no template weighs the least there is, 1.  Of these,
+units whose counted terms don't suffice are dropped.
+
 All words of the remaining units are weighed by their document frequencies in
-all texts: a pass counts the templates' terms, a second lists the other words
-of the remaining units, a third counts those, in tables of a bounded size.
+all texts: the spans are written with their other words, these are counted in
+all texts behind a bitmap of a fixed size, and the counts are joined to them.
 
 A text of which notices make up half is a licence file of its directory.  Files
 without a notice of their own take that of the nearest directory above.
@@ -17,24 +21,22 @@ Directories, not files, are joined to their ancestors.
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Blocks, HashTable
-from .packed import pack, unpack
+from .blocks import HashTable
 from .storage import small_batches, written
-from .words import ALNUM, SPACED, Words, buffers, slices, split
+from .words import ALNUM, SPACED, U, Words, buffers, slices, split
 
-#: Words of units in a table, about; counts that a task holds.
-TABLE, HELD = 1_000_000, 8_000_000
-#: Places of a table whose counts are packed in one value.
-PART = 1 << 16
+#: Bits, as a power of two, of the map of words that are counted: 8 MB, whatever there are; word counts that a task holds.
+MARKS, HELD = 26, 2_000_000
+#: Entries of a table of units and terms.
+TABLE = 1 << 21
 #: Sentences end at one of these bytes before white space or a closing sign.
 _STOP = np.isin(np.arange(256), list(b".!?"))
 _AFTER = ~SPACED | np.isin(np.arange(256), list(b"\"')]"))
@@ -68,215 +70,215 @@ def _parts(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Weights:
-    """Templates as unit vectors of hashed terms, and the weight of every term."""
+    """Templates as unit vectors of hashed terms: `vectors` has a row a template and a column a term."""
 
     def __init__(self, templates: dict[str, list[str]]):
         self.names = [name for name in sorted(templates) for _ in templates[name]]
         words = _texts([t for name in sorted(templates) for t in templates[name]])
-        hashes = words.hashes().tolist()
-        self.counts = [Counter(hashes[a:b]) for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
-        self.terms = HashTable(np.array(hashes, np.uint64))
+        self.terms = HashTable(words.hashes())
+        term = np.searchsorted(self.terms.keys, words.hashes())
+        size = len(self.terms.keys)
+        self.counts = np.bincount(words.owner() * size + term, minlength=len(self.names) * size).reshape(-1, size)
         sentence = _parts(words)[2]
         self.runs = sorted({len(np.unique(sentence[a:b])) for a, b in zip(words.first[:-1], words.first[1:], strict=True)} - {0, 1})
 
-    def fit(self, df: dict[int, int], n: int, least: float) -> None:
-        """df: texts with the term at a place of `terms`; n: all texts; least: the wanted similarity."""
-        self.weight = {int(h): math.log((1 + n) / (1 + df.get(i, 0))) + 1 for i, h in enumerate(self.terms.keys)}
-        self.vectors, keys = [], set()
-        for counts in self.counts:
-            v = {h: c * self.weight[h] for h, c in counts.items()}
-            norm = math.sqrt(sum(x * x for x in v.values()))
-            v = {h: x / norm for h, x in v.items()}
-            self.vectors.append(v)
-            rest = 1.0
-            for h in sorted(v, key=lambda h: (-v[h], h)):
-                if rest < least * least:
-                    break
-                keys.add(h)
-                rest -= v[h] ** 2
-        self.keys = HashTable(np.array(sorted(keys), np.uint64))
-
-    def best(self, hashes: list[int], others: dict[int, float] | None = None) -> tuple[float, int]:
-        """(similarity, template) of the most similar template, the first of equals; without the weights of other words, the most that it can be."""
-        unit = {h: c * (self.weight.get(h) or (others[h] if others is not None else 1.0)) for h, c in Counter(hashes).items()}
-        norm = math.sqrt(sum(x * x for x in unit.values()))
-        found = [round(sum(x * unit[h] for h, x in sorted(v.items()) if h in unit) / norm, 6) for v in self.vectors]
-        return max(found), found.index(max(found))
-
-
-def _frequencies(tables: Blocks | list[HashTable]):
-    """(table, range of places, packed places and texts with the word) of all tables' words, and table -1 with the number of texts; a task adds its counts up first."""
-
-    def row(b: int, part: int, places: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([part], pa.int32()), pa.array([pack(places.astype(np.int32), counts)], pa.binary())], names=["b", "part", "body"])
-
-    def handed(totals: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for b, total in totals.items():
-            for lo in range(0, len(total), PART):
-                some = np.flatnonzero(total[lo : lo + PART])
-                if len(some):
-                    yield row(b, lo // PART, some, total[lo + some])
-        totals.clear()
+    def fit(self, df: np.ndarray, n: int, least: float) -> None:
+        """df: texts with each term; n: all texts; least: the wanted similarity."""
+        self.weight = np.log((1 + n) / (1 + df)) + 1
+        v = self.counts * self.weight
+        self.vectors = v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+        heavy = np.argsort(-self.vectors, axis=1, kind="stable")
+        share = np.take_along_axis(self.vectors, heavy, axis=1) ** 2
+        rest = 1 - np.cumsum(share, axis=1) + share  # before each term
+        self.keys = np.zeros(v.shape, bool)
+        np.put_along_axis(self.keys, heavy, (rest >= least * least - 1e-9) & (share > 0), axis=1)
+
+    def possible(self, at: np.ndarray, term: np.ndarray, n: int, start: np.ndarray, end: np.ndarray, least: float) -> np.ndarray:
+        """Which units (start, end) of n words can reach `least`; the words `at` are template terms."""
+        lo, hi = np.searchsorted(at, start), np.searchsorted(at, end)
+        run = lambda x: np.append(0, np.cumsum(x))
+        square = run(self.weight[term] ** 2)
+        norm = np.sqrt(square[hi] - square[lo] + (end - start) - (hi - lo))
+        may = np.zeros(len(start), bool)
+        for vector, key in zip(self.vectors, self.keys, strict=True):
+            product, held = run((vector * self.weight)[term]), run(key[term])
+            may |= (held[hi] > held[lo]) & (product[hi] - product[lo] >= norm * (least - 1e-6))
+        return may
+
+    def products(self, at: np.ndarray, term: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(greatest product with a template, the first template that has it, squared norm of the template terms) of each unit."""
+        lo, hi = np.searchsorted(at, start), np.searchsorted(at, end)
+        best, template, square = np.zeros(len(start)), np.zeros(len(start), np.int64), np.zeros(len(start))
+        size = len(self.weight)
+        for i in range(0, len(start), step := max(1, TABLE // size)):
+            n = hi[i : i + step] - lo[i : i + step]
+            unit = np.repeat(np.arange(len(n)), n)
+            place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[i : i + step], n)
+            u = np.bincount(unit * size + term[place], minlength=len(n) * size).reshape(-1, size) * self.weight
+            found = np.round(u @ self.vectors.T, 9)
+            template[i : i + step] = found.argmax(axis=1)
+            best[i : i + step] = found.max(axis=1)
+            square[i : i + step] = (u * u).sum(axis=1)
+        return best, template, square
+
+
+def _counted(keep: np.ndarray | None = None, bits: int = MARKS):
+    """(text) -> (h, n): texts of the task with each word, of words whose high bits are in the map `keep`; word 0 of length 0 (h null) stands for all texts."""
+
+    def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        h, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        h, place = np.unique(h, return_inverse=True)
+        return h, np.bincount(place, n, len(h)).astype(np.int64)
+
+    def row(h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[int, np.ndarray] = {}
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         rows = 0
         for batch in batches:
             rows += batch.num_rows
             data, at = buffers(batch.column(0))
-            for b, table in enumerate(tables):
-                total = totals.setdefault(b, np.zeros(len(table.keys), np.int64))
-                for lo, hi in slices(at):
-                    words = split(data, at[lo : hi + 1], ALNUM)
-                    where, term = table.find(words.hashes())
-                    if len(where):
-                        seen = np.unique(words.owner()[where] * len(total) + term)
-                        total += np.bincount(seen % len(total), minlength=len(total))
-                if sum(map(len, totals.values())) > HELD:
-                    yield from handed(totals)
-        yield from handed(totals)
-        yield row(-1, 0, np.zeros(1), np.array([rows], np.int64))
+            for lo, hi in slices(at):
+                words = split(data, at[lo : hi + 1], ALNUM)
+                h, owner = words.hashes(), words.owner()
+                if keep is not None:
+                    some = keep[(h >> U(64 - bits)).astype(np.int64)]
+                    h, owner = h[some], owner[some]
+                order = np.lexsort((owner, h))
+                h, owner = h[order], owner[order]
+                first = np.ones(len(h), bool)
+                first[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+                held.append(np.unique(h[first], return_counts=True))
+                if sum(len(x) for x, _ in held) > HELD:
+                    held = [merged(held)]
+                    if len(held[0][0]) > HELD // 2:
+                        yield row(*held.pop())
+        if held:
+            yield row(*merged(held))
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([rows], pa.int64())], names=["h", "n"])
 
     return run
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of `_frequencies` in order -> (b, term, n)."""
-    last, total = None, np.zeros(PART, np.int64)
-
-    def out() -> pa.RecordBatch:
-        some = np.flatnonzero(total)
-        made = pa.RecordBatch.from_arrays([pa.array(np.full(len(some), last[0], np.int32)), pa.array(some + last[1] * PART), pa.array(total[some])], names=["b", "term", "n"])
-        total[:] = 0
-        return made
-
-    for batch in batches:
-        for b, part, body in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            if last is not None and last != (b, part):
-                yield out()
-            last = b, part
-            places, counts = unpack(body)
-            total[places] += counts
-    if last is not None:
-        yield out()
-
-
-def _counted(files: DataFrame, tables: Blocks | list[HashTable]) -> DataFrame:
-    """(b, term, n): texts of `files` with each word of the tables; (-1, 0, n) has the number of texts."""
-    packed = files.select("text").mapInArrow(_frequencies(tables), "b int, part int, body binary")
-    return packed.repartition("b", "part").sortWithinPartitions("b", "part").mapInArrow(_summed, "b int, term bigint, n bigint")
-
-
-def _runs(key: np.ndarray, *ids: np.ndarray) -> tuple[list[int], list[int]]:
-    """(bounds of the runs of equal ids, runs that have a word of `key`)."""
-    new = np.zeros(len(ids[0]), bool)
-    new[0] = True
-    for x in ids:
-        new[1:] |= x[1:] != x[:-1]
-    starts = np.flatnonzero(new)
-    return [*starts.tolist(), len(new)], np.unique(np.searchsorted(starts, key, "right") - 1).tolist()
-
-
-def _units(weights: Weights, words: Words, h: np.ndarray, least: float) -> Iterator[tuple[int, int, int]]:
-    """(text, first word, word after the last) of every unit that can reach `least`."""
-    where = weights.keys.find(h)[0]
-    owner = words.owner()[where]
-    if not len(where):
-        return
-    parts = _parts(words)
-    for d in np.unique(owner).tolist():
-        a, b = int(words.first[d]), int(words.first[d + 1])
-        key = where[np.searchsorted(owner, d) : np.searchsorted(owner, d, "right")] - a
-        line, block, sentence = (x[a:b] for x in parts)
-        found = {(0, b - a)}
-        for ids in ((line,), (block,), (line, sentence)):
-            at, hit = _runs(key, *ids)
-            found.update((at[i], at[i + 1]) for i in hit)
-        at, hit = _runs(key, sentence)
-        for n in (1, *weights.runs):
-            for i in {j for x in hit for j in range(max(0, x - n + 1), min(x, len(at) - 1 - n) + 1)}:
-                if block[at[i]] == block[at[i + n] - 1]:
-                    found.add((at[i], at[i + n]))
-        own = h[a:b].tolist()
-        for s, e in sorted(found):
-            if weights.best(own[s:e])[0] >= least:
-                yield d, a + s, a + e
-
-
-def _others(weights: Weights, least: float):
-    """Words of units that can reach `least` that are in no template."""
+def _frequencies(files: DataFrame, hashes: np.ndarray | None = None, bits: int = MARKS) -> DataFrame:
+    """(h, n): texts with each word whose high bits some of `hashes` have, or of all words; h null has the number of texts."""
+    counted = files.select("text").mapInArrow(_counted(hashes, bits), "h bigint, n bigint")
+    return counted.groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def _units(weights: Weights, words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, word after the last) of all units of all texts, each once."""
+    n, owner = len(words.start), words.owner()
+    line, block, sentence = _parts(words)
+    edge = np.ones(n + 1, bool)
+    edge[1:n] = owner[1:] != owner[:-1]
+
+    def cuts(*ids: np.ndarray) -> np.ndarray:
+        new = edge.copy()
+        for x in ids:
+            new[1:n] |= x[1:] != x[:-1]
+        return np.flatnonzero(new)
+
+    found = [(at[:-1], at[1:]) for at in (cuts(), cuts(line), cuts(block), cuts(line, sentence))]
+    at = cuts(sentence)
+    for k in (1, *weights.runs):
+        start, end = at[:-k], at[k:]
+        whole = (owner[start] == owner[end - 1]) & (block[start] == block[end - 1])
+        found.append((start[whole], end[whole]))
+    pairs = np.unique(np.concatenate([s * (n + 1) + e for s, e in found]))
+    return pairs // (n + 1), pairs % (n + 1)
+
+
+UNIT = pa.struct([("first", pa.int64()), ("past", pa.int64()), ("template", pa.int32()), ("product", pa.float64()), ("square", pa.float64()), ("others", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
+_UNITS = "array<struct<first: bigint, past: bigint, template: int, product: double, square: double, others: array<bigint>, counts: array<bigint>>>"
+
+
+def _spans(weights: Weights, least: float):
+    """(text, further columns) -> the further columns, row (a number of its own), n_words and units: those that can reach `least`, with their words that are in no template."""
+
+    def units(words: Words) -> list[list[dict]]:
+        out: list[list[dict]] = [[] for _ in range(len(words.first) - 1)]
+        h = words.hashes()
+        at, term = weights.terms.find(h)
+        if not len(at):
+            return out
+        start, end = _units(weights, words)
+        may = weights.possible(at, term, len(h), start, end, least)
+        start, end = start[may], end[may]
+        best, template, square = weights.products(at, term, start, end)
+        other = np.ones(len(h), bool)
+        other[at] = False
+        number = np.append(0, np.cumsum(other))
+        may = best >= np.sqrt(square + number[end] - number[start]) * (least - 1e-6)
+        for s, e, t, p, q in zip(start[may].tolist(), end[may].tolist(), template[may].tolist(), best[may].tolist(), square[may].tolist(), strict=True):
+            words_, counts = np.unique(h[s:e][other[s:e]], return_counts=True)
+            if p >= np.sqrt(q + (counts * counts).sum()) * (least - 1e-6):
+                d = int(np.searchsorted(words.first, s, "right")) - 1
+                base = int(words.first[d])
+                out[d].append({"first": s - base, "past": e - base, "template": t, "product": p, "square": q, "others": words_.view(np.int64), "counts": counts})
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 36
         for batch in batches:
             data, at = buffers(batch.column(0))
+            found, sizes = [], []
             for lo, hi in slices(at):
                 words = split(data, at[lo : hi + 1], ALNUM)
-                h = words.hashes()
-                seen = set().union(*(h[s:e].tolist() for _, s, e in _units(weights, words, h, least))) - weights.weight.keys()
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(list(seen), np.uint64).view(np.int64))], names=["h"])
+                found += units(words)
+                sizes.append(np.diff(words.first))
+            own = [pa.array(row + np.arange(batch.num_rows)), pa.array(np.concatenate(sizes) if sizes else [], pa.int64()), pa.array(found, pa.list_(UNIT))]
+            row += batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *own], names=[*batch.schema.names[1:], "row", "n_words", "units"])
 
     return run
 
 
-def _scan(weights: Weights, tables: Blocks, least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, at = buffers(batch.column(1))
-            name, similarity, share = [None] * batch.num_rows, [None] * batch.num_rows, [0.0] * batch.num_rows
-            for lo, hi in slices(at):
-                words = split(data, at[lo : hi + 1], ALNUM)
-                h = words.hashes()
-                units = list(_units(weights, words, h, least))
-                asked = np.unique(np.concatenate([h[s:e] for _, s, e in units])) if units else h[:0]
-                others: dict[int, float] = {}
-                if len(asked):
-                    for table, values in tables:
-                        hit, place = table.find(asked)
-                        others.update(zip(asked[hit].tolist(), values[place].tolist(), strict=True))
-                top: dict[int, tuple[float, int]] = {}
-                held = np.zeros(len(h), bool)
-                for d, s, e in units:
-                    value, template = weights.best(h[s:e].tolist(), others)
-                    if value >= least:
-                        held[s:e] = True
-                        top[d] = max(top.get(d, (value, -template)), (value, -template))
-                for d, (value, template) in top.items():
-                    name[lo + d], similarity[lo + d] = weights.names[-template], value
-                    share[lo + d] = float(held[words.first[d] : words.first[d + 1]].mean())
-            kept = [c for i, c in enumerate(batch.columns) if i != 1]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(name, pa.string()), pa.array(similarity, pa.float64()), pa.array(share, pa.float64())], names=["path", *batch.schema.names[2:], "license", "similarity", "share"])
-
-    return run
+def _covered() -> F.Column:
+    """How many words lie in some of the spans (first, past) of a sorted array."""
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("upto"))
+    step = lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["past"] - F.greatest(a["upto"], x["first"]))).alias("n"), F.greatest(a["upto"], x["past"]).alias("upto"))
+    return F.aggregate("spans", start, step, lambda a: a["n"])
 
 
 def scan(files: DataFrame, templates: dict[str, list[str]] | None = None, least: float = 0.7, keep: tuple[str, ...] = ()) -> DataFrame:
     """path, `keep`, license, similarity, share of every row of `files` (path, text): the best template of any unit, null below `least`; share of the words that is in notices."""
     weights = Weights(templates or TEMPLATES)
-    files = small_batches(files)
-    found = _counted(files, [weights.terms]).collect()  # one number for each term of the templates
-    df = {r.term: r.n for r in found if r.b == 0}
-    n = sum(r.n for r in found if r.b < 0)
-    weights.fit(df, n, least)
-    wanted = written(files.select("text").mapInArrow(_others(weights, least), "h bigint").distinct(), "wanted")
-    number = -(-wanted.count() // TABLE) or 1
-
-    def table(b: int) -> HashTable:
-        rows = wanted.where(F.pmod("h", F.lit(number)) == b).toArrow()
-        return HashTable(rows.column("h").to_numpy().view(np.uint64))
-
-    spark = files.sparkSession
-    tables = Blocks(spark.sparkContext, (table(b) for b in range(number)))
-    counted = written(_counted(files, tables), "frequencies")
-
-    def weighed(b: int) -> tuple[HashTable, np.ndarray]:
-        keys, rows = table(b), counted.where(F.col("b") == b).toArrow()
-        values = np.zeros(len(keys.keys))
-        values[rows.column("term").to_numpy()] = np.log((1 + n) / (1 + rows.column("n").to_numpy())) + 1
-        return keys, values
-
-    found = Blocks(spark.sparkContext, (weighed(b) for b in range(number)))
-    kept = "".join(f"`{c}` {files.schema[c].dataType.simpleString()}, " for c in keep)
-    return files.select("path", "text", *keep).mapInArrow(_scan(weights, found, least), f"path string, {kept}license string, similarity double, share double")
+    spark, files = files.sparkSession, small_batches(files)
+    bits = 16
+    mark = np.zeros(1 << bits, bool)
+    mark[(weights.terms.keys >> U(64 - bits)).astype(np.int64)] = True
+    own = spark.createDataFrame([(int(x),) for x in weights.terms.keys.view(np.int64)], "h long")
+    known = _frequencies(files, mark, bits).join(F.broadcast(own.withColumn("own", F.lit(True))), "h", "left").where("own or h is null")
+    known = {r.h: r.n for r in known.select("h", "n").collect()}  # one number for each term of the templates
+    n = known.get(None, 0)
+    weights.fit(np.array([known.get(int(x), 0) for x in weights.terms.keys.view(np.int64)]), n, least)
+
+    kinds = "".join(f"`{c}` {files.schema[c].dataType.simpleString()}, " for c in keep)
+    rows = files.select("text", "path", *keep).mapInArrow(_spans(weights, least), f"path string, {kinds}row bigint, n_words bigint, units {_UNITS}")
+    rows = written(rows, "spans")
+    units = rows.select("row", F.posexplode("units").alias("unit", "u")).select("row", "unit", "u.*")
+    words = units.select("row", "unit", F.explode(F.arrays_zip("others", "counts")).alias("w")).select("row", "unit", F.col("w.others").alias("h"), F.col("w.counts").alias("c"))
+    wanted = written(words.select("h").distinct(), "wanted")
+    place = F.shiftrightunsigned("h", 64 - MARKS) + 1
+    bitmap = wanted.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    mark = np.zeros(1 << MARKS, bool)
+    for r in bitmap.collect():  # at most 1 << MARKS bits
+        some = np.unpackbits(np.frombuffer(bytes(r.bits), np.uint8), bitorder="little").astype(bool)
+        low = (r.bucket - 1) * len(some)
+        mark[low : low + len(some)] = some[: len(mark) - low]
+    df = written(_frequencies(files, mark).join(wanted, "h", "left_semi"), "frequencies")
+    weight = F.log((F.lit(n) + 1) / (F.col("n") + 1)) + 1
+    norms = words.join(df, "h").groupBy("row", "unit").agg(F.sum((F.col("c") * weight) ** 2).alias("rest"))
+    units = units.join(norms, ["row", "unit"], "left").withColumn("similarity", F.round(F.col("product") / F.sqrt(F.col("square") + F.coalesce("rest", F.lit(0.0))), 6))
+    units = units.where(F.col("similarity") >= least)
+    found = units.groupBy("row").agg(F.max(F.struct("similarity", (-F.col("template")).alias("t"))).alias("best"), F.array_sort(F.collect_list(F.struct("first", "past"))).alias("spans"))
+    found = written(found.select("row", "best", _covered().alias("covered")), "notices")
+    names = F.array(*[F.lit(x) for x in weights.names])
+    out = rows.join(found, "row", "left")
+    share = F.coalesce(F.col("covered") / F.col("n_words"), F.lit(0.0))
+    return out.select("path", *keep, F.get(names, -F.col("best.t")).alias("license"), F.col("best.similarity").alias("similarity"), share.alias("share"))
 
 
 def licenses(files: DataFrame, *, templates: dict[str, list[str]] | None = None, least: float = 0.7, whole: float = 0.5, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -290,7 +292,7 @@ def licenses(files: DataFrame, *, templates: dict[str, list[str]] | None = None,
     text and `keep` (of names that the result doesn't use) are not read.  A
     directory of very many files is split by adaptive execution.
     """
-    taken = {"path", "license", "similarity", "share", "folder", "inherited", "inherited_from", "effective"} & set(keep)
+    taken = {"path", "license", "similarity", "share", "folder", "inherited", "inherited_from", "effective", "row", "n_words", "units", "best", "covered"} & set(keep)
     if taken:
         raise ValueError(f"column names in use: {sorted(taken)}")
     rows = scan(files, templates, least, keep)

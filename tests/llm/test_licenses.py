@@ -102,8 +102,9 @@ def test_all_words_are_weighed_by_their_document_frequency(spark, monkeypatch):
     norm = lambda x: math.sqrt(sum(y * y for y in x.values()))
     want = sum(x * v.get(t, 0.0) for t, x in u.items()) / norm(u) / norm(v)
     files = spark.createDataFrame(rows, "path string, text string")
-    for size in (1_000_000, 2):
-        monkeypatch.setattr(module, "TABLE", size)
+    for held, table in ((2_000_000, 1 << 21), (2, 1)):
+        monkeypatch.setattr(module, "HELD", held)
+        monkeypatch.setattr(module, "TABLE", table)
         got = {r.path: r.similarity for r in scan(files).collect()}
         assert abs(got["6"] - want) < 2e-6
 
