@@ -38,7 +38,7 @@ REMEMBERED = 300_000
 #: Compiled states, and pairs of tokens, that a worker keeps.
 STATES, PAIRS = 150_000, 250_000
 #: Characters of a chunk; of a piece of a longer text, which is a row by itself.
-CHUNK, PIECE = 1 << 16, 1 << 20
+CHUNK, PIECE = 1 << 12, 1 << 20
 _SPACE = "▁"
 #: A state: the last characters that later ones can still change, and for each place in them the token before it and the count relative to now.
 Shape = tuple[str, tuple]
@@ -289,8 +289,6 @@ class Transducer:
     def count(self, text: str, size: int = CHUNK) -> int:
         """Tokens of the whole text, as the library gives them."""
         text = self.escaped(text)
-        if len(text) <= size and text.startswith(_SPACE):
-            return self.closed(text)
         return self.scan([text[i : i + size] for i in range(0, len(text), size)]) if text else 0
 
 
