@@ -1,8 +1,8 @@
-"""Regularized greedy forest: split scan in SQL, growth on one worker per fit, models as node tables.
+"""Regularized greedy forest: options, split scan in SQL, models as node tables.
 
-A forest grows one split at a time, so a single fit is sequential; fits (trials,
-runs, folds) are spread over the cluster.  A model is a table of nodes and is
-applied to any number of rows as one column expression or by Arrow batches.
+A model is a table of nodes and is applied to any number of rows as one column
+expression or by Arrow batches.  `growth` grows one on a table of any size; the
+fits of this module take arrays, or groups of rows that fit a worker each.
 """
 
 from __future__ import annotations
@@ -168,8 +168,9 @@ class _Growth:
                 if node["le"] < 0:
                     self.p[node["rows"]] += node["weight"]
 
-    def _lam(self, depth: int, n: int) -> float:
-        base = self.c.reg_L2 if self.c.reg_sL2 is None else self.c.reg_sL2
+    def _lam(self, depth: int, n: int, search: bool = False) -> float:
+        """The penalty of a node; a search may have its own, the optimization of weights has not."""
+        base = self.c.reg_sL2 if search and self.c.reg_sL2 is not None else self.c.reg_L2
         return base * self.c.reg_depth**depth * n
 
     def _search(self, node: dict) -> tuple | None:
@@ -182,7 +183,7 @@ class _Growth:
         r[rows], w[rows] = self.w[rows] * d1, self.w[rows] * d2
         inside = np.zeros(n, bool)
         inside[rows] = True
-        parent, lam = node["weight"], self._lam(node["depth"] + 1, n)
+        parent, lam = node["weight"], self._lam(node["depth"] + 1, n, True)
         best = None
         for j in range(self.x.shape[1]):
             if self.c.f_ratio < 1 and self.rng.random() >= self.c.f_ratio:

@@ -8,7 +8,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import decode, ensemble, folds, forest, learners, metrics
+from ..operators import decode, ensemble, folds, forest, growth, learners, metrics
 from .fixtures import MODELS_SQL, distributions, labelled, model_predictions, numeric_rows, read, split_samples
 
 QUERIES: dict[str, Callable] = {}
@@ -111,9 +111,9 @@ def rule_counts(spark, sf):
 
 @query()
 def forest_training(spark, sf):
-    """One forest for each return flag, grown on the cluster, and its nodes."""
-    rows = read(spark, sf, "lineitem").select(F.col("l_returnflag").alias("flag"), F.array(F.col("l_quantity"), F.col("l_discount"), F.col("l_tax")).alias("features"), (F.col("l_extendedprice") / 10000).alias("y")).where("l_orderkey is not null")
-    return forest.train(rows, forest.ForestConfig.parse("max_leaf_forest=20,opt_interval=10,NormalizeTarget"), ("flag",))
+    """One forest on all order lines, grown round by round over the cluster, and its nodes."""
+    rows = numeric_rows(spark, sf).select("features", "y")
+    return growth.grow_forest(rows, forest.ForestConfig.parse("max_leaf_forest=20,opt_interval=10,NormalizeTarget,reg_L2=0.001"))
 
 
 def _learner_rows(spark, sf) -> tuple[DataFrame, DataFrame]:

@@ -10,12 +10,19 @@ from sievemill.operators.vectorize import stacked_rows
 
 
 def test_words_stop_list_and_stems(spark):
-    texts = ["The running dogs, and the HOUSES of relational men", "", None, "a the of", "The the running" * 50]
+    texts = ["The running dogs, and the HOUSES of relational men", "", None, "a the of", "The the running" * 50, "this houses of running"]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").withColumn("other", F.lit(1))
-    got = {r.id: r.t_tokens for r in preprocess(df, ["t"], stop=["the", "of"]).collect()}
-    for i, t in enumerate(texts):
-        words = [w for w in re.findall(r"\w{2,}", (t or "").lower()) if w not in ("the", "of")]
-        assert got[i] == [porter(w) for w in words]
+    stop = ["the", "of", "this", "hous", "runs"]
+    cut = lambda t: re.findall(r"\w{2,}", (t or "").lower())
+    ways = {
+        (True, False): lambda t: [x for x in map(porter, cut(t)) if x not in stop],
+        (True, True): lambda t: [porter(x) for x in cut(t) if x not in stop],
+        (False, False): lambda t: [x for x in cut(t) if x not in stop],
+    }
+    for (stem, first), want in ways.items():
+        got = {r.id: r.t_tokens for r in preprocess(df, ["t"], stop=stop, stem=stem, stop_first=first).collect()}
+        assert all(got[i] == want(t) for i, t in enumerate(texts))
+    assert ways[True, False](texts[5]) == ["thi", "run"] and ways[True, True](texts[5]) == ["hous", "run"]
     assert preprocess(df.limit(0), ["t"]).collect() == []
 
 
