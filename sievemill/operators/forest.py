@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .penalty import ALGORITHMS
+
 NODES = "tree int, node int, border double, weight double, feature int, le int, gt int, parent int"
 
 
@@ -60,7 +62,7 @@ class ForestConfig:
                 setattr(out, name, value.lower() != "false")
             else:
                 setattr(out, name, (int if kinds[name] == "int" else str if kinds[name] == "str" else float)(value))
-        if out.algorithm != "RGF" or out.loss not in _LOSSES:
+        if out.algorithm not in ALGORITHMS or out.loss not in _LOSSES:
             raise ValueError(f"not built: algorithm {out.algorithm} with loss {out.loss}")
         out.test_interval = aligned_interval(out.test_interval, out.opt_interval)
         return out
@@ -261,6 +263,8 @@ class _Growth:
 
 def train_arrays(x: np.ndarray, y: np.ndarray, config: ForestConfig, weights: np.ndarray | None = None, start: pd.DataFrame | None = None) -> pd.DataFrame:
     """The node table of a forest; tree -1 holds the constant.  `start` continues from a saved table."""
+    if config.algorithm != "RGF":
+        raise ValueError("only growth.grow_forest has the penalties on trees")
     if weights is not None and len(weights) != len(y):
         raise ValueError("there must be one weight for each row")
     if start is not None:
@@ -309,23 +313,11 @@ def predict_expression(nodes: list, features: str = "features") -> Column:
 
 def predict(rows: DataFrame, nodes: pd.DataFrame, *, features: str = "features", leaves: bool = False) -> DataFrame:
     """Add prediction, or with `leaves` the array of reached (tree, node) numbers, for forests of any size, by Arrow batches."""
-    trees = [t.sort_values("node") for k, t in nodes.groupby("tree") if k >= 0]
-    packed = [(t["feature"].to_numpy(), t["border"].to_numpy(), t["le"].to_numpy(), t["gt"].to_numpy(), t["weight"].to_numpy()) for t in trees]
-    first = np.concatenate([[0], np.cumsum([len(t) for t in trees])])
-    constant = float(nodes.loc[nodes["tree"] < 0, "weight"].sum())
+    packed = _Packed(nodes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            x = np.array(pdf[features].tolist(), float).reshape(len(pdf), -1)
-            total, reached = np.full(len(pdf), constant), []
-            for i, (feature, border, le, gt, weight) in enumerate(packed):
-                at = np.zeros(len(pdf), int)
-                total += weight[0]
-                while (inner := np.flatnonzero(le[at] >= 0)).size:
-                    k = at[inner]
-                    at[inner] = np.where(x[inner, feature[k]] <= border[k], le[k], gt[k])
-                    total[inner] += weight[at[inner]]
-                reached.append(at + first[i])
+            total, reached = packed(np.array(pdf[features].tolist(), float).reshape(len(pdf), -1))
             yield pdf.assign(rules=list(np.array(reached).T)) if leaves else pdf.assign(prediction=total)
 
     extra = "rules array<bigint>" if leaves else "prediction double"
@@ -333,6 +325,43 @@ def predict(rows: DataFrame, nodes: pd.DataFrame, *, features: str = "features",
     return rows.mapInPandas(run, f"{schema}, {extra}")
 
 
+def predict_models(rows: DataFrame, models: dict[str, pd.DataFrame], *, features: str = "features") -> DataFrame:
+    """`rows` with prediction, once for each of the models by its name `model`: rows are read once for all."""
+    packed = {name: _Packed(nodes) for name, nodes in sorted(models.items())}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x = np.array(pdf[features].tolist(), float).reshape(len(pdf), -1)
+            for name, model in packed.items():
+                yield pdf.assign(model=name, prediction=model(x)[0])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInPandas(run, f"{schema}, model string, prediction double")
+
+
+class _Packed:
+    """A node table as arrays."""
+
+    def __init__(self, nodes: pd.DataFrame):
+        trees = [t.sort_values("node") for k, t in nodes.groupby("tree") if k >= 0]
+        self.trees = [(t["feature"].to_numpy(), t["border"].to_numpy(), t["le"].to_numpy(), t["gt"].to_numpy(), t["weight"].to_numpy()) for t in trees]
+        self.first = np.concatenate([[0], np.cumsum([len(t) for t in trees])]).astype(int)
+        self.constant = float(nodes.loc[nodes["tree"] < 0, "weight"].sum())
+
+    def __call__(self, x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(predictions, the number of the node that each tree's rows reach) of dense rows."""
+        total, reached = np.full(len(x), self.constant), []
+        for i, (feature, border, le, gt, weight) in enumerate(self.trees):
+            at = np.zeros(len(x), int)
+            total += weight[0]
+            while (inner := np.flatnonzero(le[at] >= 0)).size:
+                k = at[inner]
+                at[inner] = np.where(x[inner, feature[k]] <= border[k], le[k], gt[k])
+                total[inner] += weight[at[inner]]
+            reached.append(at + self.first[i])
+        return total, reached
+
+
 def rules(nodes: DataFrame) -> DataFrame:
     """tree, node, rule: the comparisons on the way to each leaf, in a fixed order."""
     flat = nodes.where("tree >= 0")
@@ -348,3 +377,46 @@ def rules(nodes: DataFrame) -> DataFrame:
 def rule_counts(nodes: DataFrame) -> DataFrame:
     """rule, n: how many leaves of the forest are the same rule."""
     return rules(nodes).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+def registered(nodes: pd.DataFrame, known: pd.DataFrame | None = None) -> pd.DataFrame:
+    """id, tree, node, active: the registry of a forest's rules, every node of a tree with a weight.
+
+    `known` is the registry of the forest as it was before it grew on: its ids
+    stay, a rule whose node has been split again or has lost its weight is no
+    longer active, and new rules get the next ids by (tree, node).
+    """
+    now = nodes[(nodes["tree"] >= 0) & (nodes["weight"] != 0)].sort_values(["tree", "node"])
+    live = list(zip(now["tree"].astype(int), now["node"].astype(int), strict=True))
+    old = [] if known is None else list(known.sort_values("id")[["id", "tree", "node"]].astype(int).itertuples(index=False, name=None))
+    held, next_id = {(t, k) for _, t, k in old}, max((i for i, _, _ in old), default=-1) + 1
+    new = [(next_id + i, t, k) for i, (t, k) in enumerate(x for x in live if x not in held)]
+    active = set(live)
+    return pd.DataFrame([(i, t, k, (t, k) in active) for i, t, k in [*old, *new]], columns=["id", "tree", "node", "active"])
+
+
+def rule_features(rows: DataFrame, nodes: pd.DataFrame, registry: pd.DataFrame, *, features: str = "features") -> DataFrame:
+    """`rows` with rules: a sparse vector as a map from rule id to 1.0, of the active rules that hold for the row, by id.
+
+    The map is what `growth.grow_forest` takes as features.
+    """
+    packed = _Packed(nodes)
+    own = nodes[nodes["tree"] >= 0].sort_values(["tree", "node"]).reset_index(drop=True)
+    first = dict(zip(sorted(own["tree"].unique()), packed.first, strict=False))
+    up = [first[r.tree] + r.parent if r.parent >= 0 else -1 for r in own.itertuples()]
+    number = {(int(r.tree), int(r.node)): i for i, r in enumerate(own.itertuples())}
+    rule = np.full(len(own), -1)
+    for r in registry[registry["active"]].itertuples():
+        rule[number[int(r.tree), int(r.node)]] = r.id
+    ways: list[list[int]] = []  # the rules on the way to each node
+    for i in range(len(own)):
+        ways.append([*(ways[up[i]] if up[i] >= 0 else []), *([int(rule[i])] if rule[i] >= 0 else [])])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            reached = np.array(packed(np.array(pdf[features].tolist(), float).reshape(len(pdf), -1))[1]).T.reshape(len(pdf), -1)
+            yield pdf.assign(rules=[sorted(x for k in r for x in ways[k]) for r in reached.tolist()])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    out = rows.mapInPandas(run, f"{schema}, rules array<int>")
+    return out.withColumn("rules", F.map_from_arrays("rules", F.transform("rules", lambda _: F.lit(1.0))))

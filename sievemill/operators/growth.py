@@ -9,14 +9,16 @@ cut into ranges once, which are summed in order by themselves and start from
 the total of the ranges before them.  Sparse rows (maps from feature to value)
 send no zeros: the sum at zero is what the others leave of the node's.
 
-Leaf weights are optimized by Newton steps leaf by leaf.  With squared loss the
+The penalty of a tree (`penalty`) is the driver's: for an open node it is a
+quadratic form of the two new leaves' weights, which goes to the search as four
+numbers.  Leaf weights are optimized by Newton steps leaf by leaf.  With squared loss the
 steps need the weights of rows that share two leaves, summed up once; with other
 losses the leaves of one tree, which share no row, take a step at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,7 +29,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .forest import _LOSSES, NODES, ForestConfig
+from .forest import _LOSSES, NODES, ForestConfig, predict
+from .objectives import forest_loss
+from .penalty import Shape
 
 #: Values of a feature up to which it is one range; ranges of others; leaves whose shared weights the driver holds (a square).
 FEW, RANGES, SHARED = 20_000, 64, 1000
@@ -160,6 +164,33 @@ class Grower:
         base = self.c.reg_sL2 if search and self.c.reg_sL2 is not None else self.c.reg_L2
         return base * self.c.reg_depth**depth * self.n
 
+    def shape(self, tree: list[Node]) -> Shape:
+        return Shape(np.array([v.le for v in tree]), np.array([v.gt for v in tree]), self.c.reg_depth ** np.array([v.depth for v in tree], float))
+
+    def _terms(self, t: int, k: int, v: Node) -> tuple[float, float, float, float]:
+        """The penalty after a split of an open node, as `Shape.split_terms`, times its factor."""
+        if self.c.algorithm == "RGF":
+            lam = self.lam(v.depth + 1, True)
+            return lam, 0.0, lam * v.weight, lam * v.weight * v.weight / 2
+        tree = self.model.trees[t] if t >= 0 else [v]
+        found = self.shape(tree).split_terms(k, np.array([x.weight for x in tree]), self.c.algorithm, self.c.reg_depth)
+        return tuple(self.lam(0, True) * x for x in found)
+
+    def objective(self) -> float:
+        """Mean loss and penalty of the forest as it stands."""
+        trees, loss, constant = self.model.packed(), self.c.loss, self.model.constant
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in _parts(batches):
+                p = _predicted(part, trees)[0]
+                y = part.y - constant
+                each = {"LS": lambda: (p - y) ** 2 / 2, "Expo": lambda: np.exp(-p * y), "Log": lambda: np.logaddexp(0, -p * y)}[loss]()
+                yield _batch("loss double", loss=[float(part.w @ each)])
+
+        total = self.rows.mapInArrow(run, "loss double").agg(F.sum("loss")).first()[0] or 0.0
+        kept = sum(self.shape(t).value(np.array([v.weight for v in t]), self.c.algorithm) for t in self.model.trees if len(t) > 1)
+        return total / max(self.n, 1) + self.c.reg_L2 * kept
+
     def _options(self) -> list[tuple[int, int, Node]]:
         """(tree, node, the node) of all open leaves of the latest trees, and of a new root (tree -1)."""
         first = max(0, len(self.model.trees) - self.c.num_tree_search)
@@ -238,7 +269,8 @@ class Grower:
         upto = W.partitionBy("o", "f", "range").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
         run = sums.withColumns({**{f"{c}l": b + F.sum(c).over(upto) for c, b in base.items()}, "end": end})
         # what a node has in all is what any feature of it has
-        nodes = self.spark.createDataFrame([(o, float(v.weight), float(self.lam(v.depth + 1, True))) for o, (_, _, v) in enumerate(options)], "o int, parent double, lam double")
+        nodes = [(o, float(v.weight), *map(float, self._terms(t, k, v))) for o, (t, k, v) in enumerate(options)]
+        nodes = self.spark.createDataFrame(nodes, "o int, parent double, same double, cross double, slope double, change double")
         whole = sums.groupBy("o", "f").agg(F.sum("w").alias("wt"), F.sum("r").alias("rt"), F.sum("n").alias("nt")) if self.borders else None
         if whole is None:
             every = W.partitionBy("o", "f", "range")
@@ -246,12 +278,12 @@ class Grower:
         else:
             run = run.join(whole, ["o", "f"])
         run = run.join(F.broadcast(nodes), "o")  # a row an open node
-        lam, parent = F.col("lam"), F.col("parent")
-        q = lambda w, r: (r - lam * parent) / (w + lam)
-        part = lambda w, r: q(w, r) ** 2 * (w + lam) - lam * parent * parent / 2
-        left, right = (F.col("wl"), F.col("rl")), (F.col("wt") - F.col("wl"), F.col("rt") - F.col("rl"))
+        a, b = F.col("wl") + F.col("same"), F.col("wt") - F.col("wl") + F.col("same")
+        x, y, cross = F.col("rl") - F.col("slope"), F.col("rt") - F.col("rl") - F.col("slope"), F.col("cross")
+        whole = a * b - cross * cross
+        low, high = (b * x - cross * y) / whole, (a * y - cross * x) / whole
         kept = run.where(F.col("end").isNotNull() & (F.col("nl") >= self.c.min_pop) & (F.col("nt") - F.col("nl") >= self.c.min_pop))
-        kept = kept.select("o", F.col("f").alias("feature"), ((F.col("v") + F.col("end")) / 2).alias("border"), (part(*left) + part(*right)).alias("gain"), (q(*left) + parent).alias("low"), (q(*right) + parent).alias("high"))
+        kept = kept.select("o", F.col("f").alias("feature"), ((F.col("v") + F.col("end")) / 2).alias("border"), (x * low + y * high - 2 * F.col("change")).alias("gain"), (low + F.col("parent")).alias("low"), (high + F.col("parent")).alias("high"))
         kept = kept.where("gain is not null and not isnan(gain)")
         best = kept.groupBy("o").agg(F.max_by(F.struct("feature", "border", "gain", "low", "high"), F.struct("gain", -F.col("feature"), -F.col("border"))).alias("b"))
         out = {r.o: r.b.asDict() for r in best.collect()}  # a row an open node
@@ -325,36 +357,43 @@ class Grower:
         leaves = self.model.leaves()
         if not leaves:
             return
-        if self.c.loss == "LS" and len(leaves) <= SHARED:
-            shared, right = self._shared(leaves)
-            for _ in range(self.c.num_iteration_opt):
-                for i, (t, k) in enumerate(leaves):
-                    node = self.model.trees[t][k]
-                    lam = self.lam(node.depth, False)
-                    step = self.c.opt_stepsize * (right[i] - lam * node.weight) / (shared[i, i] + lam)
-                    node.weight += step
-                    right -= shared[:, i] * step
-            return
+        shared, right = self._shared(leaves) if self.c.loss == "LS" and len(leaves) <= SHARED else (None, None)
+        size = self.lam(0, False)
+        bend = [size * self.shape(tree).matrix(self.c.algorithm) for tree in self.model.trees]
         for _ in range(self.c.num_iteration_opt):
+            i = 0
             for t, tree in enumerate(self.model.trees):
-                sums = self._tree_sums(t)
-                for k, node in enumerate(tree):
-                    if node.le < 0 and node.parent >= 0:
-                        d1, d2 = sums.get(k, (0.0, 0.0))
-                        lam = self.lam(node.depth, False)
-                        node.weight += self.c.opt_stepsize * (d1 - lam * node.weight) / (d2 + lam)
-
-    def run(self) -> Trees:
-        """Grow to the wanted number of leaves, with all weights optimized every `opt_interval` leaves and at the end."""
+                own = [v for v in tree if v.le < 0 and v.parent >= 0]
+                known = self._tree_sums(t) if shared is None else {}
+                sums = [known.get(k, (0.0, 0.0)) for k, v in enumerate(tree) if v.le < 0 and v.parent >= 0]
+                weight = np.array([v.weight for v in own])
+                for k in range(len(own)):
+                    d1, d2 = sums[k] if shared is None else (right[i], shared[i, i])
+                    step = self.c.opt_stepsize * (d1 - bend[t][k] @ weight) / (d2 + bend[t][k, k])
+                    weight[k] += step
+                    if shared is not None:
+                        right -= shared[:, i] * step
+                    i += 1
+                for v, x in zip(own, weight.tolist(), strict=True):
+                    v.weight = x
+
+    def run(self, tested: Callable[[Trees], None] | None = None) -> Trees:
+        """Grow to the wanted number of leaves, with all weights optimized every `opt_interval` leaves and at the end; `tested` gets the forest every `test_interval` leaves, optimized, and at the end."""
+        passed = lambda before, after, every: every > 0 and after // every > before // every
         try:
             while self.n and len(self.model.leaves()) < self.c.max_leaf_forest:
                 before = len(self.model.leaves())
                 if not self.grow():
                     break
-                if len(self.model.leaves()) // self.c.opt_interval > before // self.c.opt_interval:
+                after = len(self.model.leaves())
+                if passed(before, after, self.c.opt_interval):
                     self.optimize()
+                if tested and after < self.c.max_leaf_forest and passed(before, after, self.c.test_interval):
+                    tested(self.model)
             if self.n:
                 self.optimize()
+            if tested:
+                tested(self.model)
         finally:
             self.rows.unpersist()
         return self.model
@@ -371,3 +410,30 @@ def grow_forest(rows: DataFrame, config: ForestConfig, start: pd.DataFrame | Non
     """
     model = Grower(rows, config, start).run()
     return rows.sparkSession.createDataFrame([tuple(x) for x in model.rows()], NODES)
+
+
+_TESTED = "n_trees int, n_leaves int, n bigint, accuracy double, rmse double, sqerr double, loss double"
+
+
+def train_test(train: DataFrame, test: DataFrame, config: ForestConfig, start: pd.DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(node table, a row for each test: trees, leaves, rows, share of right signs, root of the mean squared error, mean squared error, mean loss).
+
+    The forest is tested on `test` (features array, y) every `test_interval`
+    leaves and at the end; an empty test table gives null figures.
+    """
+    found: list[tuple] = []
+    test = test.where("features is not null and y is not null")
+
+    def tested(model: Trees) -> None:
+        rows = predict(test, _frame(model)).select("y", F.col("prediction").alias("p"))
+        right = F.avg(((F.col("y") > 0) == (F.col("p") > 0)).cast("double"))
+        r = rows.agg(F.count("*"), right, F.sqrt(F.avg((F.col("y") - F.col("p")) ** 2)), F.avg((F.col("y") - F.col("p")) ** 2), F.avg(forest_loss(config.loss, F.col("p"), F.col("y")))).first()
+        found.append((len(model.trees), len(model.leaves()), *r))
+
+    model = Grower(train, config, start).run(tested)
+    spark = train.sparkSession
+    return spark.createDataFrame([tuple(x) for x in model.rows()], NODES), spark.createDataFrame(found, _TESTED)
+
+
+def _frame(model: Trees) -> pd.DataFrame:
+    return pd.DataFrame(model.rows(), columns=[x.split()[0] for x in NODES.split(", ")])

@@ -1,34 +1,283 @@
-"""Similarity of each row to the labelled rows of each class.
+"""Similarity of each row to the labelled rows of each class, without a row for a pair.
 
-With a key (the same query) pairs come from an equi-join.  Without one, every
-row is compared with all rows of the pool: the pool is a stated set, taken in
-blocks, and only rows of the block's class meet.
+Rows and pool are packed in blocks of about BLOCK rows by a hash of their id
+(and of a key, where only rows of one key meet).  Each block of rows meets every
+block of the pool that it may, and a task takes one block of rows at a time and
+goes through its meetings as matrix products.  Means and deviations are merged
+from meeting to meeting.  Medians need order: while a block's meetings are few,
+their values are kept; with more, each (row, class) is given bounds around its
+middle values, which are narrowed by counting values in bins, a pass at a time,
+until what lies between them is few.  Memory is a block's, whatever the groups.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CLASSES = (1, 2, 3, 4)
+#: Rows of a block; values of a row that are kept in the first pass; bins of a pass; values between bounds that are few.
+BLOCK, KEPT, BINS, FEW = 256, 20_000, 64, 1000
+STATS = ("mean", "std", "min", "median", "max")
+
+
+def _vectors(values: list) -> np.ndarray:
+    width = max(map(len, values), default=0)
+    return np.array([v if len(v) == width else np.full(width, np.nan) for v in values], float).reshape(len(values), width)
+
+
+def cosine(a: list, b: list) -> np.ndarray:
+    """Cosine similarity of each vector of a with each of b; 0 where one is 0."""
+    x, y = _vectors(a), _vectors(b)
+    n = np.sqrt((x * x).sum(axis=1))[:, None] * np.sqrt((y * y).sum(axis=1))
+    return np.divide(x @ y.T, n, out=np.zeros(n.shape), where=n > 0)
+
+
+def euclidean(a: list, b: list) -> np.ndarray:
+    """Euclidean distance of each vector of a to each of b."""
+    x, y = _vectors(a), _vectors(b)
+    out = np.zeros((len(x), len(y)))
+    for j in range(x.shape[1]):  # differences, not products: near vectors stay exact
+        out += (x[:, j, None] - y[:, j]) ** 2
+    return np.sqrt(out)
+
+
+def _shared(a: list, b: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shared distinct items, distinct items of each of a, of each of b)."""
+    number: dict = {}
+    codes = [[np.array(sorted({number.setdefault(w, len(number)) for w in v}), np.int64) for v in side] for side in (a, b)]
+    na, nb = (np.array([len(c) for c in side]) for side in codes)
+    item_b, row_b = np.concatenate([*codes[1], np.empty(0, np.int64)]), np.repeat(np.arange(len(b)), nb)
+    order = np.argsort(item_b, kind="stable")
+    item_b, row_b = item_b[order], row_b[order]
+    out = np.zeros((len(a), len(b)), np.int64)
+    for i, own in enumerate(codes[0]):
+        lo, hi = np.searchsorted(item_b, own), np.searchsorted(item_b, own, "right")
+        n = hi - lo
+        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+        out[i] = np.bincount(row_b[at], minlength=len(b))
+    return out, na[:, None], nb[None, :]
+
+
+def jaccard(a: list, b: list) -> np.ndarray:
+    """Shared over all distinct items of each two lists; 0 without items."""
+    both, na, nb = _shared(a, b)
+    return np.divide(both, na + nb - both, out=np.zeros(both.shape), where=na + nb > 0)
+
+
+def dice(a: list, b: list) -> np.ndarray:
+    """Twice the shared over the sum of distinct items of each two lists; 0 without items."""
+    both, na, nb = _shared(a, b)
+    return np.divide(2 * both, na + nb, out=np.zeros(both.shape), where=na + nb > 0)
+
+
+METRICS: dict[str, Callable[[list, list], np.ndarray]] = {"cosine": cosine, "euclidean": euclidean, "jaccard": jaccard, "dice": dice}
+
+
+def _packed(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """keys, block, blocks (of the key) and lists of `columns`, in the order of the first: about BLOCK rows of one key together, the same whenever they are made."""
+    number = rows.groupBy(*keys).agg((F.floor(F.count("*") / BLOCK) + 1).alias("blocks"))
+    dealt = rows.join(number, keys) if keys else rows.crossJoin(number)  # one row
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    made = dealt.groupBy(*keys, "block").agg(F.max("blocks").alias("blocks"), F.sort_array(F.collect_list(F.struct(*columns))).alias("rows"))
+    return made.select(*keys, "block", "blocks", *[F.col("rows")[c].alias(c) for c in columns])
+
+
+class _Moments:
+    """Count, mean, sum of squared differences, least and greatest of one block's rows by class, over the meetings so far; values, if they are to be kept."""
+
+    def __init__(self, rows: int, classes: int, keep: bool):
+        shape = (rows, classes)
+        self.n, self.mean, self.square = np.zeros(shape, np.int64), np.zeros(shape), np.zeros(shape)
+        self.low, self.high = np.full(shape, np.inf), np.full(shape, -np.inf)
+        self.values: list[list[np.ndarray]] | None = [[] for _ in range(classes)] if keep else None
+
+    def meet(self, c: int, x: np.ndarray) -> None:
+        """x: a block's rows with some of the pool's of class c; not a number where they don't meet."""
+        n = (~np.isnan(x)).sum(axis=1)
+        some, filled = n > 0, np.nan_to_num(x)
+        mean = np.divide(filled.sum(axis=1), n, out=np.zeros(len(n)), where=some)
+        square = np.nansum((x - mean[:, None]) ** 2, axis=1)
+        every = np.maximum(self.n[:, c] + n, 1)
+        step = np.where(some, mean - self.mean[:, c], 0.0)
+        self.square[:, c] += square + step**2 * self.n[:, c] * n / every
+        self.mean[:, c] += step * n / every
+        self.n[:, c] += n
+        self.low[:, c] = np.fmin(self.low[:, c], np.fmin.reduce(x, axis=1))
+        self.high[:, c] = np.fmax(self.high[:, c], np.fmax.reduce(x, axis=1))
+        if self.values is not None:
+            self.values[c].append(x)
+
+    def medians(self) -> np.ndarray:
+        out = np.zeros(self.n.shape)
+        for c, held in enumerate(self.values or []):
+            if held:
+                x = np.sort(np.concatenate(held, axis=1), axis=1)  # what isn't a number comes last
+                n = self.n[:, c]
+                row = np.flatnonzero(n > 0)
+                out[row, c] = (x[row, (n[row] - 1) // 2] + x[row, n[row] // 2]) / 2
+        return out
+
+
+class _Middle:
+    """Bounds, by two for the two middle values, of each (row, class): how many values are below them, and how many within."""
+
+    NAMES = ("low", "high", "below", "inside", "rank")
+
+    def __init__(self, **flat):
+        self.low, self.high, self.below, self.inside, self.rank = (np.asarray(flat[k], float) for k in self.NAMES)
+        self.counts = np.zeros((len(self.low), BINS), np.int64)
+        self.least, self.most = np.full((len(self.low), BINS), np.inf), np.full((len(self.low), BINS), -np.inf)
+        self.held: list[list[np.ndarray]] = [[] for _ in self.low]
+
+    @classmethod
+    def of(cls, m: _Moments) -> _Middle:
+        two = lambda x: np.repeat(np.where(m.n > 0, x, 0).ravel(), 2)
+        rank = np.stack([np.maximum(m.n - 1, 0) // 2, m.n // 2], axis=2).ravel()
+        return cls(low=two(m.low), high=two(m.high), below=np.zeros(rank.size), inside=two(m.n), rank=rank)
+
+    def flat(self) -> dict[str, np.ndarray]:
+        return {k: getattr(self, k) for k in self.NAMES}
+
+    def open(self) -> np.ndarray:
+        """Which bounds must be narrowed yet."""
+        return (self.low < self.high) & (self.inside > FEW)
+
+    def _own(self, c: int, classes: int, rows: int, k: int) -> np.ndarray:
+        return (np.arange(rows) * classes + c) * 2 + k
+
+    def count(self, c: int, classes: int, x: np.ndarray) -> None:
+        for k in (0, 1):
+            at = self._own(c, classes, len(x), k)
+            low, high = self.low[at, None], self.high[at, None]
+            with np.errstate(invalid="ignore", divide="ignore"):
+                place = np.floor((x - low) / (high - low) * BINS)
+                row, col = np.nonzero((x >= low) & (x <= high) & self.open()[at, None])
+            cell = at[row], np.minimum(place[row, col].astype(np.int64), BINS - 1)
+            np.add.at(self.counts, cell, 1)
+            np.minimum.at(self.least, cell, x[row, col])
+            np.maximum.at(self.most, cell, x[row, col])
+
+    def narrowed(self) -> _Middle:
+        """Each open bound's bin that holds its middle value, between the least and the greatest value there."""
+        upto = self.below[:, None] + np.cumsum(self.counts, axis=1)
+        place = np.minimum((upto <= self.rank[:, None]).sum(axis=1), BINS - 1)
+        row = np.arange(len(place))
+        new = {"low": self.least[row, place], "high": self.most[row, place], "below": upto[row, place] - self.counts[row, place], "inside": self.counts[row, place], "rank": self.rank}
+        return _Middle(**{k: np.where(self.open(), v, getattr(self, k)) for k, v in new.items()})
+
+    def hold(self, c: int, classes: int, x: np.ndarray) -> None:
+        for k in (0, 1):
+            for i, at in enumerate(self._own(c, classes, len(x), k).tolist()):
+                if self.low[at] < self.high[at]:
+                    self.held[at].append(x[i][(x[i] >= self.low[at]) & (x[i] <= self.high[at])])
+
+    def values(self) -> np.ndarray:
+        """The mean of the two middle values of each (row, class)."""
+        out = self.low.copy()
+        for at, held in enumerate(self.held):
+            if held:
+                out[at] = np.sort(np.concatenate(held))[int(self.rank[at] - self.below[at])]
+        return out.reshape(-1, 2).mean(axis=1)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, Iterator[dict]]]:
+    """(first row, all rows) of each run of rows of one name, one row at a time."""
+    rows = (r for b in batches for i in range(b.num_rows) for r in b.slice(i, 1).to_pylist())
+    held = next(rows, None)
+
+    def own(name: str) -> Iterator[dict]:
+        nonlocal held
+        while held is not None and held["name"] == name:
+            yield held
+            held = next(rows, None)
+
+    while held is not None:
+        yield held, own(held["name"])
+
+
+def pooled_stats(rows: DataFrame, pool: DataFrame, metric: str, *, key: str | None = None, empty: float = 0.0, classes: tuple[int, ...] = CLASSES) -> DataFrame:
+    """id and, for each class r, mean_r, std_r (population), min_r, median_r and max_r of the similarity of each of `rows` (id, value[, key]) to the rows of `pool` (id, value, r[, key]) of class r, another id and, if asked, the same key; `empty` where there are none.
+
+    `value` is a vector or a list of items, as the metric takes; a null one is
+    empty, vectors of unlike sizes have no similarity.  Ids are unique and not
+    null; a row whose key is null meets none, nor does a pool row whose class is
+    null.  Other columns aren't read; an empty table gives no rows, an empty
+    pool `empty`.
+    """
+    keys = [key] if key else []
+    value = F.coalesce("value", F.array().cast(rows.schema["value"].dataType)).alias("value")
+    left = _packed(rows.select("id", *keys, value), keys, ["id", "value"])
+    right = _packed(pool.select("id", *keys, "r", value).where("r is not null"), keys, ["id", "r", "value"])
+    side = left.select(*keys, F.col("block").alias("own"), F.col("id").alias("ids"), F.col("value").alias("values"))
+    pools = right.select(*keys, F.col("block").alias("other"), "blocks", F.col("id").alias("pool_ids"), "r", F.col("value").alias("pool_values"))
+    met = side.join(pools, keys) if keys else side.join(pools, F.lit(True))  # rows are blocks
+    name = F.to_json(F.struct(*keys, "own"))
+    met = met.select(name.alias("name"), "other", "blocks", "ids", "values", "pool_ids", "r", "pool_values")
+    measure, kind, n_classes = METRICS[metric], rows.schema["id"].dataType.simpleString(), len(classes)
+    names = [f"{s}_{r}" for r in classes for s in STATS]
+
+    def meetings(first: dict, own: Iterator[dict]) -> Iterator[tuple[int, np.ndarray]]:
+        """(class, similarities; not a number for the row itself) of each meeting of a block."""
+        ids = np.array(first["ids"])[:, None]
+        values = first["values"]
+        for m in own:
+            x = np.where(ids == np.array(m["pool_ids"]), np.nan, measure(values, m["pool_values"]))
+            for c, label in enumerate(classes):
+                at = np.flatnonzero(np.array(m["r"]) == label)
+                if len(at):
+                    yield c, x[:, at]
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for first, own in _blocks(batches):
+            few = first["blocks"] * BLOCK <= KEPT
+            block = _Moments(len(first["ids"]), n_classes, few)
+            for c, x in meetings(first, own):
+                block.meet(c, x)
+            found = {"mean": block.mean, "std": np.sqrt(block.square / np.maximum(block.n, 1)), "min": block.low, "median": block.medians(), "max": block.high}
+            table = np.stack([np.where(block.n > 0, found[s], empty) for s in STATS], axis=2).reshape(len(first["ids"]), -1)
+            middle = None if few else {k: v.tolist() for k, v in _Middle.of(block).flat().items()}
+            row = {"name": first["name"], "ids": first["ids"], "stats": table.tolist(), "met": (block.n > 0).tolist(), "middle": middle, "open": not few and bool(_Middle(**middle).open().any())}
+            yield pa.RecordBatch.from_pylist([row], schema=arrow)
+
+    def narrowed(last: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for first, own in _blocks(batches):
+                middle = _Middle(**first["middle"])
+                for c, x in meetings(first, own):
+                    (middle.hold if last else middle.count)(c, n_classes, x)
+                table = first["stats"]
+                if last:
+                    for i, value in enumerate(middle.values().tolist()):
+                        if first["met"][i // n_classes][i % n_classes]:
+                            table[i // n_classes][i % n_classes * len(STATS) + STATS.index("median")] = value
+                else:
+                    middle = middle.narrowed()
+                row = {"name": first["name"], "ids": first["ids"], "stats": table, "met": first["met"], "middle": {k: v.tolist() for k, v in middle.flat().items()}, "open": bool(middle.open().any())}
+                yield pa.RecordBatch.from_pylist([row], schema=arrow)
 
+        return run
 
-def pairs(rows: DataFrame, pool: DataFrame, similarity: Column, *, key: str | None = None) -> DataFrame:
-    """id, r, x of each row with each pool row of another id; `similarity` reads a and b, the two sides' value."""
-    left = rows.select(F.col("id"), *([key] if key else []), F.col("value").alias("a"))
-    right = pool.select(F.col("id").alias("pool_id"), *([key] if key else []), "r", F.col("value").alias("b"))
-    met = left.join(right, [key] if key else F.col("id") != F.col("pool_id"))
-    return met.where(F.col("id") != F.col("pool_id")).select("id", "r", similarity.alias("x"))
-
-
-def pooled_stats(rows: DataFrame, met: DataFrame, *, empty: float = 0.0, classes: tuple[int, ...] = CLASSES) -> DataFrame:
-    """id and, for each class, mean, population std, min, median and max of its similarities; `empty` where there is none."""
-    own = lambda r: F.when(F.col("r") == r, F.col("x"))
-    aggs = []
-    for r in classes:
-        q = F.percentile(own(r), F.array(F.lit(0.0), F.lit(0.5), F.lit(1.0)))
-        aggs += [F.avg(own(r)).alias(f"mean_{r}"), F.stddev_pop(own(r)).alias(f"std_{r}"), q.alias(f"q_{r}")]
-    stats = met.groupBy("id").agg(*aggs)
-    columns = [c for r in classes for c in (F.col(f"mean_{r}"), F.col(f"std_{r}"), *[F.col(f"q_{r}")[i].alias(f"{n}_{r}") for i, n in enumerate(("min", "median", "max"))])]
-    stats = stats.select("id", *columns)
-    return rows.select("id").join(stats, "id", "left").na.fill(empty)
+    bounds = "struct<" + ", ".join(f"{k}: array<double>" for k in _Middle.NAMES) + ">"
+    schema = f"name string, ids array<{kind}>, stats array<array<double>>, met array<array<boolean>>, middle {bounds}, open boolean"
+    floats = pa.list_(pa.float64())
+    id_kind = pa.string() if kind == "string" else pa.int64()
+    arrow = pa.schema([("name", pa.string()), ("ids", pa.list_(id_kind)), ("stats", pa.list_(floats)), ("met", pa.list_(pa.list_(pa.bool_()))), ("middle", pa.struct([(k, floats) for k in _Middle.NAMES])), ("open", pa.bool_())])
+    if kind not in ("string", "bigint"):
+        raise ValueError("ids must be bigint or string")
+    together = lambda df: df.repartition("name").sortWithinPartitions("name", "other")
+    found = together(met).mapInArrow(moments, schema).persist()
+    many = found.where("middle is not null")
+    state, passes = many, []
+    while state.where("open").limit(1).count():
+        state = together(met.join(state.select("name", "stats", "met", "middle"), "name")).mapInArrow(narrowed(False), schema).persist()
+        passes.append(state)
+    if many.limit(1).count():
+        last = together(met.join(state.select("name", "stats", "met", "middle"), "name")).mapInArrow(narrowed(True), schema)
+        found = found.where("middle is null").unionByName(last)
+    out = found.select(F.explode(F.arrays_zip("ids", "stats")).alias("x")).select(F.col("x.ids").alias("id"), *[F.col("x.stats")[i].alias(n) for i, n in enumerate(names)])
+    return rows.select("id").join(out, "id", "left").na.fill(empty, names)

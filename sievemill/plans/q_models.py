@@ -102,11 +102,46 @@ def leaf_features(spark, sf):
     return rows.select(F.explode("rules").alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
 
 
-@query()
+RULES = {"x0<=24.5000 & x1<=4.50000": "l_quantity <= 24.5 AND l_discount * 100 <= 4.5", "x0<=24.5000 & x1>4.50000": "l_quantity <= 24.5 AND l_discount * 100 > 4.5", "x0>24.5000": "l_quantity > 24.5", "x3<=3.50000": "l_linenumber <= 3.5", "x3>3.50000": "l_linenumber > 3.5"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{rule}' AS rule, CAST(2 AS BIGINT) AS n, count(*) AS n_rows FROM lineitem WHERE {where}" for rule, where in RULES.items()))
 def rule_counts(spark, sf):
-    """Leaves that are the same rule."""
-    twice = SMALL + [(t + 2, *rest) for t, *rest in SMALL]
-    return forest.rule_counts(spark.createDataFrame(twice, forest.NODES))
+    """Leaves that are the same rule, in a forest that has each tree twice, and the lines that reach one."""
+    import pandas as pd
+
+    nodes = pd.DataFrame(SMALL + [(t + 2, *rest) for t, *rest in SMALL], columns=[x.split()[0] for x in forest.NODES.split(", ")])
+    registry = forest.registered(nodes)
+    rows = forest.rule_features(numeric_rows(spark, sf).select("id", "features"), nodes, registry)
+    reached = rows.select(F.explode(F.map_keys("rules")).alias("id")).groupBy("id").agg(F.count("*").alias("n_rows"))
+    ids = spark.createDataFrame([(int(r.id), int(r.tree), int(r.node)) for r in registry.itertuples()], "id int, tree int, node int")
+    table = spark.createDataFrame([tuple(x) for x in nodes.itertuples(index=False, name=None)], forest.NODES)
+    named = forest.rules(table).join(ids, ["tree", "node"]).join(reached, "id").groupBy("rule").agg(F.max("n_rows").alias("n_rows"))
+    return forest.rule_counts(table).join(named, "rule")
+
+
+# The small forest after its node 2 was split again.
+AGAIN = [(0, 2, 3.5, 0.0, 2, 5, 6, 0) if (t, k) == (0, 2) else (t, k, *rest) for t, k, *rest in SMALL] + [(0, 5, 0.0, 1.5, -1, -1, -1, 2), (0, 6, 0.0, 3.0, -1, -1, -1, 2)]
+
+
+@query("""SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_quantity <= 24.5 THEN CASE WHEN l_discount * 100 <= 4.5 THEN '1 ' ELSE '2 ' END || CASE WHEN l_linenumber <= 3.5 THEN '3' ELSE '4' END
+ELSE CASE WHEN l_linenumber <= 3.5 THEN '3 ' ELSE '4 ' END || CASE WHEN l_tax * 100 <= 3.5 THEN '5' ELSE '6' END END AS rules FROM lineitem""")
+def rule_features(spark, sf):
+    """Rules that hold for each line, by ids that survive another split of the forest."""
+    import pandas as pd
+
+    names = [x.split()[0] for x in forest.NODES.split(", ")]
+    before, after = pd.DataFrame(SMALL, columns=names), pd.DataFrame(AGAIN, columns=names)
+    rows = forest.rule_features(numeric_rows(spark, sf).select("id", "features"), after, forest.registered(after, forest.registered(before)))
+    return rows.select("id", F.array_join(F.map_keys("rules"), " ").alias("rules"))
+
+
+@query(f"SELECT l_orderkey * 10 + l_linenumber AS id, unnest(['both', 'first', 'second']) AS model, unnest([{SMALL_SQL}, {SMALL_SQL.partition(' END + ')[0]} END, {SMALL_SQL.partition(' END + ')[2]}]) AS prediction FROM lineitem")
+def forest_batch_prediction(spark, sf):
+    """Predictions of three forests in one pass over the lines."""
+    nodes = _small(spark).toPandas()
+    models = {"both": nodes, "first": nodes[nodes["tree"] == 0], "second": nodes[nodes["tree"] == 1]}
+    return forest.predict_models(numeric_rows(spark, sf).select("id", "features"), models).select("id", "model", "prediction")
 
 
 @query()
@@ -116,6 +151,20 @@ def forest_training(spark, sf):
     return growth.grow_forest(rows, forest.ForestConfig.parse("max_leaf_forest=20,opt_interval=10,NormalizeTarget,reg_L2=0.001"))
 
 
+def _tested(algorithm: str):
+    def run(spark, sf):
+        rows = numeric_rows(spark, sf).select("id", "features", "y")
+        config = forest.ForestConfig.parse(f"algorithm={algorithm},max_leaf_forest=9,opt_interval=3,test_interval=3,NormalizeTarget,reg_L2=0.001,reg_depth=1.2")
+        return growth.train_test(rows.where("id % 3 <> 0").drop("id"), rows.where("id % 3 = 0").drop("id"), config)[1]
+
+    run.__doc__ = f"Tests of a forest on a third of the lines while it grows on the others, under the penalty {algorithm}."
+    return run
+
+
+for _name in ("RGF_Opt", "RGF_Sib"):
+    QUERIES[f"forest_test_{_name[4:].lower()}"] = _tested(_name)
+
+
 def _learner_rows(spark, sf) -> tuple[DataFrame, DataFrame]:
     docs = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", "n_chars")
     words = F.size(F.split("text", " "))

@@ -472,22 +472,62 @@ def _pool_sql(x: str, empty: float, by: str = "") -> str:
 m AS (SELECT a.id, b.r, {x} AS x FROM v a LEFT JOIN v b ON a.id <> b.id {by}) SELECT id, {stats} FROM m GROUP BY id"""
 
 
-def _pooled(rows, similarity, empty, key=None):
-    met = pooling.pairs(rows, rows, similarity, key=key)
-    out = pooling.pooled_stats(rows, met, empty=empty)
+def _pooled(rows, metric, empty, key=None):
+    out = pooling.pooled_stats(rows, rows, metric, key=key, empty=empty)
     return out.select("id", *[F.round(c, 6).alias(c) for c in out.columns if c != "id"])
 
 
 @query(_pool_sql("list_cosine_similarity(a.value, b.value)", 0.0, "AND a.q = b.q"))
 def pooled_cosine(spark, sf):
     """Similarity to the labelled vectors of the same group, by class."""
-    return _pooled(_vectors(spark, sf), arrays.cosine(F.col("a"), F.col("b")), 0.0, "q")
+    return _pooled(_vectors(spark, sf), "cosine", 0.0, "q")
+
+
+@query(_pool_sql("list_cosine_similarity(a.value, b.value)", 0.0))
+def pooled_cosine_by_class(spark, sf):
+    """Similarity to all labelled vectors, by class."""
+    return _pooled(_vectors(spark, sf), "cosine", 0.0)
 
 
 @query(_pool_sql("list_distance(a.value, b.value)", -1.0, "AND a.q = b.q"))
 def pooled_euclidean(spark, sf):
     """Distance to the labelled vectors of the same group, by class."""
-    return _pooled(_vectors(spark, sf), arrays.euclidean(F.col("a"), F.col("b")), -1.0, "q")
+    return _pooled(_vectors(spark, sf), "euclidean", -1.0, "q")
+
+
+@query(_pool_sql("list_distance(a.value, b.value)", -1.0))
+def pooled_euclidean_by_class(spark, sf):
+    """Distance to all labelled vectors, by class."""
+    return _pooled(_vectors(spark, sf), "euclidean", -1.0)
+
+
+def _set_sql(metric: str, value: str, grams: str, by: str) -> str:
+    """Statistics of a set similarity by class, from counts of shared distinct terms."""
+    x = {"jaccard": "CASE WHEN a.n + b.n > 0 THEN coalesce(s.n, 0) / CAST(a.n + b.n - coalesce(s.n, 0) AS DOUBLE) ELSE 0.0 END", "dice": "CASE WHEN a.n + b.n > 0 THEN 2 * coalesce(s.n, 0) / CAST(a.n + b.n AS DOUBLE) ELSE 0.0 END"}[metric]
+    stats = ", ".join(f"round(coalesce({f}, 0.0), 6) AS {n}_{r}" for r in (1, 2, 3, 4) for n, f in (("mean", f"avg(x) FILTER (r = {r})"), ("std", f"stddev_pop(x) FILTER (r = {r})"), ("min", f"min(x) FILTER (r = {r})"), ("median", f"quantile_cont(x, 0.5) FILTER (r = {r})"), ("max", f"max(x) FILTER (r = {r})")))
+    terms = {"unigram": "w", "bigram": bi("w"), "trigram": tri("w")}[grams]
+    return f"""WITH {SAMPLES_SQL}, t AS (SELECT id, query AS q, relevance AS r, {tok(value)} AS w FROM samples), v AS (SELECT id, q, r, list_distinct({terms}) AS value, len(list_distinct({terms})) AS n FROM t),
+e AS (SELECT id, q, unnest(value) AS term FROM v), s AS (SELECT a.id AS i, b.id AS j, count(*) AS n FROM e a JOIN e b ON a.term = b.term AND a.id <> b.id {by} GROUP BY 1, 2),
+m AS (SELECT a.id, b.r, {x} AS x FROM v a LEFT JOIN v b ON a.id <> b.id {by} LEFT JOIN s ON s.i = a.id AND s.j = b.id) SELECT id, {stats} FROM m GROUP BY id"""
+
+
+def _set_pool(metric: str, value: str, grams: str, key: str | None):
+    def run(spark, sf):
+        words = text.tokens(F.col(value))
+        rows = samples(spark, sf).select("id", F.col("query").alias("q"), F.col("relevance").alias("r"), ngrams.GRAMS[grams](words).alias("value"))
+        return _pooled(rows, metric, 0.0, key)
+
+    run.__doc__ = f"The metric {metric} of {grams}s of {value}s with the labelled ones{' of the same query' if key else ''}, by class."
+    return run
+
+
+for _metric in ("jaccard", "dice"):
+    for _value in ("title", "description"):
+        for _grams in ngrams.GRAMS:
+            for _key in (None, "q"):
+                _name = f"pooled_{_metric}_{_value}_{_grams}_by_{'query' if _key else 'class'}"
+                QUERIES[_name] = _set_pool(_metric, _value, _grams, _key)
+                ORACLES[_name] = _set_sql(_metric, _value, _grams, "AND a.q = b.q" if _key else "")
 
 
 @query(f"""WITH {SAMPLES_SQL}, v AS (SELECT id, query AS q, relevance AS r, {tok('title')} AS value FROM samples),
@@ -496,7 +536,7 @@ SELECT id, {', '.join(f'round(coalesce({f}, 0.0), 6) AS {n}_{r}' for r in (1, 2,
 def pooled_jaccard(spark, sf):
     """Set similarity of titles to the labelled titles of the same query, by class."""
     rows = samples(spark, sf).select("id", F.col("query").alias("q"), F.col("relevance").alias("r"), text.tokens(F.col("title")).alias("value"))
-    return _pooled(rows, arrays.jaccard(F.col("a"), F.col("b")), 0.0, "q")
+    return _pooled(rows, "jaccard", 0.0, "q")
 
 
 @query()
