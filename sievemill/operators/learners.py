@@ -1,7 +1,8 @@
 """Regression and ordinal learners, cross-validation and seeded search.
 
-Linear and tree learners are those of pyspark.ml.  The others are small numpy
-fits that run one per group of (run, fold, trial) on the cluster.
+Boosted linear learners are `boosted`'s, other linear and tree learners those of
+pyspark.ml.  The rest are small numpy fits that run one per group of (run, fold,
+trial) on the cluster.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.ml.regression import FMRegressor, GBTRegressor, LinearRegression, R
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import boosted
+
 Fit = Callable[[np.ndarray, np.ndarray, np.ndarray, dict, np.random.Generator], Callable[[np.ndarray], np.ndarray]]
 
 
@@ -27,18 +30,20 @@ def _linear(alpha: float):
 
 #: Learners of pyspark.ml by name: parameters -> estimator.
 BUILT_IN: dict[str, Callable[[dict], Estimator]] = {
-    "reg_linear": _linear(0.0),
     "ridge": _linear(0.0),
     "lasso": lambda p: LinearRegression(labelCol="label", elasticNetParam=1.0, regParam=p.get("reg", 0.01), standardization=True),
     "reg_tree": lambda p: GBTRegressor(labelCol="label", weightCol="weight", maxIter=int(p.get("rounds", 20)), maxDepth=int(p.get("depth", 4)), stepSize=p.get("eta", 0.1), subsamplingRate=p.get("subsample", 1.0), seed=2015),
     "gbm": lambda p: GBTRegressor(labelCol="label", weightCol="weight", maxIter=int(p.get("rounds", 20)), maxDepth=int(p.get("depth", 4)), stepSize=p.get("eta", 0.1), featureSubsetStrategy=p.get("features", "onethird"), seed=2015),
     "forest": lambda p: RandomForestRegressor(labelCol="label", weightCol="weight", numTrees=int(p.get("trees", 20)), maxDepth=int(p.get("depth", 6)), seed=2015),
     "factorization": lambda p: FMRegressor(labelCol="label", factorSize=int(p.get("k", 4)), maxIter=int(p.get("iterations", 50)), stepSize=p.get("eta", 0.05), seed=2015),
-    "softmax": lambda p: LogisticRegression(labelCol="label", weightCol="weight", family="multinomial", regParam=p.get("reg", 0.01)),
     "logistic": lambda p: OneVsRest(classifier=LogisticRegression(regParam=p.get("reg", 0.01)), labelCol="label", weightCol="weight"),
 }
 
 
+#: Boosted linear learners by name: their objective.
+BOOSTED = {"reg_linear": "squared", "softmax": "softmax", "ebc": "ebc", "cocr": "cocr", "soft_kappa": "soft_kappa"}
+
+
 def balanced_weights(train: DataFrame, label: str = "label") -> DataFrame:
     """Add weight: rows over classes times the class's rows."""
     sizes = train.groupBy(label).agg(F.count("*").alias("n"))
@@ -47,38 +52,12 @@ def balanced_weights(train: DataFrame, label: str = "label") -> DataFrame:
 
 
 def fit_predict(name: str, train: DataFrame, valid: DataFrame, params: dict) -> DataFrame:
-    """valid with prediction: regressions as they are, classes as expected values; ordinal learners sum their thresholds."""
-    if name in ("cocr", "ebc"):
-        return _thresholds(name, train, valid, params)
+    """valid (x array, features vector) with prediction: regressions as they are, classes as expected values; ordinal learners sum their thresholds."""
+    if name in BOOSTED:
+        model = boosted.fit(train.select(F.col("x").alias("features"), "label", "weight"), BOOSTED[name], **params)
+        return boosted.predict(valid.withColumn("features", F.col("x")), model, BOOSTED[name]).select(*valid.columns, "prediction")
     model = BUILT_IN[name](params).fit(train)
-    out = model.transform(valid)
-    if name == "softmax":
-        from pyspark.ml.functions import vector_to_array
-
-        p = vector_to_array("probability")
-        out = out.withColumn("prediction", F.aggregate(F.transform(p, lambda x, i: x * i.cast("double")), F.lit(0.0), lambda s, x: s + x))
-    return out.select(*valid.columns, F.col("prediction").cast("double").alias("prediction"))
-
-
-def _thresholds(name: str, train: DataFrame, valid: DataFrame, params: dict, classes: int = 4) -> DataFrame:
-    """One weighted fit per threshold: least squares on [label >= k] (cocr), logistic on label > k (ebc)."""
-    out = valid.withColumn("total", F.lit(1.0))
-    for k in range(1, classes):
-        y = F.col("label")
-        if name == "cocr":
-            part = train.withColumn("weight", F.col("weight") * F.abs(2 * (y - k) + 1)).withColumn("label", (y >= k).cast("double"))
-            model = LinearRegression(labelCol="label", weightCol="weight", regParam=params.get("reg", 0.01)).fit(part)
-        else:
-            s = F.when(y > k, 1.0).otherwise(-1.0)
-            part = train.withColumn("weight", F.col("weight") * F.abs((s - k) * (s - k) - (s - k - 1) * (s - k - 1))).withColumn("label", (y > k).cast("double"))
-            model = LogisticRegression(labelCol="label", weightCol="weight", regParam=params.get("reg", 0.01)).fit(part)
-        scored = model.transform(out)
-        if name == "ebc":
-            from pyspark.ml.functions import vector_to_array
-
-            scored = scored.withColumn("prediction", vector_to_array("probability")[1])
-        out = scored.withColumn("total", F.col("total") + F.col("prediction")).select(*valid.columns, "total")
-    return out.withColumnRenamed("total", "prediction")
+    return model.transform(valid).select(*valid.columns, F.col("prediction").cast("double").alias("prediction"))
 
 
 def rank_fit(rows: DataFrame, group: str, *, reg: float = 0.01, block: int = 500, rounds: int = 12) -> list[float]:
@@ -232,29 +211,8 @@ def neural_net(x, y, w, p, rng):
     return apply
 
 
-def soft_kappa(x, y, w, p, rng, classes: int = 4):
-    """Linear scores by class, Newton-like steps on the smooth kappa; labels 1..K."""
-    m, s = _scaled(x)
-    f = np.column_stack([(x - m) / s, np.ones(len(x))])
-    a, label = np.zeros((f.shape[1], classes)), np.rint(y).astype(int)
-    cost = np.subtract.outer(label, np.arange(1, classes + 1)) ** 2.0
-    h = np.bincount(label, minlength=classes + 1)[1 : classes + 1]
-    e = max(float(sum((i - j) ** 2 * h[i] * h[j] for i in range(classes) for j in range(classes))), 1.0)
-
-    def soft(t: np.ndarray) -> np.ndarray:
-        t = np.exp(t - t.max(axis=1, keepdims=True))
-        return t / t.sum(axis=1, keepdims=True)
-
-    for _ in range(int(p.get("steps", 200))):
-        q = soft(f @ a)
-        seen = (cost * q).sum(axis=1, keepdims=True)
-        grad = len(y) * q * (cost - seen) / e * w[:, None]
-        a -= p.get("eta", 5.0) * (f.T @ grad) / len(y) * e / max(len(y), 1) ** 2 + p.get("reg", 0.0) * a
-    return lambda z: soft(np.column_stack([(z - m) / s, np.ones(len(z))]) @ a) @ np.arange(1, classes + 1)
-
-
 #: Learners of numpy by name.
-CUSTOM: dict[str, Fit] = {"extra_trees": extra_trees, "svr": support_vectors, "neural_net": neural_net, "soft_kappa": soft_kappa}
+CUSTOM: dict[str, Fit] = {"extra_trees": extra_trees, "svr": support_vectors, "neural_net": neural_net}
 
 
 def cross_predict(samples: DataFrame, name: str, params: dict, seed: int = 2015, bag: float = 1.0) -> DataFrame:

@@ -31,6 +31,18 @@ def cocr_rows(df: DataFrame) -> DataFrame:
     return rows.select("id", "k", (2 * w * (F.col("p") - b) * F.col("weight")).alias("grad"), (2 * w * F.col("weight")).alias("hess"))
 
 
+def squared_rows(df: DataFrame) -> DataFrame:
+    """id, k = 1, grad, hess of half the weighted squared error for (id, label, preds array, weight)."""
+    return df.select("id", F.lit(1).alias("k"), ((F.col("preds")[0] - F.col("label")) * F.col("weight")).alias("grad"), F.col("weight").alias("hess"))
+
+
+def softmax_rows(df: DataFrame) -> DataFrame:
+    """id, k, grad, hess of the weighted log loss of a soft maximum for (id, label 1..K, preds array, weight); the Hessian is twice the diagonal, which bounds the whole."""
+    rows = df.select("id", "label", "weight", F.posexplode(softmax(F.col("preds"))).alias("i", "p")).withColumn("k", F.col("i") + 1)
+    hit = (F.col("label") == F.col("k")).cast("double")
+    return rows.select("id", "k", ((F.col("p") - hit) * F.col("weight")).alias("grad"), (2 * F.col("p") * (1 - F.col("p")) * F.col("weight")).alias("hess"))
+
+
 def softkappa_rows(df: DataFrame, scale: float = 0.000125, *, predicted_histogram: bool = False) -> DataFrame:
     """id, n, grad, hess of the smooth kappa for (id, label 1..K, preds array, weight).
 
@@ -39,7 +51,10 @@ def softkappa_rows(df: DataFrame, scale: float = 0.000125, *, predicted_histogra
     its absolute value taken.  `predicted_histogram` takes the predicted class
     mass, and its derivative, in the expected part (the older form).
     """
-    k = len(df.select("preds").first()[0])
+    first = df.select("preds").first()
+    if first is None:
+        return df.select("id", F.lit(0).alias("n"), F.lit(0.0).alias("grad"), F.lit(0.0).alias("hess")).limit(0)
+    k = len(first[0])
     rows = df.select("id", "label", "weight", softmax(F.col("preds")).alias("p"))
     cost = lambda n: F.pow(F.col("label") - F.lit(n), F.lit(2.0))
     seen = sum((cost(n) * F.col("p")[n - 1] for n in range(1, k + 1)), F.lit(0.0))

@@ -192,10 +192,9 @@ def _built_in(name: str, shift: float = 0.0, **params):
     return run
 
 
-for _name, _params in {"reg_linear": {}, "ridge": {"reg": 1.0}, "lasso": {"reg": 0.05}, "reg_tree": {"rounds": 5, "depth": 3}, "gbm": {"rounds": 5, "depth": 3}, "forest": {"trees": 5, "depth": 4}, "factorization": {"k": 2, "iterations": 10}, "cocr": {}, "ebc": {}}.items():
+for _name, _params in {"reg_linear": {}, "softmax": {}, "soft_kappa": {"eta": 0.1}, "ridge": {"reg": 1.0}, "lasso": {"reg": 0.05}, "reg_tree": {"rounds": 5, "depth": 3}, "gbm": {"rounds": 5, "depth": 3}, "forest": {"trees": 5, "depth": 4}, "factorization": {"k": 2, "iterations": 10}, "cocr": {}, "ebc": {}}.items():
     QUERIES[f"learner_{_name}"] = _built_in(_name, **_params)
-for _name in ("softmax", "logistic"):
-    QUERIES[f"learner_{_name}"] = _built_in(_name, 1.0)
+QUERIES["learner_logistic"] = _built_in("logistic", 1.0)
 
 
 @query()
@@ -222,7 +221,7 @@ def _custom(name: str, **params):
     return run
 
 
-for _name, _params in {"extra_trees": {"trees": 5}, "svr": {"steps": 50}, "neural_net": {"steps": 50}, "soft_kappa": {"steps": 50}}.items():
+for _name, _params in {"extra_trees": {"trees": 5}, "svr": {"steps": 50}, "neural_net": {"steps": 50}}.items():
     QUERIES[f"learner_{_name}"] = _custom(_name, **_params)
 
 
