@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import HashTable
-from .storage import small_batches, written
+from .packed import pack, unpack
+from .storage import n_parts, small_batches, written
 from .words import ALNUM, SPACED, U, Words, buffers, slices, split
 
 #: Bits, as a power of two, of the map of words that are counted: 8 MB, whatever there are; word counts that a task holds.
@@ -122,49 +123,77 @@ class Weights:
         return best, template, square
 
 
-def _counted(keep: np.ndarray | None = None, bits: int = MARKS):
-    """(text) -> (h, n): texts of the task with each word, of words whose high bits are in the map `keep`; word 0 of length 0 (h null) stands for all texts."""
+def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    h, n = (np.concatenate(x) for x in zip(*held, strict=True))
+    h, place = np.unique(h, return_inverse=True)
+    return h, np.bincount(place, n, len(h)).astype(np.int64)
 
-    def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        h, n = (np.concatenate(x) for x in zip(*held, strict=True))
-        h, place = np.unique(h, return_inverse=True)
-        return h, np.bincount(place, n, len(h)).astype(np.int64)
 
-    def row(h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+def _counted(keep: np.ndarray, bits: int, parts: int):
+    """(text) -> (part, body): texts of the task with each word whose high bits are in the map `keep`, a value for each part of the words; part -1 has the number of texts."""
+
+    def rows(h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        part = (h % U(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        cuts = np.searchsorted(part[order], np.arange(parts + 1))
+        made = [(j, pack(h[own], n[own])) for j in np.flatnonzero(np.diff(cuts)).tolist() for own in [order[cuts[j] : cuts[j + 1]]]]
+        return row(made)
+
+    def row(made: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([j for j, _ in made], pa.int32()), pa.array([b for _, b in made], pa.binary())], names=["part", "body"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        rows = 0
+        texts = 0
         for batch in batches:
-            rows += batch.num_rows
+            texts += batch.num_rows
             data, at = buffers(batch.column(0))
             for lo, hi in slices(at):
                 words = split(data, at[lo : hi + 1], ALNUM)
                 h, owner = words.hashes(), words.owner()
-                if keep is not None:
-                    some = keep[(h >> U(64 - bits)).astype(np.int64)]
-                    h, owner = h[some], owner[some]
+                some = keep[(h >> U(64 - bits)).astype(np.int64)]
+                h, owner = h[some], owner[some]
                 order = np.lexsort((owner, h))
                 h, owner = h[order], owner[order]
                 first = np.ones(len(h), bool)
                 first[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
                 held.append(np.unique(h[first], return_counts=True))
                 if sum(len(x) for x, _ in held) > HELD:
-                    held = [merged(held)]
+                    held = [_merged(held)]
                     if len(held[0][0]) > HELD // 2:
-                        yield row(*held.pop())
+                        yield rows(*held.pop())
         if held:
-            yield row(*merged(held))
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([rows], pa.int64())], names=["h", "n"])
+            yield rows(*_merged(held))
+        yield row([(-1, pack(np.zeros(1, U), np.array([texts], np.int64)))])
 
     return run
 
 
-def _frequencies(files: DataFrame, hashes: np.ndarray | None = None, bits: int = MARKS) -> DataFrame:
-    """(h, n): texts with each word whose high bits some of `hashes` have, or of all words; h null has the number of texts."""
-    counted = files.select("text").mapInArrow(_counted(hashes, bits), "h bigint, n bigint")
-    return counted.groupBy("h").agg(F.sum("n").alias("n"))
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of `_counted`, a part's together -> (h, n); h null has the number of texts."""
+    last, held = None, []
+
+    def out() -> pa.RecordBatch:
+        h, n = _merged(held)
+        return pa.RecordBatch.from_arrays([pa.array([None], pa.int64()) if last < 0 else pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+    for batch in batches:
+        for part, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if held and part != last:
+                yield out()
+                held = []
+            last = part
+            held.append(tuple(unpack(body)))
+            if sum(len(x) for x, _ in held) > HELD:
+                held = [_merged(held)]
+    if held:
+        yield out()
+
+
+def _frequencies(files: DataFrame, marks: np.ndarray, bits: int = MARKS) -> DataFrame:
+    """(h, n): texts with each word whose high bits are marked; h null has the number of texts."""
+    packed = files.select("text").mapInArrow(_counted(marks, bits, n_parts(files.sparkSession)), "part int, body binary")
+    return packed.repartition("part").sortWithinPartitions("part").mapInArrow(_added, "h bigint, n bigint")
 
 
 def _units(weights: Weights, words: Words) -> tuple[np.ndarray, np.ndarray]:
