@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.mllib.linalg import Vectors
 from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
 from pyspark.sql import DataFrame
@@ -25,11 +28,38 @@ def fit_svd(weights: DataFrame, terms: DataFrame, k: int) -> tuple[np.ndarray, n
     return np.array(found.s.toArray()), np.array(found.V.toArray())
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, weight, v) in the order of ids -> id, vector: the weighted sum of each id's; an id may span batches."""
+
+    def row(ids: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(list(sums), pa.list_(pa.float64()))], names=["id", "vector"])
+
+    last: tuple[int, np.ndarray] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = batch.column(0).to_numpy()
+        v = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1) * batch.column(1).to_numpy()[:, None]
+        cut = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        ids, sums = ids[cut], np.add.reduceat(v, cut, axis=0)
+        if last is not None:
+            if last[0] == ids[0]:
+                sums[0] += last[1]
+            else:
+                yield row(np.array([last[0]]), last[1][None])
+        if len(ids) > 1:
+            yield row(ids[:-1], sums[:-1])
+        last = int(ids[-1]), sums[-1]
+    if last is not None:
+        yield row(np.array([last[0]]), last[1][None])
+
+
 def project(weights: DataFrame, terms: DataFrame, v: np.ndarray) -> DataFrame:
-    """id, vector: rows times the term vectors; terms join with their vectors, so no matrix is held whole by a task."""
+    """id (bigint), vector: rows times the term vectors; terms join with their vectors and are added up by numpy, first within each partition."""
     spark = weights.sparkSession
-    names = [r.term for r in terms.orderBy("index").collect()]  # the vocabulary is bounded by its document-frequency cut
+    names = [r.term for r in terms.orderBy("index").collect()]  # as many as `v` has rows, which is on the driver already
     table = spark.createDataFrame([(t, x.tolist()) for t, x in zip(names, v, strict=True)], "term string, v array<double>")
-    k = v.shape[1]
-    parts = weights.join(table, "term").groupBy("id").agg(*[F.sum(F.col("weight") * F.col("v")[j]).alias(f"v{j}") for j in range(k)])
-    return parts.select("id", F.array(*[f"v{j}" for j in range(k)]).alias("vector"))
+    rows = weights.join(table, "term").select(F.col("id").cast("bigint").alias("id"), "weight", "v")
+    parts = rows.sortWithinPartitions("id").mapInArrow(_added, "id bigint, vector array<double>")
+    parts = parts.select("id", F.lit(1.0).alias("weight"), "vector").repartition("id").sortWithinPartitions("id")
+    return parts.mapInArrow(_added, "id bigint, vector array<double>")

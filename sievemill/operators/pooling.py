@@ -75,7 +75,27 @@ def dice(a: list, b: list) -> np.ndarray:
     return np.divide(2 * both, na + nb, out=np.zeros(both.shape), where=na + nb > 0)
 
 
-METRICS: dict[str, Callable[[list, list], np.ndarray]] = {"cosine": cosine, "euclidean": euclidean, "jaccard": jaccard, "dice": dice}
+def terms(a: list, b: list) -> np.ndarray:
+    """Cosine similarity of sparse vectors, lists of (term, weight); 0 where one is empty."""
+    number: dict = {}
+    sides = []
+    for side in (a, b):
+        row = np.repeat(np.arange(len(side)), [len(v) for v in side])
+        code = np.array([number.setdefault(x["term"], len(number)) for v in side for x in v], np.int64)
+        weight = np.array([x["weight"] for v in side for x in v], float)
+        sides.append((row, code, weight, np.sqrt(np.bincount(row, weight * weight, len(side)))))
+    (row, code, weight, na), (row_b, code_b, weight_b, nb) = sides
+    order = np.argsort(code_b, kind="stable")
+    row_b, code_b, weight_b = row_b[order], code_b[order], weight_b[order]
+    lo, n = np.searchsorted(code_b, code), np.searchsorted(code_b, code, "right") - np.searchsorted(code_b, code)
+    at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+    cell = np.repeat(row, n) * len(b) + row_b[at]
+    out = np.bincount(cell, np.repeat(weight, n) * weight_b[at], len(a) * len(b)).reshape(len(a), len(b))
+    norm = na[:, None] * nb
+    return np.divide(out, norm, out=np.zeros(norm.shape), where=norm > 0)
+
+
+METRICS: dict[str, Callable[[list, list], np.ndarray]] = {"terms": terms, "cosine": cosine, "euclidean": euclidean, "jaccard": jaccard, "dice": dice}
 
 
 def _packed(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

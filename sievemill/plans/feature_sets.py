@@ -5,8 +5,10 @@ from __future__ import annotations
 from itertools import permutations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.ngrams import GRAMS
+from ..functions.text import tokens
 from ..operators.counting import FIELDS, transform_of
 from ..sources.formats import feature_manifest
 
@@ -60,3 +62,11 @@ def manifest(spark: SparkSession, name: str) -> DataFrame:
 def square_roots(name: str) -> int:
     """How many features of the set are taken as square roots."""
     return sum(transform_of(f) == "sqrt" for f in feature_set(name))
+
+
+def feature_matrix(samples: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """(id, label, features) of a whole set for samples (id, query, title, description, relevance), and its width."""
+    from ..operators.feature_table import Table
+
+    rows = samples.select("id", F.col("query").alias("qid"), "relevance", *[tokens(F.col(f)).alias(f"{f}_tokens") for f in FIELDS])
+    return Table(rows).matrix(feature_set(name))

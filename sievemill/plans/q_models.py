@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import decode, ensemble, folds, forest, growth, learners, metrics
-from .fixtures import MODELS_SQL, distributions, labelled, model_predictions, numeric_rows, read, split_samples
+from .fixtures import MODELS_SQL, distributions, labelled, model_predictions, numeric_rows, read, samples, split_samples
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -281,3 +281,19 @@ def feature_manifests(spark, sf):
         part = manifest(spark, name).withColumn("set", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def _feature_set(name: str):
+    def run(spark, sf):
+        from .feature_sets import feature_matrix
+
+        rows, width = feature_matrix(samples(spark, sf), name)
+        cells = F.transform(F.array_sort(F.map_entries("features")), lambda e: F.concat_ws(":", (e["key"] + 1).cast("string"), F.round(e["value"], 6).cast("string")))
+        return rows.select("id", "label", F.lit(width).alias("width"), F.size("features").alias("n_values"), F.array_join(cells, " ").alias("features"))
+
+    run.__doc__ = f"All features of the set {name} for all samples, as `place:value`."
+    return run
+
+
+for _name in ("low_1", "low_2", "low_3", "high"):
+    QUERIES[f"feature_set_{_name}"] = _feature_set(_name)

@@ -335,6 +335,27 @@ def counting_features(spark, sf):
     return out.select(*[F.round(f.name, 6).alias(f.name) if f.dataType.typeName() == "double" else f.name for f in plain])
 
 
+def _set_columns_sql() -> str:
+    from .feature_sets import counting_names, distance_names
+
+    gone = ", ".join(f"round({make(f'{a}_{g}', f'{b}_{g}')}, 6) AS {m}_of_{g}_between_{a}_{b}" for m, make in (("jaccard_coef", jac), ("dice_dist", dic)) for g in ("unigram", "bigram", "trigram") for a, b in (("query", "title"), ("query", "description"), ("title", "description")))
+    names = [f"round({f'sqrt(CAST({c} AS DOUBLE))' if counting.transform_of(c) == 'sqrt' else f'CAST({c} AS DOUBLE)'}, 5) AS {c}" for c in counting_names() + distance_names()]
+    return f"WITH {SAMPLES_SQL}, t AS (SELECT id, {', '.join(f'{tok(f)} AS {f}' for f in FIELDS)} FROM samples), g AS (SELECT id, {ALL_GRAMS} FROM t), f AS (SELECT id, {_basic_sql(FIELDS)}, {_intersect_sql(FIELDS)}, {_stats_sql(FIELDS)}, {gone} FROM g) SELECT id, {', '.join(names)} FROM f".replace(", 6) AS", ", 12) AS")
+
+
+def feature_set_columns(spark, sf):
+    """The 160 features that all sets share, as they go into them."""
+    from ..operators.feature_table import Table
+    from .feature_sets import counting_names, distance_names
+
+    rows = tokenized(samples(spark, sf).select("id", F.col("query").alias("qid"), "relevance", *FIELDS), *FIELDS)
+    out = Table(rows).columns(counting_names() + distance_names())
+    return out.select("id", *[F.round(c, 5).alias(c) for c in out.columns if c not in ("id", "relevance")])
+
+
+QUERIES["feature_set_columns"], ORACLES["feature_set_columns"] = feature_set_columns, _set_columns_sql()
+
+
 @query(f"WITH {G_SQL} SELECT conv_id, turn, round(sqrt(CAST(len(query_unigram) AS DOUBLE)), 6) AS count_of_query_unigram, round({div('len(list_distinct(query_unigram))', 'len(query_unigram)')}, 6) AS ratio_of_unique_query_unigram FROM g")
 def feature_transform(spark, sf):
     """Square roots of counts; ratios as they are."""
