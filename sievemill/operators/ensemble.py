@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .decode import cdf_decode
+from .decode import cdf_decode, cutoff_decode
 from .metrics import kappa
 
 
@@ -36,9 +36,11 @@ def objective(predictions: DataFrame, cdfs: DataFrame, weights: DataFrame) -> Da
     return kappa(scored, "score", "target", keys=("run", "fold")).agg(F.avg("kappa").alias("kappa_mean"), F.stddev_pop("kappa").alias("kappa_std"))
 
 
-def apply_ensemble(test: DataFrame, chosen: DataFrame, cdf: list[float]) -> DataFrame:
-    """id, prediction, score for test (model, id, prediction) and chosen (bag, model, weight): each bag's weighted mean, their mean, decoded."""
+def apply_ensemble(test: DataFrame, chosen: DataFrame, cdf: list[float], *, cutoffs: list[float] | None = None) -> DataFrame:
+    """id, prediction, score for test (model, id, prediction) and chosen (bag, model, weight): each bag's weighted mean, their mean, decoded by the shares of `cdf`, or by `cutoffs` of the prediction if they are given."""
     rows = test.join(chosen, "model").groupBy("bag", "id").agg((F.sum(F.col("weight") * F.col("prediction")) / F.sum("weight")).alias("prediction"))
+    if cutoffs is not None:
+        return bag_mean(rows).withColumn("score", cutoff_decode(F.col("prediction"), cutoffs))
     return cdf_decode(bag_mean(rows), [F.lit(c) for c in cdf]).select("id", "prediction", "score")
 
 

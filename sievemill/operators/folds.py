@@ -78,9 +78,10 @@ def sample_weights(split: DataFrame, variance: str = "variance") -> DataFrame:
     return rows.select(*split.columns, F.when(F.col("m") > 0, (1 + (F.col("m") - root) / F.col("m")) / 2).otherwise(1.0).alias("weight"))
 
 
-def contiguous_folds(df: DataFrame, order: str, folds: int) -> DataFrame:
-    """Add fold 1..k: runs of rows in order, the first ones longer by one where rows are left over."""
-    rows = ranked(df, [order], "__turn").crossJoin(df.agg(F.count("*").alias("__n")))  # one row
+def contiguous_folds(df: DataFrame, order: str, folds: int, seed: int | None = None) -> DataFrame:
+    """Add fold 1..k: runs of rows in order, the first ones longer by one where rows are left over; with a seed the order is shuffled first, by an arithmetic draw on the order column, which is a number then."""
+    turn = [order] if seed is None else [F.pmod(F.col(order) * 7919 + seed, F.lit(10007)), order]
+    rows = ranked(df, turn, "__turn").crossJoin(df.agg(F.count("*").alias("__n")))  # one row
     size, more = F.expr(f"__n div {folds}"), F.expr(f"__n % {folds}")
     long = F.col("__turn") < more * (size + 1)
     fold = F.when(long, F.floor(F.col("__turn") / (size + 1))).otherwise(more + F.floor((F.col("__turn") - more * (size + 1)) / F.when(size > 0, size)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .objectives import forest_loss
 from .ranking import running_sums
 
 
@@ -54,15 +55,15 @@ def grouped_kappa(solution: DataFrame, submission: DataFrame, group: str) -> Dat
     return kappa(rows, "target", "score", keys=(group,)).join(weight, group).agg(mean_kappa(F.col("kappa"), F.col("weight")).alias("mean_kappa"))
 
 
-def binary_report(df: DataFrame, p: str, y: str) -> DataFrame:
-    """precision, recall, f1, accuracy, rmse of predictions with threshold 0 against labels +1 / -1."""
+def binary_report(df: DataFrame, p: str, y: str, loss: str | None = None) -> DataFrame:
+    """precision, recall, f1, accuracy, rmse, and the mean of a loss if one is named, of predictions with threshold 0 against labels +1 / -1."""
     pos, true = F.col(p) > 0, F.col(y) > 0
     tp, fp, fn, ok = (F.sum(c.cast("double")) for c in (pos & true, pos & ~true, ~pos & true, pos == true))
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
-    out = df.agg(tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), (ok / F.count("*")).alias("accuracy"), F.sqrt(F.avg(F.pow(F.col(p) - F.col(y), F.lit(2.0)))).alias("rmse"))
+    out = df.agg(tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), (ok / F.count("*")).alias("accuracy"), F.sqrt(F.avg(F.pow(F.col(p) - F.col(y), F.lit(2.0)))).alias("rmse"), *([F.avg(forest_loss(loss, F.col(p), F.col(y))).alias("loss")] if loss else []))
     out = out.withColumn("precision", ratio(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", ratio(F.col("tp"), F.col("tp") + F.col("fn")))
     f1 = ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))
-    return out.select("precision", "recall", f1.alias("f1"), "accuracy", "rmse")
+    return out.select("precision", "recall", f1.alias("f1"), "accuracy", "rmse", *(["loss"] if loss else []))
 
 
 def break_even(df: DataFrame, p: str, y: str) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import decode, ensemble, folds, forest, growth, learners, metrics
+from ..operators import boosted, decode, ensemble, folds, forest, growth, guided, learners, metrics
+from ..sources.scratch import scratch
 from .fixtures import MODELS_SQL, distributions, labelled, model_predictions, numeric_rows, read, samples, split_samples
 
 QUERIES: dict[str, Callable] = {}
@@ -227,13 +228,31 @@ for _name, _params in {"extra_trees": {"trees": 5}, "svr": {"steps": 50}, "neura
 
 @query()
 def parameter_search(spark, sf):
-    """Kappa of drawn trials of the support-vector learner, best first."""
-    space = {"C": learners.Space("loguniform", -2, 2), "epsilon": learners.Space("quniform", 0, 0.5, 0.05), "steps": learners.Space("choice", options=(20, 40))}
-    found = learners.search(_folded(spark, sf), "svr", learners.draw_trials(space, 4, whole=("steps",)))
-    dist = distributions(split_samples(spark, sf))
-    scored = decode.cdf_decode(found.join(dist, ["run", "fold"]), [F.col("cdf")[i] for i in range(3)], ("trial", "run", "fold"))
-    k = metrics.kappa(scored, "score", "target", keys=("trial", "run", "fold"))
-    return k.groupBy("trial").agg(F.avg("kappa").alias("kappa_mean"), F.stddev_pop("kappa").alias("kappa_std"))
+    """Kappa over the folds of the first run of guided trials of the boosted linear learner, each fold fitted on all its rows."""
+    rows = _folded(spark, sf).where("run = 1").persist()
+    dist = distributions(split_samples(spark, sf)).where("run = 1").select("fold", "cdf")
+    space = {"eta": learners.Space("quniform", 0.1, 1.0, 0.1), "l1": learners.Space("loguniform", -4, 2), "l2": learners.Space("loguniform", -4, 4)}
+    held = [r.fold for r in rows.select("fold").distinct().orderBy("fold").collect()]
+
+    def evaluate(batch: list[dict]) -> list[tuple[float, float]]:
+        parts = []
+        for trial, params in enumerate(batch):
+            for fold in held:
+                own = rows.where(F.col("fold") == fold)
+                model = boosted.fit(own.where("split = 'train'"), "squared", rounds=10, **params)
+                valid = boosted.predict(own.where("split = 'valid'"), model, "squared")
+                parts.append(valid.select(F.lit(trial).alias("trial"), "fold", "id", F.col("label").cast("int").alias("target"), "prediction"))
+        every = parts[0]
+        for p in parts[1:]:
+            every = every.unionByName(p)
+        scored = decode.cdf_decode(every.join(dist, "fold"), [F.col("cdf")[i] for i in range(3)], ("trial", "fold"))
+        k = metrics.kappa(scored, "score", "target", keys=("trial", "fold"))
+        found = {r.trial: (r.m, r.s) for r in k.groupBy("trial").agg(F.avg("kappa").alias("m"), F.stddev_pop("kappa").alias("s")).collect()}
+        return [found.get(t, (float("nan"), float("nan"))) for t in range(len(batch))]
+
+    log = guided.search(spark, space, evaluate, scratch(spark, "trials"), 6, batch=3, startup=3)
+    rows.unpersist()
+    return log.select("trial", "kappa_mean", "kappa_std", F.array_join(F.transform(F.array_sort(F.map_entries("params")), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("params"))
 
 
 @query()
@@ -254,6 +273,16 @@ def ensemble_application(spark, sf):
     return ensemble.apply_ensemble(test, chosen, [0.1, 0.2, 0.9]).withColumn("prediction", F.round("prediction", 6))
 
 
+@query(f"""WITH {MODELS_SQL}, chosen AS (SELECT * FROM (VALUES (0, 'm1', 1.0::DOUBLE), (0, 'm2', 0.5::DOUBLE), (1, 'm3', 1.0::DOUBLE)) v(bag, model, weight)),
+b AS (SELECT bag, id * 100 + run * 10 + fold AS id, sum(weight * prediction) / sum(weight) AS prediction FROM predictions JOIN chosen USING (model) GROUP BY ALL), m AS (SELECT id, avg(prediction) AS prediction FROM b GROUP BY id)
+SELECT id, round(prediction, 6) AS prediction, CAST(CASE WHEN prediction <= 1.4 THEN 1 WHEN prediction <= 2.6 THEN 2 WHEN prediction <= 3.3 THEN 3 ELSE 4 END AS INT) AS score FROM m""")
+def ensemble_by_cutoffs(spark, sf):
+    """Ratings of a chosen ensemble by cutoffs of its predictions."""
+    test = model_predictions(split_samples(spark, sf)).select("model", (F.col("id") * 100 + F.col("run") * 10 + F.col("fold")).alias("id"), "prediction")
+    chosen = spark.createDataFrame([(0, "m1", 1.0), (0, "m2", 0.5), (1, "m3", 1.0)], "bag int, model string, weight double")
+    return ensemble.apply_ensemble(test, chosen, [], cutoffs=[1.4, 2.6, 3.3]).withColumn("prediction", F.round("prediction", 6))
+
+
 @query(f"""WITH {MODELS_SQL}, r AS (SELECT prediction, row_number() OVER (PARTITION BY model, run, fold ORDER BY prediction, id) - 1 AS rk, count(*) OVER (PARTITION BY model, run, fold) AS n FROM predictions), k AS (SELECT * FROM (VALUES (1, 0.1::DOUBLE), (2, 0.2::DOUBLE), (3, 0.9::DOUBLE)) v(k, c))
 SELECT k, round(avg(prediction) * 1.5, 6) AS cutoff FROM r, k WHERE rk = (CAST(trunc(n * c - 1) AS BIGINT) % n + n) % n GROUP BY k""")
 def cutoff_rescaling(spark, sf):

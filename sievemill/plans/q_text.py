@@ -571,3 +571,45 @@ def latent_vectors(spark, sf):
     terms = lsa.indexed_terms(vocab)
     _, v = lsa.fit_svd(weights.withColumnRenamed("id", "row"), terms, 5)
     return lsa.project(weights, terms, v)
+
+
+def _pair_sql(q: str, t: str, g: str) -> str:
+    left = {"unigram": "query", "bigram": bi("query"), "id": "['qid' || qid]"}[q]
+    return CO(left, t if g == "unigram" else bi(t))
+
+
+SAMPLE_WORDS = f"{SAMPLES_SQL}, t AS (SELECT id, id % 7 AS qid, {', '.join(f'{tok(f)} AS {f}' for f in FIELDS)} FROM samples)"
+TWELVE = [(q, t, g) for q in ("unigram", "bigram", "id") for t in ("title", "description") for g in ("unigram", "bigram")]
+
+
+def _twelve(spark, sf) -> tuple[DataFrame, dict]:
+    rows = tokenized(samples(spark, sf), *FIELDS).withColumn("qid", F.col("id") % 7)
+    left = {"unigram": F.col("query_tokens"), "bigram": ngrams.bigrams(F.col("query_tokens")), "id": F.array(F.concat(F.lit("qid"), F.col("qid")))}
+    right = {"unigram": lambda w: w, "bigram": ngrams.bigrams}
+    return rows, {f"{q}_{t}_{g}": ngrams.cooccurrences(left[q], right[g](F.col(f"{t}_tokens"))) for q, t, g in TWELVE}
+
+
+@query(f"WITH {SAMPLE_WORDS} SELECT id, {', '.join(f'md5({_pair_sql(*x)}) AS {chr(95).join(x)}' for x in TWELVE)} FROM t")
+def cooccurrence_columns(spark, sf):
+    """Digests of all twelve columns of joined terms: query words, word pairs or id with words or word pairs of title and description."""
+    rows, columns = _twelve(spark, sf)
+    return rows.select("id", *[F.md5(F.array_join(c, " ").cast("binary")).alias(n) for n, c in columns.items()])
+
+
+_LONG = " UNION ALL ".join(f"SELECT '{'_'.join(x)}' AS col, id, unnest(string_split({_pair_sql(*x)}, ' ')) AS term FROM t" for x in TWELVE)
+
+
+@query(f"""WITH {SAMPLE_WORDS}, n AS (SELECT count(*) AS n FROM t), terms AS ({_LONG}), tf AS (SELECT col, id, term, count(*) AS tf FROM terms WHERE term <> '' GROUP BY 1, 2, 3),
+vocab AS (SELECT col, term, count(*) AS df FROM tf GROUP BY 1, 2 HAVING count(*) >= 3 AND count(*) <= 0.75 * (SELECT n FROM n)),
+raw AS (SELECT col, id, term, (1 + ln(tf)) * (ln((1.0 + (SELECT n FROM n)) / (1 + df)) + 1) AS raw FROM tf JOIN vocab USING (col, term))
+SELECT col, id, count(*) AS n_terms, round(sum(raw) / sqrt(sum(raw * raw)), 6) AS total FROM raw GROUP BY col, id""")
+def cooccurrence_weights(spark, sf):
+    """Terms and summed weights of each row in all twelve columns of joined terms, each with a vocabulary of its own."""
+    rows, columns = _twelve(spark, sf)
+    n, out = rows.count(), None
+    for name, column in columns.items():
+        tf = vectorize.counts(rows.select("id", F.explode(column).alias("term")))
+        part = vectorize.tfidf(tf, vectorize.vocabulary(tf, n), n).groupBy("id").agg(F.count("*").alias("n_terms"), F.round(F.sum("weight"), 6).alias("total"))
+        part = part.select(F.lit(name).alias("col"), "id", "n_terms", "total")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -108,6 +108,12 @@ def contiguous_folds(spark, sf):
     return folds.contiguous_folds(read(spark, sf, "documents").select("doc_id"), "doc_id", 7)
 
 
+@query("SELECT doc_id, CAST(ntile(7) OVER (ORDER BY (doc_id * 7919 + 42) % 10007, doc_id) AS INT) AS fold FROM documents")
+def shuffled_folds(spark, sf):
+    """Seven runs of documents in a shuffled order."""
+    return folds.contiguous_folds(read(spark, sf, "documents").select("doc_id"), "doc_id", 7, seed=42)
+
+
 @query("SELECT doc_id AS id, (doc_id * 104729 + 2015) % 10007 < 0.7 * 10007 AS chosen FROM documents")
 def random_subset(spark, sf):
     """A seeded sample and its complement."""
@@ -265,6 +271,13 @@ def binary_report(spark, sf):
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
+@query(f"WITH {B} SELECT round(avg(CAST((p > 0) = (y > 0) AS INT)), 6) AS accuracy, round(avg(ln(1 + exp(-p * y / 10))), 6) AS loss FROM b")
+def forest_report(spark, sf):
+    """Accuracy and mean logistic loss."""
+    out = metrics.binary_report(_binary(spark, sf).withColumn("p", F.col("p") / 10), "p", "y", "Log")
+    return out.select(F.round("accuracy", 6).alias("accuracy"), F.round("loss", 6).alias("loss"))
+
+
 @query(f"""WITH {B}, g AS (SELECT p, sum(CAST(y > 0 AS INT)) AS pos, count(*) AS n FROM b GROUP BY p),
 c AS (SELECT sum(pos) OVER d AS tp, sum(n) OVER d AS k, sum(pos) OVER () AS t, sum(n) OVER () AS n FROM g WINDOW d AS (ORDER BY p DESC ROWS UNBOUNDED PRECEDING))
 SELECT round(max(2.0::DOUBLE * tp / (k + t)), 6) AS best_f1, round(max(CAST(tp + (n - t) - (k - tp) AS DOUBLE) / n), 6) AS best_accuracy FROM c""")
