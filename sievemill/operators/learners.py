@@ -15,11 +15,13 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Estimator
 from pyspark.ml.classification import LogisticRegression, OneVsRest
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import FMRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import boosted
+from .decode import cdf_decode, ordinal_rank
 
 Fit = Callable[[np.ndarray, np.ndarray, np.ndarray, dict, np.random.Generator], Callable[[np.ndarray], np.ndarray]]
 
@@ -60,6 +62,19 @@ def fit_predict(name: str, train: DataFrame, valid: DataFrame, params: dict) ->
     return model.transform(valid).select(*valid.columns, F.col("prediction").cast("double").alias("prediction"))
 
 
+def refit(name: str, rows: DataFrame, test: DataFrame, params: dict, classes: int = 4) -> DataFrame:
+    """id, prediction, rank (from 0, by prediction and id), score of `test` (id, x array) by the learner, fitted on all of `rows` (id, label 1..classes, weight, x array, features vector).
+
+    Ratings follow the shares of the labels.  An empty `test` gives no rows.
+    """
+    share = [F.avg((F.col("label") <= k).cast("double")).alias(str(k)) for k in range(1, classes)]
+    cdf = [float(c or 0.0) for c in rows.agg(*share).first()]
+    blank = test.select("id", "x").withColumn("features", array_to_vector("x"))
+    made = fit_predict(name, rows, blank, params).select("id", "prediction")
+    scored = cdf_decode(made, [F.lit(c) for c in cdf])
+    return ordinal_rank(scored).select("id", "prediction", F.col("rank").cast("long").alias("rank"), "score")
+
+
 def rank_fit(rows: DataFrame, group: str, *, reg: float = 0.01, block: int = 500, rounds: int = 12) -> list[float]:
     """Weights of a linear score that orders rows (id, label, features) of one group by label: the logistic loss of all pairs with different labels, by Newton's method.
 

@@ -166,19 +166,33 @@ for _name in ("RGF_Opt", "RGF_Sib"):
     QUERIES[f"forest_test_{_name[4:].lower()}"] = _tested(_name)
 
 
-def _learner_rows(spark, sf) -> tuple[DataFrame, DataFrame]:
+def _documents(spark, sf) -> DataFrame:
+    """id, x (four numbers) of all documents."""
     docs = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", "n_chars")
     words = F.size(F.split("text", " "))
     marks = F.length("text") - F.length(F.regexp_replace("text", "[!#$%&*|]", ""))
     capitals = F.length("text") - F.length(F.regexp_replace("text", "[A-Z]", ""))
-    rows = labelled(spark, sf).join(docs, "id")
     features = F.array(F.log1p(F.col("n_chars").cast("double")), F.log1p(words.cast("double")), marks / F.greatest(F.col("n_chars"), F.lit(1)), capitals / F.greatest(F.col("n_chars"), F.lit(1)))
-    rows = rows.select("id", F.col("relevance").cast("double").alias("label"), (1 - F.col("variance") / 2).alias("weight"), features.alias("x"))
+    return docs.select("id", features.alias("x"))
+
+
+def _learner_rows(spark, sf) -> tuple[DataFrame, DataFrame]:
+    rows = labelled(spark, sf).join(_documents(spark, sf), "id")
+    rows = rows.select("id", F.col("relevance").cast("double").alias("label"), (1 - F.col("variance") / 2).alias("weight"), "x")
     rows = rows.withColumn("features", array_to_vector("x"))
     train = rows.where("id % 3 = 0")
     return train, rows.where("id % 3 <> 0")
 
 
+@query()
+def refit_predictions(spark, sf):
+    """A learner fitted on all labelled documents: raw prediction, rank and rating of all others, rated by the labels' shares."""
+    train, valid = _learner_rows(spark, sf)
+    known = train.unionByName(valid)
+    rest = _documents(spark, sf).join(known.select("id"), "id", "left_anti")
+    return learners.refit("reg_linear", known, rest, {"rounds": 20})
+
+
 def _built_in(name: str, shift: float = 0.0, **params):
     def run(spark, sf):
         train, valid = _learner_rows(spark, sf)

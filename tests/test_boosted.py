@@ -93,3 +93,22 @@ def test_odd_tables(spark):
     assert np.allclose(*same)
     with pytest.raises(ValueError):
         boosted.fit(rows(spark).withColumn("features", F.array_repeat(F.lit(1.0), 3000)), "squared")
+
+
+def test_refit_gives_raw_rank_and_rating(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    from sievemill.operators import learners
+
+    known = rows(spark).withColumn("id", F.monotonically_increasing_id()).withColumn("x", F.col("features")).withColumn("features", array_to_vector("x"))
+    test = spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(R.normal(size=(60, 4)))], "id long, x array<double>")
+    got = learners.refit("reg_linear", known, test, {"rounds": 5}).toPandas().sort_values(["prediction", "id"]).reset_index(drop=True)
+    model = boosted.fit(rows(spark), "squared", rounds=5)
+    x = {r.id: np.array(r.x) for r in test.collect()}
+    assert np.allclose(got.prediction, [0.5 + model.weights[0] @ np.append(1.0, x[i]) for i in got.id])
+    assert got["rank"].tolist() == list(range(60))
+    cuts = [np.mean(Y <= k) for k in (1, 2, 3)]
+    starts, stops = [0, *(int(60 * c) for c in cuts[:2])], [max(0, int(60 * c - 1)) for c in cuts]
+    want = [next((k + 1 for k in range(3) if starts[k] <= i < stops[k]), 4) for i in range(60)]
+    assert got.score.tolist() == want
+    assert learners.refit("reg_linear", known, test.limit(0), {"rounds": 5}).collect() == []
