@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays, ngrams, text
 from ..functions.stem import stem_column
 from ..operators import counting, lsa, pooling, vectorize
+from ..operators.markup import drop_markup
 from ..operators.preprocess import preprocess
 from .fixtures import PAIRS_SQL, SAMPLES_SQL, read, samples, tokenized, turn_pairs
 
@@ -80,6 +81,12 @@ def drop_html(spark, sf):
     return read(spark, sf, "pages").select("page_id", text.drop_html(F.coalesce("html", F.lit(""))).alias("plain"))
 
 
+@query()
+def page_text(spark, sf):
+    """Texts of all pages: entities read, comments, scripts and styles left out."""
+    return drop_markup(read(spark, sf, "pages").select("page_id", "html"), "html").withColumnRenamed("html", "plain")
+
+
 def _sql_rules(expr: str, rules) -> str:
     for a, b in rules:
         expr = f"regexp_replace({expr}, '{a.replace(chr(39), chr(39) * 2)}', '{b}', 'g')"
