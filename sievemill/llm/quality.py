@@ -4,8 +4,11 @@ The model gives each character of a text, its words joined by one space, a
 probability after the characters before it, across words.  Training counts each
 character with its longest history; all lower orders, context totals, discounts
 and interpolated probabilities follow by group-bys and joins sharded by n-gram.
-The model is written in shards by hash to the shared folder; a task that scores
-reads the shards that its n-grams ask for, longest n-grams first.
+The model is written to the shared folder in shards by the two characters before
+an n-gram's last one, which all n-grams that end at a character share, so that
+a character asks one shard; n-grams of one or two characters have a shard of
+their own, which a task keeps.  Where a task can't hold all shards, it gathers the
+n-grams of many texts and goes through the shards once for all of them.
 
 A text's nats a character, drawn towards its language's mean as if that many
 more characters (PRIOR) had been average, is held against a quantile of
@@ -37,6 +40,8 @@ _MARKS = str.maketrans(dict.fromkeys((START, END, "\0"), "\ufffd"))
 ORDER = 6
 #: Rows of the model in a shard, about; shards that a worker holds; characters that are looked up at a time; n-grams that a task counts before it hands them on.
 SHARD, HELD, SLICE, GATHERED = 1_000_000, 4, 1 << 18, 1_000_000
+#: Characters whose n-grams are gathered where the model has more shards than a worker holds.
+WIDE = 1 << 23
 #: Bits of the number of n-grams whose nats a worker remembers.
 KNOWN = 21
 #: Bits of the map of trusted ids that goes to all tasks: 8 MB, whatever there are.
@@ -98,10 +103,15 @@ def _key(sums: np.ndarray, n: int, kind: int) -> np.ndarray:
     return mix(sums + U((n * 2 + kind + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
 
 
-def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
+def _dealt(sums: np.ndarray, number: int) -> np.ndarray:
+    """Shards of n-grams by the sums of the two characters before their last one."""
+    return (mix(sums) % U(number)).astype(np.int32)
+
+
+def _slices(texts: list[str], wide: int = 0) -> Iterator[tuple[int, int]]:
     lo = held = 0
     for i, t in enumerate(texts):
-        if held and held + len(t) > SLICE:
+        if held and held + len(t) > (wide or SLICE):
             yield lo, i
             lo, held = i, 0
         held += len(t)
@@ -198,79 +208,119 @@ class Model:
     def shard(self, s: int) -> tuple[HashTable, np.ndarray]:
         held = Model._held
         if (self.path, s) not in held:
-            while len(held) >= HELD:
-                del held[next(iter(held))]
+            while len(held) > HELD:  # the shard of short n-grams is one more
+                del held[next(k for k in held if k != (self.path, self.number))]
             store, top = fs.FileSystem.from_uri(self.path)
             with store.open_input_file(f"{top}/shard-{s:06d}") as f:
                 keys, values = unpack(f.read())
             held[self.path, s] = HashTable(keys, 3), values
         return held[self.path, s]
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Nats of each key; NaN where the model hasn't got it."""
+    def find(self, s: int, keys: np.ndarray) -> np.ndarray:
+        """Nats of each key in a shard; NaN where it hasn't got it."""
         out = np.full(len(keys), np.nan)
-        dealt = (keys % U(self.number)).astype(np.int64)
-        order = np.argsort(dealt, kind="stable") if self.number > 1 else np.arange(len(keys))
-        cuts = np.searchsorted(dealt[order], np.arange(self.number + 1))
-        for s in np.flatnonzero(np.diff(cuts)).tolist():
-            own = order[cuts[s] : cuts[s + 1]]
-            table, values = self.shard(s)
-            hit, place = table.find(keys[own])
-            out[own[hit]] = values[place]
+        table, values = self.shard(s)
+        hit, place = table.find(keys)
+        out[hit] = values[place]
         return out
 
-    def nats(self, stream: Stream) -> np.ndarray:
-        """Nats of each character: they follow from its longest n-gram, which is looked up once."""
+    def _memory(self) -> tuple[np.ndarray, np.ndarray]:
         if self.path not in Model._known:
             Model._known.clear()
             Model._known[self.path] = np.zeros(1 << KNOWN, U), np.zeros(1 << KNOWN)
-        keys, values = Model._known[self.path]
-        key = stream.keys(np.minimum(stream.depth, self.order), self.order)
-        slot = (key >> U(64 - KNOWN)).astype(np.int64)
-        total = values[slot]
-        miss = np.flatnonzero(keys[slot] != key)
+        return Model._known[self.path]
+
+    def nats(self, stream: Stream, gathered: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """Nats of each character: they follow from its longest n-gram, which is looked up once, or is among the gathered."""
+        key, miss, slot = self._missed(stream)
+        total = self._memory()[1][slot]
         if len(miss):
             new, first, place = np.unique(key[miss], return_index=True, return_inverse=True)
-            found = self.looked_up(stream, miss[first])
+            found = self.looked_up(self.asked(stream, miss[first])) if gathered is None else gathered[1][np.searchsorted(gathered[0], new)]
             total[miss] = found[place]
-            slot = (new >> U(64 - KNOWN)).astype(np.int64)
-            keys[slot], values[slot] = new, found
+            if gathered is None:
+                self._remember(new, found)
         return total
 
-    def looked_up(self, stream: Stream, some: np.ndarray) -> np.ndarray:
+    def _remember(self, new: np.ndarray, found: np.ndarray) -> None:
+        keys, values = self._memory()
+        slot = (new >> U(64 - KNOWN)).astype(np.int64)
+        keys[slot], values[slot] = new, found
+
+    def _missed(self, stream: Stream) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(keys of the characters' longest n-grams, places of those that aren't remembered, places in memory)."""
+        key = stream.keys(np.minimum(stream.depth, self.order), self.order)
+        slot = (key >> U(64 - KNOWN)).astype(np.int64)
+        return key, np.flatnonzero(self._memory()[0][slot] != key), slot
+
+    def asked(self, stream: Stream, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(depth, shard, keys of the n-grams that end at, keys of those that end before) of some characters, a row for each n."""
+        sums, at, depth = stream.sums(self.order), stream.at[some], stream.depth[some]
+        grams = np.stack([_key(sums[n][at], n, 0) for n in range(1, self.order + 1)])
+        before = np.stack([_key(sums[n - 1][at - 1], n - 1, 1) for n in range(1, self.order + 1)])
+        return depth, np.where(depth > 2, _dealt(sums[min(2, self.order)][at - 1], self.number), 0), grams, before
+
+    def looked_up(self, asked: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
         """Nats of some characters: the longest n-gram that the model has, behind the weights of longer contexts."""
-        sums, total, open_ = stream.sums(self.order), np.zeros(len(some)), np.arange(len(some))
-        at, depth = stream.at[some], stream.depth[some]
-        for n in range(self.order, 0, -1):
-            ask = open_[depth[open_] >= n]
-            found = self.find(_key(sums[n][at[ask]], n, 0))
-            hit = ~np.isnan(found)
-            total[ask[hit]] += found[hit]
-            miss = ask[~hit]
-            total[miss] += np.nan_to_num(self.find(_key(sums[n - 1][at[miss] - 1], n - 1, 1)))
-            left = np.ones(len(total), bool)
-            left[ask[hit]] = False
-            open_ = open_[left[open_]]
+        depth, dealt, grams, before = asked
+        total, open_ = np.zeros(len(depth)), np.ones(len(depth), bool)
+
+        def back(s: int, own: np.ndarray, orders: range) -> None:
+            for n in orders:
+                ask = own[open_[own] & (depth[own] >= n)]
+                found = self.find(s, grams[n - 1][ask])
+                there = ~np.isnan(found)
+                total[ask[there]] += found[there]
+                open_[ask[there]] = False
+                miss = ask[~there]
+                total[miss] += np.nan_to_num(self.find(s, before[n - 1][miss]))
+
+        order = np.argsort(dealt, kind="stable")
+        cuts = np.searchsorted(dealt[order], np.arange(self.number + 1))
+        some = np.flatnonzero(np.diff(cuts)).tolist()
+        held = [s for s in some if (self.path, s) in Model._held]
+        for s in [*held, *[s for s in some if s not in held]]:  # what is held comes first
+            back(s, order[cuts[s] : cuts[s + 1]], range(self.order, 2, -1))
+        back(self.number, np.flatnonzero(open_), range(min(2, self.order), 0, -1))
         total[open_] += np.log(self.letters)
         return total
 
+    def gathered(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Keys, in order, and nats of the n-grams of many texts that aren't remembered; each shard is read once."""
+        parts, last = [(np.empty(0, U), self.asked(Stream([]), np.empty(0, np.int64)))], np.zeros(1 << KNOWN, U)
+        for lo, hi in _slices(texts):
+            stream = Stream(texts[lo:hi])
+            key, miss, slot = self._missed(stream)
+            miss = miss[last[slot[miss]] != key[miss]]
+            new, first = np.unique(key[miss], return_index=True)
+            last[(new >> U(64 - KNOWN)).astype(np.int64)] = new
+            parts.append((new, self.asked(stream, miss[first])))
+        keys, first = np.unique(np.concatenate([p[0] for p in parts]), return_index=True)
+        asked = tuple(np.concatenate(x, axis=-1)[..., first] for x in zip(*[p[1] for p in parts], strict=True))
+        return keys, self.looked_up(asked)
+
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(characters with one more, nats a character) of each text; NaN without words."""
         texts = [plain(t) for t in texts]
         chars, nats = np.zeros(len(texts), np.int64), np.full(len(texts), np.nan)
         some = [i for i, t in enumerate(texts) if t]
-        for lo, hi in _slices([texts[i] for i in some]):
-            own = np.array(some[lo:hi])
-            stream = Stream([texts[i] for i in own.tolist()])
-            total = self.nats(stream)
-            size = stream.sizes - 1
-            chars[own] = size
-            nats[own] = np.add.reduceat(total, np.cumsum(size) - size) / size
+        wide = [texts[i] for i in some]
+        for start, stop in _slices(wide, WIDE) if self.number > HELD else [(0, len(wide))]:
+            known = self.gathered(wide[start:stop]) if self.number > HELD else None
+            for lo, hi in _slices(wide[start:stop]):
+                own = np.array(some[start + lo : start + hi])
+                stream = Stream(wide[start + lo : start + hi])
+                total = self.nats(stream, known)
+                size = stream.sizes - 1
+                chars[own] = size
+                nats[own] = np.add.reduceat(total, np.cumsum(size) - size) / size
+            if known is not None:
+                self._remember(*known)
         return chars, nats
 
 
 def save(model: DataFrame, order: int = ORDER) -> Model:
-    """Write the model's rows as shards of about SHARD rows by hash; each shard is one task's, a repeated task writes the same file."""
+    """Write the model's rows as shards of about SHARD rows, and one of those that ask for fewer than two characters before the last; each shard is one task's, a repeated task writes the same file."""
     size = model.count()
     letters = model.where("kind = 'p' and length(g) = 1").count() + 1
     number, path = -(-size // SHARD) or 1, fresh(model.sparkSession, "shards")
@@ -279,15 +329,17 @@ def save(model: DataFrame, order: int = ORDER) -> Model:
         for batch in batches:
             grams, kinds = batch.column(1).to_pylist(), np.array([k == "b" for k in batch.column(0).to_pylist()], bool)
             points = np.array(grams or [""], f"<U{order}").view(np.uint32).reshape(-1, order)
-            lengths, key = np.array([len(g) for g in grams], np.int64), np.empty(len(grams), U)
+            lengths, key, s = np.array([len(g) for g in grams], np.int64), np.empty(len(grams), U), np.full(len(grams), number, np.int32)
             for n in range(order + 1):
                 for kind in (0, 1):
                     own = np.flatnonzero((lengths == n) & (kinds == kind))
-                    total = np.zeros(len(own), U)
+                    total, ends = np.zeros(len(own), U), n - 1 + kind  # a context ends before the character
                     for j in range(n):
                         total = total * _STEP + (points[own, j].astype(U) + U(1))
                     key[own] = _key(total, n, kind)
-            yield pa.RecordBatch.from_arrays([pa.array((key % U(number)).astype(np.int32)), pa.array(key.view(np.int64)), pa.array(-np.log(batch.column(2).to_numpy()))], names=["s", "key", "nats"])
+                    if ends > 1:
+                        s[own] = _dealt((points[own, ends - 2].astype(U) + U(1)) * _STEP + (points[own, ends - 1].astype(U) + U(1)), number)
+            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(key.view(np.int64)), pa.array(-np.log(batch.column(2).to_numpy()))], names=["s", "key", "nats"])
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [[batch.column(i).to_numpy() for i in range(3)] for batch in batches if batch.num_rows]
@@ -307,12 +359,12 @@ def save(model: DataFrame, order: int = ORDER) -> Model:
             store.move(trial, target)
         yield pa.RecordBatch.from_arrays([pa.array(s[:1]), pa.array([len(key)], pa.int64())], names=["s", "n"])
 
-    dealt = model.select("kind", "g", "v").mapInArrow(keyed, "s int, key bigint, nats double").repartitionById(number, F.col("s"))
+    dealt = model.select("kind", "g", "v").mapInArrow(keyed, "s int, key bigint, nats double").repartitionById(number + 1, F.col("s"))
     there = dealt.mapInArrow(kept, "s int, n bigint").count()
-    if there < number:  # shards without a row, as in an empty model
+    if there < number + 1:  # shards without a row, as in an empty model
         store, top = fs.FileSystem.from_uri(path)
         store.create_dir(top, recursive=True)
-        for s in range(number):
+        for s in range(number + 1):
             if store.get_file_info(f"{top}/shard-{s:06d}").type == fs.FileType.NotFound:
                 with store.open_output_stream(f"{top}/shard-{s:06d}") as f:
                     f.write(pack(np.empty(0, U), np.empty(0)))

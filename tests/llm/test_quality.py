@@ -158,3 +158,22 @@ def test_junk_of_the_tables_is_rejected(spark):
     marks = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     got = {r.quality: r.kept for r in quality.classify(docs, labels).join(marks, "doc_id").groupBy("quality").agg(F.avg(F.col("keep").cast("int")).alias("kept")).collect()}
     assert got[0] <= 0.1 and got[1] >= 0.98
+
+
+def test_many_shards_are_read_once_for_many_texts(spark, monkeypatch):
+    import numpy as np
+
+    df = spark.createDataFrame([(f"line {i} of words {i * i} and {i % 7}",) for i in range(300)], "text string")
+    texts = [f"words {i} of line {i * 3} or {i % 5}" for i in range(400)] + ["", None, "l", "zz"]
+    made = quality.train(df, 4)
+    whole = quality.save(made, 4)
+    want = whole.score(texts)
+    monkeypatch.setattr(quality, "SHARD", 100)
+    monkeypatch.setattr(quality, "SLICE", 50)
+    model, read = quality.save(made, 4), []
+    assert model.number > 2 * quality.HELD
+    monkeypatch.setattr(quality, "unpack", lambda raw, plain=quality.unpack: read.append(1) or plain(raw))
+    got = model.score(texts)
+    assert len(read) <= model.number + 1
+    assert np.array_equal(got[0], want[0]) and np.allclose(got[1], want[1], equal_nan=True)
+    quality.Model.forget()
