@@ -21,3 +21,17 @@ def test_short_lists(spark):
     row = spark.createDataFrame([(["a"], [], None)], "a array<string>, b array<string>, c array<string>")
     got = row.select(ngrams.trigrams(F.col("a")), ngrams.bigrams(F.col("b")), ngrams.cooccurrences(F.col("a"), F.col("b")), ngrams.bigrams(F.col("c")), ngrams.cooccurrences(F.col("a"), F.col("c"))).first()
     assert tuple(got) == (["a"], [], [], None, None)
+
+
+def test_negations_of_long_texts(spark):
+    n = 60_000
+    words = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.when(i % 3 == 0, "not").when(i % 3 == 1, "good").otherwise("x"))
+    began = time.perf_counter()
+    got = spark.range(1).select(text.replace_negations(words, {"good": "bad"}).alias("w")).first().w
+    assert got[:4] == ["good", "x", "bad", "x"] and len(got) == n - (n // 3 - 1) and got[-1] == "not"
+    assert time.perf_counter() - began < 20
+    rows = spark.createDataFrame([(["not", "not", "good", None, "not", None, "good", "not"],), ([],), (None,)], "w array<string>")
+    plain = [r[0] for r in rows.select(text.replace_negations(F.col("w"), {"good": "bad"})).collect()]
+    assert plain == [["not", "bad", None, "not", None, "good", "not"], [], None]
+    chained = rows.limit(1).select(text.replace_negations(F.array(F.lit("not"), F.lit("not"), F.lit("good")), {"not": "so", "good": "bad"})).first()[0]
+    assert chained == ["so", "good"]
