@@ -87,3 +87,13 @@ def test_pairwise_fit_equals_a_fit_on_pairs(spark):
         slope = -(d * (1 / (1 + np.exp(d @ w)))[:, None]).mean(axis=0) + 0.01 * w
         assert np.abs(slope).max() < 1e-8
     assert learners.rank_fit(df.limit(0), "g") == []
+
+
+def test_sums_of_ordered_pairs():
+    r = np.random.default_rng(5)
+    high, low, w = r.normal(size=(9, 3)), r.normal(size=(700, 3)), np.array([1.0, -2.0, 0.5])
+    total = np.zeros(1 + 3 + 9)
+    learners._ordered_sums(high, low, w, total)
+    d = (high[:, None] - low[None]).reshape(-1, 3)
+    p = 1 / (1 + np.exp(d @ w))
+    assert np.allclose(total, [len(d), *-(p @ d), *(d.T @ (d * (p * (1 - p))[:, None])).ravel()])
