@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch
 from .decode import cdf_decode, cutoff_decode
 from .metrics import kappa
 
@@ -67,52 +72,82 @@ def _kappa(a: np.ndarray, b: np.ndarray) -> float:
 def select_models(predictions: DataFrame, cdfs: DataFrame, *, bags: int = 10, fraction: float = 0.5, replacement: bool = False, top: int = 5, tries: int = 10, low: float = -1.0, high: float = 1.0, seed: int = 2015) -> DataFrame:
     """bag, step, model, weight, kappa: each bag starts from its `top` best models and adds the model and weight that raise the mean kappa most, until none does.
 
-    Bags are independent and run in parallel; a bag holds the validation
-    predictions of all models, a bounded table by design.
+    The predictions are written once, a folder for each (run, fold).  A step of
+    all bags is one job, whose tasks each score the candidates of a bag on one
+    (run, fold): a task holds that fold's numbers, the driver what was chosen.
     """
+    spark = predictions.sparkSession
     wide = predictions.groupBy("run", "fold", "id", "target").pivot("model").agg(F.first("prediction"))
     names = [c for c in wide.columns if c not in ("run", "fold", "id", "target")]
-    rows = wide.join(cdfs, ["run", "fold"]).withColumn("bag", F.explode(F.sequence(F.lit(0), F.lit(bags - 1))))
-
-    def select(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.default_rng(seed + 100 * int(key[0]))
-        parts = [(g[names].to_numpy(float), g["target"].to_numpy(int), np.array(g["cdf"].iloc[0], float)) for _, g in pdf.sort_values(["run", "fold", "id"]).groupby(["run", "fold"])]
-
-        def score(ps: list[np.ndarray]) -> float:
-            return float(np.mean([_kappa(_decode(p, c), y) for p, (_, y, c) in zip(ps, parts, strict=True)]))
-
-        single = [score([x[:, j] for x, _, _ in parts]) for j in range(len(names))]
-        ranked = sorted(range(len(names)), key=lambda j: (-single[j], names[j]))
-        n = len(names)
+    path, cdf = scratch(spark, "folds"), {(r.run, r.fold): [float(c) for c in r.cdf] for r in cdfs.collect()}  # a row a fold
+    wide = wide.select("run", "fold", "id", F.col("target").cast("int").alias("target"), *[F.col(f"`{m}`").cast("double").alias(f"p{j}") for j, m in enumerate(names)])
+    wide.repartition("run", "fold").sortWithinPartitions("run", "fold", "id").write.partitionBy("run", "fold").parquet(path)
+    parts = sorted((r.run, r.fold) for r in spark.read.parquet(path).select("run", "fold").distinct().collect() if (r.run, r.fold) in cdf)
+    out_schema = "bag int, step int, model string, weight double, kappa double"
+    if not parts:
+        return spark.createDataFrame([], out_schema)
+
+    def scores(work: list[tuple[list[tuple[int, float]], list[tuple[int, float]]]]) -> list[list[float]]:
+        """The mean kappa of each candidate (model, weight) of each piece of work, after the models chosen before it."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in batch.column(0).to_pylist():
+                    (r, f), (chosen, candidates) = parts[at % len(parts)], work[at // len(parts)]
+                    x, y = _fold_of(f"{path}/run={r}/fold={f}", len(names))
+                    now, total = np.zeros(len(y)), 0.0
+                    for j, w in chosen:
+                        now, total = (total * now + w * x[j]) / (total + w), total + w
+                    found = [float(_kappa(_decode((total * now + w * x[j]) / (total + w), np.array(cdf[r, f])), y)) for j, w in candidates]
+                    yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([found], pa.list_(pa.float64()))], names=["at", "kappas"])
+
+        n = len(parts) * len(work)
+        rows = spark.range(0, n, 1, n).mapInArrow(run, "at bigint, kappas array<double>").collect()  # a number a candidate and fold
+        found = {r["at"]: r["kappas"] for r in rows}
+        return [np.mean([found[i * len(parts) + k] for k in range(len(parts))], axis=0).tolist() for i in range(len(work))]
+
+    n = len(names)
+    single = scores([([], [(j, 1.0) for j in range(n)])])[0]
+    ranked = sorted(range(n), key=lambda j: (-single[j], names[j]))
+    draws, models, chosen = [np.random.default_rng(seed + 100 * b) for b in range(bags)], [], []
+    for rng in draws:
         taken = sorted(rng.integers(n, size=max(1, int(n * fraction)))) if replacement else [i for i in range(n) if rng.random() < fraction] or [0]
-        models = [ranked[i] for i in taken]
-        out, total = [], 0.0
-        now = [np.zeros(len(y)) for _, y, _ in parts]
-
-        def add(j: int, w: float, value: float | None = None) -> None:
-            nonlocal now, total
-            now = [(total * p + w * x[:, j]) / (total + w) for p, (x, _, _) in zip(now, parts, strict=True)]
-            total += w
-            out.append((int(key[0]), len(out), names[j], w, score(now) if value is None else value))
-
-        for j in models[:top]:
-            add(j, 1.0)
-        best = score(now) if out else 0.0
-        while True:  # the mean kappa rises with each step
-            found = None
-            for j in models:
-                for w in rng.uniform(low, high, tries) * max(total, 1.0):
-                    if abs(total + w) < 1e-6:
-                        continue
-                    value = score([(total * p + w * x[:, j]) / (total + w) for p, (x, _, _) in zip(now, parts, strict=True)])
-                    if value > best:
-                        best, found = value, (j, float(w))
-            if found is None:
-                break
-            add(*found, best)
-        return pd.DataFrame(out, columns=["bag", "step", "model", "weight", "kappa"])
-
-    return rows.groupBy("bag").applyInPandas(select, "bag int, step int, model string, weight double, kappa double")
+        models.append([ranked[i] for i in taken])
+        chosen.append([(j, 1.0) for j in models[-1][:top]])
+    first = [(b, k) for b in range(bags) for k in range(len(chosen[b]))]
+    start = dict(zip(first, scores([(chosen[b][:k], [chosen[b][k]]) for b, k in first]), strict=True))
+    kappas = [[start[b, k][0] for k in range(len(chosen[b]))] for b in range(bags)]
+    going = list(range(bags))
+    while going:  # the mean kappa of each bag rises with each step
+        work = []
+        for b in going:
+            total = 0.0
+            for _, w in chosen[b]:
+                total += w
+            tried = [(j, float(w)) for j in models[b] for w in draws[b].uniform(low, high, tries) * max(total, 1.0)]
+            work.append((chosen[b], [(j, w) for j, w in tried if abs(total + w) >= 1e-6]))
+        rising = []
+        for b, (_, candidates), values in zip(going, work, scores(work), strict=True):
+            best, found = kappas[b][-1] if kappas[b] else 0.0, None
+            for c, value in zip(candidates, values, strict=True):
+                if value > best:
+                    best, found = value, c
+            if found is not None:
+                chosen[b].append(found)
+                kappas[b].append(best)
+                rising.append(b)
+        going = rising
+    out = [(b, k, names[j], w, kappas[b][k]) for b in range(bags) for k, (j, w) in enumerate(chosen[b])]
+    return spark.createDataFrame(out, out_schema)
+
+
+def _fold_of(path: str, n: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """(each model's predictions, targets) of the files of one fold, by id."""
+    store, top = fs.FileSystem.from_uri(path)
+    files = sorted(f.path for f in store.get_file_info(fs.FileSelector(top)) if f.path.endswith(".parquet"))
+    table = pa.concat_tables([pq.read_table(store.open_input_file(f)) for f in files])
+    order = np.argsort(table["id"].to_numpy(), kind="stable")
+    return [table[f"p{j}"].to_numpy()[order] for j in range(n)], table["target"].to_numpy()[order].astype(int)
 
 
 def top_trials(trials: DataFrame, k: int = 10) -> DataFrame:

@@ -213,3 +213,51 @@ def test_learners_predict_every_run_and_fold(spark):
 
     got = QUERIES["learner_svr"](spark, "/root/testdata/sf0.001").select("run", "fold").distinct().collect()
     assert sorted(map(tuple, got)) == [(run, fold) for run in (1, 2, 3) for fold in (1, 2, 3)]
+
+
+def test_singular_values_make_their_rows_once(spark):
+    m = R.random((300, 120)) * (R.random((300, 120)) < 0.2)
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(x):
+        seen.add(1)
+        return x
+
+    weights = spark.createDataFrame([(i, f"t{j:03}", float(m[i, j])) for i in range(300) for j in range(120) if m[i, j]], "row long, term string, weight double")
+    terms = lsa.indexed_terms(weights.select("term").distinct()).persist()
+    counted = spark.createDataFrame(weights.rdd.map(read), weights.schema)
+    s, v = lsa.fit_svd(counted, terms, 20)
+    assert np.allclose(s, np.linalg.svd(m, compute_uv=False)[:20]) and v.shape == (120, 20)
+    assert seen.value <= 2 * weights.count()
+
+
+def test_support_vectors_in_chunks(monkeypatch):
+    y = 2.5 + X[:, 0]
+    whole = learners.support_vectors(X[:200], y[:200], np.ones(200), {"dim": 20, "steps": 30}, np.random.default_rng(1))(X[200:])
+    monkeypatch.setattr(learners, "LIFTED", 20 * 7)
+    parts = learners.support_vectors(X[:200], y[:200], np.ones(200), {"dim": 20, "steps": 30}, np.random.default_rng(1))(X[200:])
+    assert np.allclose(whole, parts, atol=1e-9)
+
+
+def test_ensemble_selection_gives_the_kappa_of_what_it_chose(spark):
+    x = {(f, k): np.array([i % 4 + 1 + R.normal() * k for i in range(50)]) for f in (1, 2) for k in (1, 2, 3)}
+    rows = [(f"m{k}", 1, f, i, i % 4 + 1, float(x[f, k][i])) for f, k in x for i in range(50)]
+    preds = spark.createDataFrame(rows, "model string, run int, fold int, id long, target int, prediction double").repartition(5)
+    cdfs = spark.createDataFrame([(1, f, [0.25, 0.5, 0.75]) for f in (1, 2)], "run int, fold int, cdf array<double>")
+    got = ensemble.select_models(preds, cdfs, bags=2, top=2, tries=3, fraction=1.0)
+    assert not any("FlatMapGroupsInPandas" in line for line in got._jdf.queryExecution().toString().splitlines())
+    y = np.arange(50) % 4 + 1
+    for _, g in got.toPandas().sort_values(["bag", "step"]).groupby("bag"):
+        for n in range(1, len(g) + 1):
+            w, m = g.weight.to_numpy()[:n], [int(v[1]) for v in g.model[:n]]
+            want = np.mean([ensemble._kappa(ensemble._decode(sum(a * x[f, k] for a, k in zip(w, m, strict=True)) / w.sum(), np.array([0.25, 0.5, 0.75])), y) for f in (1, 2)])
+            assert abs(want - g.kappa.iloc[n - 1]) < 1e-9
+
+
+def test_split_samples_are_cut_by_number(spark, tmp_path):
+    from sievemill.plans import fixtures
+
+    spark.range(30_000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality", "cast(id % 3 = 0 as int) as toxic").coalesce(1).write.parquet(str(tmp_path / "labels.parquet"))
+    out = fixtures.split_samples(spark, str(tmp_path))
+    sizes = out.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert sum(sizes) == 9 * 30_000 and len(sizes) == 3 and max(sizes) < 120_000
