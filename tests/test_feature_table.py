@@ -95,3 +95,23 @@ def test_projection_adds_up_over_batches(spark):
     got = {r.id: r.vector for r in lsa.project(spark.createDataFrame(rows, "id long, term string, weight double").repartition(5), terms, v).collect()}
     assert got == {i: ((i + 1) * v.sum(axis=0)).tolist() for i in range(50)}
     assert lsa.project(spark.createDataFrame(rows, "id long, term string, weight double").where(F.lit(False)), terms, v).collect() == []
+
+
+@pytest.mark.parametrize("rows, width, k, basis", [(60, 40, 6, 2), (50, 90, 60, 16), (3, 5, 5, 16)])
+def test_left_vectors_equal_a_dense_decomposition(spark, monkeypatch, rows, width, k, basis):
+    monkeypatch.setattr(lsa, "CELLS", 200)
+    monkeypatch.setattr(lsa, "BASIS", basis)
+    made = np.random.default_rng(rows)
+    m = (made.random((rows, width)) < 0.15) * made.random((rows, width))
+    m[rows // 2 :] = m[: rows - rows // 2]  # copies: fewer vectors than rows
+    cells = [(int(i) * 7, f"t{j:03d}", float(m[i, j])) for i, j in zip(*np.nonzero(m), strict=True)]
+    weights = spark.createDataFrame(cells, "id long, term string, weight double")
+    found = lsa.left_vectors(weights, lsa.indexed_terms(weights.select("term").distinct()), k).collect()
+    u, s, _ = np.linalg.svd(m)
+    want = (u[:, : min(k, width)] * s[:k] if rows > width else u[:, :k] * s[:k])[:, : int((s[:k] > 1e-9).sum())]
+    got = np.zeros_like(want)
+    for r in found:
+        got[r.id // 7] = r.vector
+    assert {r.id for r in found} == {c[0] for c in cells}
+    assert np.allclose(got @ got.T, want @ want.T, atol=1e-9) and np.allclose((got * got).sum(axis=0), s[: want.shape[1]] ** 2)
+    assert lsa.left_vectors(weights.limit(0), lsa.indexed_terms(weights.select("term").distinct()), k).collect() == []
