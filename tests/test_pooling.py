@@ -1,6 +1,7 @@
 """Pooled similarity statistics against plain loops."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sievemill.operators import pooling
@@ -55,3 +56,22 @@ def test_equals_plain_loops(spark, monkeypatch, metric, kept):
     assert pooling.pooled_stats(df.limit(0), df, metric).collect() == []
     alone = pooling.pooled_stats(df, df.limit(0), metric, empty=-2.0).first()
     assert set(list(alone)[1:]) == {-2.0}
+
+
+def test_long_rows_and_near_vectors(monkeypatch):
+    """Medians between bounds, and distances of vectors that are nearly or quite equal."""
+    for y in (R.normal(size=9001), R.normal(size=9000), np.repeat([0.0, 1.0], 5000), np.sort(R.normal(size=10_000)), np.r_[np.zeros(6000), R.normal(size=3000)], np.tile([5.0] + [0.0] * 7 + [1.0] * 8, 1024)):
+        assert pooling._median(y) == np.median(y)
+    x = R.normal(size=(40, 16)) * 1e3
+    x = np.concatenate([x, x + 1e-9 * R.normal(size=x.shape), x])
+    lists = pa.array(x.tolist(), pa.list_(pa.float64()))
+    want = np.sqrt(((x[:, None] - x) ** 2).sum(axis=2))
+    got = pooling.Euclidean(lists)(lists)
+    assert np.allclose(got, want, rtol=1e-12, atol=0) and (np.diag(got) == 0).all()
+    calls = []
+    monkeypatch.setattr(np, "partition", lambda y, k: calls.append(len(y)) or np.sort(y))
+    pooling._median(R.normal(size=100_000))
+    assert max(calls) < 20_000  # not the whole row
+    unlike = pa.array([[1.0, 2.0], [1.0], [0.0, 0.0], [np.inf, 1.0]], pa.list_(pa.float64()))
+    cosine, euclidean = pooling.Cosine(unlike)(unlike), pooling.Euclidean(unlike)(unlike)
+    assert cosine[0, 2] == 0 and np.isnan(cosine[1]).all() and np.isnan(euclidean[1]).all() and euclidean[0, 3] == np.inf
