@@ -75,3 +75,27 @@ def test_long_rows_and_near_vectors(monkeypatch):
     unlike = pa.array([[1.0, 2.0], [1.0], [0.0, 0.0], [np.inf, 1.0]], pa.list_(pa.float64()))
     cosine, euclidean = pooling.Cosine(unlike)(unlike), pooling.Euclidean(unlike)(unlike)
     assert cosine[0, 2] == 0 and np.isnan(cosine[1]).all() and np.isnan(euclidean[1]).all() and euclidean[0, 3] == np.inf
+
+
+@pytest.mark.parametrize("light", [0.0, 0.6, 1e9])
+def test_tallies_of_sets(monkeypatch, light):
+    """Statistics from how often each (shared, size) was met are those of all similarities; rows that share nothing are not held."""
+    monkeypatch.setattr(pooling, "LIGHT", light)
+    monkeypatch.setattr(pooling, "HELD", 500)
+    codes = R.integers(-(1 << 63), (1 << 63) - 1, 400)
+    codes = np.r_[codes, codes[:50] ^ 1]  # neighbours with the same high bits
+    made = lambda n, most: pa.array([np.unique(codes[R.zipf(1.4, R.integers(0, most)) % len(codes)]).tolist() for _ in range(n)], pa.list_(pa.int64()))
+    for most in (4, 60, 4000):
+        rows, others = made(40, most), made(300, most)
+        for metric in (pooling.Jaccard, pooling.Dice):
+            own = metric(rows)
+            tally = pooling._Tally(own)
+            tally.meet(others, np.full(40, -1))
+            tally.meet(rows, np.arange(40))
+            want = pooling._statistics([np.concatenate([own(others), own(rows)], axis=1)], 300 + np.arange(40))
+            assert np.allclose(tally.statistics(), want, atol=1e-12)
+    apart = pooling.Jaccard(pa.array([[i, i + 1000] for i in range(200)], pa.list_(pa.int64())))
+    tally = pooling._Tally(apart)
+    tally.meet(pa.array([[i, 5000] for i in range(200)], pa.list_(pa.int64())), np.full(200, -1))
+    assert tally.held == 200 and tally.met == 200  # of 40,000 pairs
+    assert np.allclose(tally.statistics(), [1 / 600, np.sqrt(199) / 600, 0, 0, 1 / 3])
