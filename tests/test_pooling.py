@@ -99,3 +99,44 @@ def test_tallies_of_sets(monkeypatch, light):
     tally.meet(pa.array([[i, 5000] for i in range(200)], pa.list_(pa.int64())), np.full(200, -1))
     assert tally.held == 200 and tally.met == 200  # of 40,000 pairs
     assert np.allclose(tally.statistics(), [1 / 600, np.sqrt(199) / 600, 0, 0, 1 / 3])
+
+
+@pytest.mark.parametrize("metric", ["jaccard", "dice"])
+def test_sets_of_many_sizes(spark, monkeypatch, metric):
+    """The same statistics where values around the middle are held instead of tallies."""
+    monkeypatch.setattr(pooling, "SIZES", 0)
+    rows = [(i, f"k{i % 2}", 1 + i % 4, [f"w{x}" for x in R.integers(0, 60, R.integers(0, 40))]) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, q string, r int, value array<string>").repartition(3)
+    for key in (None, "q"):
+        got = {x.id: list(x)[1:] for x in pooling.pooled_stats(df, df, metric, key=key, empty=-1.0).collect()}
+        want = brute(rows, metric, key is not None, -1.0)
+        assert set(got) == set(want) and all(np.allclose(got[i], x, atol=1e-9) for i, x in want.items())
+
+
+@pytest.mark.parametrize("light", [0.0, 1e9])
+@pytest.mark.parametrize("width", [2.5, 0.0])
+def test_held_values_do_not_grow_with_the_pool(monkeypatch, light, width):
+    """Sets of unlike sizes: few values are held, medians are exact or their rows are named."""
+    monkeypatch.setattr(pooling, "LIGHT", light)
+    monkeypatch.setattr(pooling, "PAIRS", 1000)
+    monkeypatch.setattr(pooling, "WIDTH", width)
+    codes = R.integers(-(1 << 63), (1 << 63) - 1, 3000)
+    made = lambda n: pa.array([R.choice(codes, R.integers(0, 600), replace=False).tolist() for _ in range(n)], pa.list_(pa.int64()))
+    rows, pool = made(10), [made(100) for _ in range(60)]
+    for metric in (pooling.Jaccard, pooling.Dice):
+        own = metric(rows)
+        spread, tally, most = pooling._Spread(own), pooling._Tally(own), 0
+        for others in pool:
+            spread.meet(others, np.full(10, -1))
+            spread.settle()
+            tally.meet(others, np.full(10, -1))
+            most = max(most, spread.held)
+        spread.meet(rows, np.arange(10))
+        found, lost = spread.statistics()
+        want = pooling._statistics([np.concatenate([own(others) for others in [*pool, rows]], axis=1)], 6000 + np.arange(10))
+        tally.merge()
+        assert most < 10_000 < tally.held
+        sure = np.setdiff1d(np.arange(10), lost)
+        assert np.allclose(found[sure], want[sure], atol=1e-12) and (len(lost) == 0 or not width)
+        columns = [i for i, s in enumerate(pooling.STATS) if s != "median"]
+        assert np.allclose(found[:, columns], want[:, columns], atol=1e-12)
